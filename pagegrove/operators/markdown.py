@@ -55,9 +55,10 @@ def _markdown_body(dom: Column, mode: str) -> tuple[Column, Column]:
     return content, main.isNotNull()
 
 
-def page_markdown(pages_dom: DataFrame, mode: str = "compat") -> DataFrame:
-    """``(page_id, url, filename, content, status)``, one row per input
-    row.  ``status`` is 'ok' or 'error'; an error row carries the filename of
+def page_markdown(pages_dom: DataFrame, mode: str = "compat",
+                  keys=("page_id", "url")) -> DataFrame:
+    """``(*keys, filename, content, status)``, one row per input
+    row (``keys`` must include ``url``).  ``status`` is 'ok' or 'error'; an error row carries the filename of
     ``url + '_error'`` and ``Error processing <url>: <message>``."""
     if mode not in ("compat", "fixed"):
         raise ValueError("mode must be 'compat' or 'fixed'")
@@ -66,7 +67,7 @@ def page_markdown(pages_dom: DataFrame, mode: str = "compat") -> DataFrame:
     ok = ~missing & has_main
     message = F.when(missing, F.lit(MISSING_PAGE_MESSAGE)).otherwise(F.lit(NO_MAIN_MESSAGE))
     return pages_dom.select(
-        "page_id", "url",
+        *keys,
         F.when(ok, sanitize_filename(F.col("url")))
          .otherwise(sanitize_filename(F.concat(F.col("url"), F.lit("_error")))).alias("filename"),
         F.when(ok, content)
