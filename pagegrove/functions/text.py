@@ -74,3 +74,10 @@ def split_lines(col) -> Column:
 def md_link(text, url) -> Column:
     """``[text](url)``."""
     return F.concat(F.lit("["), _c(text), F.lit("]("), _c(url), F.lit(")"))
+
+
+def let(value: Column, body) -> Column:
+    """Bind ``value`` once and use it in ``body`` (a lambda over the bound
+    value).  Without it, a sub-expression used n times is copied n times into
+    the tree -- and evaluated n times inside higher-order functions."""
+    return F.transform(F.array(value), body)[0]

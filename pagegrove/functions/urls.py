@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagegrove.functions.text import _c
+from pagegrove.functions.text import _c, let
 
 # RFC 3986 appendix B, with a Python-style scheme (must start with a letter).
 URL_RE = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
@@ -44,18 +44,16 @@ def _clean(col) -> Column:
 
 def url_parts(col) -> Column:
     """Python ``urlparse`` as a struct of six strings ('' when absent)."""
-    u = _clean(col)
-    scheme = F.lower(_group(u, 1))
-    netloc = _group(u, 2)
-    full_path = _group(u, 3)
-    # urlparse splits ';params' off only when the last segment holds a ';',
-    # and then at the first ';' of the whole path.
-    has_params = full_path.rlike(r";[^/]*$")
-    path = F.when(has_params, F.substring_index(full_path, ";", 1)).otherwise(full_path)
-    params = F.when(has_params, F.regexp_extract(full_path, r"^[^;]*;(.*)$", 1)).otherwise(F.lit(""))
-    return F.struct(scheme.alias("scheme"), netloc.alias("netloc"), path.alias("path"),
-                    params.alias("params"), _group(u, 4).alias("query"),
-                    _group(u, 5).alias("fragment"))
+    def body(u):
+        full_path = _group(u, 3)
+        # urlparse splits ';params' off only when the last segment holds a
+        # ';', and then at the first ';' of the whole path.
+        return let(full_path, lambda fp: F.struct(
+            F.lower(_group(u, 1)).alias("scheme"), _group(u, 2).alias("netloc"),
+            F.when(fp.rlike(r";[^/]*$"), F.substring_index(fp, ";", 1)).otherwise(fp).alias("path"),
+            F.when(fp.rlike(r";[^/]*$"), F.regexp_extract(fp, r"^[^;]*;(.*)$", 1)).otherwise(F.lit("")).alias("params"),
+            _group(u, 4).alias("query"), _group(u, 5).alias("fragment")))
+    return let(_clean(col), body)
 
 
 def url_host(col) -> Column:
@@ -115,90 +113,88 @@ def resolve_href(base, href) -> Column:
     Non-special schemes (``javascript:``, ``mailto:``) are returned as
     written.  IDNA host conversion is not applied.
     """
-    b = _clean(base)
-    bscheme = F.lower(_group(b, 1))
-    bauth = _group(b, 2)
-    bpath = F.when(_group(b, 3) == "", F.lit("/")).otherwise(_group(b, 3))
-    bhas_query = b.rlike(r"^[^#]*\?")
-    bquery = F.when(bhas_query, _group(b, 4))
-
-    h = F.regexp_replace(F.regexp_replace(_c(href), r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\n\r]", "")
-    hscheme = F.lower(F.regexp_extract(h, _SCHEME_RE, 1))
-    has_scheme = h.rlike(_SCHEME_RE)
-    special = hscheme.isin(*SPECIAL_SCHEMES)
-    rest = F.regexp_replace(h, _SCHEME_RE, "")
-    h_slash = F.regexp_replace(h, r"\\", "/")
-    rest_slash = F.regexp_replace(rest, r"\\", "/")
-
-    opaque = has_scheme & ~special
-    # "http:foo" against an http base is a relative reference
-    same_rel = has_scheme & special & (hscheme == bscheme) & ~rest_slash.startswith("/")
-    absolute = has_scheme & special & ~same_rel
-
-    rel = F.when(same_rel, rest_slash).otherwise(h_slash)
-    rel_auth = rel.startswith("//")
-    rel_path_abs = rel.startswith("/") & ~rel_auth
-    r_path = F.regexp_extract(rel, r"(?s)^(?://[^/?#]*)?([^?#]*)", 1)
-    r_has_q = rel.rlike(r"^[^#]*\?")
-    r_query = F.regexp_extract(rel, r"(?s)^[^?#]*\?([^#]*)", 1)
-    r_has_f = rel.contains("#")
-    r_frag = F.regexp_extract(rel, r"(?s)#(.*)$", 1)
-
-    abs_m = r"(?s)^[A-Za-z][A-Za-z0-9+.\-]*:/*([^/?#]*)([^?#]*)"
-    a_auth = F.regexp_extract(rest_slash, r"(?s)^/*([^/?#]*)", 1)
-    a_path = F.regexp_extract(h_slash, abs_m, 2)
-    a_has_q = rest_slash.rlike(r"^[^#]*\?")
-    a_query = F.regexp_extract(rest_slash, r"(?s)^[^?#]*\?([^#]*)", 1)
-    a_has_f = rest_slash.contains("#")
-    a_frag = F.regexp_extract(rest_slash, r"(?s)#(.*)$", 1)
-
-    scheme = F.when(absolute, hscheme).otherwise(bscheme)
-    auth = (F.when(absolute, a_auth)
-            .when(rel_auth, F.regexp_extract(rel, r"(?s)^//([^/?#]*)", 1))
-            .otherwise(bauth))
-    merged = F.concat(F.regexp_replace(bpath, r"[^/]*$", ""), r_path)
-    path = (F.when(absolute, a_path)
-            .when(rel_auth | rel_path_abs, r_path)
-            .when(r_path == "", bpath)
-            .otherwise(merged))
-    path = F.when(path == "", F.lit("/")).otherwise(path)
-    query = (F.when(absolute, F.when(a_has_q, a_query))
-             .when(rel_auth | rel_path_abs | (r_path != ""), F.when(r_has_q, r_query))
-             .when(r_has_q, r_query)
-             .otherwise(bquery))
-    frag = F.when(absolute, F.when(a_has_f, a_frag)).otherwise(F.when(r_has_f, r_frag))
-
-    host = F.lower(auth)
-    port_drop = F.create_map(*[x for k, v in DEFAULT_PORTS.items() for x in (F.lit(k), F.lit(v))])
-    dport = F.element_at(port_drop, scheme)
-    host = F.when(dport.isNotNull(),
-                  F.regexp_replace(host, F.concat(F.lit(":"), dport, F.lit("$")), F.lit(""))
-                  ).otherwise(host)
-
-    out = F.concat(scheme, F.lit("://"), host,
-                   pct_encode(remove_dot_segments(path), PATH_ENCODE),
-                   F.when(query.isNotNull(), F.concat(F.lit("?"), pct_encode(query, QUERY_ENCODE))).otherwise(F.lit("")),
-                   F.when(frag.isNotNull(), F.concat(F.lit("#"), pct_encode(frag, FRAGMENT_ENCODE))).otherwise(F.lit("")))
-    opaque_out = F.concat(hscheme, F.lit(":"), rest)
-    failed = (scheme == "") | (host == "")
-    return (F.when(_c(href).isNull(), F.lit(None))
-            .when(opaque, opaque_out)
-            .when(failed, h)
-            .otherwise(out))
+    cleaned_href = F.regexp_replace(F.regexp_replace(_c(href), r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\n\r]", "")
+    port_map = F.create_map(*[x for k, v in DEFAULT_PORTS.items() for x in (F.lit(k), F.lit(v))])
+
+    def parts(v):
+        b, h = v["b"], v["h"]
+        hscheme = F.lower(F.regexp_extract(h, _SCHEME_RE, 1))
+        rest = F.regexp_replace(h, _SCHEME_RE, "")
+        return F.struct(
+            F.lower(_group(b, 1)).alias("bscheme"), _group(b, 2).alias("bauth"),
+            F.when(_group(b, 3) == "", F.lit("/")).otherwise(_group(b, 3)).alias("bpath"),
+            F.when(b.rlike(r"^[^#]*\?"), _group(b, 4)).alias("bquery"),
+            h.alias("h"), hscheme.alias("hscheme"), h.rlike(_SCHEME_RE).alias("has_scheme"),
+            rest.alias("rest"), F.regexp_replace(h, r"\\", "/").alias("h_slash"),
+            F.regexp_replace(rest, r"\\", "/").alias("rest_slash"))
+
+    def decide(p):
+        special = p["hscheme"].isin(*SPECIAL_SCHEMES)
+        # "http:foo" against an http base is a relative reference
+        same_rel = p["has_scheme"] & special & (p["hscheme"] == p["bscheme"]) & ~p["rest_slash"].startswith("/")
+        absolute = p["has_scheme"] & special & ~same_rel
+        rel = F.when(same_rel, p["rest_slash"]).otherwise(p["h_slash"])
+        return F.struct(p.alias("p"), (p["has_scheme"] & ~special).alias("opaque"),
+                        absolute.alias("absolute"), rel.alias("rel"))
+
+    def compose(x):
+        p, rel, absolute = x["p"], x["rel"], x["absolute"]
+        rs = p["rest_slash"]
+        rel_auth = rel.startswith("//")
+        rel_path_abs = rel.startswith("/") & ~rel_auth
+        r_path = F.regexp_extract(rel, r"(?s)^(?://[^/?#]*)?([^?#]*)", 1)
+        r_has_q = rel.rlike(r"^[^#]*\?")
+        r_query = F.regexp_extract(rel, r"(?s)^[^?#]*\?([^#]*)", 1)
+        scheme = F.when(absolute, p["hscheme"]).otherwise(p["bscheme"])
+        auth = (F.when(absolute, F.regexp_extract(rs, r"(?s)^/*([^/?#]*)", 1))
+                .when(rel_auth, F.regexp_extract(rel, r"(?s)^//([^/?#]*)", 1))
+                .otherwise(p["bauth"]))
+        path = (F.when(absolute, F.regexp_extract(p["h_slash"], r"(?s)^[A-Za-z][A-Za-z0-9+.\-]*:/*[^/?#]*([^?#]*)", 1))
+                .when(rel_auth | rel_path_abs, r_path)
+                .when(r_path == "", p["bpath"])
+                .otherwise(F.concat(F.regexp_replace(p["bpath"], r"[^/]*$", ""), r_path)))
+        query = (F.when(absolute, F.when(rs.rlike(r"^[^#]*\?"), F.regexp_extract(rs, r"(?s)^[^?#]*\?([^#]*)", 1)))
+                 .when(rel_auth | rel_path_abs | (r_path != "") | r_has_q, F.when(r_has_q, r_query))
+                 .otherwise(p["bquery"]))
+        frag = (F.when(absolute, F.when(rs.contains("#"), F.regexp_extract(rs, r"(?s)#(.*)$", 1)))
+                .otherwise(F.when(rel.contains("#"), F.regexp_extract(rel, r"(?s)#(.*)$", 1))))
+        return F.struct(x["opaque"].alias("opaque"), p["h"].alias("h"), p["hscheme"].alias("hscheme"),
+                        p["rest"].alias("rest"), scheme.alias("scheme"), F.lower(auth).alias("host"),
+                        F.when(path == "", F.lit("/")).otherwise(path).alias("path"),
+                        query.alias("query"), frag.alias("frag"))
+
+    def render(r):
+        dport = F.element_at(port_map, r["scheme"])
+        host = F.when(dport.isNotNull(),
+                      F.regexp_replace(r["host"], F.concat(F.lit(":"), dport, F.lit("$")), F.lit(""))
+                      ).otherwise(r["host"])
+        out = F.concat(r["scheme"], F.lit("://"), host,
+                       pct_encode(remove_dot_segments(r["path"]), PATH_ENCODE),
+                       F.when(r["query"].isNotNull(), F.concat(F.lit("?"), pct_encode(r["query"], QUERY_ENCODE))).otherwise(F.lit("")),
+                       F.when(r["frag"].isNotNull(), F.concat(F.lit("#"), pct_encode(r["frag"], FRAGMENT_ENCODE))).otherwise(F.lit("")))
+        return (F.when(r["opaque"], F.concat(r["hscheme"], F.lit(":"), r["rest"]))
+                .when((r["scheme"] == "") | (r["host"] == ""), r["h"])
+                .otherwise(out))
+
+    bound = F.struct(_clean(base).alias("b"), cleaned_href.alias("h"))
+    resolved = let(bound, lambda v: let(parts(v), lambda p: let(decide(p), lambda x: let(compose(x), render))))
+    return F.when(_c(href).isNull(), F.lit(None)).otherwise(resolved)
 
 
 def py_urljoin_abs(base, url) -> Column:
     """Python ``urljoin(base, url)`` for an ``url`` that already carries a
     scheme: re-assembled from its parts when the scheme equals the base's
     (empty query / fragment disappear), returned unchanged otherwise."""
-    p = url_parts(url)
-    bscheme = url_parts(base)["scheme"]
-    rebuilt = F.concat(
-        p["scheme"], F.lit("://"), p["netloc"], p["path"],
-        F.when(p["params"] != "", F.concat(F.lit(";"), p["params"])).otherwise(F.lit("")),
-        F.when(p["query"] != "", F.concat(F.lit("?"), p["query"])).otherwise(F.lit("")),
-        F.when(p["fragment"] != "", F.concat(F.lit("#"), p["fragment"])).otherwise(F.lit("")))
-    return F.when((p["scheme"] == bscheme) & (p["netloc"] != ""), rebuilt).otherwise(_c(url))
+    def body(v):
+        p = v["p"]
+        rebuilt = F.concat(
+            p["scheme"], F.lit("://"), p["netloc"], p["path"],
+            F.when(p["params"] != "", F.concat(F.lit(";"), p["params"])).otherwise(F.lit("")),
+            F.when(p["query"] != "", F.concat(F.lit("?"), p["query"])).otherwise(F.lit("")),
+            F.when(p["fragment"] != "", F.concat(F.lit("#"), p["fragment"])).otherwise(F.lit("")))
+        return F.when((p["scheme"] == v["bscheme"]) & (p["netloc"] != ""), rebuilt).otherwise(v["u"])
+    bscheme = F.lower(F.regexp_extract(_clean(base), r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
+    return let(F.struct(url_parts(url).alias("p"), bscheme.alias("bscheme"), _c(url).alias("u")), body)
 
 
 def host_contains(url, needle: str) -> Column:

@@ -121,3 +121,15 @@ def meta_content(dom, key: str, value: str) -> Column:
     """The first ``meta`` whose attribute ``key`` equals ``value``
     (the node itself; ``['attrs']['content']`` is the content)."""
     return first_node(dom, lambda n: (n["tag"] == "meta") & (n["attrs"][key] == value))
+
+
+def materialize(col: Column) -> Column:
+    """Compute a per-page value once per row.
+
+    Catalyst's project collapsing inlines a column into a consumer that
+    references it once -- also when that reference sits inside a per-element
+    lambda, which would re-evaluate (say) a whole-array filter for every
+    element.  A non-deterministic guard (always true) keeps the value in its
+    own projection, evaluated once per row.
+    """
+    return F.when(F.rand(0) >= F.lit(0.0), col)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pagegrove.functions.text import sanitize_filename
 from pagegrove.operators.dom import (element_string, element_text, first_node, is_desc,
-                                     main_content, meta_content, strip_boilerplate)
+                                     main_content, materialize, meta_content, strip_boilerplate)
 
 # --- Fixed values -----------------------------------------------------------
 BOILERPLATE_TAGS = ("script", "style", "head", "header", "footer", "nav", "aside")
@@ -24,14 +24,20 @@ MISSING_PAGE_MESSAGE = "page not found"
 # ---------------------------------------------------------------------------
 
 
+def with_main(pages_dom: DataFrame) -> DataFrame:
+    """Stages ``_alive`` (D2) and ``_main`` (D3) as once-per-row columns."""
+    s1 = pages_dom.select("*", materialize(strip_boilerplate("dom", BOILERPLATE_TAGS)).alias("_alive"))
+    return s1.select("*", materialize(main_content("_alive")).alias("_main"))
+
+
 def _markdown_body(dom: Column, mode: str) -> tuple[Column, Column]:
-    """(content, has_main) for one page's dom."""
-    alive = strip_boilerplate(dom, BOILERPLATE_TAGS)
+    """(content, has_main) for one page, over the staged ``_alive``/``_main``."""
+    alive = F.col("_alive")
     # compat reads title/description after the removal; fixed reads them first
     meta_tree = dom if mode == "fixed" else alive
     sep = " " if mode == "fixed" else ""
 
-    main = main_content(alive)
+    main = F.col("_main")
     meta = meta_content(meta_tree, "name", "description")
     meta_text = meta["attrs"]["content"]
     desc_block = F.when(meta.isNotNull() & F.coalesce(meta_text != "", F.lit(False)),
@@ -62,6 +68,7 @@ def page_markdown(pages_dom: DataFrame, mode: str = "compat",
     ``url + '_error'`` and ``Error processing <url>: <message>``."""
     if mode not in ("compat", "fixed"):
         raise ValueError("mode must be 'compat' or 'fixed'")
+    pages_dom = with_main(pages_dom)
     content, has_main = _markdown_body(F.col("dom"), mode)
     missing = F.col("dom").isNull()
     ok = ~missing & has_main

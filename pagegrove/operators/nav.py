@@ -22,9 +22,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagegrove.functions.text import js_trim, sanitize_text
+from pagegrove.functions.text import js_trim, let, sanitize_text
 from pagegrove.functions.urls import py_urljoin_abs, resolve_href, url_parts
-from pagegrove.operators.dom import first_node
+from pagegrove.operators.dom import first_node, materialize
 from pagegrove.operators.selectors import compile_selector, detect_site_type
 
 # --- Fixed values -----------------------------------------------------------
@@ -94,7 +94,7 @@ def nav_page_columns(pages_dom: DataFrame, root_selector: str,
     base = F.coalesce(resolve_href(F.col("url"), base_el["attrs"]["href"]), F.col("url"))
 
     stage1 = pages_dom.select(
-        "*", flags.alias("flags"), base.alias("base_url"))
+        "*", materialize(flags).alias("flags"), materialize(base).alias("base_url"))
     fl = F.col("flags")
 
     def is_root(n):
@@ -128,8 +128,8 @@ def nav_page_columns(pages_dom: DataFrame, root_selector: str,
 
     stage2 = stage1.select(
         "*",
-        F.transform(F.filter(d, is_root), lambda n: n["node_id"]).alias("roots"),
-        F.transform(F.filter(d, clickable), link_struct).alias("links0"))
+        materialize(F.transform(F.filter(d, is_root), lambda n: n["node_id"])).alias("roots"),
+        materialize(F.transform(F.filter(d, clickable), link_struct)).alias("links0"))
 
     lk = F.col("links0")
     menu_ids = F.array_distinct(F.concat(F.col("roots"), F.filter(F.transform(lk, lambda l: l["sub"]),
@@ -143,7 +143,7 @@ def nav_page_columns(pages_dom: DataFrame, root_selector: str,
         with_menu = F.transform(lk, lambda l: l.withField("menu_of", menu_of(l)))
     else:
         with_menu = F.transform(lk, lambda l: l.withField("menu_of", F.lit(None).cast("int")))
-    stage3 = stage2.select("*", with_menu.alias("links1"), F.size(menu_ids).alias("n_menus"))
+    stage3 = stage2.select("*", materialize(with_menu).alias("links1"), F.size(menu_ids).alias("n_menus"))
 
     l1 = F.col("links1")
 
@@ -153,7 +153,8 @@ def nav_page_columns(pages_dom: DataFrame, root_selector: str,
 
     links = F.transform(l1, lambda l: l.withField(
         "nkids", F.when(l["sub"].isNull(), F.lit(0)).otherwise(F.size(F.filter(l1, lambda k: in_menu(k, l["sub"]))))))
-    return stage3.select(*[c for c in stage3.columns if c not in ("links0", "links1")], links.alias("links"))
+    return stage3.select(*[c for c in stage3.columns if c not in ("links0", "links1")],
+                         materialize(links).alias("links"))
 
 
 def expand_nav(nav_pages: DataFrame, mode: str = "compat") -> DataFrame:
@@ -186,32 +187,33 @@ def expand_nav(nav_pages: DataFrame, mode: str = "compat") -> DataFrame:
         return F.concat(acc, nxt)
 
     rows = F.aggregate(F.sequence(F.lit(1), F.greatest(F.col("n_menus"), F.lit(1))), level0, grow)
-    staged = nav_pages.select("*", rows.alias("rows"))
+    staged = nav_pages.select("*", materialize(rows).alias("rows"))
     cyclic = F.exists(F.col("rows"), lambda f: f["sub"].isNotNull() & F.array_contains(f["menus"], f["sub"]))
     return staged.select("*", (cyclic if mode == "compat" else F.lit(False)).alias("cyclic"))
 
 
 def _row_ok(r: Column, top: Column, page_url: Column) -> Column:
-    """T1-T3 and N7 for one row (subtree drop is applied by the walk)."""
-    title = sanitize_text(r["title"])
+    """T1-T3 and N7 for one row (subtree drop is applied by the walk);
+    ``r.full`` is the urljoin'ed URL."""
+    title = r["title_s"]
     has_url = r["url"] != ""
     has_children = r["sub"].isNotNull() & (r["nkids"] > 0)
-    full = py_urljoin_abs(page_url, r["url"])
-    parts = url_parts(full)
-    low = F.lower(parts["path"])
-    url_ok = (parts["netloc"] != "") & (F.length(parts["path"]) <= MAX_PATH_LENGTH)
-    for s in BANNED_IN_PATH:
-        url_ok = url_ok & ~low.contains(s)
+
+    def url_ok(parts):
+        low = F.lower(parts["path"])
+        ok = (parts["netloc"] != "") & (F.length(parts["path"]) <= MAX_PATH_LENGTH)
+        for s in BANNED_IN_PATH:
+            ok = ok & ~low.contains(s)
+        return ok
     dup = (r["depth"] == 0) & has_url & F.exists(
         top, lambda o: (o["url"] == r["url"]) & (o["path"] < r["path"]))
     return (has_url | has_children) & (F.length(title) >= MIN_TITLE_LENGTH) \
-        & ~F.lower(title).isin(*STOP_TITLES) & (~has_url | url_ok) & ~dup
+        & ~F.lower(title).isin(*STOP_TITLES) & (~has_url | let(url_parts(r["full"]), url_ok)) & ~dup
 
 
-def _row_line(r: Column, page_url: Column) -> Column:
-    title = sanitize_text(r["title"])
-    full = py_urljoin_abs(page_url, r["url"])
-    body = F.when(r["url"] != "", F.concat(F.lit("["), title, F.lit("]("), full, F.lit(")"))).otherwise(title)
+def _row_line(r: Column) -> Column:
+    body = F.when(r["url"] != "", F.concat(F.lit("["), r["title"], F.lit("]("), r["full"], F.lit(")"))
+                  ).otherwise(r["title"])
     return F.concat(F.repeat(F.lit("  "), r["depth"]), F.lit("- "), body, F.lit("\n"))
 
 
@@ -220,20 +222,25 @@ def render_nav(expanded: DataFrame) -> DataFrame:
     their subtrees; ``kept`` holds the surviving rows (with their line),
     ``nav_md`` the rendered tree, ``status`` ok / no_nav / cyclic_nav."""
     rows = F.col("rows")
-    top = F.filter(rows, lambda r: r["depth"] == 0)
+    top = F.col("_top")
     page_url = F.col("url")
-    marked = F.array_sort(F.transform(rows, lambda r: F.struct(
-        r["path"].alias("path"), r["depth"].alias("depth"), r["title"].alias("title"), r["url"].alias("url"),
-        r["sub"].alias("sub"), r["nkids"].alias("nkids"),
-        _row_ok(r, top, page_url).alias("ok"))))
-    stage = expanded.select("*", marked.alias("marked"))
-
-    init = F.struct(F.array().cast("array<struct<path:array<int>,depth:int,title:string,url:string>>").alias("kept"),
+    prepared = F.transform(rows, lambda r: F.struct(
+        r["path"].alias("path"), r["depth"].alias("depth"), sanitize_text(r["title"]).alias("title_s"),
+        r["url"].alias("url"), r["sub"].alias("sub"), r["nkids"].alias("nkids"),
+        py_urljoin_abs(page_url, r["url"]).alias("full")))
+    marked = F.array_sort(F.transform(F.col("_prep"), lambda r: F.struct(
+        r["path"].alias("path"), r["depth"].alias("depth"), r["title_s"].alias("title"), r["url"].alias("url"),
+        r["full"].alias("full"), _row_ok(r, top, page_url).alias("ok"))))
+    stage = expanded.select("*", materialize(F.filter(rows, lambda r: r["depth"] == 0)).alias("_top"))
+    stage = stage.select("*", materialize(prepared).alias("_prep"))
+    stage = stage.select("*", materialize(marked).alias("marked"))
+
+    init = F.struct(F.array().cast("array<struct<path:array<int>,depth:int,title:string,url:string,full:string>>").alias("kept"),
                     F.lit(None).cast("int").alias("drop"))
 
     def walk(acc, r):
         keep = F.struct(r["path"].alias("path"), r["depth"].alias("depth"),
-                        sanitize_text(r["title"]).alias("title"), r["url"].alias("url"))
+                        r["title"].alias("title"), r["url"].alias("url"), r["full"].alias("full"))
         return (F.when(acc["drop"].isNotNull() & (r["depth"] > acc["drop"]), acc)
                 .when(r["ok"], F.struct(F.concat(acc["kept"], F.array(keep)).alias("kept"),
                                         F.lit(None).cast("int").alias("drop")))
@@ -241,8 +248,8 @@ def render_nav(expanded: DataFrame) -> DataFrame:
 
     kept = F.aggregate(F.col("marked"), init, walk)["kept"]
     kept = F.when(F.col("cyclic"), F.slice(kept, 1, 0)).otherwise(kept)
-    stage = stage.select("*", kept.alias("kept"))
-    lines = F.transform(F.col("kept"), lambda r: _row_line(r, page_url))
+    stage = stage.select("*", materialize(kept).alias("kept"))
+    lines = F.transform(F.col("kept"), _row_line)
     status = (F.when(F.col("cyclic"), F.lit("cyclic_nav"))
               .when(F.size(F.col("rows")) == 0, F.lit("no_nav"))
               .otherwise(F.lit("ok")))

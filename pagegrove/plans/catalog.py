@@ -344,7 +344,7 @@ def q_page_markdown(spark, sf):
 
 @query("page_markdown_fixed", SQL_PAGE_FACTS.replace("'# Untitled Page' || {NL}".replace("{NL}", NL),
                                                      f"'# ' || {S.unescape('a.title_raw')} || {NL}")
-       .replace("s -> s <> ''), '')", "s -> s <> ''), ' ')") + f"""
+       .replace("lambda s: s <> ''), '')", "lambda s: s <> ''), ' ')") + f"""
 SELECT page_id, url, {S.sanitize_filename('url')} AS filename, content, 'ok' AS status FROM md""")
 def q_page_markdown_fixed(spark, sf):
     """P2 'fixed' mode: title read before head removal, text joined by spaces."""
@@ -416,11 +416,11 @@ SELECT page_id, 0 AS pos, {S.strip(S.unescape('h1_raw'))} AS heading FROM art"""
 def q_page_headings(spark, sf):
     """D4 exploded: every h1-h3 of the main content."""
     from pagegrove.operators.dom import element_text, is_desc
-    alive = strip_boilerplate("dom")
-    main = main_content(alive)
+    from pagegrove.operators.markdown import with_main
+    alive, main = F.col("_alive"), F.col("_main")
     hs = F.transform(F.filter(alive, lambda n: is_desc(n, main) & n["tag"].isin("h1", "h2", "h3")),
                      lambda h: element_text(alive, h))
-    return pages_dom(spark, sf).select("page_id", F.posexplode(hs).alias("pos", "heading"))
+    return with_main(pages_dom(spark, sf)).select("page_id", F.posexplode(hs).alias("pos", "heading"))
 
 
 @query("page_top_paragraphs", SQL_PAGE_FACTS + "SELECT page_id, pos, text FROM para_text WHERE text <> ''")
@@ -428,11 +428,11 @@ def q_page_top_paragraphs(spark, sf):
     """Non-empty texts among the first five paragraphs; ``pos`` is
     the rank among those five."""
     from pagegrove.operators.dom import element_text, is_desc
-    alive = strip_boilerplate("dom")
-    main = main_content(alive)
+    from pagegrove.operators.markdown import with_main
+    alive, main = F.col("_alive"), F.col("_main")
     ps = F.transform(F.slice(F.filter(alive, lambda n: is_desc(n, main) & (n["tag"] == "p")), 1, 5),
                      lambda p: element_text(alive, p))
-    return (pages_dom(spark, sf).select("page_id", F.posexplode(ps).alias("pos", "text"))
+    return (with_main(pages_dom(spark, sf)).select("page_id", F.posexplode(ps).alias("pos", "text"))
             .filter("text <> ''"))
 
 

@@ -50,13 +50,13 @@ def element_text(fragment: str) -> str:
     """Strings between tags, each unescaped and stripped, empties dropped,
     joined with no separator."""
     return (f"array_to_string(list_filter(list_transform(regexp_split_to_array({fragment}, '<[^>]*>'), "
-            f"s -> {strip(unescape('s'))}), s -> s <> ''), '')")
+            f"lambda s: {strip(unescape('s'))}), lambda s: s <> ''), '')")
 
 
 def pct_path(x: str) -> str:
     cls = f"[{PATH_ENCODE}]"
     return (f"array_to_string(list_transform(regexp_extract_all({x}, '(?s).', 0), "
-            f"ch -> CASE WHEN regexp_matches(ch, {q(cls)}) "
+            f"lambda ch: CASE WHEN regexp_matches(ch, {q(cls)}) "
             f"THEN regexp_replace(hex(encode(ch)), '(..)', '%\\1', 'g') ELSE ch END), '')")
 
 
