@@ -538,3 +538,136 @@ SELECT page_id, site, content FROM llms WHERE content <> '' AND NOT contains(con
 def q_llms_txt_export(spark, sf):
     """K1 guard: the documents the export would write."""
     return exportable_llms(llms(spark, sf)).select("page_id", "site", "content")
+
+
+# ---------------------------------------------------------------------------
+# R*: site-scale operators
+# ---------------------------------------------------------------------------
+
+from pagegrove.operators import site as R  # noqa: E402
+from pagegrove.streaming import stream as X  # noqa: E402
+
+TOP_K = 5
+SECTION_K = 3
+
+SQL_SITE = SQL_PAGE_FACTS + f"""
+, nl AS (
+  SELECT {S.host('url')} AS site, page_id,
+         CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS INTEGER) AS pos,
+         0 AS depth, title_s AS title, link_url AS url
+  FROM navf),
+sn AS (
+  SELECT site, url, arg_min(title, page_id * 1000000 + pos) AS title, min(page_id) AS first_page_id,
+         count(DISTINCT page_id) AS n_pages
+  FROM nl GROUP BY site, url),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY site ORDER BY n_pages DESC, url ASC) AS INTEGER) AS rank FROM sn)
+"""
+
+
+def site_links(spark, sf) -> DataFrame:
+    return R.site_nav(R.nav_links(nav_pages(spark, sf)))
+
+
+@query("site_nav", SQL_SITE + "SELECT site, url, title, first_page_id, n_pages FROM sn")
+def q_site_nav(spark, sf):
+    """Merged navigation of all pages of a site."""
+    return site_links(spark, sf)
+
+
+@query("site_top_links", SQL_SITE + f"SELECT site, url, title, first_page_id, n_pages, rank FROM ranked WHERE rank <= {TOP_K}")
+def q_site_top_links(spark, sf):
+    """R2: top-k links per site by number of linking pages."""
+    return R.rank_links(site_links(spark, sf), TOP_K)
+
+
+@query("site_sections", SQL_SITE + f"""
+, sec AS (
+  SELECT *, CASE WHEN regexp_extract(regexp_extract(url, {q(URL_RE)}, 3), '^/([^/]*)', 1) = '' THEN '/'
+                 ELSE regexp_extract(regexp_extract(url, {q(URL_RE)}, 3), '^/([^/]*)', 1) END AS section FROM sn),
+sr AS (
+  SELECT *, row_number() OVER (PARTITION BY site, section ORDER BY n_pages DESC, url ASC) AS srank FROM sec)
+SELECT site, section, '## ' || section || {NL} || string_agg('- [' || title || '](' || url || ')', {NL} ORDER BY srank) AS content
+FROM sr WHERE srank <= {SECTION_K} GROUP BY site, section""")
+def q_site_sections(spark, sf):
+    """Sectioned llms.txt blocks, top links per first path segment."""
+    return R.sectioned_llms_txt(site_links(spark, sf), SECTION_K)
+
+
+@query("annotated_links", SQL_SITE + """
+SELECT s.site, s.url, CASE WHEN i.description IS NOT NULL AND i.description <> '' AND i.description <> 'No Description'
+                           THEN '- [' || s.title || '](' || s.url || ') - ' || i.description
+                           ELSE '- [' || s.title || '](' || s.url || ')' END AS line
+FROM sn s LEFT JOIN info i ON i.url = s.url""")
+def q_annotated_links(spark, sf):
+    """Links annotated with the linked page's description."""
+    return R.annotate_links(site_links(spark, sf), site_info(pages_dom(spark, sf)))
+
+
+@query("nav_depth_limited", SQL_SITE + "SELECT site, page_id, pos, depth, title, url FROM nl WHERE depth <= 0")
+def q_nav_depth_limited(spark, sf):
+    """Navigation rows down to depth 0."""
+    return R.limit_depth(R.nav_links(nav_pages(spark, sf)), 0)
+
+
+@query("llms_full", SQL_PAGE_FACTS + f"""
+SELECT {S.host('url')} AS site, CAST(page_id // 1000 AS BIGINT) AS chunk,
+       string_agg(content, {q(R.PAGE_SEPARATOR)} ORDER BY page_id) AS content, count(*) AS n_pages
+FROM md GROUP BY 1, 2""")
+def q_llms_full(spark, sf):
+    """Whole-site text in bounded, ordered chunks."""
+    return R.llms_full(page_markdown(pages_dom(spark, sf)).filter("status = 'ok'"))
+
+
+@query("link_details", SQL_SITE + f"""
+SELECT s.site, s.url, s.title,
+       CASE WHEN m.url IS NOT NULL THEN {q(R.DETAIL_PREFIX + '[')} || {S.sanitize_filename('m.url')} || '](' || s.url || ')' END AS detail
+FROM sn s LEFT JOIN md m ON m.url = s.url""")
+def q_link_details(spark, sf):
+    """Each link with a pointer to its page's Markdown file."""
+    return R.link_details(site_links(spark, sf), page_markdown(pages_dom(spark, sf)))
+
+
+@query("link_metadata", SQL_SITE + """
+SELECT s.site, s.url, s.title, length(m.content) AS md_chars FROM sn s LEFT JOIN md m ON m.url = s.url""")
+def q_link_metadata(spark, sf):
+    """Markdown size of each linked page."""
+    return R.link_metadata(site_links(spark, sf), page_markdown(pages_dom(spark, sf)))
+
+
+@query("robots_rules", f"""
+SELECT host, '*' AS agent, rule_no, allow, path_prefix FROM ({I.ROBOTS_TEXTS_SQL}) h,
+  (VALUES (0, true, '/en/'), (1, false, '/')) r(rule_no, allow, path_prefix)""")
+def q_robots_rules(spark, sf):
+    """Robots.txt text of every host parsed into rules."""
+    return R.parse_robots(I.robots_texts(pages(spark, sf)))
+
+
+@query("robots_allowed", f"""
+SELECT page_id, url, starts_with(
+  CASE WHEN regexp_extract(url, {q(URL_RE)}, 3) = '' THEN '/' ELSE regexp_extract(url, {q(URL_RE)}, 3) END
+  || CASE WHEN regexp_extract(url, {q(URL_RE)}, 4) <> '' THEN '?' || regexp_extract(url, {q(URL_RE)}, 4) ELSE '' END,
+  '/en/') AS allowed FROM pages""")
+def q_robots_allowed(spark, sf):
+    """Robots filter over every page URL (rules derived per host)."""
+    p = pages(spark, sf)
+    return R.allowed_urls(p.select("page_id", "url"), R.parse_robots(I.robots_texts(p)))
+
+
+# ---------------------------------------------------------------------------
+# X*: streaming reuse (same result as batch)
+# ---------------------------------------------------------------------------
+
+@query("stream_page_markdown", REGISTRY["page_markdown"][1])
+def q_stream_page_markdown(spark, sf):
+    """Page Markdown computed by a Structured Streaming query over the
+    page files, drained with ``availableNow``; equals the batch result."""
+    out = X.run_to_table(spark, X.stream_page_markdown(X.read_page_stream(spark, sf)), "page_markdown")
+    return out
+
+
+@query("stream_first_seen_urls", "SELECT DISTINCT url FROM pages")
+def q_stream_first_seen_urls(spark, sf):
+    """First-seen URL dedupe across micro-batches."""
+    s = X.read_page_stream(spark, sf, max_files_per_trigger=1).select("url")
+    return X.run_to_table(spark, X.first_seen_urls(s), "first_seen_urls")
