@@ -32,7 +32,10 @@ def nav_links(nav: DataFrame) -> DataFrame:
     url)`` where ``url`` is the rendered (joined) URL and ``pos`` the
     pre-order position in the page's tree."""
     return (nav.select("page_id", url_host(F.col("url")).alias("site"),
-                       F.posexplode("kept").alias("pos", "r"))
+                       F.posexplode_outer("kept").alias("pos", "r"))
+            # _outer: a plain generator makes the optimizer infer size(kept) > 0
+            # and push it below the shuffle, re-running the per-page pipeline
+            .filter(F.col("r").isNotNull())
             .select("site", "page_id", "pos", F.col("r.depth").alias("depth"),
                     F.col("r.title").alias("title"), F.col("r.full").alias("url"))
             .filter(F.col("url") != ""))

@@ -388,7 +388,7 @@ SELECT lower(tag) AS tag, count(*) AS n FROM (
 def q_dom_tag_counts(spark, sf):
     """Element counts per tag over the whole corpus (partial + final
     hash aggregate)."""
-    d = pages_dom(spark, sf).select(F.explode("dom").alias("n"))
+    d = pages_dom(spark, sf).select(F.explode_outer("dom").alias("n")).filter(F.col("n").isNotNull())
     return (d.filter(~F.col("n.tag").startswith("#"))
             .groupBy(F.col("n.tag").alias("tag")).agg(F.count(F.lit(1)).alias("n")))
 
@@ -420,7 +420,8 @@ def q_page_headings(spark, sf):
     alive, main = F.col("_alive"), F.col("_main")
     hs = F.transform(F.filter(alive, lambda n: is_desc(n, main) & n["tag"].isin("h1", "h2", "h3")),
                      lambda h: element_text(alive, h))
-    return with_main(pages_dom(spark, sf)).select("page_id", F.posexplode(hs).alias("pos", "heading"))
+    return (with_main(pages_dom(spark, sf)).select("page_id", F.posexplode_outer(hs).alias("pos", "heading"))
+            .filter(F.col("pos").isNotNull()))
 
 
 @query("page_top_paragraphs", SQL_PAGE_FACTS + "SELECT page_id, pos, text FROM para_text WHERE text <> ''")
@@ -432,7 +433,7 @@ def q_page_top_paragraphs(spark, sf):
     alive, main = F.col("_alive"), F.col("_main")
     ps = F.transform(F.slice(F.filter(alive, lambda n: is_desc(n, main) & (n["tag"] == "p")), 1, 5),
                      lambda p: element_text(alive, p))
-    return (with_main(pages_dom(spark, sf)).select("page_id", F.posexplode(ps).alias("pos", "text"))
+    return (with_main(pages_dom(spark, sf)).select("page_id", F.posexplode_outer(ps).alias("pos", "text"))
             .filter("text <> ''"))
 
 
@@ -489,7 +490,7 @@ def q_nav_links_raw(spark, sf):
     """Top-level candidate links with title and resolved URL."""
     n = nav_pages(spark, sf)
     top = F.array_sort(F.filter("rows", lambda r: r["depth"] == 0))
-    return (n.select("page_id", F.posexplode(top).alias("pos", "r"))
+    return (n.select("page_id", F.posexplode_outer(top).alias("pos", "r")).filter(F.col("r").isNotNull())
             .select("page_id", "pos", F.col("r.title").alias("title"), F.col("r.url").alias("url")))
 
 
@@ -498,7 +499,7 @@ def q_nav_top_level(spark, sf):
     """Top-level dedupe by URL, first wins, URL-less entries all kept."""
     n = nav_pages(spark, sf)
     top = F.array_sort(F.filter("rows", lambda r: r["depth"] == 0))
-    rows = n.select("page_id", F.posexplode(top).alias("pos", "r"))
+    rows = n.select("page_id", F.posexplode_outer(top).alias("pos", "r")).filter(F.col("r").isNotNull())
     first = F.row_number().over(Window.partitionBy("page_id", "r.url").orderBy("pos"))
     return (rows.withColumn("k", first)
             .filter((F.col("k") == 1) | (F.col("r.url") == ""))
@@ -511,7 +512,8 @@ def q_url_join(spark, sf):
     d = pages_dom(spark, sf)
     hrefs = F.filter("dom", lambda n: (n["tag"] == "a") & F.map_contains_key(n["attrs"], "href")
                      & F.exists(F.slice(n["path"], 1, F.size(n["path"]) - 1), lambda a: F.col("dom")[a]["tag"] == "nav"))
-    return (d.select("page_id", "url", F.posexplode(F.transform(hrefs, lambda n: n["attrs"]["href"])).alias("pos", "href"))
+    return (d.select("page_id", "url", F.posexplode_outer(F.transform(hrefs, lambda n: n["attrs"]["href"])).alias("pos", "href"))
+            .filter(F.col("pos").isNotNull())
             .select("page_id", "pos", "href", resolve_href(F.col("url"), F.col("href")).alias("resolved")))
 
 
