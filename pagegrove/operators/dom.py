@@ -23,7 +23,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagegrove.functions.text import PY_STRIP
+from pagegrove.functions.text import PY_STRIP, let
 from pagegrove.operators import htmltree
 from pagegrove.operators.htmltree import parse_html  # noqa: F401  (re-export)
 from pagegrove.schemas import DOM
@@ -89,8 +89,8 @@ def main_content(dom) -> Column:
 
 def descendant_strings(dom, anc: Column) -> Column:
     """Text strings below ``anc`` in document order."""
-    return F.transform(F.filter(_d(dom), lambda n: is_desc(n, anc) & (n["tag"] == "#text")),
-                       lambda n: n["text"])
+    return let(anc, lambda a: F.transform(
+        F.filter(_d(dom), lambda n: is_desc(n, a) & (n["tag"] == "#text")), lambda n: n["text"]))
 
 
 def element_text(dom, anc: Column, strip: bool = True, sep: str = "") -> Column:
@@ -109,12 +109,12 @@ def element_string(dom, anc: Column) -> Column:
     string), else null.  In pre-order the descendants form a chain exactly
     when the last one sits ``count`` levels below ``anc``; works on a
     filtered tree too."""
-    desc = F.filter(_d(dom), lambda n: is_desc(n, anc))
-    last = F.try_element_at(desc, F.lit(-1))
-    chain = ((F.size(desc) >= 1)
-             & ((last["depth"] - anc["depth"]) == F.size(desc))
-             & last["tag"].startswith("#"))
-    return F.when(chain, last["text"])
+    def body(a):
+        desc = F.filter(_d(dom), lambda n: is_desc(n, a))
+        return let(F.struct(F.size(desc).alias("k"), F.try_element_at(desc, F.lit(-1)).alias("last")),
+                   lambda v: F.when((v["k"] >= 1) & ((v["last"]["depth"] - a["depth"]) == v["k"])
+                                    & v["last"]["tag"].startswith("#"), v["last"]["text"]))
+    return let(anc, body)
 
 
 def meta_content(dom, key: str, value: str) -> Column:

@@ -102,14 +102,16 @@ def nav_page_columns(pages_dom: DataFrame, root_selector: str,
                 | (fl["shopify"] & shopify_root(n)))
 
     def submenu(li_id):
-        li = d[li_id]
-        inside = _subtree(d, li_id, li["end_id"])
-        child_ul = F.try_element_at(F.filter(inside, lambda m: (m["parent_id"] == li_id) & (m["tag"] == "ul")), F.lit(1))
-        fallback = F.lit(None).cast("int")
-        for flag, sel in reversed(SUBMENU_FALLBACKS):
-            hit = F.try_element_at(F.filter(inside, compile_selector(sel, d)), F.lit(1))["node_id"]
-            fallback = F.when(fl[flag], hit).otherwise(fallback)
-        return F.when(li_id.isNotNull(), F.coalesce(child_ul["node_id"], fallback))
+        def body(li_id):
+            inside = _subtree(d, li_id, d[li_id]["end_id"])
+            child_ul = F.try_element_at(F.filter(inside, lambda m: (m["parent_id"] == li_id) & (m["tag"] == "ul")),
+                                        F.lit(1))
+            fallback = F.lit(None).cast("int")
+            for flag, sel in reversed(SUBMENU_FALLBACKS):
+                hit = F.try_element_at(F.filter(inside, compile_selector(sel, d)), F.lit(1))["node_id"]
+                fallback = F.when(fl[flag], hit).otherwise(fallback)
+            return F.when(li_id.isNotNull(), F.coalesce(child_ul["node_id"], fallback))
+        return let(li_id, body)
 
     def link_struct(n):
         text = F.array_join(F.transform(
