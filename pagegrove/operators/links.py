@@ -45,7 +45,10 @@ def link_candidates(df: DataFrame, doc_col: str = "doc_id", text_col: str = "tex
     raw_m = _rx_all(t, RAW_LINK, 0)
     raw = _pairs(PATTERN_RAW, raw_m, raw_m)
     html = _pairs(PATTERN_HTML, _rx_all(t, HTML_LINK, 1), _rx_all(t, HTML_LINK, 2))
-    return (df.select(F.col(doc_col).alias("doc_id"), F.explode(F.concat(md, raw, html)).alias("m"))
+    # explode_outer + null filter: a plain explode lets the optimizer infer
+    # size(...) > 0 and evaluate the three regex scans twice
+    return (df.select(F.col(doc_col).alias("doc_id"), F.explode_outer(F.concat(md, raw, html)).alias("m"))
+            .filter(F.col("m").isNotNull())
             .select("doc_id", "m.pattern", "m.pos", "m.a", "m.b"))
 
 

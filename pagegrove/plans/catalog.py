@@ -673,3 +673,20 @@ def q_stream_first_seen_urls(spark, sf):
     """First-seen URL dedupe across micro-batches."""
     s = X.read_page_stream(spark, sf, max_files_per_trigger=1).select("url")
     return X.run_to_table(spark, X.first_seen_urls(s), "first_seen_urls")
+
+
+@query("nav_filtered", SQL_SITE + "SELECT page_id, pos, depth, title, url FROM nl")
+def q_nav_filtered(spark, sf):
+    """Surviving navigation rows (failing nodes dropped with their
+    subtrees), in pre-order."""
+    return R.nav_links(nav_pages(spark, sf)).select("page_id", "pos", "depth", "title", "url")
+
+
+@query("nav_tree_lines", SQL_SITE + f"""
+SELECT page_id, pos AS line_no, repeat('  ', depth) || '- [' || title || '](' || url || ')' AS line FROM nl""")
+def q_nav_tree_lines(spark, sf):
+    """T5 exploded: one rendered Markdown line per surviving node."""
+    n = nav_pages(spark, sf)
+    lines = F.split(F.regexp_replace(F.col("nav_md"), "\n$", ""), "\n")
+    return (n.select("page_id", F.posexplode_outer(F.when(F.col("nav_md") != "", lines)).alias("line_no", "line"))
+            .filter(F.col("line").isNotNull()))
