@@ -20,7 +20,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pagegrove.plans.catalog import REGISTRY  # noqa: E402
 from pagegrove.session import get_spark  # noqa: E402
 
-HEADLINE = ["links_unique", "links_rendered", "page_markdown", "homepage_info", "llms_txt",
+HEADLINE = ["links_unique", "links_rendered", "page_markdown", "homepage_info", "llms_txt", "nav_filtered",
             "nav_markdown", "markdown_file_set", "site_nav", "site_top_links", "llms_full"]
 
 

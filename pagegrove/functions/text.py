@@ -81,3 +81,18 @@ def let(value: Column, body) -> Column:
     value).  Without it, a sub-expression used n times is copied n times into
     the tree -- and evaluated n times inside higher-order functions."""
     return F.transform(F.array(value), body)[0]
+
+
+_EXPR_CACHE: dict = {}
+
+
+def cached_expr(key, build):
+    """Build a (large) Column expression once per SparkContext and reuse it.
+    Column expressions are unresolved and refer to columns by name, so the
+    same object can be applied to any DataFrame with those columns; building
+    the navigation expressions costs thousands of driver-JVM calls."""
+    from pyspark import SparkContext
+    k = (id(SparkContext._active_spark_context), key)
+    if k not in _EXPR_CACHE:
+        _EXPR_CACHE[k] = build()
+    return _EXPR_CACHE[k]

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagegrove.functions.text import sanitize_filename
+from pagegrove.functions.text import cached_expr, sanitize_filename
 from pagegrove.operators.dom import (element_string, element_text, first_node, is_desc,
                                      main_content, materialize, meta_content, strip_boilerplate)
 
@@ -69,7 +69,7 @@ def page_markdown(pages_dom: DataFrame, mode: str = "compat",
     if mode not in ("compat", "fixed"):
         raise ValueError("mode must be 'compat' or 'fixed'")
     pages_dom = with_main(pages_dom)
-    content, has_main = _markdown_body(F.col("dom"), mode)
+    content, has_main = cached_expr(("markdown_body", mode), lambda: _markdown_body(F.col("dom"), mode))
     missing = F.col("dom").isNull()
     ok = ~missing & has_main
     message = F.when(missing, F.lit(MISSING_PAGE_MESSAGE)).otherwise(F.lit(NO_MAIN_MESSAGE))

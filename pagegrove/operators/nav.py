@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagegrove.functions.text import js_trim, let, sanitize_text
+from pagegrove.functions.text import cached_expr, js_trim, let, sanitize_text
 from pagegrove.functions.urls import py_urljoin_abs, resolve_href, url_parts
 from pagegrove.operators.dom import first_node, materialize
 from pagegrove.operators.selectors import compile_selector, detect_site_type
@@ -80,6 +80,16 @@ def nav_page_columns(pages_dom: DataFrame, root_selector: str,
     if mode not in ("compat", "tree"):
         raise ValueError("mode must be 'compat' or 'tree'")
     check_params("-", root_selector)
+    e = cached_expr(("nav_columns", root_selector, context_selector, mode),
+                    lambda: _nav_column_exprs(root_selector, context_selector, mode))
+    stage1 = pages_dom.select("*", e["flags"].alias("flags"), e["base_url"].alias("base_url"))
+    stage2 = stage1.select("*", e["roots"].alias("roots"), e["links0"].alias("links0"))
+    stage3 = stage2.select("*", e["links1"].alias("links1"), e["n_menus"].alias("n_menus"))
+    return stage3.select(*[c for c in stage3.columns if c not in ("links0", "links1")],
+                         e["links"].alias("links"))
+
+
+def _nav_column_exprs(root_selector: str, context_selector: str | None, mode: str) -> dict:
     d = F.col("dom")
     ctx = context_selector if context_selector and context_selector.strip() else DEFAULT_CONTEXT_SELECTOR
 
@@ -93,8 +103,7 @@ def nav_page_columns(pages_dom: DataFrame, root_selector: str,
     base_el = first_node(d, lambda n: (n["tag"] == "base") & F.map_contains_key(n["attrs"], "href"))
     base = F.coalesce(resolve_href(F.col("url"), base_el["attrs"]["href"]), F.col("url"))
 
-    stage1 = pages_dom.select(
-        "*", materialize(flags).alias("flags"), materialize(base).alias("base_url"))
+    out = {"flags": materialize(flags), "base_url": materialize(base)}
     fl = F.col("flags")
 
     def is_root(n):
@@ -128,10 +137,8 @@ def nav_page_columns(pages_dom: DataFrame, root_selector: str,
         return F.struct(n["node_id"].alias("id"), F.coalesce(*title_parts).alias("title"),
                         url.alias("url"), submenu(li_id).alias("sub"))
 
-    stage2 = stage1.select(
-        "*",
-        materialize(F.transform(F.filter(d, is_root), lambda n: n["node_id"])).alias("roots"),
-        materialize(F.transform(F.filter(d, clickable), link_struct)).alias("links0"))
+    out["roots"] = materialize(F.transform(F.filter(d, is_root), lambda n: n["node_id"]))
+    out["links0"] = materialize(F.transform(F.filter(d, clickable), link_struct))
 
     lk = F.col("links0")
     menu_ids = F.array_distinct(F.concat(F.col("roots"), F.filter(F.transform(lk, lambda l: l["sub"]),
@@ -145,7 +152,8 @@ def nav_page_columns(pages_dom: DataFrame, root_selector: str,
         with_menu = F.transform(lk, lambda l: l.withField("menu_of", menu_of(l)))
     else:
         with_menu = F.transform(lk, lambda l: l.withField("menu_of", F.lit(None).cast("int")))
-    stage3 = stage2.select("*", materialize(with_menu).alias("links1"), F.size(menu_ids).alias("n_menus"))
+    out["links1"] = materialize(with_menu)
+    out["n_menus"] = F.size(menu_ids)
 
     l1 = F.col("links1")
 
@@ -155,12 +163,18 @@ def nav_page_columns(pages_dom: DataFrame, root_selector: str,
 
     links = F.transform(l1, lambda l: l.withField(
         "nkids", F.when(l["sub"].isNull(), F.lit(0)).otherwise(F.size(F.filter(l1, lambda k: in_menu(k, l["sub"]))))))
-    return stage3.select(*[c for c in stage3.columns if c not in ("links0", "links1")],
-                         materialize(links).alias("links"))
+    out["links"] = materialize(links)
+    return out
 
 
 def expand_nav(nav_pages: DataFrame, mode: str = "compat") -> DataFrame:
     """``rows`` = the expanded tree (unordered), ``cyclic`` flag."""
+    e = cached_expr(("nav_expand", mode), lambda: _expand_exprs(mode))
+    staged = nav_pages.select("*", e["rows"].alias("rows"))
+    return staged.select("*", e["cyclic"].alias("cyclic"))
+
+
+def _expand_exprs(mode: str) -> dict:
     d = F.col("dom")
     lk = F.col("links")
 
@@ -189,9 +203,8 @@ def expand_nav(nav_pages: DataFrame, mode: str = "compat") -> DataFrame:
         return F.concat(acc, nxt)
 
     rows = F.aggregate(F.sequence(F.lit(1), F.greatest(F.col("n_menus"), F.lit(1))), level0, grow)
-    staged = nav_pages.select("*", materialize(rows).alias("rows"))
     cyclic = F.exists(F.col("rows"), lambda f: f["sub"].isNotNull() & F.array_contains(f["menus"], f["sub"]))
-    return staged.select("*", (cyclic if mode == "compat" else F.lit(False)).alias("cyclic"))
+    return {"rows": materialize(rows), "cyclic": cyclic if mode == "compat" else F.lit(False)}
 
 
 def _row_ok(r: Column, top: Column, page_url: Column) -> Column:
@@ -223,6 +236,15 @@ def render_nav(expanded: DataFrame) -> DataFrame:
     """N7 + T1-T5: walk the rows in pre-order, dropping failing nodes with
     their subtrees; ``kept`` holds the surviving rows (with their line),
     ``nav_md`` the rendered tree, ``status`` ok / no_nav / cyclic_nav."""
+    e = cached_expr(("nav_render",), _render_exprs)
+    stage = expanded.select("*", e["_top"].alias("_top"))
+    stage = stage.select("*", e["_prep"].alias("_prep"))
+    stage = stage.select("*", e["marked"].alias("marked"))
+    stage = stage.select("*", e["kept"].alias("kept"))
+    return stage.select("*", e["nav_md"].alias("nav_md"), e["status"].alias("status"))
+
+
+def _render_exprs() -> dict:
     rows = F.col("rows")
     top = F.col("_top")
     page_url = F.col("url")
@@ -233,9 +255,6 @@ def render_nav(expanded: DataFrame) -> DataFrame:
     marked = F.array_sort(F.transform(F.col("_prep"), lambda r: F.struct(
         r["path"].alias("path"), r["depth"].alias("depth"), r["title_s"].alias("title"), r["url"].alias("url"),
         r["full"].alias("full"), _row_ok(r, top, page_url).alias("ok"))))
-    stage = expanded.select("*", materialize(F.filter(rows, lambda r: r["depth"] == 0)).alias("_top"))
-    stage = stage.select("*", materialize(prepared).alias("_prep"))
-    stage = stage.select("*", materialize(marked).alias("marked"))
 
     init = F.struct(F.array().cast("array<struct<path:array<int>,depth:int,title:string,url:string,full:string>>").alias("kept"),
                     F.lit(None).cast("int").alias("drop"))
@@ -250,12 +269,13 @@ def render_nav(expanded: DataFrame) -> DataFrame:
 
     kept = F.aggregate(F.col("marked"), init, walk)["kept"]
     kept = F.when(F.col("cyclic"), F.slice(kept, 1, 0)).otherwise(kept)
-    stage = stage.select("*", materialize(kept).alias("kept"))
     lines = F.transform(F.col("kept"), _row_line)
     status = (F.when(F.col("cyclic"), F.lit("cyclic_nav"))
               .when(F.size(F.col("rows")) == 0, F.lit("no_nav"))
               .otherwise(F.lit("ok")))
-    return stage.select("*", F.array_join(lines, "").alias("nav_md"), status.alias("status"))
+    return {"_top": materialize(F.filter(rows, lambda r: r["depth"] == 0)), "_prep": materialize(prepared),
+            "marked": materialize(marked), "kept": materialize(kept),
+            "nav_md": F.array_join(lines, ""), "status": status}
 
 
 def nav_tree(pages_dom: DataFrame, root_selector: str, context_selector: str | None = None,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagegrove.functions.text import py_strip, sanitize_text
+from pagegrove.functions.text import cached_expr, py_strip, sanitize_text
 from pagegrove.operators.dom import element_string, element_text, first_node, meta_content
 
 # --- Fixed values -----------------------------------------------------------
@@ -39,8 +39,9 @@ def page_description(dom="dom") -> Column:
 def site_info(pages_dom: DataFrame) -> DataFrame:
     """``(page_id, url, title, description)``; H3: a page without a tree
     (missing HTML) gets both defaults."""
+    t, d = cached_expr(("site_info",), lambda: (page_title("dom"), page_description("dom")))
     return pages_dom.select(
         "page_id", "url",
-        F.when(F.col("dom").isNull(), F.lit(NO_TITLE)).otherwise(page_title("dom")).alias("title"),
-        F.when(F.col("dom").isNull(), F.lit(NO_DESCRIPTION)).otherwise(page_description("dom")).alias("description"),
+        F.when(F.col("dom").isNull(), F.lit(NO_TITLE)).otherwise(t).alias("title"),
+        F.when(F.col("dom").isNull(), F.lit(NO_DESCRIPTION)).otherwise(d).alias("description"),
     )

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagegrove.functions.text import sanitize_filename, sanitize_text
+from pagegrove.functions.text import cached_expr, sanitize_filename, sanitize_text
 from pagegrove.functions.urls import URL_RE, resolve_href, url_host, url_parts
 from pagegrove.operators import links as L
 from pagegrove.operators.dom import main_content, strip_boilerplate, with_dom
@@ -78,10 +78,11 @@ def llms(spark, sf) -> DataFrame:
     """The tree and the homepage info come from the same parsed page,
     so the reference's join on the homepage is a projection of one row."""
     nav = nav_pages(spark, sf)
+    doc = cached_expr(("llms_document",), lambda: llms_document(
+        page_title("dom"), page_description("dom"), F.col("nav_md"), F.col("status")))
     return nav.select(
         "page_id", url_host(F.col("url")).alias("site"), F.col("url").alias("homepage_url"),
-        llms_document(page_title("dom"), page_description("dom"), F.col("nav_md"), F.col("status")).alias("content"),
-        "status")
+        doc.alias("content"), "status")
 
 
 # ---------------------------------------------------------------------------

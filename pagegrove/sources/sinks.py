@@ -8,12 +8,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagegrove.operators.dom import materialize
+
 
 def exportable_llms(df: DataFrame) -> DataFrame:
     """K1 guard: content must be non-empty and must not contain ``Error``
     anywhere (which also suppresses legitimate text such as 'Error codes')."""
     c = F.col("content")
-    return df.filter(c.isNotNull() & (c != "") & ~c.contains("Error"))
+    ok = c.isNotNull() & (c != "") & ~c.contains("Error")
+    # evaluated as a staged column: a plain filter would be pushed below the
+    # projection that builds ``content`` and rebuild it inside the predicate
+    return df.select("*", materialize(ok).alias("_export")).filter("_export").drop("_export")
 
 
 def write_llms_txt(df: DataFrame, path: str) -> None:

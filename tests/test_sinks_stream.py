@@ -33,7 +33,8 @@ def test_stream_equals_batch(spark):
     folder = tempfile.mkdtemp(prefix="pagegrove-stream-")
     df = pages_df(spark, ["<body><p>a</p></body>", "<body><article><h1>H</h1><p>b</p></article></body>"],
                   url=["https://x.com/a", "https://x.com/b"])
-    df.write.mode("overwrite").parquet(os.path.join(folder, "pages.parquet"))
-    streamed = X.run_to_table(spark, X.stream_page_markdown(X.read_page_stream(spark, folder)), "t")
+    df.write.mode("overwrite").parquet(os.path.join(folder, "in"))
+    stream = X.read_page_stream(spark, os.path.join(folder, "in"), file_glob="*.parquet")
+    streamed = X.run_to_table(spark, X.stream_page_markdown(stream), "t")
     batch = page_markdown(with_dom(df))
     assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, batch.collect()))
