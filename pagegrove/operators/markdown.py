@@ -108,3 +108,24 @@ def markdown_bundle(files: DataFrame, group_col: str = "request_id", order_col:
     return (files.groupBy(group_col)
             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("k"), block.alias("b")))),
                                           lambda x: x["b"]), "\n").alias("bundle")))
+
+
+def markdown_for_requests(requests: DataFrame, pages: DataFrame) -> DataFrame:
+    """S4 + P1-P3 for request rows ``(request_id, line_no, url)``: every
+    distinct requested URL is parsed once (a page requested by a million
+    lists is converted once), then the files are joined back to the request
+    rows; a URL absent from ``pages`` becomes an error document."""
+    from pagegrove.operators.dom import with_dom
+    from pagegrove.sources.pages import spread
+    wanted = requests.select("url").distinct()
+    hits = pages.join(wanted, "url", "left_semi")
+    files = page_markdown(with_dom(spread(hits.select("page_id", "url", "html"))))
+    j = requests.join(files, "url", "left")
+    missing = F.col("page_id").isNull()
+    return j.select(
+        "request_id", "line_no", "url", "page_id",
+        F.when(missing, sanitize_filename(F.concat(F.col("url"), F.lit("_error"))))
+         .otherwise(F.col("filename")).alias("filename"),
+        F.when(missing, F.concat(F.lit("Error processing "), F.col("url"), F.lit(": "), F.lit(MISSING_PAGE_MESSAGE)))
+         .otherwise(F.col("content")).alias("content"),
+        F.when(missing, F.lit("error")).otherwise(F.col("status")).alias("status"))

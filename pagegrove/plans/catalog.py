@@ -22,7 +22,7 @@ from pagegrove.functions.urls import URL_RE, resolve_href, url_host, url_parts
 from pagegrove.operators import links as L
 from pagegrove.operators.dom import main_content, strip_boilerplate, with_dom
 from pagegrove.operators.markdown import (file_set, filename_collisions, markdown_bundle,
-                                          page_markdown)
+                                          markdown_for_requests, page_markdown)
 from pagegrove.operators.nav import NO_NAV_MESSAGE, STOP_TITLES, llms_document, nav_tree
 from pagegrove.operators.selectors import detect_site_type, matches
 from pagegrove.operators.siteinfo import page_description, page_title, site_info
@@ -64,10 +64,7 @@ def nav_pages(spark, sf, mode="compat") -> DataFrame:
 def request_files(spark, sf) -> DataFrame:
     """S2 -> S4 -> D1 -> P1-P3: one Markdown file per requested URL."""
     p = pages(spark, sf)
-    reqs = parse_url_list(I.url_requests(p))
-    resolved = resolve_pages(reqs, p.select("url", "page_id", "html"))
-    return page_markdown(with_dom(spread(resolved)),
-                         keys=("request_id", "line_no", "url", "page_id"))
+    return markdown_for_requests(parse_url_list(I.url_requests(p)), p)
 
 
 def link_candidates(spark, sf) -> DataFrame:

@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagegrove.operators.dom import materialize
+from pagegrove.operators.dom import htmltree  # noqa: F401  (registers by-value pickling)
+from pagegrove.operators.htmltree import identity_batches
+
 
 
 def exportable_llms(df: DataFrame) -> DataFrame:
@@ -16,9 +18,14 @@ def exportable_llms(df: DataFrame) -> DataFrame:
     anywhere (which also suppresses legitimate text such as 'Error codes')."""
     c = F.col("content")
     ok = c.isNotNull() & (c != "") & ~c.contains("Error")
-    # evaluated as a staged column: a plain filter would be pushed below the
-    # projection that builds ``content`` and rebuild it inside the predicate
-    return df.select("*", materialize(ok).alias("_export")).filter("_export").drop("_export")
+    flagged = df.select("*", ok.alias("_export"))
+    # The predicate must run on the finished rows: pushed down, it would be
+    # rebuilt from the whole per-page pipeline below the parse.  A narrow
+    # identity Arrow pass over the (small) output rows is a barrier the
+    # optimizer does not push filters through.
+    barrier = flagged.mapInArrow(identity_batches, flagged.schema)
+    return barrier.filter("_export").drop("_export")
+
 
 
 def write_llms_txt(df: DataFrame, path: str) -> None:
