@@ -124,12 +124,13 @@ def meta_content(dom, key: str, value: str) -> Column:
 
 
 def materialize(col: Column) -> Column:
-    """Compute a per-page value once per row.
-
-    Catalyst's project collapsing inlines a column into a consumer that
-    references it once -- also when that reference sits inside a per-element
-    lambda, which would re-evaluate (say) a whole-array filter for every
-    element.  A non-deterministic guard (always true) keeps the value in its
-    own projection, evaluated once per row.
+    """Marks a per-page value computed in its own projection stage.
+
+    Catalyst collapses a projection into its consumer only when the column
+    is used once (or is cheap); staged columns here are consumed several
+    times, so they stay evaluated once per row.  Values needed *inside* a
+    per-element lambda are additionally bound with ``let``, which is what
+    keeps those evaluations linear.  (A non-deterministic guard was tried
+    here; the optimizer folds it away, so this is a plain marker.)
     """
-    return F.when(F.rand(0) >= F.lit(0.0), col)
+    return col
