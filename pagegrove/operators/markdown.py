@@ -101,11 +101,17 @@ def filename_collisions(files: DataFrame) -> DataFrame:
     return files.join(counts, "filename", "inner")
 
 
-def markdown_bundle(files: DataFrame, group_col: str = "request_id", order_col: str = "line_no") -> DataFrame:
+def markdown_bundle(files: DataFrame, group_col: str = "request_id", order_col: str = "line_no",
+                    chunk_lines: int = 1000) -> DataFrame:
     """K3: preview text per request list: every file (collisions included) as
-    ``File: <name>\\n<content>\\n---\\n``, joined by newline in request order."""
+    ``File: <name>``, newline, content, newline, ``---``, newline; blocks
+    joined by newline in request order.  Emitted as ``(request_id, chunk,
+    bundle)`` with at most ``chunk_lines`` request lines per chunk, so a huge
+    list never becomes one string in one task; the chunks in order,
+    newline-joined, give the full preview."""
     block = F.concat(F.lit("File: "), F.col("filename"), F.lit("\n"), F.col("content"), F.lit("\n---\n"))
-    return (files.groupBy(group_col)
+    chunk = F.floor(F.col(order_col) / chunk_lines).cast("long").alias("chunk")
+    return (files.groupBy(F.col(group_col), chunk)
             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("k"), block.alias("b")))),
                                           lambda x: x["b"]), "\n").alias("bundle")))
 

@@ -369,8 +369,9 @@ def q_markdown_file_set(spark, sf):
          CASE WHEN m.page_id IS NULL THEN {S.sanitize_filename("r.url || '_error'")} ELSE {S.sanitize_filename('r.url')} END AS filename,
          CASE WHEN m.page_id IS NULL THEN 'Error processing ' || r.url || ': page not found' ELSE m.content END AS content
   FROM reqs r LEFT JOIN md m ON m.url = r.url)
-SELECT request_id, string_agg('File: ' || filename || {NL} || content || {NL} || '---' || {NL}, {NL} ORDER BY line_no) AS bundle
-FROM files GROUP BY request_id""")
+SELECT request_id, CAST(line_no // 1000 AS BIGINT) AS chunk,
+       string_agg('File: ' || filename || {NL} || content || {NL} || '---' || {NL}, {NL} ORDER BY line_no) AS bundle
+FROM files GROUP BY 1, 2""")
 def q_markdown_bundle(spark, sf):
     """K3: preview text per request list."""
     return markdown_bundle(request_files(spark, sf))
