@@ -104,17 +104,23 @@ def llms_full(files: DataFrame, chunk_pages: int = 1000) -> DataFrame:
     """Whole-site text: every page's Markdown per site in page order, as
     ``(site, chunk, content)`` rows; chunk ``c`` holds the pages with
     ``page_id div chunk_pages = c``, so each string is bounded."""
-    f = files.select(url_host(F.col("url")).alias("site"), "page_id", "content",
+    # error pages are skipped inside the aggregate, not by a filter before
+    # it: a filter on the derived ``status`` would be pushed below the parse
+    # and re-run the whole per-page pipeline
+    ok = (F.col("status") == "ok") if "status" in files.columns else F.lit(True)
+    f = files.select(url_host(F.col("url")).alias("site"), "page_id", "content", ok.alias("ok"),
                      F.floor(F.col("page_id") / chunk_pages).cast("long").alias("chunk"))
     return (f.groupBy("site", "chunk")
-            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "content"))),
-                                          lambda x: x["content"]), PAGE_SEPARATOR).alias("content"),
-                 F.count(F.lit(1)).alias("n_pages")))
+            .agg(F.array_join(F.transform(
+                    F.array_sort(F.collect_list(F.when(F.col("ok"), F.struct("page_id", "content")))),
+                    lambda x: x["content"]), PAGE_SEPARATOR).alias("content"),
+                 F.count(F.when(F.col("ok"), F.lit(1))).alias("n_pages"))
+            .filter(F.col("n_pages") > 0))
 
 
 def link_details(site_links: DataFrame, files: DataFrame) -> DataFrame:
     """Cross-reference each link to the Markdown file of its page."""
-    f = files.filter(F.col("status") == "ok").select("url", "filename")
+    f = files.select("url", F.when(F.col("status") == "ok", F.col("filename")).alias("filename"))
     j = site_links.join(f, "url", "left")
     return j.select("site", "url", "title",
                     F.when(F.col("filename").isNotNull(),
@@ -124,7 +130,7 @@ def link_details(site_links: DataFrame, files: DataFrame) -> DataFrame:
 
 def link_metadata(site_links: DataFrame, files: DataFrame) -> DataFrame:
     """Content size of the linked page's Markdown (null when unknown)."""
-    f = files.filter(F.col("status") == "ok").select("url", F.length("content").alias("md_chars"))
+    f = files.select("url", F.when(F.col("status") == "ok", F.length("content")).alias("md_chars"))
     return site_links.join(f, "url", "left").select("site", "url", "title", "md_chars")
 
 

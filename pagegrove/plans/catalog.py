@@ -617,7 +617,7 @@ SELECT {S.host('url')} AS site, CAST(page_id // 1000 AS BIGINT) AS chunk,
 FROM md GROUP BY 1, 2""")
 def q_llms_full(spark, sf):
     """Whole-site text in bounded, ordered chunks."""
-    return R.llms_full(page_markdown(pages_dom(spark, sf)).filter("status = 'ok'"))
+    return R.llms_full(page_markdown(pages_dom(spark, sf)))
 
 
 @query("link_details", SQL_SITE + f"""
