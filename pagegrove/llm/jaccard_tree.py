@@ -20,11 +20,15 @@ How a block is joined
     nodes already lie in one component, or if the largest possible overlap
     ``min(excess) + popcount(A & B)`` is too small for the least sizes.
     Leaf pairs that remain are compared exactly on their whole sets.
-Two waves
-    Wave 1 offers every class at most one partner of each of three kinds
-    from its blocks; the verified links give components.  Wave 2 traverses
-    the trees of all blocks that still touch two components.  Pairs inside
-    one component need no test, since only components are asked for.
+Waves
+    Large groups of near copies are joined up before they are searched.
+    First every class is offered at most one partner of each of three kinds
+    from its blocks.  Then, in the trees of blocks that still touch two
+    components, each leaf is offered the sibling of another component that
+    shares most bits, at most ``OFFERS`` for a class.  Verified links give
+    components after each wave.  At last the dual traversal searches all
+    blocks that still touch two components, for all pairs of nodes.  Pairs
+    inside one component need no test, since only components are asked for.
 
 Input ``(id, text)``; other columns are ignored.  Result: one row per input
 row with ``n_shingles`` (0 for null, empty or blank texts), ``component``
@@ -56,6 +60,8 @@ FILTER_BITS = 24
 #: Rows of one block handled by one tree; the salt of a frequent shingle follows from it.
 BLOCK_ROWS = 100_000
 PAIR_RUN = 32
+#: Bits of a bitmap for each token, at least; leaves that are compared as siblings; waves of sibling offers.
+TOKEN_BITS, SIBLINGS, SIBLING_WAVES, OFFERS = 8, 64, 2, 4
 
 
 # ---- sets ----------------------------------------------------------------
@@ -262,7 +268,7 @@ def _tokens(width: int, wanted):
 def _signed(batches):
     for b in batches:
         toks = [np.frombuffer(x, np.uint64) for x in b.column("toks").to_pylist()]
-        sig = [signature(t, min(1 << 16, max(64, 1 << int(len(t) - 1).bit_length()))).tobytes() for t in toks]
+        sig = [signature(t, min(1 << 19, max(64, 1 << int(TOKEN_BITS * len(t) - 1).bit_length()))).tobytes() for t in toks]
         yield pa.RecordBatch.from_arrays([b.column("cid"), pa.array(sig, pa.binary())], ["cid", "sig"])
 
 
@@ -331,25 +337,53 @@ def tree_pairs(n, comp, sig, num: int, den: int, fan: int = 8):
     return a, b
 
 
+def width_groups(n, sigs):
+    """Members of neighbouring bitmap widths, their bitmaps folded to the narrower one, and which own that width."""
+    width = np.array([len(x) for x in sigs])
+    for w in np.unique(width):
+        pick = np.flatnonzero((width == w) | (width == 2 * w))
+        if len(pick) > 1:
+            yield pick, np.stack([fold(sigs[i], w) for i in pick]), width[pick] == w
+
+
 def block_pairs(cid, n, comp, sigs, num: int, den: int):
-    """Candidate pairs of one block: a tree for each pair of neighbouring bitmap widths."""
+    """Candidate pairs of one block by the dual traversal of a tree for each pair of neighbouring widths."""
     order = np.lexsort((cid, n))
     cid, n, comp, sigs = cid[order], n[order], comp[order], [sigs[i] for i in order]
-    width = np.array([len(s) for s in sigs])
-    out = []
-    for w in np.unique(width):
-        pick = np.flatnonzero((width == w) | (width == 2 * w))
-        own = width[pick] == w
-        if len(pick) < 2:
-            continue
-        bits = np.stack([fold(sigs[i], w) for i in pick])
+    out = [np.zeros((2, 0), np.int64)]
+    for pick, bits, own in width_groups(n, sigs):
         a, b = tree_pairs(n[pick], comp[pick], bits, num, den)
         near = own[a] | own[b]  # two of the wider ones meet in their own tree
         out.append(np.stack([cid[pick[a[near]]], cid[pick[b[near]]]]))
-    return np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+    return np.concatenate(out, axis=1)
+
 
+def sibling_offers(key: int, cid, n, comp, sigs, num: int, den: int):
+    """For each leaf the sibling of another component that shares most bits, ``(leaf, sibling, bits)``.
 
-def _traverse(num: int, den: int):
+    Leaves are put in order by one word of their bitmaps, another one for
+    each block, so that similar leaves meet often in one of their blocks.
+    """
+    out = [np.zeros((3, 0), np.int64)]
+    for pick, bits, _own in width_groups(n, sigs):
+        order = np.lexsort((cid[pick], bits[:, key % bits.shape[1]]))
+        for s in range(0, len(order), SIBLINGS):
+            g = order[s:s + SIBLINGS]
+            i, c, m = pick[g], comp[pick[g]], n[pick[g]]
+            both = np.bitwise_count(bits[g][:, None, :] & bits[g][None, :, :]).sum(2, dtype=np.int64)
+            over = m - np.diag(both)
+            lo, hi = np.minimum(m[:, None], m[None, :]), np.maximum(m[:, None], m[None, :])
+            fit = (c[:, None] != c[None, :]) & (den * lo >= num * hi)
+            fit &= np.minimum(over[:, None], over[None, :]) + both >= _needed(m[:, None], m[None, :], num, den)
+            best = np.where(fit, both, -1)
+            j = best.argmax(1)
+            ok = best[np.arange(len(g)), j] >= 0
+            out.append(np.stack([cid[i[ok]], cid[i[j[ok]]], best[np.arange(len(g)), j][ok]]))
+    return np.concatenate(out, axis=1)
+
+
+def _traverse(num: int, den: int, siblings: bool):
+    """Rows ``(a, b, bits)`` of blocks: offers of siblings, or all pairs that the traversal leaves."""
     def run(batches):
         rows = [b.to_pandas() for b in batches]
         if not rows:
@@ -357,16 +391,19 @@ def _traverse(num: int, den: int):
         import pandas as pd
         t = pd.concat(rows, ignore_index=True)
         found = set()
-        for _k, g in t.groupby(["key", "i", "j"], sort=False):
+        for (key, _i, _j), g in t.groupby(["key", "i", "j"], sort=False):
             g = g.drop_duplicates("cid")
             if g["comp"].nunique() < 2:
                 continue
             sigs = [np.frombuffer(x, np.uint64) for x in g["sig"]]
-            x, y = block_pairs(g["cid"].to_numpy(), g["n"].to_numpy(), g["comp"].to_numpy(), sigs, num, den)
-            found.update(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), strict=True))
+            cols = (g["cid"].to_numpy(), g["n"].to_numpy(), g["comp"].to_numpy(), sigs, num, den)
+            if siblings:
+                found.update(zip(*sibling_offers(int(key), *cols).tolist(), strict=True))
+            else:
+                x, y = block_pairs(*cols)
+                found.update(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), [0] * len(x), strict=True))
         if found:
-            a, b = zip(*found, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b", "bits"])
     return run
 
 
@@ -380,7 +417,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     scan = stage(texts.mapInArrow(_scan(width), "id long, n long, cid long, part int, counts binary"), "jaccard-scan")
     sketch = sketch_of(scan.where("part is not null").select("part", "counts"))
-    rows = scan.where("part is null").select("id", "n", "cid")
+    ids = scan.where("part is null").select("id", "n", "cid")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(sketch.sum() * (den - num) / den // 1_000_000) + 1)
 
     small = sc.broadcast(sketch)
@@ -394,28 +431,44 @@ def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int
     pairs = first.select("cid", F.explode(F.array("m0", "m1", "m2")).alias("m")).where("cid != m")
     pairs = pairs.select(F.least("cid", "m").alias("a"), F.greatest("cid", "m").alias("b")).distinct()
     links = verified(pairs, sets, num, den, "jaccard-links")
-    comp = components(links, "jaccard-wave1")
-
-    joined = cand.select("key", "cid", "n", "salt").join(comp.withColumnRenamed("v", "cid"), "cid", "left")
-    joined = joined.select("key", "cid", "n", "salt", F.coalesce("root", "cid").alias("comp"))
-    open_keys = joined.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").select("key")
-    n_salts, own = F.shiftright("salt", 16), F.col("salt").bitwiseAND(0xFFFF)
-    left = joined.join(open_keys, "key").withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(n_salts - 1, F.lit(0)))))
-    left = left.select("key", "cid", "n", "comp", F.least(own, "o").alias("i"), F.greatest(own, "o").alias("j"))
-    signed = left.join(sets.select("cid", "toks").mapInArrow(_signed, "cid long, sig binary"), "cid")
-    more = signed.select("key", "i", "j", "cid", "n", "comp", "sig").repartition(parts, "key", "i", "j")
-    pairs2 = more.mapInArrow(_traverse(num, den), "a long, b long").distinct()
-    links2 = verified(pairs2, sets, num, den, "jaccard-links2")
-    every = links.union(links2)
-    label = components(every, "jaccard-wave2")
-
+    label = components(links, "jaccard-wave")
+    signs = sets.select("cid", "toks").mapInArrow(_signed, "cid long, sig binary")
+
+    def open_blocks(rows: DataFrame, comp: DataFrame) -> DataFrame:
+        """Rows of blocks that touch two components, and the component of each."""
+        joined = rows.select("key", "cid", "n", "salt").join(comp.withColumnRenamed("v", "cid"), "cid", "left")
+        joined = joined.select("key", "cid", "n", "salt", F.coalesce("root", "cid").alias("comp"))
+        keys = joined.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").select("key")
+        return stage(joined.join(keys, "key"), "jaccard-open")
+
+    def searched(rows: DataFrame, siblings: bool) -> DataFrame:
+        """Pairs from the trees of all blocks; the sub-blocks of a salted key meet pairwise."""
+        n_salts, own = F.shiftright("salt", 16), F.col("salt").bitwiseAND(0xFFFF)
+        others = F.sequence(F.lit(0).cast("long"), F.greatest(n_salts - 1, F.lit(0))) if not siblings else F.array(own)
+        rows = rows.withColumn("o", F.explode(others)).select("key", "cid", "n", "comp", F.least(own, "o").alias("i"), F.greatest(own, "o").alias("j"))
+        rows = rows.join(signs, "cid").select("key", "i", "j", "cid", "n", "comp", "sig").repartition(parts, "key", "i", "j")
+        return rows.mapInArrow(_traverse(num, den, siblings), "a long, b long, bits long")
+
+    rest = cand
+    for _ in range(SIBLING_WAVES):
+        rest = open_blocks(rest, label)
+        best = F.slice(F.sort_array(F.collect_set(F.struct("bits", "b")), asc=False), 1, OFFERS)
+        offers = searched(rest, True).groupBy("a").agg(best.alias("o")).select("a", F.explode("o").alias("o")).select("a", "o.b")
+        offers = offers.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        links = links.union(verified(offers, sets, num, den, "jaccard-links"))
+        label = components(links, "jaccard-wave")
+    pairs = searched(open_blocks(rest, label), False).select("a", "b").distinct()
+    every = links.union(verified(pairs, sets, num, den, "jaccard-links"))
+    label = components(every, "jaccard-wave")
+
+    every = every.distinct()
     ends = every.select(F.col("a").alias("cid")).union(every.select(F.col("b").alias("cid"))).groupBy("cid").agg(F.count(F.lit(1)).alias("n_links"))
-    classes = rows.where("cid is not null").groupBy("cid").agg(F.min("id").alias("least"))
+    classes = ids.where("cid is not null").groupBy("cid").agg(F.min("id").alias("least"))
     classes = stage(classes.join(label.withColumnRenamed("v", "cid"), "cid", "left").join(ends, "cid", "left")
                     .select("cid", "least", F.coalesce("root", "cid").alias("root"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")), "jaccard-classes")
     roots = classes.groupBy("root").agg(F.min("least").alias("component"))
     classes = classes.join(roots, "root").select("cid", "component", "n_links")
-    out = rows.join(classes, "cid", "left")
+    out = ids.join(classes, "cid", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
                       F.when(F.col("cid").isNull(), F.col("id")).otherwise(F.col("component")).alias("component"),
                       F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
