@@ -23,8 +23,8 @@ How a block is joined
 Waves
     Large groups of near copies are joined up before they are searched.
     First every class is offered at most one partner of each of three kinds
-    from its blocks.  Then, in the trees of blocks that still touch two
-    components, each leaf is offered the sibling of another component that
+    from its blocks.  Then, in the trees of the most frequent blocks of each
+    class that still touch two components, each leaf is offered the sibling of another component that
     shares most bits, at most ``OFFERS`` for a class.  Verified links give
     components after each wave.  At last the dual traversal searches all
     blocks that still touch two components, for all pairs of nodes.  Pairs
@@ -59,9 +59,10 @@ SKETCH_PART = 1 << 14
 FILTER_BITS = 24
 #: Rows of one block handled by one tree; the salt of a frequent shingle follows from it.
 BLOCK_ROWS = 100_000
-PAIR_RUN = 32
-#: Bits of a bitmap for each token, at least; leaves that are compared as siblings; waves of sibling offers.
-TOKEN_BITS, SIBLINGS, SIBLING_WAVES, OFFERS = 8, 64, 2, 4
+PAIR_RUN = 128
+#: Bits of a bitmap for each token, at least; leaves that are compared as siblings; blocks that a class seeks siblings in.
+TOKEN_BITS, SIBLINGS, SIBLING_BLOCKS, OFFERS = 4, 128, 4, 4
+SIBLING_WAVES = 1
 
 
 # ---- sets ----------------------------------------------------------------
@@ -216,9 +217,13 @@ def _blocks(num: int, den: int):
             lo, hi = np.minimum(n[m], n), np.maximum(n[m], n)
             good = (cid[m] != cid) & (den * lo >= num * hi) & (ok | rest)
             mate[k, good] = m[good]
-        stay = ok | (rest & (size[run_of] > 1)) | (salt >= 2 << 16)
+        # in a longer run: the least overlap that any partner of the run could ask for
+        code = run_of * (int(n.max()) + 2)
+        least_n = n[np.minimum(np.searchsorted(code + n, code - (-num * n // den)), len(n) - 1)]
+        ok |= rest & (pos <= n - _needed(n, np.minimum(least_n, n), num, den))
+        stay = ok | (salt >= 2 << 16)
         partner = np.where(mate >= 0, cid[np.maximum(mate, 0)], cid[None, :])  # itself: none
-        yield pa.RecordBatch.from_arrays([pa.array(x[stay]) for x in (key, cid, n, salt, *partner)], ["key", "cid", "n", "salt", "m0", "m1", "m2"])
+        yield pa.RecordBatch.from_arrays([pa.array(x[stay]) for x in (key, cid, n, pos, salt, *partner)], ["key", "cid", "n", "pos", "salt", "m0", "m1", "m2"])
     return run
 
 
@@ -302,23 +307,62 @@ def fold(sig: np.ndarray, words: int) -> np.ndarray:
     return np.bitwise_or.reduce(sig.reshape(-1, words), axis=0)
 
 
-def tree_pairs(n, comp, sig, num: int, den: int, fan: int = 8):
+def possible(n, pos, comp, num: int, den: int) -> np.ndarray:
+    """Rows of a block with a partner of another component that sizes and prefix positions allow; n ascending."""
+    out = np.zeros(len(n), bool)
+    last = np.searchsorted(n, den * n // num, side="right")
+    i = 0
+    while i < len(n):
+        j = min(len(n), i + max(1, 1_000_000 // max(1, int(last[i]) - i)))
+        top = int(last[j - 1])
+        a, b = np.arange(i, j)[:, None], np.arange(i, top)[None, :]
+        need = _needed(n[a], n[b], num, den)
+        fit = (b > a) & (den * n[a] >= num * n[b]) & (comp[a] != comp[b]) & (pos[a] <= n[a] - need) & (pos[b] <= n[b] - need)
+        out[i:j] |= fit.any(1)
+        out[i:top] |= fit.any(0)
+        i = j
+    return out
+
+
+def _open(num: int, den: int):
+    """Rows of blocks ``(key, i, j)`` that a pair of two components may need."""
+    names = ["key", "i", "j", "cid", "n", "pos", "comp"]
+
+    def run(batches):
+        cols = _gather(batches, names)
+        if not len(cols[0]):
+            return
+        order = np.lexsort([cols[k] for k in (3, 4, 2, 1, 0)])
+        cols = [c[order] for c in cols]
+        key, i, j, cid, n, pos, comp = cols
+        new = (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+        cut = np.concatenate(([0], np.flatnonzero(new) + 1, [len(key)]))
+        stay = np.zeros(len(key), bool)
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            stay[a:b] = possible(n[a:b], pos[a:b], comp[a:b], num, den)
+        yield pa.RecordBatch.from_arrays([pa.array(c[stay]) for c in cols], names)
+    return run
+
+
+def tree_pairs(n, pos, comp, sig, num: int, den: int, fan: int = 8):
     """Leaf pairs ``(i, j)`` that a dual traversal cannot rule out, in arrays.
 
-    n: sizes, ascending; comp: component of each leaf; sig: a row of bitmap
-    words for each leaf.
+    n: sizes; pos: the block's place in the prefix of each leaf, so that at
+    most ``n - pos`` shingles can be shared if it is the first one in common;
+    comp: component of each leaf; sig: a row of bitmap words for each leaf.
+    Similar sizes and equal components should lie together.
     """
-    levels = [(n, n, n - np.bitwise_count(sig).sum(1, dtype=np.int64), comp, sig)]
+    levels = [(n, n, n - np.bitwise_count(sig).sum(1, dtype=np.int64), n - pos, comp, sig)]
     while len(levels[-1][0]) > 1:
-        lo, hi, over, c, bits = levels[-1]
+        lo, hi, over, room, c, bits = levels[-1]
         at = np.arange(0, len(lo), fan)
         c0, c1 = np.minimum.reduceat(c, at), np.maximum.reduceat(c, at)
         mixed = (c0 != c1) | (np.minimum.reduceat(c, at) == np.iinfo(np.int64).min)
-        levels.append((np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.maximum.reduceat(over, at),
+        levels.append((np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.maximum.reduceat(over, at), np.maximum.reduceat(room, at),
                        np.where(mixed, np.iinfo(np.int64).min, c0), np.bitwise_or.reduceat(bits, at, axis=0)))
     a = b = np.zeros(1, np.int64)
     for depth in range(len(levels) - 1, -1, -1):
-        lo, hi, over, c, bits = levels[depth]
+        lo, hi, over, room, c, bits = levels[depth]
         if depth < len(levels) - 1:
             i, j = np.meshgrid(np.arange(fan), np.arange(fan), indexing="ij")
             a, b = (a[:, None] * fan + i.ravel()).ravel(), (b[:, None] * fan + j.ravel()).ravel()
@@ -326,13 +370,14 @@ def tree_pairs(n, comp, sig, num: int, den: int, fan: int = 8):
             a, b = a[inside], b[inside]
         if not depth:
             a, b = a[a < b], b[a < b]
+        least = _needed(lo[a], lo[b], num, den)
+        keep = (den * hi[a] >= num * lo[b]) & (den * hi[b] >= num * lo[a]) & (room[a] >= least) & (room[b] >= least)
+        keep &= (c[a] != c[b]) | (c[a] == np.iinfo(np.int64).min)
+        a, b, least = a[keep], b[keep], least[keep]
         keep = np.zeros(len(a), bool)
         for s in range(0, len(a), 65_536):  # bounded memory whatever the number of node pairs
             x, y = a[s:s + 65_536], b[s:s + 65_536]
-            most = np.minimum(over[x], over[y]) + np.bitwise_count(bits[x] & bits[y]).sum(1, dtype=np.int64)
-            least = _needed(lo[x], lo[y], num, den)
-            apart = (c[x] != c[y]) | (c[x] == np.iinfo(np.int64).min)
-            keep[s:s + 65_536] = (most >= least) & (den * hi[x] >= num * lo[y]) & apart
+            keep[s:s + 65_536] = np.minimum(over[x], over[y]) + np.bitwise_count(bits[x] & bits[y]).sum(1, dtype=np.int64) >= least[s:s + 65_536]
         a, b = a[keep], b[keep]
     return a, b
 
@@ -346,13 +391,14 @@ def width_groups(n, sigs):
             yield pick, np.stack([fold(sigs[i], w) for i in pick]), width[pick] == w
 
 
-def block_pairs(cid, n, comp, sigs, num: int, den: int):
+def block_pairs(cid, n, pos, comp, sigs, num: int, den: int):
     """Candidate pairs of one block by the dual traversal of a tree for each pair of neighbouring widths."""
-    order = np.lexsort((cid, n))
-    cid, n, comp, sigs = cid[order], n[order], comp[order], [sigs[i] for i in order]
+    _, which, size = np.unique(comp, return_inverse=True, return_counts=True)
+    order = np.lexsort((cid, n, np.where(size[which] > 8, which, -1)))  # leaves of a large component lie together
+    cid, n, pos, comp, sigs = cid[order], n[order], pos[order], comp[order], [sigs[i] for i in order]
     out = [np.zeros((2, 0), np.int64)]
     for pick, bits, own in width_groups(n, sigs):
-        a, b = tree_pairs(n[pick], comp[pick], bits, num, den)
+        a, b = tree_pairs(n[pick], pos[pick], comp[pick], bits, num, den)
         near = own[a] | own[b]  # two of the wider ones meet in their own tree
         out.append(np.stack([cid[pick[a[near]]], cid[pick[b[near]]]]))
     return np.concatenate(out, axis=1)
@@ -382,25 +428,69 @@ def sibling_offers(key: int, cid, n, comp, sigs, num: int, den: int):
     return np.concatenate(out, axis=1)
 
 
+def leaf_pairs(run_of, cid, n, pos, comp, sigs, num: int, den: int):
+    """Pairs ``(x, y, bits in common)`` of all blocks that are a single node, each pair once; rows sorted by block and size."""
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for d in range(1, SIBLINGS):
+        i = np.flatnonzero(run_of[d:] == run_of[:-d])
+        if not len(i):
+            break
+        j = i + d
+        need = _needed(n[i], n[j], num, den)
+        fit = (den * n[i] >= num * n[j]) & (comp[i] != comp[j]) & (pos[i] <= n[i] - need) & (pos[j] <= n[j] - need)
+        left.append(i[fit])
+        right.append(j[fit])
+    i, j = np.concatenate(left), np.concatenate(right)
+    swap = cid[i] > cid[j]
+    i, j = np.where(swap, j, i), np.where(swap, i, j)
+    order = np.lexsort((cid[j], cid[i]))
+    i, j = i[order], j[order]
+    once = np.concatenate((np.ones(min(1, len(i)), bool), (cid[i][1:] != cid[i][:-1]) | (cid[j][1:] != cid[j][:-1])))
+    out = []
+    for a, b in zip(i[once].tolist(), j[once].tolist(), strict=True):
+        x, y = sigs[a], sigs[b]
+        w = min(len(x), len(y))
+        x, y = x if len(x) == w else fold(x, w), y if len(y) == w else fold(y, w)
+        both = int(np.bitwise_count(x & y).sum())
+        over = min(int(n[a]) - int(np.bitwise_count(x).sum()), int(n[b]) - int(np.bitwise_count(y).sum()))
+        if over + both >= _needed(int(n[a]), int(n[b]), num, den):
+            out.append((int(cid[a]), int(cid[b]), both))
+    return out
+
+
 def _traverse(num: int, den: int, siblings: bool):
-    """Rows ``(a, b, bits)`` of blocks: offers of siblings, or all pairs that the traversal leaves."""
+    """Rows ``(a, b, bits)`` of blocks: offers of siblings, or all pairs that the traversal leaves.
+
+    Blocks of at most ``SIBLINGS`` rows are one node, whose leaves meet directly.
+    """
+    names = ["key", "i", "j", "cid", "n", "pos", "comp"]
+
     def run(batches):
-        rows = [b.to_pandas() for b in batches]
-        if not rows:
+        sigs, rows = [], []
+        for b in batches:
+            rows.append(b.select(names))
+            sigs += b.column("sig").to_pylist()
+        cols = _gather(rows, names)
+        if not sigs:
             return
-        import pandas as pd
-        t = pd.concat(rows, ignore_index=True)
-        found = set()
-        for (key, _i, _j), g in t.groupby(["key", "i", "j"], sort=False):
-            g = g.drop_duplicates("cid")
-            if g["comp"].nunique() < 2:
-                continue
-            sigs = [np.frombuffer(x, np.uint64) for x in g["sig"]]
-            cols = (g["cid"].to_numpy(), g["n"].to_numpy(), g["comp"].to_numpy(), sigs, num, den)
+        order = np.lexsort([cols[k] for k in (3, 4, 2, 1, 0)])
+        key, i, j, cid, n, pos, comp = (c[order] for c in cols)
+        sigs = [np.frombuffer(sigs[k], np.uint64) for k in order]
+        head = np.concatenate(([True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+        cut = np.append(np.flatnonzero(head), len(key))
+        run_of, size = np.cumsum(head) - 1, np.diff(cut)
+        small = np.flatnonzero(size[run_of] <= SIBLINGS)
+        found = leaf_pairs(run_of[small], cid[small], n[small], pos[small], comp[small], [sigs[k] for k in small], num, den)
+        if siblings:
+            found += [(y, x, both) for x, y, both in found]
+        found = set(found)
+        for k in np.flatnonzero(size > SIBLINGS):
+            g = slice(cut[k], cut[k + 1])
+            own = (cid[g], n[g], pos[g], comp[g], sigs[g])
             if siblings:
-                found.update(zip(*sibling_offers(int(key), *cols).tolist(), strict=True))
+                found.update(zip(*sibling_offers(int(key[cut[k]]), own[0], own[1], own[3], own[4], num, den).tolist(), strict=True))
             else:
-                x, y = block_pairs(*cols)
+                x, y = block_pairs(*own, num, den)
                 found.update(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), [0] * len(x), strict=True))
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b", "bits"])
@@ -423,7 +513,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int
     small = sc.broadcast(sketch)
     prefix = texts.mapInArrow(_prefixes(width, num, den, small, block_rows), "key long, cid long, np long, salt long")
     cand = stage(prefix.repartition(parts, "key", "salt").mapInArrow(
-        _blocks(num, den), "key long, cid long, n long, salt long, m0 long, m1 long, m2 long"), "jaccard-blocks")
+        _blocks(num, den), "key long, cid long, n long, pos long, salt long, m0 long, m1 long, m2 long"), "jaccard-blocks")
     wanted = sc.broadcast(filter_of(cand.select("cid")))
     sets = stage(texts.mapInArrow(_tokens(width, wanted), "cid long, toks binary").dropDuplicates(["cid"]), "jaccard-sets")
 
@@ -434,30 +524,29 @@ def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int
     label = components(links, "jaccard-wave")
     signs = sets.select("cid", "toks").mapInArrow(_signed, "cid long, sig binary")
 
-    def open_blocks(rows: DataFrame, comp: DataFrame) -> DataFrame:
-        """Rows of blocks that touch two components, and the component of each."""
-        joined = rows.select("key", "cid", "n", "salt").join(comp.withColumnRenamed("v", "cid"), "cid", "left")
-        joined = joined.select("key", "cid", "n", "salt", F.coalesce("root", "cid").alias("comp"))
-        keys = joined.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").select("key")
-        return stage(joined.join(keys, "key"), "jaccard-open")
+    def open_rows(rows: DataFrame, comp: DataFrame) -> DataFrame:
+        """Rows that may have a partner in another component, with theirs; the sub-blocks ``(i, j)`` of a salted key meet pairwise."""
+        joined = rows.select("key", "i", "j", "cid", "n", "pos").join(comp.withColumnRenamed("v", "cid"), "cid", "left")
+        joined = joined.select("key", "i", "j", "cid", "n", "pos", F.coalesce("root", "cid").alias("comp"))
+        kept = joined.repartition(parts, "key", "i", "j").mapInArrow(_open(num, den), "key long, i long, j long, cid long, n long, pos long, comp long")
+        return stage(kept, "jaccard-open")
 
     def searched(rows: DataFrame, siblings: bool) -> DataFrame:
-        """Pairs from the trees of all blocks; the sub-blocks of a salted key meet pairwise."""
-        n_salts, own = F.shiftright("salt", 16), F.col("salt").bitwiseAND(0xFFFF)
-        others = F.sequence(F.lit(0).cast("long"), F.greatest(n_salts - 1, F.lit(0))) if not siblings else F.array(own)
-        rows = rows.withColumn("o", F.explode(others)).select("key", "cid", "n", "comp", F.least(own, "o").alias("i"), F.greatest(own, "o").alias("j"))
-        rows = rows.join(signs, "cid").select("key", "i", "j", "cid", "n", "comp", "sig").repartition(parts, "key", "i", "j")
+        rows = rows.join(signs, "cid").select("key", "i", "j", "cid", "n", "pos", "comp", "sig").repartition(parts, "key", "i", "j")
         return rows.mapInArrow(_traverse(num, den, siblings), "a long, b long, bits long")
 
-    rest = cand
+    n_salts, own = F.shiftright("salt", 16), F.col("salt").bitwiseAND(0xFFFF)
+    rest = cand.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(n_salts - 1, F.lit(0)))))
+    rest = rest.select("key", "cid", "n", "pos", F.least(own, "o").alias("i"), F.greatest(own, "o").alias("j"))
     for _ in range(SIBLING_WAVES):
-        rest = open_blocks(rest, label)
-        best = F.slice(F.sort_array(F.collect_set(F.struct("bits", "b")), asc=False), 1, OFFERS)
-        offers = searched(rest, True).groupBy("a").agg(best.alias("o")).select("a", F.explode("o").alias("o")).select("a", "o.b")
-        offers = offers.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        rest = open_rows(rest, label)
+        few = F.slice(F.sort_array(F.collect_list(F.struct("pos", "key", "i", "j")), asc=False), 1, SIBLING_BLOCKS)
+        wide = rest.groupBy("cid", "n", "comp").agg(few.alias("x")).select("cid", "n", "comp", F.explode("x").alias("x")).select("cid", "n", "comp", "x.*")
+        offers = searched(wide, True).groupBy("a").agg(F.slice(F.sort_array(F.collect_set(F.struct("bits", "b")), asc=False), 1, OFFERS).alias("o"))
+        offers = offers.select("a", F.explode("o").alias("o")).select(F.least("a", "o.b").alias("a"), F.greatest("a", "o.b").alias("b")).distinct()
         links = links.union(verified(offers, sets, num, den, "jaccard-links"))
         label = components(links, "jaccard-wave")
-    pairs = searched(open_blocks(rest, label), False).select("a", "b").distinct()
+    pairs = searched(open_rows(rest, label), False).select("a", "b").distinct()
     every = links.union(verified(pairs, sets, num, den, "jaccard-links"))
     label = components(every, "jaccard-wave")
 
