@@ -16,7 +16,7 @@ are ordered by length, then by their place in the input.
 Words between spaces and newlines are encoded once per Python worker and
 kept (at most ``CACHE`` of them): the tokenizer's normaliser and splitter
 never look across a space or newline, so the ids are those of the whole text;
-a test compares them.  Null text counts as empty: the end id alone.  An empty
+tests compare them.  Null text counts as empty: the end id alone.  An empty
 table gives no files.  Other columns are never read.
 """
 
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import struct
 import sys
 import types
@@ -43,20 +44,33 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 MAGIC = b"PGTOK001"
 END_ID = 2
 DICT_ROWS, DICT_CHARS, DICT_BYTES = 1000, 20_000, 64 << 10
-LEVEL, CACHE = 3, 400_000
+LEVEL, CACHE = 3, 600_000
+# Capital letters of ASCII and Latin-1 (their small forms go with them), and marks.
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + "".join(chr(c) for c in range(0xC0, 0xDF) if c != 0xD7)
+MARKS = ".,;:!?*#$%&)"
+SIMPLE = re.compile(rf"([A-Za-z\u00c0-\u00d6\u00d8-\u00de\u00e0-\u00f6\u00f8-\u00fe]+)([{re.escape(MARKS)}]*)")
 ENTRY = np.dtype([("id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("length", "<u4"), ("tokens", "<u4")])
 FOOTER = "<QQ8s"
 
 
 class Encoder:
-    """text -> serialised ids with the end id; words of earlier texts are remembered."""
+    """text -> serialised ids with the end id; words of earlier texts are remembered.
+
+    Most words are Latin letters with ASCII marks behind them.  Where the
+    tokenizer lower-cases and splits such words between letters and marks
+    (which ``_simple`` finds out by asking it), each part goes straight to
+    its model; all other words go through the whole tokenizer.
+    """
 
     def __init__(self, path: str, end_id: int | None = END_ID) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.end = b"" if end_id is None else struct.pack("<I", end_id)
         self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.simple = self._simple()
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -66,6 +80,30 @@ class Encoder:
             home[path] = cls(path)
         return home[path]
 
+    def _whole(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _simple(self) -> bool:
+        """Whether letters and marks can be encoded apart, as probes with every letter and mark tell."""
+        if self.tokenizer.pre_tokenizer is None or self.tokenizer.normalizer is None:
+            return False
+        written = lambda c: "".join(x for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(c))
+        self.letters = {ord(c): written(c) for c in LETTERS + LETTERS.lower()}
+        probes = [c + "the" + c.lower() + m + m for c in LETTERS for m in ("", *MARKS)] + ["s" + m + "." + m for m in MARKS]
+        return self._whole(probes) == [self._split(SIMPLE.fullmatch(w)) for w in probes]
+
+    def _part(self, part: str) -> bytes:
+        got = self.parts.get(part)
+        if got is None:
+            if len(self.parts) >= CACHE // 2:
+                self.parts.clear()
+            got = self.parts[part] = np.array([t.id for t in self.model.tokenize(part)], "<u4").tobytes()
+        return got
+
+    def _split(self, m: re.Match) -> bytes:
+        word, marks = m.groups()
+        return self._part(word.lower().translate(self.letters)) + (self._part(marks) if marks else b"")
+
     def encode(self, text: str) -> bytes:
         words = text.replace("\n", " ").split(" ")
         known = self.known
@@ -74,8 +112,14 @@ class Encoder:
             if len(known) + len(new) > CACHE:
                 known.clear()
                 new = list(set(words))
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+            odd = []
+            for w in new:
+                m = SIMPLE.fullmatch(w) if self.simple else None
+                if m:
+                    known[w] = self._split(m)
+                else:
+                    odd.append(w)
+            known.update(zip(odd, self._whole(odd), strict=True))
         out = b"".join([known[w] for w in words]) + self.end
         if len(known) > CACHE:
             known.clear()
