@@ -44,7 +44,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 MAGIC = b"PGTOK001"
 END_ID = 2
 DICT_ROWS, DICT_CHARS, DICT_BYTES = 1000, 20_000, 64 << 10
-LEVEL, CACHE = 3, 600_000
+LEVEL, CACHE = 1, 600_000
 # Capital letters of ASCII and Latin-1 (their small forms go with them), and marks.
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + "".join(chr(c) for c in range(0xC0, 0xDF) if c != 0xD7)
 MARKS = ".,;:!?*#$%&)"
@@ -53,6 +53,19 @@ ENTRY = np.dtype([("id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("length", "
 FOOTER = "<QQ8s"
 
 
+class _Known(dict):
+    """word -> serialised ids; a new word is encoded when it is first asked for."""
+
+    def __init__(self, encoder: Encoder) -> None:
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, word: str) -> bytes:
+        m = SIMPLE.fullmatch(word) if self.encoder.simple else None
+        out = self[word] = self.encoder._split(m) if m else self.encoder._whole([word])[0]
+        return out
+
+
 class Encoder:
     """text -> serialised ids with the end id; words of earlier texts are remembered.
 
@@ -68,7 +81,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.end = b"" if end_id is None else struct.pack("<I", end_id)
-        self.known: dict[str, bytes] = {}
+        self.known = _Known(self)
         self.parts: dict[str, bytes] = {}
         self.simple = self._simple()
 
@@ -105,24 +118,9 @@ class Encoder:
         return self._part(word.lower().translate(self.letters)) + (self._part(marks) if marks else b"")
 
     def encode(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        known = self.known
-        new = [w for w in set(words) if w not in known]
-        if new:
-            if len(known) + len(new) > CACHE:
-                known.clear()
-                new = list(set(words))
-            odd = []
-            for w in new:
-                m = SIMPLE.fullmatch(w) if self.simple else None
-                if m:
-                    known[w] = self._split(m)
-                else:
-                    odd.append(w)
-            known.update(zip(odd, self._whole(odd), strict=True))
-        out = b"".join([known[w] for w in words]) + self.end
-        if len(known) > CACHE:
-            known.clear()
+        out = b"".join(map(self.known.__getitem__, text.replace("\n", " ").split(" "))) + self.end
+        if len(self.known) > CACHE:
+            self.known.clear()
         return out
 
 
