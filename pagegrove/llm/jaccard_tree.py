@@ -266,15 +266,29 @@ def _tokens(width: int, wanted):
                     seen.add(c)
                     rows.append((c, toks))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.int64()), pa.array([t.tobytes() for _, t in rows], pa.binary())], ["cid", "toks"])
+                cid, toks = zip(*rows, strict=True)
+                sig = [signature(t, min(1 << 19, max(64, 1 << int(TOKEN_BITS * len(t) - 1).bit_length()))).tobytes() for t in toks]
+                yield pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array([len(t) for t in toks], pa.int64()), pa.array([t.tobytes() for t in toks], pa.binary()),
+                                                  pa.array(sig, pa.binary())], ["cid", "size", "toks", "sig"])
     return run
 
 
-def _signed(batches):
-    for b in batches:
-        toks = [np.frombuffer(x, np.uint64) for x in b.column("toks").to_pylist()]
-        sig = [signature(t, min(1 << 19, max(64, 1 << int(TOKEN_BITS * len(t) - 1).bit_length()))).tobytes() for t in toks]
-        yield pa.RecordBatch.from_arrays([b.column("cid"), pa.array(sig, pa.binary())], ["cid", "sig"])
+def most_shared(n, x: np.ndarray, m, y: np.ndarray) -> int:
+    """The largest overlap of two sets of sizes n and m that their bitmaps allow."""
+    w = min(len(x), len(y))
+    x, y = x if len(x) == w else fold(x, w), y if len(y) == w else fold(y, w)
+    return int(min(n - np.bitwise_count(x).sum(dtype=np.int64), m - np.bitwise_count(y).sum(dtype=np.int64)) + np.bitwise_count(x & y).sum(dtype=np.int64))
+
+
+def _hopeful(num: int, den: int):
+    """Pairs whose leaves' bitmaps do not rule them out."""
+    def run(batches):
+        for b in batches:
+            keep = [most_shared(n, np.frombuffer(x, np.uint64), m, np.frombuffer(y, np.uint64)) >= _needed(n, m, num, den)
+                    for n, x, m, y in zip(*(b.column(c).to_pylist() for c in ("n", "x", "m", "y")), strict=True)]
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
+    return run
 
 
 def _verify(num: int, den: int):
@@ -515,14 +529,16 @@ def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int
     cand = stage(prefix.repartition(parts, "key", "salt").mapInArrow(
         _blocks(num, den), "key long, cid long, n long, pos long, salt long, m0 long, m1 long, m2 long"), "jaccard-blocks")
     wanted = sc.broadcast(filter_of(cand.select("cid")))
-    sets = stage(texts.mapInArrow(_tokens(width, wanted), "cid long, toks binary").dropDuplicates(["cid"]), "jaccard-sets")
+    sets = stage(texts.mapInArrow(_tokens(width, wanted), "cid long, size long, toks binary, sig binary").dropDuplicates(["cid"]), "jaccard-sets")
 
     first = cand.groupBy("cid").agg(F.max_by("m0", "key").alias("m0"), F.min("m1").alias("m1"), F.max("m2").alias("m2"))
     pairs = first.select("cid", F.explode(F.array("m0", "m1", "m2")).alias("m")).where("cid != m")
     pairs = pairs.select(F.least("cid", "m").alias("a"), F.greatest("cid", "m").alias("b")).distinct()
-    links = verified(pairs, sets, num, den, "jaccard-links")
+    leaf = lambda cid, n, sig: sets.select(F.col("cid").alias(cid), F.col("size").alias(n), F.col("sig").alias(sig))
+    pairs = pairs.join(leaf("a", "n", "x"), "a").join(leaf("b", "m", "y"), "b").select("a", "b", "n", "x", "m", "y")
+    links = verified(pairs.mapInArrow(_hopeful(num, den), "a long, b long"), sets, num, den, "jaccard-links")
     label = components(links, "jaccard-wave")
-    signs = sets.select("cid", "toks").mapInArrow(_signed, "cid long, sig binary")
+    signs = sets.select("cid", "sig")
 
     def open_rows(rows: DataFrame, comp: DataFrame) -> DataFrame:
         """Rows that may have a partner in another component, with theirs; the sub-blocks ``(i, j)`` of a salted key meet pairwise."""
