@@ -121,9 +121,8 @@ def test_spaced_seeds(spark, docs_of, prose):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = spaced_seeds.document_matches(docs_of(docs, extra=True), bench).collect()
     want = brute_leaks(docs, items)
-    assert {(r.doc_id, r.item_id) for r in got} <= want
-    assert want - {(r.doc_id, r.item_id) for r in got} == set() or all(  # a hit needs one window that a mask finds
-        not any(m in s for m in ("111111",)) for s in [])
+    found = {(r.doc_id, r.item_id) for r in got}
+    assert found <= want and len(want - found) <= 1  # one that no mask's window hits may be missed
     assert (150, 2) not in {(r.doc_id, r.item_id) for r in got} and {r.doc_id for r in got} >= {100, 101, 102, 103}
     assert sum(r.doc_id == 100 for r in got) == 2  # the repeated row has its own
     assert spaced_seeds.document_matches(docs_of([]), bench).count() == 0
