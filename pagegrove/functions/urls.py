@@ -42,16 +42,21 @@ def _clean(col) -> Column:
     return F.regexp_replace(x, r"[\t\r\n]", "")
 
 
+# Schemes whose paths have parameters.
+PARAM_SCHEMES = ["", "ftp", "hdl", "prospero", "http", "https", "shttp", "rtsp", "rtsps", "rtspu", "sip", "sips", "mms", "sftp", "tel"]
+
+
 def url_parts(col) -> Column:
     """Python ``urlparse`` as a struct of six strings ('' when absent)."""
     def body(u):
         full_path = _group(u, 3)
-        # urlparse splits ';params' off only when the last segment holds a
-        # ';', and then at the first ';' of the whole path.
+        # ';params' are split off the last segment, at its first ';', and only
+        # for schemes that have them
+        has = lambda fp: fp.rlike(r";[^/]*$") & F.lower(_group(u, 1)).isin(*PARAM_SCHEMES)
         return let(full_path, lambda fp: F.struct(
             F.lower(_group(u, 1)).alias("scheme"), _group(u, 2).alias("netloc"),
-            F.when(fp.rlike(r";[^/]*$"), F.substring_index(fp, ";", 1)).otherwise(fp).alias("path"),
-            F.when(fp.rlike(r";[^/]*$"), F.regexp_extract(fp, r"^[^;]*;(.*)$", 1)).otherwise(F.lit("")).alias("params"),
+            F.when(has(fp), F.regexp_extract(fp, r"(?s)^((?:.*/)?[^/;]*);[^/]*$", 1)).otherwise(fp).alias("path"),
+            F.when(has(fp), F.regexp_extract(fp, r"(?s)^(?:.*/)?[^/;]*;([^/]*)$", 1)).otherwise(F.lit("")).alias("params"),
             _group(u, 4).alias("query"), _group(u, 5).alias("fragment")))
     return let(_clean(col), body)
 

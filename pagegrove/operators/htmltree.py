@@ -38,6 +38,8 @@ def _charref(name: str) -> str:
                 return ch
         except UnicodeDecodeError:
             pass
+    if 0xD800 <= code <= 0xDFFF:  # half of a pair: no character, and no valid UTF-8
+        return "�"
     try:
         return chr(code) or "�"
     except (ValueError, OverflowError):

@@ -37,19 +37,18 @@ def nav_links(nav: DataFrame) -> DataFrame:
             # and push it below the shuffle, re-running the per-page pipeline
             .filter(F.col("r").isNotNull())
             .select("site", "page_id", "pos", F.col("r.depth").alias("depth"),
-                    F.col("r.title").alias("title"), F.col("r.full").alias("url"))
-            .filter(F.col("url") != ""))
+                    F.col("r.title").alias("title"), F.col("r.full").alias("url")))
 
 
 def site_nav(links: DataFrame) -> DataFrame:
-    """One row per (site, url); the title first seen in (page, position)
+    """One row per (site, url) with a URL; the title first seen in (page, position)
     order and the number of pages linking to it."""
     # Two levels instead of count_distinct: a distinct aggregate shuffles
     # every page id of a (site, url) into one task, and one link (say the
     # home link of a site with a third of all pages) can hold a third of all
     # rows.  Level 1 is keyed by page too; level 2 only uses map-side
     # combinable aggregates (count, min, min_by).
-    per_page = (links.groupBy("site", "url", "page_id")
+    per_page = (links.filter(F.col("url") != "").groupBy("site", "url", "page_id")
                 .agg(F.min_by("title", F.col("pos")).alias("title"), F.min("pos").alias("pos")))
     key = F.struct("page_id", "pos")
     return (per_page.groupBy("site", "url")
@@ -70,17 +69,19 @@ def first_segment(url_col) -> F.Column:
     return F.when(seg == "", F.lit("/")).otherwise(seg)
 
 
-def sectioned_llms_txt(site_links: DataFrame, k: int) -> DataFrame:
-    """Links grouped under a heading per first path segment, at most
-    ``k`` per section (by importance), one text block per (site, section)."""
+def sectioned_llms_txt(site_links: DataFrame, chunk_links: int = 1000) -> DataFrame:
+    """All links grouped under a heading per first path segment, most
+    linked first, as ordered text blocks ``(site, section, chunk, content)``
+    of at most ``chunk_links`` links, so no string grows with the section."""
     w = Window.partitionBy("site", "section").orderBy(F.desc("n_pages"), F.asc("url"))
     top = (site_links.withColumn("section", first_segment(F.col("url")))
-           .withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k))
+           .withColumn("rank", F.row_number().over(w))
+           .withColumn("chunk", F.floor((F.col("rank") - 1) / chunk_links).cast("long")))
     line = F.concat(F.lit("- ["), F.col("title"), F.lit("]("), F.col("url"), F.lit(")"))
-    return (top.groupBy("site", "section")
+    return (top.groupBy("site", "section", "chunk")
             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("l")))),
                                           lambda x: x["l"]), "\n").alias("lines"))
-            .select("site", "section",
+            .select("site", "section", "chunk",
                     F.concat(F.lit("## "), F.col("section"), F.lit("\n"), F.col("lines")).alias("content")))
 
 
@@ -135,39 +136,57 @@ def link_metadata(site_links: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def parse_robots(robots: DataFrame) -> DataFrame:
-    """Robots.txt text per host -> ``(host, agent, rule_no, allow,
-    path_prefix)``.  Comments are dropped; each Allow/Disallow line belongs
-    to the most recent User-agent line; an empty Disallow allows all."""
+    """Robots.txt text per host -> ``(host, group_no, agent, rule_no,
+    allow, path_prefix)``, one row per agent and rule of a group.
+
+    Consecutive User-agent lines open one group; a blank line, or a
+    User-agent line after rules, closes it; rules outside a group are
+    ignored.  Comments are dropped; an empty Disallow allows all."""
     lines = robots.select("host", F.posexplode(F.split(F.col("robots_txt"), LINE_BREAKS)).alias("line_no", "raw"))
     line = py_strip(F.regexp_replace(F.col("raw"), "#.*$", ""))
     key = F.lower(py_strip(F.regexp_extract(line, r"^([^:]*):", 1)))
     val = py_strip(F.regexp_extract(line, r"^[^:]*:(.*)$", 1))
-    parsed = lines.select("host", "line_no", key.alias("key"), val.alias("val"))
-    w = Window.partitionBy("host").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    with_agent = parsed.withColumn(
-        "agent", F.last(F.when(F.col("key") == "user-agent", F.col("val")), ignorenulls=True).over(w))
-    rules = with_agent.filter(F.col("key").isin("allow", "disallow") & F.col("agent").isNotNull())
-    rn = Window.partitionBy("host").orderBy("line_no")
-    return rules.select(
-        "host", "agent", (F.row_number().over(rn) - 1).cast("int").alias("rule_no"),
+    blank = py_strip(F.col("raw")) == ""
+    parsed = (lines.select("host", "line_no", F.when(blank, "").otherwise(key).alias("key"), val.alias("val"))
+              .filter(F.col("key").isin("", "user-agent", "allow", "disallow")))
+    w = Window.partitionBy("host").orderBy("line_no")
+    opens = (F.col("key") == "user-agent") & (F.coalesce(F.lag("key").over(w), F.lit("")) != "user-agent")
+    grouped = (parsed.withColumn("step", F.when(opens | (F.col("key") == ""), 1).otherwise(0))
+               .withColumn("group_no", F.sum("step").over(w)))
+    agents = grouped.filter(F.col("key") == "user-agent").select("host", "group_no", F.col("val").alias("agent")).distinct()
+    rules = grouped.filter(F.col("key").isin("allow", "disallow"))
+    joined = rules.join(agents, ["host", "group_no"])
+    return joined.select(
+        "host", F.col("group_no").cast("int").alias("group_no"), "agent", F.col("line_no").cast("int").alias("rule_no"),
         ((F.col("key") == "allow") | (F.col("val") == "")).alias("allow"),
         F.col("val").alias("path_prefix"))
 
 
+def host_rules(rules: DataFrame, agent: str = "*") -> DataFrame:
+    """``(host, rules)``: the rules that apply to ``agent``, in file order.
+
+    The first group that names part of the agent's product (without regard
+    to case) applies; the first ``*`` group only where no group does."""
+    product = agent.split("/")[0].lower()
+    named = (F.col("agent") != "*") & F.lit(product).contains(F.lower("agent")) & (F.col("agent") != "")
+    r = rules.withColumn("rank", F.when(named, 0).when(F.col("agent") == "*", 1)).filter(F.col("rank").isNotNull())
+    best = r.groupBy("host").agg(F.min(F.struct("rank", "group_no")).alias("best"))
+    mine = r.join(best, "host").filter(F.struct("rank", "group_no") == F.col("best")).dropDuplicates(["host", "rule_no"])
+    return mine.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("rule_no", "allow", "path_prefix"))).alias("rules"))
+
+
 def allowed_urls(urls: DataFrame, rules: DataFrame, agent: str = "*") -> DataFrame:
-    """``(page_id, url, allowed)``: the first rule (in file order) whose
-    prefix matches the URL path wins; no matching rule -> allowed.
-
-    Equi-join on host with the prefix test as a join filter; the rule table
-    is per host and small, so AQE broadcasts it when it fits and splits a
-    hot host's partition otherwise (skew join).
-    """
-    r = rules.filter((F.col("agent") == agent) | (F.col("agent") == "*"))
+    """``(page_id, url, allowed)``: of the rules that apply to ``agent``
+    the first whose prefix matches the URL's path decides; none allows.
+
+    Rules are folded to one row per host (a robots.txt has a bounded size)
+    and tested in place, so URLs are joined once and never multiplied."""
     p = url_parts(F.col("url"))
     u = urls.select("page_id", "url", url_host(F.col("url")).alias("host"),
                     F.concat(F.when(p["path"] == "", F.lit("/")).otherwise(p["path"]),
+                             F.when(p["params"] != "", F.concat(F.lit(";"), p["params"])).otherwise(F.lit("")),
                              F.when(p["query"] != "", F.concat(F.lit("?"), p["query"])).otherwise(F.lit(""))
                              ).alias("rpath"))
-    j = u.join(r, (u["host"] == r["host"]) & u["rpath"].startswith(r["path_prefix"]), "left")
-    first = j.groupBy("page_id", "url").agg(F.min_by("allow", "rule_no").alias("allow"))
-    return first.select("page_id", "url", F.coalesce(F.col("allow"), F.lit(True)).alias("allowed"))
+    j = u.join(host_rules(rules, agent), "host", "left")
+    hit = F.filter("rules", lambda r: (r["path_prefix"] == "*") | F.col("rpath").startswith(r["path_prefix"]))
+    return j.select("page_id", "url", F.coalesce(F.get(hit, F.lit(0))["allow"], F.lit(True)).alias("allowed"))

@@ -216,10 +216,11 @@ def q_sanitize_filename(spark, sf):
 def _sql_url_parts():
     g = lambda i: f"regexp_extract(url, {q(URL_RE)}, {i})"
     path = g(3)
-    has_params = f"regexp_matches({path}, ';[^/]*$')"
+    has_params = f"(regexp_matches({path}, ';[^/]*$') AND lower({g(1)}) IN ('', 'http', 'https', 'ftp', 'sftp', 'tel', 'sip', 'sips', 'mms', 'rtsp', 'rtsps', 'rtspu', 'shttp', 'hdl', 'prospero'))"
+    last = f"string_split({path}, '/')[-1]"  # the segment that may have parameters
     return (f"SELECT page_id, lower({g(1)}) AS scheme, {g(2)} AS netloc, "
-            f"CASE WHEN {has_params} THEN split_part({path}, ';', 1) ELSE {path} END AS path, "
-            f"CASE WHEN {has_params} THEN regexp_extract({path}, '^[^;]*;(.*)$', 1) ELSE '' END AS params, "
+            f"CASE WHEN {has_params} THEN left({path}, length({path}) - length({last}) + strpos({last}, ';') - 1) ELSE {path} END AS path, "
+            f"CASE WHEN {has_params} THEN substr({last}, strpos({last}, ';') + 1) ELSE '' END AS params, "
             f"{g(4)} AS query, {g(5)} AS fragment FROM pages")
 
 
@@ -549,7 +550,6 @@ from pagegrove.operators import site as R  # noqa: E402
 from pagegrove.streaming import stream as X  # noqa: E402
 
 TOP_K = 5
-SECTION_K = 3
 
 SQL_SITE = SQL_PAGE_FACTS + f"""
 , nl AS (
@@ -588,11 +588,11 @@ def q_site_top_links(spark, sf):
                  ELSE regexp_extract(regexp_extract(url, {q(URL_RE)}, 3), '^/([^/]*)', 1) END AS section FROM sn),
 sr AS (
   SELECT *, row_number() OVER (PARTITION BY site, section ORDER BY n_pages DESC, url ASC) AS srank FROM sec)
-SELECT site, section, '## ' || section || {NL} || string_agg('- [' || title || '](' || url || ')', {NL} ORDER BY srank) AS content
-FROM sr WHERE srank <= {SECTION_K} GROUP BY site, section""")
+SELECT site, section, CAST((srank - 1) // 1000 AS BIGINT) AS chunk, '## ' || section || {NL} || string_agg('- [' || title || '](' || url || ')', {NL} ORDER BY srank) AS content
+FROM sr GROUP BY site, section, (srank - 1) // 1000""")
 def q_site_sections(spark, sf):
-    """Sectioned llms.txt blocks, top links per first path segment."""
-    return R.sectioned_llms_txt(site_links(spark, sf), SECTION_K)
+    """Sectioned llms.txt blocks, all links by first path segment."""
+    return R.sectioned_llms_txt(site_links(spark, sf))
 
 
 @query("annotated_links", SQL_SITE + """
@@ -637,8 +637,8 @@ def q_link_metadata(spark, sf):
 
 
 @query("robots_rules", f"""
-SELECT host, '*' AS agent, rule_no, allow, path_prefix FROM ({I.ROBOTS_TEXTS_SQL}) h,
-  (VALUES (0, true, '/en/'), (1, false, '/')) r(rule_no, allow, path_prefix)""")
+SELECT host, 1 AS group_no, '*' AS agent, rule_no, allow, path_prefix FROM ({I.ROBOTS_TEXTS_SQL}) h,
+  (VALUES (1, true, '/en/'), (2, false, '/')) r(rule_no, allow, path_prefix)""")
 def q_robots_rules(spark, sf):
     """Robots.txt text of every host parsed into rules."""
     return R.parse_robots(I.robots_texts(pages(spark, sf)))

@@ -40,10 +40,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
     Uses ``spark.checkpoint.dir`` when the cluster names one; only when it is
     unset (local tests) a fresh scratch folder is created and registered.
+    On a cluster an unset folder is an error: executors share no local disk.
     """
     conf = spark.sparkContext.getConf()
     path = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="pagegrove-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from pagegrove.schemas import PAGES
 
 
+#: Scan bytes per core below which pages are spread over all cores.
+SPREAD_BYTES = 32 << 20
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -24,11 +28,11 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Give the per-page Python stage enough tasks.  A large input already
     has one split per file block and is left alone (no shuffle of the HTML);
-    only an input with fewer partitions than cores is round-robin spread."""
+    only an input whose estimated size is below one scan split per core is
+    round-robin spread.  The estimate comes from file metadata: no job runs."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SPREAD_BYTES else df
 
 
 def resolve_pages(requests: DataFrame, pages: DataFrame, url_col: str = "url") -> DataFrame:

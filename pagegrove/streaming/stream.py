@@ -3,8 +3,8 @@
 Pages arrive as Parquet files in a folder; ``readStream`` picks them up,
 the same page-local plan as the batch job runs per micro-batch, and the
 result lands in a sink.  Checkpoints go to the session's shared checkpoint
-folder (``spark.checkpoint.dir``), so a restarted query resumes where it
-stopped instead of reprocessing or losing files.
+folder (``spark.checkpoint.dir``); a query restarted under the same name of
+its caller's resumes where it stopped instead of reprocessing or losing files.
 """
 
 from __future__ import annotations
@@ -39,10 +39,13 @@ def first_seen_urls(stream: DataFrame) -> DataFrame:
     return stream.dropDuplicates(["url"])
 
 
-def run_to_table(spark: SparkSession, df: DataFrame, name: str, output_mode: str = "append") -> DataFrame:
+def run_to_table(spark: SparkSession, df: DataFrame, name: str, output_mode: str = "append",
+                 run: str | None = None) -> DataFrame:
     """Drain a streaming DataFrame (``availableNow``) into a Parquet table in
-    the shared checkpoint folder and return it as a batch DataFrame."""
-    base = f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex[:8]}"
+    the shared checkpoint folder and return it as a batch DataFrame.  The same
+    ``run`` given again goes on where the last one stopped; without one the
+    run is new."""
+    base = f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}-{run or uuid.uuid4().hex}"
     q = (df.writeStream.format("parquet").outputMode(output_mode)
          .option("checkpointLocation", f"{base}/_checkpoint")
          .option("path", f"{base}/data")
