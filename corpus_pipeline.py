@@ -35,15 +35,20 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    features = stage(divergence_rules.rule_features(docs), "rules")
-    return divergence_rules.judge(features, divergence_rules.references(features)).where("kept").select("row.*")
+    """The references are counted in a scan of their own, so that no texts are written twice."""
+    refs = stage(divergence_rules.references(divergence_rules.rule_features(docs, keep=["doc_id"])), "references")
+    return divergence_rules.judge(divergence_rules.rule_features(docs), refs).where("kept").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows are known by a number of their own, so repeated and null ids are told apart."""
+    """Rows are known by a number of their own, so repeated and null ids are told apart.
+
+    The number is a row's place in the scan of ``docs`` (a table that does not
+    change), so each scan gives it anew and no texts are written twice.
+    """
     own = free_name(docs, "own")
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(own).alias("own"))
-    rows = stage(docs.withColumn(own, F.monotonically_increasing_id()), "rows")
+    rows = docs.withColumn(own, F.monotonically_increasing_id())
     found = jaccard_tree.jaccard_components(rows, width=5, num=80, den=100, id_col=own)
     groups = found.where("n_shingles > 0").select(F.col(own), "component")
     least = rows.select(own, "doc_id").join(groups, own).groupBy("component").agg(F.min(place).alias("first"))
