@@ -47,32 +47,32 @@ def _d(dom) -> Column:
     return F.col(dom) if isinstance(dom, str) else dom
 
 
-def node(dom, node_id) -> Column:
-    """O(1) lookup: node_id is the array index."""
-    return _d(dom)[node_id]
-
-
 def is_desc(n: Column, anc: Column) -> Column:
     """``n`` is a proper descendant of ``anc`` (both node structs)."""
     return (n["node_id"] > anc["node_id"]) & (n["node_id"] <= anc["end_id"])
 
 
-def is_desc_id(n: Column, anc_id: Column, anc_end: Column) -> Column:
-    return (n["node_id"] > anc_id) & (n["node_id"] <= anc_end)
+def has_ancestor(dom, n: Column, pred) -> Column:
+    """Whether a proper ancestor of node ``n`` satisfies ``pred`` (a walk
+    along ``parent_id``; ids are positions)."""
+    d = _d(dom)
+    start = F.struct(n["parent_id"].alias("at"), F.lit(False).alias("hit"))
 
+    def up(s, _i):
+        return F.when(s["hit"] | s["at"].isNull(), s).otherwise(F.struct(
+            d[s["at"]]["parent_id"].alias("at"), F.coalesce(pred(d[s["at"]]), F.lit(False)).alias("hit")))
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(n["depth"], F.lit(1))), start, up, lambda s: s["hit"])
 
-def removed_roots(dom, tags) -> Column:
-    """Elements whose subtrees a removal of ``tags`` deletes."""
-    return F.filter(_d(dom), lambda n: n["tag"].isin(*tags))
 
+def subtree_ids(n_id: Column, n_end: Column) -> Column:
+    """Ids of the proper descendants of a node of the whole (unfiltered) tree."""
+    return F.when(n_end > n_id, F.sequence(n_id + 1, n_end)).otherwise(F.array().cast("array<int>"))
 
-def strip_boilerplate(dom, tags=("script", "style", "head", "header", "footer", "nav", "aside")) -> Column:
-    """The dom without the subtrees of ``tags`` (an anti join on the
-    ancestor interval, page-local)."""
-    d = _d(dom)
-    rem = removed_roots(d, tags)
-    return F.filter(d, lambda n: ~F.exists(
-        rem, lambda r: (n["node_id"] >= r["node_id"]) & (n["node_id"] <= r["end_id"])))
+
+def strip_boilerplate(dom) -> Column:
+    """The dom without the subtrees of boilerplate elements, which the
+    parse has marked."""
+    return F.filter(_d(dom), lambda n: ~n["boiler"])
 
 
 def first_node(dom, pred) -> Column:
@@ -87,16 +87,21 @@ def main_content(dom) -> Column:
                       first_node(d, lambda n: n["tag"] == "body"))
 
 
-def descendant_strings(dom, anc: Column) -> Column:
-    """Text strings below ``anc`` in document order."""
-    return let(anc, lambda a: F.transform(
-        F.filter(_d(dom), lambda n: is_desc(n, a) & (n["tag"] == "#text")), lambda n: n["text"]))
+def descendant_strings(dom, anc: Column, alive: bool = False) -> Column:
+    """Text strings below ``anc`` in document order, without boilerplate if
+    ``alive``.  ``dom`` is the whole tree: positions are read, no scan."""
+    d = _d(dom)
+
+    def wanted(i):
+        text = d[i]["tag"] == "#text"
+        return text & ~d[i]["boiler"] if alive else text
+    return let(anc, lambda a: F.transform(F.filter(subtree_ids(a["node_id"], a["end_id"]), wanted), lambda i: d[i]["text"]))
 
 
-def element_text(dom, anc: Column, strip: bool = True, sep: str = "") -> Column:
+def element_text(dom, anc: Column, strip: bool = True, sep: str = "", alive: bool = False) -> Column:
     """D6 (``strip=True``): each string stripped, empties dropped, joined by
     ``sep``.  D7 (``strip=False``): strings joined, then the ends stripped."""
-    strings = descendant_strings(dom, anc)
+    strings = descendant_strings(dom, anc, alive)
     if strip:
         parts = F.filter(F.transform(strings, lambda s: F.regexp_replace(s, PY_STRIP, "")),
                          lambda s: s != "")

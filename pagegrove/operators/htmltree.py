@@ -17,6 +17,8 @@ VOID_ELEMENTS = frozenset([
     "basefont", "bgsound", "command", "frame", "image", "isindex",
     "nextid", "spacer",
 ])
+# Elements that are removed, with all inside them, before a page's main text is read.
+BOILERPLATE_TAGS = ("script", "style", "head", "header", "footer", "nav", "aside")
 # Elements whose strings are not ordinary text.
 RAWTEXT_CONTAINERS = frozenset(["script", "style", "template", "rt", "rp"])
 # Elements inside which whitespace-only strings are kept verbatim.
@@ -141,15 +143,18 @@ class _TreeBuilder(HTMLParser):
             p = parents[i]
             if end[i] > end[p]:
                 end[p] = end[i]
+        boiler = [False] * n
+        item: list[int | None] = [None] * n
         for i in range(1, n):
-            depth[i] = depth[parents[i]] + 1
-        paths: list[list[int]] = [[0]] + [None] * (n - 1)
-        for i in range(1, n):
-            paths[i] = paths[parents[i]] + [i]
+            p, tag = parents[i], nodes[i]["tag"]
+            depth[i] = depth[p] + 1
+            boiler[i] = boiler[p] or tag in BOILERPLATE_TAGS
+            item[i] = i if tag == "li" else item[p]
         for i, node in enumerate(nodes):
             node["end_id"] = end[i]
             node["depth"] = depth[i]
-            node["path"] = paths[i]
+            node["boiler"] = boiler[i]
+            node["li_id"] = item[i]
         return nodes
 
 
@@ -162,8 +167,8 @@ def parse_html(html: str | None) -> list[dict] | None:
         tb.feed(html)
         return tb.finish()
     except Exception:  # tokenizer failure: an empty document, not a lost row
-        return [{"node_id": 0, "parent_id": None, "end_id": 0, "depth": 0, "path": [0],
-                 "tag": "#document", "attrs": {}, "text": None}]
+        return [{"node_id": 0, "parent_id": None, "end_id": 0, "depth": 0,
+                 "boiler": False, "li_id": None, "tag": "#document", "attrs": {}, "text": None}]
 
 
 def dom_series(html):

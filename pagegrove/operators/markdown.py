@@ -15,7 +15,6 @@ from pagegrove.operators.dom import (element_string, element_text, first_node, i
                                      main_content, materialize, meta_content, strip_boilerplate)
 
 # --- Fixed values -----------------------------------------------------------
-BOILERPLATE_TAGS = ("script", "style", "head", "header", "footer", "nav", "aside")
 HEADING_TAGS = ("h1", "h2", "h3")
 PARAGRAPH_LIMIT = 5
 UNTITLED = "Untitled Page"
@@ -26,10 +25,22 @@ MISSING_PAGE_MESSAGE = "page not found"
 
 def with_main(pages_dom: DataFrame) -> DataFrame:
     """Stages ``_alive`` (D2) and ``_main`` (D3) as once-per-row columns."""
-    s1 = pages_dom.select("*", materialize(strip_boilerplate("dom", BOILERPLATE_TAGS)).alias("_alive"))
+    s1 = pages_dom.select("*", materialize(strip_boilerplate("dom")).alias("_alive"))
     return s1.select("*", materialize(main_content("_alive")).alias("_main"))
 
 
+def heading_texts(dom: Column, sep: str = "") -> Column:
+    """Texts of the headings of the main content (after ``with_main``)."""
+    heads = F.filter(F.col("_alive"), lambda n: is_desc(n, F.col("_main")) & n["tag"].isin(*HEADING_TAGS))
+    return F.transform(heads, lambda h: element_text(dom, h, strip=True, sep=sep, alive=True))
+
+
+def paragraph_texts(dom: Column, sep: str = "") -> Column:
+    """Texts, empty ones too, of the first paragraphs of the main content."""
+    paras = F.filter(F.col("_alive"), lambda n: is_desc(n, F.col("_main")) & (n["tag"] == "p"))
+    return F.transform(F.slice(paras, 1, PARAGRAPH_LIMIT), lambda p: element_text(dom, p, strip=True, sep=sep, alive=True))
+
+
 def _markdown_body(dom: Column, mode: str) -> tuple[Column, Column]:
     """(content, has_main) for one page, over the staged ``_alive``/``_main``."""
     alive = F.col("_alive")
@@ -49,13 +60,8 @@ def _markdown_body(dom: Column, mode: str) -> tuple[Column, Column]:
         F.coalesce(element_string(meta_tree, t), F.lit("None")))
     title_block = F.array(F.concat(F.lit("# "), title_text, F.lit("\n")))
 
-    heads = F.transform(
-        F.filter(alive, lambda n: is_desc(n, main) & n["tag"].isin(*HEADING_TAGS)),
-        lambda h: F.concat(F.lit("## "), element_text(alive, h, strip=True, sep=sep), F.lit("\n")))
-    paras = F.filter(
-        F.transform(F.slice(F.filter(alive, lambda n: is_desc(n, main) & (n["tag"] == "p")), 1, PARAGRAPH_LIMIT),
-                    lambda p: element_text(alive, p, strip=True, sep=sep)),
-        lambda s: s != "")
+    heads = F.transform(heading_texts(dom, sep), lambda s: F.concat(F.lit("## "), s, F.lit("\n")))
+    paras = F.filter(paragraph_texts(dom, sep), lambda s: s != "")
     paras = F.transform(paras, lambda s: F.concat(s, F.lit("\n")))
     content = F.array_join(F.concat(desc_block, title_block, heads, paras), "\n")
     return content, main.isNotNull()

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from pagegrove.functions.text import cached_expr, js_trim, let, sanitize_text
 from pagegrove.functions.urls import py_urljoin_abs, resolve_href, url_parts
-from pagegrove.operators.dom import first_node, materialize
+from pagegrove.operators.dom import first_node, materialize, subtree_ids
 from pagegrove.operators.selectors import compile_selector, detect_site_type
 
 # --- Fixed values -----------------------------------------------------------
@@ -58,11 +58,6 @@ def _nonblank(c: Column) -> Column:
     return F.when(c != "", c)
 
 
-def _subtree(d: Column, n_id: Column, n_end: Column) -> Column:
-    """Proper descendants of a node as an array slice (ids are positions)."""
-    return F.slice(d, n_id + 2, n_end - n_id)
-
-
 def check_params(homepage_url: str | None, root_selector: str | None) -> None:
     """Both parameters are required."""
     if not homepage_url or not root_selector:
@@ -112,20 +107,21 @@ def _nav_column_exprs(root_selector: str, context_selector: str | None, mode: st
 
     def submenu(li_id):
         def body(li_id):
-            inside = _subtree(d, li_id, d[li_id]["end_id"])
-            child_ul = F.try_element_at(F.filter(inside, lambda m: (m["parent_id"] == li_id) & (m["tag"] == "ul")),
+            inside = subtree_ids(li_id, d[li_id]["end_id"])
+            child_ul = F.try_element_at(F.filter(inside, lambda m: (d[m]["parent_id"] == li_id) & (d[m]["tag"] == "ul")),
                                         F.lit(1))
             fallback = F.lit(None).cast("int")
             for flag, sel in reversed(SUBMENU_FALLBACKS):
-                hit = F.try_element_at(F.filter(inside, compile_selector(sel, d)), F.lit(1))["node_id"]
+                match = compile_selector(sel, d)
+                hit = F.try_element_at(F.filter(inside, lambda m: match(d[m])), F.lit(1))
                 fallback = F.when(fl[flag], hit).otherwise(fallback)
-            return F.when(li_id.isNotNull(), F.coalesce(child_ul["node_id"], fallback))
+            return F.when(li_id.isNotNull(), F.coalesce(child_ul, fallback))
         return let(li_id, body)
 
     def link_struct(n):
         text = F.array_join(F.transform(
-            F.filter(_subtree(d, n["node_id"], n["end_id"]), lambda m: m["tag"].isin("#text", "#rawtext")),
-            lambda m: m["text"]), "")
+            F.filter(subtree_ids(n["node_id"], n["end_id"]), lambda m: d[m]["tag"].isin("#text", "#rawtext")),
+            lambda m: d[m]["text"]), "")
         title_parts = ([_nonblank(n["attrs"][a]) for a in TITLE_ATTRS_BEFORE_TEXT]
                        + [_nonblank(js_trim(text))]
                        + [_nonblank(n["attrs"][a]) for a in TITLE_ATTRS_AFTER_TEXT]
@@ -133,27 +129,27 @@ def _nav_column_exprs(root_selector: str, context_selector: str | None, mode: st
         url = F.when(n["tag"] == "a",
                      F.coalesce(resolve_href(F.col("base_url"), n["attrs"]["href"]), F.lit(""))
                      ).otherwise(F.lit(""))
-        li_id = F.try_element_at(F.filter(n["path"], lambda a: d[a]["tag"] == "li"), F.lit(-1))
         return F.struct(n["node_id"].alias("id"), F.coalesce(*title_parts).alias("title"),
-                        url.alias("url"), submenu(li_id).alias("sub"))
+                        url.alias("url"), submenu(n["li_id"]).alias("sub"))
 
     out["roots"] = materialize(F.transform(F.filter(d, is_root), lambda n: n["node_id"]))
     out["links0"] = materialize(F.transform(F.filter(d, clickable), link_struct))
 
     lk = F.col("links0")
-    menu_ids = F.array_distinct(F.concat(F.col("roots"), F.filter(F.transform(lk, lambda l: l["sub"]),
-                                                                  lambda x: x.isNotNull())))
+    subs = F.array_distinct(F.filter(F.transform(lk, lambda l: l["sub"]), lambda x: x.isNotNull()))
 
-    def menu_of(l):
-        return F.try_element_at(F.filter(d[l["id"]]["path"], lambda a: (a != l["id"]) & F.array_contains(menu_ids, a)),
-                                F.lit(-1))
+    def menu_of(menus, l):
+        # menus nest, so the nearest one around a link is the last that holds it
+        return F.array_max(F.filter(menus, lambda m: (m < l["id"]) & (d[m]["end_id"] >= l["id"])))
 
     if mode == "tree":
-        with_menu = F.transform(lk, lambda l: l.withField("menu_of", menu_of(l)))
+        with_menu = let(F.array_union(F.col("roots"), subs),
+                        lambda menus: F.transform(lk, lambda l: l.withField("menu_of", menu_of(menus, l))))
     else:
         with_menu = F.transform(lk, lambda l: l.withField("menu_of", F.lit(None).cast("int")))
     out["links1"] = materialize(with_menu)
-    out["n_menus"] = F.size(menu_ids)
+    # each level of the expansion opens a submenu that its path has not seen
+    out["n_menus"] = F.size(subs)
 
     l1 = F.col("links1")
 
@@ -192,24 +188,33 @@ def _expand_exprs(mode: str) -> dict:
         lambda r: F.transform(F.filter(lk, lambda l: in_menu(l, r)),
                               lambda l: row(F.array(r, l["id"]), F.lit(0), l, F.array(r)))))
 
+    def opening(rows):
+        return F.filter(rows, lambda f: f["sub"].isNotNull() & ~F.array_contains(f["menus"], f["sub"]))
+
     def grow(acc, i):
-        frontier = F.filter(acc, lambda f: (f["depth"] == i - 1) & f["sub"].isNotNull()
-                            & ~F.array_contains(f["menus"], f["sub"]))
         nxt = F.flatten(F.transform(
-            frontier,
+            acc["front"],
             lambda f: F.transform(F.filter(lk, lambda l: in_menu(l, f["sub"])),
                                   lambda l: row(F.concat(f["path"], F.array(l["id"])), i, l,
                                                 F.concat(f["menus"], F.array(f["sub"]))))))
-        return F.concat(acc, nxt)
+        grown = let(nxt, lambda more: F.struct(F.concat(acc["rows"], more).alias("rows"), opening(more).alias("front")))
+        return F.when(F.size(acc["front"]) == 0, acc).otherwise(grown)
 
-    rows = F.aggregate(F.sequence(F.lit(1), F.greatest(F.col("n_menus"), F.lit(1))), level0, grow)
+    start = let(level0, lambda top: F.struct(top.alias("rows"), opening(top).alias("front")))
+    rows = F.aggregate(F.sequence(F.lit(1), F.greatest(F.col("n_menus"), F.lit(1))), start, grow, lambda acc: acc["rows"])
     cyclic = F.exists(F.col("rows"), lambda f: f["sub"].isNotNull() & F.array_contains(f["menus"], f["sub"]))
     return {"rows": materialize(rows), "cyclic": cyclic if mode == "compat" else F.lit(False)}
 
 
-def _row_ok(r: Column, top: Column, page_url: Column) -> Column:
+def _is_dup(r: Column, before: Column) -> Column:
+    """A top row whose URL an earlier top row has."""
+    return (r["depth"] == 0) & (r["url"] != "") & F.coalesce(before["url"] == r["url"], F.lit(False))
+
+
+def _row_ok(r: Column, before: Column) -> Column:
     """T1-T3 and N7 for one row (subtree drop is applied by the walk);
-    ``r.full`` is the urljoin'ed URL."""
+    ``r.full`` is the urljoin'ed URL, ``before`` the row ahead of it when
+    top rows come first and are sorted by URL and path."""
     title = r["title_s"]
     has_url = r["url"] != ""
     has_children = r["sub"].isNotNull() & (r["nkids"] > 0)
@@ -220,10 +225,8 @@ def _row_ok(r: Column, top: Column, page_url: Column) -> Column:
         for s in BANNED_IN_PATH:
             ok = ok & ~low.contains(s)
         return ok
-    dup = (r["depth"] == 0) & has_url & F.exists(
-        top, lambda o: (o["url"] == r["url"]) & (o["path"] < r["path"]))
     return (has_url | has_children) & (F.length(title) >= MIN_TITLE_LENGTH) \
-        & ~F.lower(title).isin(*STOP_TITLES) & (~has_url | let(url_parts(r["full"]), url_ok)) & ~dup
+        & ~F.lower(title).isin(*STOP_TITLES) & (~has_url | let(url_parts(r["full"]), url_ok)) & ~_is_dup(r, before)
 
 
 def _row_line(r: Column) -> Column:
@@ -237,8 +240,7 @@ def render_nav(expanded: DataFrame) -> DataFrame:
     their subtrees; ``kept`` holds the surviving rows (with their line),
     ``nav_md`` the rendered tree, ``status`` ok / no_nav / cyclic_nav."""
     e = cached_expr(("nav_render",), _render_exprs)
-    stage = expanded.select("*", e["_top"].alias("_top"))
-    stage = stage.select("*", e["_prep"].alias("_prep"))
+    stage = expanded.select("*", e["_prep"].alias("_prep"))
     stage = stage.select("*", e["marked"].alias("marked"))
     stage = stage.select("*", e["kept"].alias("kept"))
     return stage.select("*", e["nav_md"].alias("nav_md"), e["status"].alias("status"))
@@ -246,15 +248,15 @@ def render_nav(expanded: DataFrame) -> DataFrame:
 
 def _render_exprs() -> dict:
     rows = F.col("rows")
-    top = F.col("_top")
     page_url = F.col("url")
-    prepared = F.transform(rows, lambda r: F.struct(
-        r["path"].alias("path"), r["depth"].alias("depth"), sanitize_text(r["title"]).alias("title_s"),
-        r["url"].alias("url"), r["sub"].alias("sub"), r["nkids"].alias("nkids"),
-        py_urljoin_abs(page_url, r["url"]).alias("full")))
-    marked = F.array_sort(F.transform(F.col("_prep"), lambda r: F.struct(
+    prepared = F.array_sort(F.transform(rows, lambda r: F.struct(
+        (r["depth"] > 0).alias("below"), r["url"].alias("url"), r["path"].alias("path"), r["depth"].alias("depth"),
+        sanitize_text(r["title"]).alias("title_s"), r["sub"].alias("sub"), r["nkids"].alias("nkids"),
+        py_urljoin_abs(page_url, r["url"]).alias("full"))))
+    marked = F.array_sort(F.transform(F.col("_prep"), lambda r, i: F.struct(
         r["path"].alias("path"), r["depth"].alias("depth"), r["title_s"].alias("title"), r["url"].alias("url"),
-        r["full"].alias("full"), _row_ok(r, top, page_url).alias("ok"))))
+        r["full"].alias("full"), _row_ok(r, F.get(F.col("_prep"), i - 1)).alias("ok"),
+        _is_dup(r, F.get(F.col("_prep"), i - 1)).alias("dup"))))
 
     init = F.struct(F.array().cast("array<struct<path:array<int>,depth:int,title:string,url:string,full:string>>").alias("kept"),
                     F.lit(None).cast("int").alias("drop"))
@@ -273,7 +275,7 @@ def _render_exprs() -> dict:
     status = (F.when(F.col("cyclic"), F.lit("cyclic_nav"))
               .when(F.size(F.col("rows")) == 0, F.lit("no_nav"))
               .otherwise(F.lit("ok")))
-    return {"_top": materialize(F.filter(rows, lambda r: r["depth"] == 0)), "_prep": materialize(prepared),
+    return {"_prep": materialize(prepared),
             "marked": materialize(marked), "kept": materialize(kept),
             "nav_md": F.array_join(lines, ""), "status": status}
 

@@ -6,8 +6,7 @@ selectors and ``*``, ``#id``, ``.class``, ``[a]``, ``[a="v"]``, ``[a*="v"]``,
 ``[a^="v"]``, ``[a$="v"]``, ``[a~="v"]``, ``[a|="v"]``, ``:not(compound)``,
 ``:scope``, the descendant and child combinators, and comma lists.
 Anything else raises ``ValueError`` on the driver (the browser would throw
-too).  Combinators look at ancestors through the node's ``path``, so a
-descendant match may leave the element the query started from, exactly as
+too).  Combinators walk up the node's ancestors, so a descendant match may leave the element the query started from, exactly as
 ``element.querySelectorAll`` does.
 """
 
@@ -19,10 +18,17 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagegrove.functions.text import PY_WS
 from pagegrove.functions.urls import host_contains
+from pagegrove.operators.dom import has_ancestor
 
 Pred = Callable[[Column], Column]
+# Class lists and ``~=`` words are split at ASCII white space.
+ASCII_WS = r"[ \t\n\f\r]"
+
+
+def _unescape(name: str) -> str:
+    """An identifier without its escapes: ``md\\:flex`` is ``md:flex``."""
+    return re.sub(r"\\(.)", r"\1", name)
 
 _IDENT = r"-?(?:[A-Za-z_]|[^\x00-\x7f]|\\.)(?:[A-Za-z0-9_\-]|[^\x00-\x7f]|\\.)*"
 _TOKEN = re.compile(
@@ -48,7 +54,7 @@ def _attr_pred(name: str, op: str | None, val: str | None) -> Pred:
         if op == "=":
             c = a == n_val
         elif op == "~=":
-            c = F.array_contains(F.split(a, f"{PY_WS}+"), n_val) if v and not re.search(r"\s", v) else F.lit(False)
+            c = F.array_contains(F.split(a, f"{ASCII_WS}+"), n_val) if v and not re.search(r"\s", v) else F.lit(False)
         elif op == "|=":
             c = (a == v) | a.startswith(v + "-")
         elif not v:  # *= ^= $= with an empty value never match
@@ -82,12 +88,12 @@ def _parse_compound(tokens: list[re.Match], i: int, scope: Pred | None) -> tuple
             t = m.group("tag").lower()
             parts.append(lambda n, t=t: n["tag"] == t)
         elif m.group("id") is not None:
-            v = m.group("id")
+            v = _unescape(m.group("id"))
             parts.append(lambda n, v=v: F.coalesce(n["attrs"]["id"] == v, F.lit(False)))
         elif m.group("cls") is not None:
-            v = m.group("cls")
+            v = _unescape(m.group("cls"))
             parts.append(lambda n, v=v: F.coalesce(
-                F.array_contains(F.split(n["attrs"]["class"], f"{PY_WS}+"), v), F.lit(False)))
+                F.array_contains(F.split(n["attrs"]["class"], f"{ASCII_WS}+"), v), F.lit(False)))
         elif m.group("attr") is not None:
             val = m.group("dq") if m.group("dq") is not None else (
                 m.group("sq") if m.group("sq") is not None else m.group("bare"))
@@ -154,15 +160,14 @@ def compile_selector(selector: str, dom: Column | str = "dom", scope: Pred | Non
 
 
 def _chain(steps: list[tuple[str | None, Pred]], d: Column) -> Pred:
-    """Right-to-left matching of ``A B > C`` via ancestors in ``path``."""
+    """Right-to-left matching of ``A B > C`` along the ancestors."""
     if len(steps) == 1:
         return steps[0][1]
     *head, (comb, last) = steps
     prev = _chain(head, d)
     if comb == ">":
         return lambda n: last(n) & n["parent_id"].isNotNull() & F.coalesce(prev(d[n["parent_id"]]), F.lit(False))
-    return lambda n: last(n) & F.exists(
-        F.slice(n["path"], 1, F.size(n["path"]) - 1), lambda a: F.coalesce(prev(d[a]), F.lit(False)))
+    return lambda n: last(n) & has_ancestor(d, n, prev)
 
 
 def matches(dom, selector: str) -> Column:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagegrove.functions.text import LINE_BREAKS, py_strip
-from pagegrove.functions.urls import url_host, url_parts
+from pagegrove.functions.urls import resolve_href, url_host, url_parts
 
 # --- Fixed values -----------------------------------------------------------
 PAGE_SEPARATOR = "\n\n---\n\n"
@@ -85,10 +85,17 @@ def sectioned_llms_txt(site_links: DataFrame, chunk_links: int = 1000) -> DataFr
                     F.concat(F.lit("## "), F.col("section"), F.lit("\n"), F.col("lines")).alias("content")))
 
 
+def by_link_url(pages: DataFrame, *cols: F.Column) -> DataFrame:
+    """``(url, *cols)``: one row per page URL in the form that links have;
+    of several pages with that URL the one with the least page_id."""
+    v = pages.select("page_id", resolve_href(F.col("url"), F.col("url")).alias("url"), F.struct(*cols).alias("v"))
+    return v.groupBy("url").agg(F.min_by("v", "page_id").alias("v")).select("url", "v.*")
+
+
 def annotate_links(site_links: DataFrame, info: DataFrame) -> DataFrame:
     """``- [title](url)`` plus `` - description`` when the linked page is
     known and has a description."""
-    d = info.select(F.col("url"), F.col("description"))
+    d = by_link_url(info, F.col("description"))
     j = site_links.join(d, "url", "left")
     has = F.col("description").isNotNull() & (F.col("description") != "") & (F.col("description") != "No Description")
     base = F.concat(F.lit("- ["), F.col("title"), F.lit("]("), F.col("url"), F.lit(")"))
@@ -121,7 +128,7 @@ def llms_full(files: DataFrame, chunk_pages: int = 1000) -> DataFrame:
 
 def link_details(site_links: DataFrame, files: DataFrame) -> DataFrame:
     """Cross-reference each link to the Markdown file of its page."""
-    f = files.select("url", F.when(F.col("status") == "ok", F.col("filename")).alias("filename"))
+    f = by_link_url(files, F.when(F.col("status") == "ok", F.col("filename")).alias("filename"))
     j = site_links.join(f, "url", "left")
     return j.select("site", "url", "title",
                     F.when(F.col("filename").isNotNull(),
@@ -131,7 +138,7 @@ def link_details(site_links: DataFrame, files: DataFrame) -> DataFrame:
 
 def link_metadata(site_links: DataFrame, files: DataFrame) -> DataFrame:
     """Content size of the linked page's Markdown (null when unknown)."""
-    f = files.select("url", F.when(F.col("status") == "ok", F.length("content")).alias("md_chars"))
+    f = by_link_url(files, F.when(F.col("status") == "ok", F.length("content")).alias("md_chars"))
     return site_links.join(f, "url", "left").select("site", "url", "title", "md_chars")
 
 

@@ -15,12 +15,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from pagegrove.functions.text import cached_expr, sanitize_filename, sanitize_text
 from pagegrove.functions.urls import URL_RE, resolve_href, url_host, url_parts
 from pagegrove.operators import links as L
-from pagegrove.operators.dom import main_content, strip_boilerplate, with_dom
+from pagegrove.operators.dom import has_ancestor, main_content, strip_boilerplate, with_dom
 from pagegrove.operators.markdown import (file_set, filename_collisions, markdown_bundle,
                                           markdown_for_requests, page_markdown)
 from pagegrove.operators.nav import NO_NAV_MESSAGE, STOP_TITLES, llms_document, nav_tree
@@ -415,12 +414,8 @@ def q_main_content_kind(spark, sf):
 SELECT page_id, 0 AS pos, {S.strip(S.unescape('h1_raw'))} AS heading FROM art""")
 def q_page_headings(spark, sf):
     """D4 exploded: every h1-h3 of the main content."""
-    from pagegrove.operators.dom import element_text, is_desc
-    from pagegrove.operators.markdown import with_main
-    alive, main = F.col("_alive"), F.col("_main")
-    hs = F.transform(F.filter(alive, lambda n: is_desc(n, main) & n["tag"].isin("h1", "h2", "h3")),
-                     lambda h: element_text(alive, h))
-    return (with_main(pages_dom(spark, sf)).select("page_id", F.posexplode_outer(hs).alias("pos", "heading"))
+    from pagegrove.operators.markdown import heading_texts, with_main
+    return (with_main(pages_dom(spark, sf)).select("page_id", F.posexplode_outer(heading_texts(F.col("dom"))).alias("pos", "heading"))
             .filter(F.col("pos").isNotNull()))
 
 
@@ -428,12 +423,8 @@ def q_page_headings(spark, sf):
 def q_page_top_paragraphs(spark, sf):
     """Non-empty texts among the first five paragraphs; ``pos`` is
     the rank among those five."""
-    from pagegrove.operators.dom import element_text, is_desc
-    from pagegrove.operators.markdown import with_main
-    alive, main = F.col("_alive"), F.col("_main")
-    ps = F.transform(F.slice(F.filter(alive, lambda n: is_desc(n, main) & (n["tag"] == "p")), 1, 5),
-                     lambda p: element_text(alive, p))
-    return (with_main(pages_dom(spark, sf)).select("page_id", F.posexplode_outer(ps).alias("pos", "text"))
+    from pagegrove.operators.markdown import paragraph_texts, with_main
+    return (with_main(pages_dom(spark, sf)).select("page_id", F.posexplode_outer(paragraph_texts(F.col("dom"))).alias("pos", "text"))
             .filter("text <> ''"))
 
 
@@ -497,12 +488,9 @@ def q_nav_links_raw(spark, sf):
 @query("nav_top_level", SQL_PAGE_FACTS + "SELECT page_id, pos, title, link_url AS url FROM navd WHERE NOT dup")
 def q_nav_top_level(spark, sf):
     """Top-level dedupe by URL, first wins, URL-less entries all kept."""
-    n = nav_pages(spark, sf)
-    top = F.array_sort(F.filter("rows", lambda r: r["depth"] == 0))
-    rows = n.select("page_id", F.posexplode_outer(top).alias("pos", "r")).filter(F.col("r").isNotNull())
-    first = F.row_number().over(Window.partitionBy("page_id", "r.url").orderBy("pos"))
-    return (rows.withColumn("k", first)
-            .filter((F.col("k") == 1) | (F.col("r.url") == ""))
+    top = F.filter("marked", lambda r: r["depth"] == 0)
+    rows = nav_pages(spark, sf).select("page_id", F.posexplode_outer(top).alias("pos", "r"))
+    return (rows.filter(F.col("r").isNotNull() & ~F.col("r.dup"))
             .select("page_id", "pos", F.col("r.title").alias("title"), F.col("r.url").alias("url")))
 
 
@@ -511,7 +499,7 @@ def q_url_join(spark, sf):
     """Each nav href resolved against its page URL."""
     d = pages_dom(spark, sf)
     hrefs = F.filter("dom", lambda n: (n["tag"] == "a") & F.map_contains_key(n["attrs"], "href")
-                     & F.exists(F.slice(n["path"], 1, F.size(n["path"]) - 1), lambda a: F.col("dom")[a]["tag"] == "nav"))
+                     & has_ancestor("dom", n, lambda a: a["tag"] == "nav"))
     return (d.select("page_id", "url", F.posexplode_outer(F.transform(hrefs, lambda n: n["attrs"]["href"])).alias("pos", "href"))
             .filter(F.col("pos").isNotNull())
             .select("page_id", "pos", "href", resolve_href(F.col("url"), F.col("href")).alias("resolved")))

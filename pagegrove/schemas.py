@@ -16,7 +16,8 @@ DOM_NODE = T.StructType([
     T.StructField("parent_id", T.IntegerType()),
     T.StructField("end_id", T.IntegerType()),
     T.StructField("depth", T.IntegerType()),
-    T.StructField("path", T.ArrayType(T.IntegerType())),
+    T.StructField("boiler", T.BooleanType()),   # inside a boilerplate element, or one
+    T.StructField("li_id", T.IntegerType()),    # the nearest ``li`` around it, itself included
     T.StructField("tag", T.StringType()),
     T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
     T.StructField("text", T.StringType()),

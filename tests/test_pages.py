@@ -70,11 +70,24 @@ def test_tree_rules():
     assert all(n["end_id"] == n["node_id"] for n in br)  # void elements hold nothing
     script_text = [n for n in nodes if n["tag"] == "#rawtext"]
     assert script_text and '"</p>"' in script_text[0]["text"]
-    for n in nodes:  # interval encoding matches paths
-        assert n["path"][-1] == n["node_id"]
-        for m in nodes:
-            inside = n["node_id"] < m["node_id"] <= n["end_id"]
-            assert inside == (n["node_id"] in m["path"][:-1])
+    for m in nodes:  # the interval encoding matches the parents
+        around, at = set(), m["parent_id"]
+        while at is not None:
+            around.add(at)
+            at = nodes[at]["parent_id"]
+        assert around == {n["node_id"] for n in nodes if n["node_id"] < m["node_id"] <= n["end_id"]}
+        assert m["depth"] == len(around)
+
+
+def test_page_size_is_no_matter(spark):
+    """20,000 unclosed paragraphs and 4,000 headings: whole texts, nodes of fixed size."""
+    deep = "<body>" + "<p>x" * 20_000
+    wide = "<body><nav><h2>no</h2></nav>" + "".join(f"<h2>t{i}<aside>no</aside></h2>" for i in range(4_000))
+    df = spark.createDataFrame([(1, "https://h/a", deep), (2, "https://h/b", wide)], "page_id long, url string, html string")
+    got = {r.page_id: r.content for r in page_markdown(with_dom(df)).collect()}
+    assert got[1].split("\n\n")[1] == "x" * 20_000
+    assert [line for line in got[2].split("\n") if line.startswith("##")] == [f"## t{i}" for i in range(4_000)]
+    assert got[2].count("no") == 0
 
 
 def test_file_set_last_wins(spark):
