@@ -156,11 +156,15 @@ def learnable(docs: DataFrame) -> DataFrame:
 
 def fit_sample(docs: DataFrame, fit_rows: int = FIT_ROWS, fit_chars: int = FIT_CHARS):
     """At most ``fit_rows`` rows, as many of each language as there are, in the order of a hash."""
+    spark = docs.sparkSession
     ids = learnable(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.xxhash64("doc_id").alias("h"))
-    n = max(1, ids.select("lang").distinct().limit(fit_rows).count())
-    each = Window.partitionBy("lang").orderBy("h", "doc_id")
-    ids = ids.withColumn("k", F.row_number().over(each)).where(F.col("k") <= max(1, fit_rows // n))
-    ids = docs.sparkSession.createDataFrame(ids.orderBy("k", "h", "doc_id").limit(fit_rows).select("doc_id").distinct().collect(), "doc_id long")
+    langs = ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(fit_rows).collect()
+    each = max(1, fit_rows // max(1, len(langs)))
+    # only hashes under a bound of each language, some four times its part, are put in order, so the sort does not grow with the rows
+    cuts = [(r.lang, min((1 << 63) - 1, -(1 << 63) + (4 * each + 100) * (1 << 64) // r["count"])) for r in langs]
+    ids = ids.join(F.broadcast(spark.createDataFrame(cuts, "lang string, most long")), "lang").where("h <= most").drop("most")
+    ids = ids.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("k") <= each)
+    ids = spark.createDataFrame(ids.orderBy("k", "h", "doc_id").limit(fit_rows).select("doc_id").distinct().collect(), "doc_id long")
     rows = learnable(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").where(F.length("text") <= fit_chars)
     rows = rows.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()
     return sorted((r for r in rows if LETTER.search(r.text)), key=lambda r: (r.doc_id, r.lang))
