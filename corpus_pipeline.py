@@ -35,8 +35,15 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    features = stage(divergence_rules.rule_features(docs), "rules")
-    return divergence_rules.judge(features, divergence_rules.references(features)).where("kept").select("row.*")
+    """The rows are read twice, for the references and for the verdicts, so no texts are written.
+
+    The row's number keeps the optimizer from moving the verdict below the
+    features, where it would be written out again for each use of a feature.
+    """
+    references = stage(divergence_rules.references(divergence_rules.rule_features(docs, keep=["doc_id"])), "rules")
+    features = divergence_rules.rule_features(docs)
+    fenced = features.withColumn("row", F.struct(F.col("row").alias("doc"), F.monotonically_increasing_id().alias("place")))
+    return divergence_rules.judge(fenced, references).where("kept").select("row.doc.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
