@@ -8,7 +8,8 @@ How the work is spread
     Equal sets are one *class* (a 64-bit digest of the set).  If two sets
     link, they share a shingle among the first ``n - ceil(t n) + 1`` shingles
     of each in any common order; the order used takes shingles by a sketch
-    of their corpus counts (fixed size, all rows counted), rare ones first.
+    of their corpus counts (2^24 slots of one byte, all rows counted; exact
+    below 64, eight steps for each doubling above), rare ones first.
     So every link lies inside the block of one such shingle, and blocks are
     what Spark shuffles.  Very frequent shingles are salted into sub-blocks
     of bounded size, and blocks of sub-block pairs cover the rest.
@@ -54,8 +55,8 @@ from pagegrove.llm.graph import components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SKETCH_BITS = 18
-SKETCH_PART = 1 << 14
+SKETCH_BITS = 24
+SKETCH_PART = 1 << 20
 FILTER_BITS = 24
 #: Rows of one block handled by one tree; the salt of a frequent shingle follows from it.
 BLOCK_ROWS = 100_000
@@ -106,40 +107,58 @@ def _sets(batches, width):
 
 
 def _scan(width: int):
-    """Per row ``(id, n, cid)``; per task the counts of its shingles as ``(part, counts)``."""
+    """Per row ``(id, n, cid)``; per task the counts of its shingles as ``(part, counts)``, compressed."""
     def run(batches):
-        counts = np.zeros(1 << SKETCH_BITS, np.int64)
+        counts = np.zeros(1 << SKETCH_BITS, np.uint32)
         for b, i, sets in _sets(batches, width):
             if sets:
-                counts += np.bincount((np.concatenate(sets) & np.uint64(len(counts) - 1)).astype(np.int64), minlength=len(counts))
+                slot, times = np.unique((np.concatenate(sets) & np.uint64(len(counts) - 1)).astype(np.uint32), return_counts=True)
+                counts[slot] += times.astype(np.uint32)
             n = [len(x) for x in sets]
             yield pa.RecordBatch.from_arrays([
                 b.column("id").slice(i, len(sets)), pa.array(n, pa.int64()),
                 pa.array([digest(x) if len(x) else None for x in sets], pa.int64()),
                 pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], ["id", "n", "cid", "part", "counts"])
-        parts = range(len(counts) // SKETCH_PART)
-        rows = [counts[p * SKETCH_PART:(p + 1) * SKETCH_PART].tobytes() for p in parts]
-        yield pa.RecordBatch.from_arrays([
-            pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int64()),
-            pa.array(list(parts), pa.int32()), pa.array(rows, pa.binary())], ["id", "n", "cid", "part", "counts"])
+        for p in range(len(counts) // SKETCH_PART):
+            own = counts[p * SKETCH_PART:(p + 1) * SKETCH_PART]
+            if own.any():
+                yield pa.RecordBatch.from_arrays([
+                    pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([p], pa.int32()),
+                    pa.array([pa.compress(own.tobytes(), "zstd", asbytes=True)], pa.binary())], ["id", "n", "cid", "part", "counts"])
     return run
 
 
+def steps(count: np.ndarray) -> np.ndarray:
+    """Counts as one byte: exact below 64, eight steps for each doubling above, up to about 2^30."""
+    high = 64 + np.floor(8 * (np.log2(np.maximum(count, 64)) - 6))
+    return np.where(count < 64, count, np.minimum(high, 255)).astype(np.uint8)
+
+
+def most_of(step: np.ndarray) -> np.ndarray:
+    """The largest count of a step."""
+    return np.where(step < 64, step, np.ceil(2.0 ** (6 + (step.astype(np.float64) - 63) / 8))).astype(np.int64)
+
+
 def _sum_counts(batches):
     total: dict[int, np.ndarray] = {}
     for b in batches:
-        for p, c in zip(b.column("part").to_pylist(), b.column("counts").to_pylist(), strict=True):
-            total[p] = total.get(p, 0) + np.frombuffer(c, np.int64)
-    if total:
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["part", "counts"])
+        for p, c in zip(b.column("part").to_pylist(), b.column("counts"), strict=True):
+            raw = pa.decompress(c.as_buffer(), 4 * SKETCH_PART, "zstd")
+            if p not in total:
+                total[p] = np.zeros(SKETCH_PART, np.int64)
+            total[p] += np.frombuffer(raw, np.uint32)
+    for p, v in total.items():
+        yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([int(v.sum())], pa.int64()),
+                                          pa.array([steps(v).tobytes()], pa.binary())], ["part", "total", "steps"])
 
 
-def sketch_of(parts: DataFrame) -> np.ndarray:
-    """The summed counts: a table of fixed size (2^18 numbers) for any input."""
-    out = np.zeros(1 << SKETCH_BITS, np.int64)
-    for r in parts.repartition(16, "part").mapInArrow(_sum_counts, "part int, counts binary").collect():
-        out[r.part * SKETCH_PART:(r.part + 1) * SKETCH_PART] += np.frombuffer(r.counts, np.int64)
-    return out
+def sketch_of(parts: DataFrame) -> tuple[np.ndarray, int]:
+    """The summed counts as steps, a table of fixed size (2^24 bytes) for any input, and the number of shingles."""
+    out, total = np.zeros(1 << SKETCH_BITS, np.uint8), 0
+    for r in parts.repartition(16, "part").mapInArrow(_sum_counts, "part int, total long, steps binary").toLocalIterator():
+        out[r.part * SKETCH_PART:(r.part + 1) * SKETCH_PART] = np.frombuffer(r.steps, np.uint8)
+        total += r.total
+    return out, total
 
 
 def _prefixes(width: int, num: int, den: int, sketch, block_rows: int):
@@ -159,7 +178,7 @@ def _prefixes(width: int, num: int, den: int, sketch, block_rows: int):
                 k = n - -(-num * n // den) + 1
                 often = counts[(toks & np.uint64(len(counts) - 1)).astype(np.int64)]
                 first = np.lexsort((toks, often))[:k]
-                split = np.minimum(-(-often[first] // block_rows), 1 << 14)
+                split = np.minimum(-(-most_of(often[first]) // block_rows), 1 << 14)
                 key.append(toks[first].view(np.int64))
                 cid.append(np.full(k, c, np.int64))
                 npos.append((n << 32) + np.arange(k, dtype=np.int64))
@@ -520,9 +539,9 @@ def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int
     sc = spark.sparkContext
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     scan = stage(texts.mapInArrow(_scan(width), "id long, n long, cid long, part int, counts binary"), "jaccard-scan")
-    sketch = sketch_of(scan.where("part is not null").select("part", "counts"))
+    sketch, total = sketch_of(scan.where("part is not null").select("part", "counts"))
     ids = scan.where("part is null").select("id", "n", "cid")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(sketch.sum() * (den - num) / den // 1_000_000) + 1)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * (den - num) / den // 1_000_000) + 1)
 
     small = sc.broadcast(sketch)
     prefix = texts.mapInArrow(_prefixes(width, num, den, small, block_rows), "key long, cid long, np long, salt long")
