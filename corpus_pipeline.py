@@ -47,19 +47,30 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows are known by a number of their own, so repeated and null ids are told apart.
+    """Rows are told apart by a number of their own, given in one scan and staged with the row's id and its text's MD5.
 
-    The number is a row's place in the scan of ``docs`` (a table that does not
-    change), so each scan gives it anew and no texts are written twice.
+    The number depends on the scan's layout, so it is never computed again:
+    rows are found by ``(doc_id, MD5)`` at the end.  Rows that agree in both
+    are in one group; where they are the ones to stay, one of them does.
     """
-    own = free_name(docs, "own")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(own).alias("own"))
-    rows = docs.withColumn(own, F.monotonically_increasing_id())
-    found = jaccard_tree.jaccard_components(rows, width=5, num=80, den=100, id_col=own)
-    groups = found.where("n_shingles > 0").select(F.col(own), "component")
-    least = rows.select(own, "doc_id").join(groups, own).groupBy("component").agg(F.min(place).alias("first"))
-    stays = least.select(F.col("first.own").alias(own)).union(found.where("n_shingles = 0").select(own))
-    return rows.join(stays, own, "left_semi").drop(own)
+    key = free_name(docs, "key")
+    same = lambda a, b: a["doc_id"].eqNullSafe(b["id"]) & (a[key] == b["text_key"])
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("key").alias("text_key"))
+    rows = docs.select("doc_id", "text", spaced_seeds.text_key().alias("key"), F.monotonically_increasing_id().alias("own"))
+    found = jaccard_tree.jaccard_components(rows, width=5, num=80, den=100, id_col="own", keep=["doc_id", "key"])
+    groups = found.where("n_shingles > 0")
+    least = groups.groupBy("component").agg(F.min(place).alias("first")).select("first.id", "first.text_key", F.lit(True).alias("first"))
+    texts = groups.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("times"))
+    known = texts.withColumnRenamed("key", key)
+    judged = known.join(least, same(known, least), "left").select(F.col("doc_id").alias("id"), F.col(key).alias("text_key"), F.coalesce("first", F.lit(False)).alias("first"), "times")
+    listed = stage(judged.where("not first or times > 1").select("id", "text_key", "first"), "copies")
+    keyed = docs.withColumn(key, spaced_seeds.text_key())
+    repeated = stage(listed.where("first"), "repeats")  # a table of its own size, mostly empty, so that texts need not move for it
+    again = keyed.join(repeated, same(keyed, repeated), "left_semi")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    one = F.min_by(F.struct(*docs.columns), F.to_json(F.struct(*others)) if others else F.lit(0))
+    once = again.groupBy("doc_id", key).agg(one.alias("row")).select("row.*")
+    return keyed.join(listed, same(keyed, listed), "left_anti").drop(key).union(once)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -107,7 +107,9 @@ def _sets(batches, width):
 
 
 def _scan(width: int):
-    """Per row ``(id, n, cid)``; per task the counts of its shingles as ``(part, counts)``, compressed."""
+    """Per row ``(id, n, cid, kept)``; per task the counts of its shingles as ``(part, counts)``, compressed."""
+    names = ["id", "n", "cid", "kept", "part", "counts"]
+
     def run(batches):
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
         for b, i, sets in _sets(batches, width):
@@ -115,16 +117,17 @@ def _scan(width: int):
                 slot, times = np.unique((np.concatenate(sets) & np.uint64(len(counts) - 1)).astype(np.uint32), return_counts=True)
                 counts[slot] += times.astype(np.uint32)
             n = [len(x) for x in sets]
+            kept = b.column("kept").slice(i, len(sets))
             yield pa.RecordBatch.from_arrays([
                 b.column("id").slice(i, len(sets)), pa.array(n, pa.int64()),
-                pa.array([digest(x) if len(x) else None for x in sets], pa.int64()),
-                pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], ["id", "n", "cid", "part", "counts"])
+                pa.array([digest(x) if len(x) else None for x in sets], pa.int64()), kept,
+                pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], names)
         for p in range(len(counts) // SKETCH_PART):
             own = counts[p * SKETCH_PART:(p + 1) * SKETCH_PART]
             if own.any():
                 yield pa.RecordBatch.from_arrays([
-                    pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([p], pa.int32()),
-                    pa.array([pa.compress(own.tobytes(), "zstd", asbytes=True)], pa.binary())], ["id", "n", "cid", "part", "counts"])
+                    pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, kept.type), pa.array([p], pa.int32()),
+                    pa.array([pa.compress(own.tobytes(), "zstd", asbytes=True)], pa.binary())], names)
     return run
 
 
@@ -533,14 +536,20 @@ def _traverse(num: int, den: int, siblings: bool):
 # ---- the join ------------------------------------------------------------
 
 def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id",
-                       text_col: str = "text", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``(id_col, n_shingles, component, n_links)`` for every row of ``docs``; see the module's text."""
+                       text_col: str = "text", block_rows: int = BLOCK_ROWS, keep: list[str] | None = None) -> DataFrame:
+    """``(id_col, n_shingles, component, n_links, *keep)`` for every row of ``docs``; see the module's text.
+
+    ``keep``: small columns that are read once, in the same scan as the id.
+    """
     spark = docs.sparkSession
     sc = spark.sparkContext
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    scan = stage(texts.mapInArrow(_scan(width), "id long, n long, cid long, part int, counts binary"), "jaccard-scan")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"),
+                        F.struct(F.lit(0).alias("none"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(keep or [])]).alias("kept"))
+    kept_type = texts.schema["kept"].dataType.simpleString()
+    scan = stage(texts.mapInArrow(_scan(width), f"id long, n long, cid long, kept {kept_type}, part int, counts binary"), "jaccard-scan")
+    texts = texts.drop("kept")
     sketch, total = sketch_of(scan.where("part is not null").select("part", "counts"))
-    ids = scan.where("part is null").select("id", "n", "cid")
+    ids = scan.where("part is null").select("id", "n", "cid", "kept")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * (den - num) / den // 1_000_000) + 1)
 
     small = sc.broadcast(sketch)
@@ -595,4 +604,5 @@ def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int
     out = ids.join(classes, "cid", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
                       F.when(F.col("cid").isNull(), F.col("id")).otherwise(F.col("component")).alias("component"),
-                      F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+                      F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
+                      *[F.col(f"kept.c{i}").alias(c) for i, c in enumerate(keep or [])])

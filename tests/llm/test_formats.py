@@ -291,6 +291,30 @@ def test_pipeline_keeps_one_of_each_group(spark, docs_of, prose):
     assert [(i, len(t) > 0) for i, t in got] == [(4, True), (5, True), (6, False), (7, False), (8, False)]
 
 
+def test_pipeline_rows_do_not_depend_on_the_scan_layout(spark, docs_of, prose, tmp_path, monkeypatch):
+    import corpus_pipeline as cp
+    rows = [(i, prose(i // 2, 200)) for i in range(40)] + [(50, ""), (None, None), (7, prose(3, 200)), (60, prose(60, 200))]
+    for k in range(8):
+        docs_of(rows[k::8] + ([(60, prose(60, 200))] if k < 3 else [])).coalesce(1).write.mode("append").parquet(str(tmp_path / "docs"))
+    docs, join = spark.read.parquet(str(tmp_path / "docs")), cp.jaccard_tree.jaccard_components
+
+    def other_layout_later(*a, **b):
+        found = join(*a, **b)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+        return found
+
+    monkeypatch.setattr(cp.jaccard_tree, "jaccard_components", other_layout_later)
+    try:
+        before = docs.rdd.getNumPartitions()
+        got = cp.near_duplicates(spark, docs, "")
+        kept = [(r.doc_id, r.text) for r in got.collect()]
+        assert spark.read.parquet(str(tmp_path / "docs")).rdd.getNumPartitions() != before
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = [(i, prose(i // 2, 200)) for i in range(0, 40, 2)] + [(50, ""), (None, None), (60, prose(60, 200))]
+    assert sorted(kept, key=str) == sorted(want, key=str)
+
+
 def test_pipeline_drops_leaks(spark, docs_of):
     import corpus_pipeline as cp
     sf = "/root/testdata/sf0.001"
