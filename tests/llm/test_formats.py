@@ -162,6 +162,20 @@ def test_extraction(spark):
     assert line_blocks.extract(pages(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("attrs", [
+    'style="overflow:hidden"', 'data-hidden="false"', 'title="The hidden city"', "title='hidden'", 'data-id="menu-1"', "data-role=banner", 'itemid="http://x/comment/1"',
+    'data-class="ad" class="story"', "data-x=a/hidden", 'title=" class=ad "', 'aria-hidden="false"', 'data-y=\'itemprop="articleBody"\''])
+def test_only_whole_attribute_names_mark_boilerplate(attrs):
+    for tag in ("article", "div"):
+        assert line_blocks.main_text(f"<body><{tag} {attrs}><p>The story.</p></{tag}></body>") == "The story."
+    assert line_blocks.main_text(f"<body><div {attrs}><article><p>The story.</p></article></div></body>") == "The story."
+
+
+@pytest.mark.parametrize("attrs", ["hidden", "HIDDEN", "hidden=''", 'title="a b"hidden', "class=ad", "data-x=1 id='menu'", 'role = "Banner"', "aria-hidden=true", 'x="1"class="share-box"'])
+def test_marked_elements_go(attrs):
+    assert line_blocks.main_text(f"<body><p>The story.</p><div {attrs}><p>Not this</p></div></body>") == "The story."
+
+
 def test_extraction_time_grows_with_the_page():
     import time
     page = lambda n: "<article>" + "<p>some words here <b>and there" * n
