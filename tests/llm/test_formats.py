@@ -176,6 +176,24 @@ def test_marked_elements_go(attrs):
     assert line_blocks.main_text(f"<body><p>The story.</p><div {attrs}><p>Not this</p></div></body>") == "The story."
 
 
+LONG = "A long paragraph of the one story. " * 8
+LINKS = "".join(f"<p><a href=x>link number {i}</a></p>" for i in range(4))
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    (f"<main><p>{LONG}</p><article class=card>teaser</article></main>", [LONG, "teaser"]),
+    (f"<main><p>{LONG}</p><p>b</p></main><article>teaser</article>", [LONG, "b", "teaser"]),
+    (f"<article><p>{LONG}</p></article><p>Advert</p><article><p>Second part.</p></article><p>Outside</p>", [LONG, "Second part."]),
+    (f"<div><p>{LONG}</p>{LINKS}<p>Second half.</p></div>", [LONG, "Second half."]),
+    (f"<div><p>{LONG}</p></div>{LINKS}<article>teaser</article>", [LONG, "teaser"]),
+    (f"<p>Outside</p><main><p>Before</p><article><p>{LONG}</p>{LINKS}<p>end</p></article></main>", [LONG, *(f"link number {i}" for i in range(4)), "end"]),
+    ("<main></main><div><p>The story.</p></div>", ["The story."]),
+    (f"<div itemprop=articleBody><p>{LONG}</p></div><p>Outside</p>", [LONG]),
+])
+def test_no_box_hides_the_rest_of_the_text(page, want):
+    assert line_blocks.main_text(page) == "\n".join(x.strip() for x in want)
+
+
 def test_extraction_time_grows_with_the_page():
     import time
     page = lambda n: "<article>" + "<p>some words here <b>and there" * n
