@@ -50,7 +50,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagegrove.llm.common import doc_groups, mix64, rand64, space_words, stage, utf8
+from pagegrove.llm.common import bits_of, doc_groups, mix64, rand64, space_words, stage, utf8
 from pagegrove.llm.graph import components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -418,22 +418,23 @@ def tree_pairs(n, pos, comp, sig, num: int, den: int, fan: int = 8):
     return a, b
 
 
-def width_groups(n, sigs):
-    """Members of neighbouring bitmap widths, their bitmaps folded to the narrower one, and which own that width."""
+def width_groups(n, sigs, num: int, den: int):
+    """Members of bitmap widths that fitting sizes can have, their bitmaps folded to the narrowest one, and which own that width."""
+    reach = bits_of(-(-den // num))  # sizes differ by den / num at most, widths by the power of two that covers it
     width = np.array([len(x) for x in sigs])
     for w in np.unique(width):
-        pick = np.flatnonzero((width == w) | (width == 2 * w))
+        pick = np.flatnonzero((width >= w) & (width <= reach * w))
         if len(pick) > 1:
             yield pick, np.stack([fold(sigs[i], w) for i in pick]), width[pick] == w
 
 
 def block_pairs(cid, n, pos, comp, sigs, num: int, den: int):
-    """Candidate pairs of one block by the dual traversal of a tree for each pair of neighbouring widths."""
+    """Candidate pairs of one block by the dual traversal of a tree for each width and the wider ones within reach."""
     _, which, size = np.unique(comp, return_inverse=True, return_counts=True)
     order = np.lexsort((cid, n, np.where(size[which] > 8, which, -1)))  # leaves of a large component lie together
     cid, n, pos, comp, sigs = cid[order], n[order], pos[order], comp[order], [sigs[i] for i in order]
     out = [np.zeros((2, 0), np.int64)]
-    for pick, bits, own in width_groups(n, sigs):
+    for pick, bits, own in width_groups(n, sigs, num, den):
         a, b = tree_pairs(n[pick], pos[pick], comp[pick], bits, num, den)
         near = own[a] | own[b]  # two of the wider ones meet in their own tree
         out.append(np.stack([cid[pick[a[near]]], cid[pick[b[near]]]]))
@@ -447,7 +448,7 @@ def sibling_offers(key: int, cid, n, comp, sigs, num: int, den: int):
     each block, so that similar leaves meet often in one of their blocks.
     """
     out = [np.zeros((3, 0), np.int64)]
-    for pick, bits, _own in width_groups(n, sigs):
+    for pick, bits, _own in width_groups(n, sigs, num, den):
         order = np.lexsort((cid[pick], bits[:, key % bits.shape[1]]))
         for s in range(0, len(order), SIBLINGS):
             g = order[s:s + SIBLINGS]

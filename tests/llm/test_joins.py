@@ -84,6 +84,16 @@ def test_tree_traversal_loses_no_pair():
     assert jaccard_tree.block_pairs(cid, n, np.zeros(150, np.int64), np.zeros(150, np.int64), sigs, 85, 100).shape[1] == 0
 
 
+def test_tree_traversal_of_low_thresholds():
+    sets = [np.unique(jaccard_tree.rand64(size, 1000 * k)) for k in range(40) for size in (100, 390)]  # Jaccard 100 / 390 in each two
+    n = np.array([len(x) for x in sets])
+    sigs = [jaccard_tree.signature(s, 1 << (4 * len(s) - 1).bit_length()) for s in sets]
+    cid, pos = np.arange(80), np.zeros(80, np.int64)
+    assert len({len(x) for x in sigs}) == 2 and max(map(len, sigs)) == 4 * min(map(len, sigs))
+    a, b = jaccard_tree.block_pairs(cid, n, pos, cid, sigs, 1, 4)
+    assert {(2 * k, 2 * k + 1) for k in range(40)} <= set(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True))
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 101), (105, 100), (7, 7), (200, 150), (150, 200)]
     got = {r.v: r.root for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
