@@ -195,9 +195,10 @@ def contaminations(docs: DataFrame, bench: DataFrame, text_col: str = "text", be
     found = docs.select(text_key(text_col).alias("key"), lower(text_col).alias("text")).mapInArrow(
         _scan(marks, overlap), "key string, lo int, ctx binary, seed array<long>, pos array<int>")
     found = stage(found, "seeds-found")
-    hits = found.select("key", "lo", F.explode(F.arrays_zip("seed", "pos")).alias("x")).select("key", "lo", "x.seed", F.col("x.pos").alias("doc_pos"))
-    pairs = hits.distinct().join(item_seeds, "seed").select("key", "lo", "item", (F.col("doc_pos") - F.col("lo") - F.col("item_pos")).alias("diagonal")).distinct()
-    around = pairs.join(found.select("key", "lo", "ctx").dropDuplicates(["key", "lo"]), ["key", "lo"]).join(items.select("item", "words"), "item")
+    found = found.withColumn("first", F.col("pos")[0])  # tells stretches apart that begin with the same words
+    hits = found.select("key", "lo", "first", F.explode(F.arrays_zip("seed", "pos")).alias("x")).select("key", "lo", "first", "x.seed", F.col("x.pos").alias("doc_pos"))
+    pairs = hits.distinct().join(item_seeds, "seed").select("key", "lo", "first", "item", (F.col("doc_pos") - F.col("lo") - F.col("item_pos")).alias("diagonal")).distinct()
+    around = pairs.join(found.select("key", "lo", "first", "ctx").dropDuplicates(["key", "first"]), ["key", "lo", "first"]).join(items.select("item", "words"), "item")
     good = around.select("key", "item", "diagonal", "ctx", "words").mapInArrow(_verify(overlap, identity), "key string, item string, n_equal int, n_compared int")
     return good.groupBy("key", "item").agg(F.max("n_equal").alias("n_equal"), F.max("n_compared").alias("n_compared"))
 

@@ -137,3 +137,11 @@ def test_spaced_seeds(spark, docs_of, prose):
     assert sum(r.doc_id == 100 for r in got) == 2  # the repeated row has its own
     assert spaced_seeds.document_matches(docs_of([]), bench).count() == 0
     assert spaced_seeds.document_matches(docs_of(docs), bench.limit(0)).count() == 0
+
+
+def test_stretches_with_the_same_first_word_are_kept_apart(spark, docs_of, prose):
+    items = [(1, prose(70, 10)), (2, prose(71, 40))]
+    docs = [(i, items[0][1] + " " + prose(80 + i, 18, 10**6) + " " + items[1][1]) for i in range(12)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = spaced_seeds.document_matches(docs_of(docs), bench, overlap=40, identity=1.0).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(i, k) for i in range(12) for k in (1, 2)}
