@@ -33,8 +33,9 @@ Waves
 
 Input ``(id, text)``; other columns are ignored.  Result: one row per input
 row with ``n_shingles`` (0 for null, empty or blank texts), ``component``
-(least id reachable by links, itself included), ``n_links`` (verified
-partner classes found in the waves).  Repeated rows and ids form one
+(least id reachable by links, itself included), ``n_verified`` (partner classes
+verified on the way; not the number of links, since pairs inside one component
+are not tested).  Repeated rows and ids form one
 component if their sets are equal and not empty; a row with a null id gets
 the least non-null id of its component, else null.  An empty table gives an
 empty result.
@@ -538,7 +539,7 @@ def _traverse(num: int, den: int, siblings: bool):
 
 def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id",
                        text_col: str = "text", block_rows: int = BLOCK_ROWS, keep: list[str] | None = None) -> DataFrame:
-    """``(id_col, n_shingles, component, n_links, *keep)`` for every row of ``docs``; see the module's text.
+    """``(id_col, n_shingles, component, n_verified, *keep)`` for every row of ``docs``; see the module's text.
 
     ``keep``: small columns that are read once, in the same scan as the id.
     """
@@ -596,14 +597,14 @@ def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int
     label = components(every, "jaccard-wave")
 
     every = every.distinct()
-    ends = every.select(F.col("a").alias("cid")).union(every.select(F.col("b").alias("cid"))).groupBy("cid").agg(F.count(F.lit(1)).alias("n_links"))
+    ends = every.select(F.col("a").alias("cid")).union(every.select(F.col("b").alias("cid"))).groupBy("cid").agg(F.count(F.lit(1)).alias("n_verified"))
     classes = ids.where("cid is not null").groupBy("cid").agg(F.min("id").alias("least"))
     classes = stage(classes.join(label.withColumnRenamed("v", "cid"), "cid", "left").join(ends, "cid", "left")
-                    .select("cid", "least", F.coalesce("root", "cid").alias("root"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")), "jaccard-classes")
+                    .select("cid", "least", F.coalesce("root", "cid").alias("root"), F.coalesce("n_verified", F.lit(0).cast("long")).alias("n_verified")), "jaccard-classes")
     roots = classes.groupBy("root").agg(F.min("least").alias("component"))
-    classes = classes.join(roots, "root").select("cid", "component", "n_links")
+    classes = classes.join(roots, "root").select("cid", "component", "n_verified")
     out = ids.join(classes, "cid", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
                       F.when(F.col("cid").isNull(), F.col("id")).otherwise(F.col("component")).alias("component"),
-                      F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
+                      F.coalesce("n_verified", F.lit(0).cast("long")).alias("n_verified"),
                       *[F.col(f"kept.c{i}").alias(c) for i, c in enumerate(keep or [])])

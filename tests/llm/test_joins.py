@@ -145,3 +145,7 @@ def test_stretches_with_the_same_first_word_are_kept_apart(spark, docs_of, prose
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = spaced_seeds.document_matches(docs_of(docs), bench, overlap=40, identity=1.0).collect()
     assert {(r.doc_id, r.item_id) for r in got} == {(i, k) for i in range(12) for k in (1, 2)}
+
+
+def test_verified_partners_are_not_called_links(docs_of):
+    assert jaccard_tree.jaccard_components(docs_of([(1, "a b c d e")])).columns == ["doc_id", "n_shingles", "component", "n_verified"]
