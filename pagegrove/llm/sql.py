@@ -88,4 +88,27 @@ SELECT conv_id::BIGINT AS conv_id, count(*)::BIGINT AS n_turns,
        sum(length(er) + length(et) + length('<s>[INST][/INST]</s>'))::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id"""
 
-ORACLES = {"op2_divergence_rules": rules_sql(), "op3_warc": WARC_SQL, "op8_chat_events": CHAT_SQL}
+#: crc32 of an ASCII text: its bytes in turn, each followed by eight shifts (-1).
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(range(1, length({x}) + 1), lambda i: [ascii({x}[i])::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END), 4294967295)"""
+
+TRIE_SQL = rf"""
+WITH own AS (
+  SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, role, text) AS t
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+heads AS (SELECT own.*, base.t AS b, {_CRC.format(x='(own.conv_id::VARCHAR)')} % 4 AS h FROM own LEFT JOIN own AS base ON base.conv_id = own.conv_id - own.conv_id % 20),
+built AS (SELECT conv_id, list_concat(coalesce(b[1:h], []), t[h + 1:]) AS t FROM heads),
+prefix AS (SELECT conv_id, t[1:d] AS k, d, len(t) AS n FROM (SELECT *, unnest(range(0, len(t) + 1)) AS d FROM built)),
+node AS (
+  SELECT k, d, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE n = d), '')) AS ends,
+         CASE WHEN d > 0 THEN len(regexp_extract_all(k[d].text, '{WORD}')) ELSE 0 END AS words
+  FROM prefix GROUP BY k, d),
+kids AS (SELECT k[1:d - 1] AS k, d - 1 AS d, count(*) AS n FROM node WHERE d > 0 GROUP BY ALL),
+full_node AS (SELECT node.*, coalesce(kids.n, 0) AS n_children FROM node LEFT JOIN kids USING (k, d)),
+below AS (SELECT k[1:j] AS k, j AS d, sum((n_children = 0)::INT) AS leaves, sum((n_convs - 1) * words) AS saved
+          FROM (SELECT *, unnest(range(0, d + 1)) AS j FROM full_node) GROUP BY ALL)
+SELECT x.conv_id::BIGINT AS conv_id, x.d::BIGINT AS depth, up.conv_id::BIGINT AS parent_conv_id, x.n_convs::BIGINT AS n_convs, x.n_children::BIGINT AS n_children,
+       below.leaves::BIGINT AS n_leaves, below.saved::BIGINT AS saved_tokens, x.ends AS ends_sha256
+FROM full_node AS x JOIN below USING (k, d) LEFT JOIN node AS up ON up.k = x.k[1:x.d - 1] AND up.d = x.d - 1"""
+
+ORACLES = {"op11_conversation_trie": TRIE_SQL, "op2_divergence_rules": rules_sql(), "op3_warc": WARC_SQL, "op8_chat_events": CHAT_SQL}
