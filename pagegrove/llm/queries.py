@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagegrove.llm import byte_cnn, chat_events, conversation_trie, divergence_rules, jaccard_tree, langid, line_blocks, minhash_tensor, packing, spaced_seeds, token_store, warc
+from pagegrove.llm import byte_cnn, chat_events, conversation_trie, divergence_rules, jaccard_tree, langid, line_blocks, minhash_tensor, packing, pair_maxscore, spaced_seeds, token_store, warc
 from pagegrove.llm.common import crc_mod, stage, table
 from pagegrove.llm.sql import ORACLES
 
@@ -74,11 +74,15 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.trie(conversation_trie.rebuild(conversation_trie.conversations(table(spark, sf_dir, "conversations"))))
 
 
+def op12_pair_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pair_maxscore.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
 def op13_minhash_tensor(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = minhash_tensor.near_duplicates(table(spark, sf_dir, "documents"), width=3, num=85, den=100)
     return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), "kept")
 
 
 QUERIES = {f.__name__: f for f in (op1_byte_cnn, op2_divergence_rules, op3_warc, op4_jaccard_tree, op5_langid, op6_token_store, op7_line_blocks,
-                                   op8_chat_events, op9_best_fit, op10_spaced_seeds, op11_conversation_trie, op13_minhash_tensor)}
+                                   op8_chat_events, op9_best_fit, op10_spaced_seeds, op11_conversation_trie, op12_pair_maxscore, op13_minhash_tensor)}
 REGISTRY = {name: (f, ORACLES.get(name)) for name, f in QUERIES.items()}

@@ -111,4 +111,19 @@ SELECT x.conv_id::BIGINT AS conv_id, x.d::BIGINT AS depth, up.conv_id::BIGINT AS
        below.leaves::BIGINT AS n_leaves, below.saved::BIGINT AS saved_tokens, x.ends AS ends_sha256
 FROM full_node AS x JOIN below USING (k, d) LEFT JOIN node AS up ON up.k = x.k[1:x.d - 1] AND up.d = x.d - 1"""
 
-ORACLES = {"op11_conversation_trie": TRIE_SQL, "op2_divergence_rules": rules_sql(), "op3_warc": WARC_SQL, "op8_chat_events": CHAT_SQL}
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_TERMS = f"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{TERM}')"
+
+SEARCH_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_TERMS} AS ws FROM documents),
+corpus AS (SELECT (count(*) FILTER (WHERE len(ws) > 0))::BIGINT AS n_docs, sum(len(ws))::BIGINT AS n_terms FROM d),
+tf AS (SELECT rid, t, count(*)::BIGINT AS tf FROM (SELECT rid, unnest(ws) AS t FROM d) GROUP BY ALL),
+weight AS (SELECT t, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, corpus GROUP BY t, n_docs),
+item AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS t FROM benchmark),
+scored AS (
+  SELECT item_id, rid, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * len(ws)::BIGINT * n_docs) // n_terms))))::BIGINT AS score
+  FROM item JOIN tf USING (t) JOIN weight USING (t) JOIN d USING (rid), corpus GROUP BY ALL),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 50"""
+
+ORACLES = {"op12_pair_maxscore": SEARCH_SQL, "op11_conversation_trie": TRIE_SQL, "op2_divergence_rules": rules_sql(), "op3_warc": WARC_SQL, "op8_chat_events": CHAT_SQL}
