@@ -29,6 +29,14 @@ DEFAULT_PORTS = {"http": "80", "https": "443", "ws": "80", "wss": "443", "ftp":
 PATH_ENCODE = r"\x00-\x20\"<>`{}\x7f-\x{10ffff}"
 QUERY_ENCODE = r"\x00-\x20\"#<>'\x7f-\x{10ffff}"
 FRAGMENT_ENCODE = r"\x00-\x20\"<>`\x7f-\x{10ffff}"
+# ... in a user name or password, and in URLs without a host.
+USERINFO_ENCODE = r"\x00-\x20\"#/:;<=>?@\[\\\]\^`{|}\x7f-\x{10ffff}"
+OPAQUE_ENCODE = r"\x00-\x1f\x7f-\x{10ffff}"
+OPAQUE_QUERY_ENCODE = r"\x00-\x20\"#<>\x7f-\x{10ffff}"
+# Characters that no host name may hold.
+HOST_FORBIDDEN = r"\x00-\x20\"#%/:<>?@\[\\\]\^`{|}\x7f"
+# Characters that Python's quote() encodes: all but letters, digits, _.-~/
+QUOTE_ENCODE = r"\x00-,:-@\[-\^`{-}\x7f-\x{10ffff}"
 # ---------------------------------------------------------------------------
 
 
@@ -109,81 +117,146 @@ def remove_dot_segments(path) -> Column:
     return F.concat(F.lit("/"), F.array_join(kept, "/"))
 
 
+def _reference(col) -> Column:
+    """A reference split into head (scheme, authority and path), query and
+    fragment; query and fragment are null where their mark is missing."""
+    def body(u):
+        return F.struct(F.regexp_extract(u, r"(?s)^([^?#]*)", 1).alias("head"),
+                        F.when(u.rlike(r"(?s)^[^#]*\?"), F.regexp_extract(u, r"(?s)^[^?#]*\?([^#]*)", 1)).alias("query"),
+                        F.when(u.contains("#"), F.regexp_extract(u, r"(?s)^[^#]*#(.*)$", 1)).alias("fragment"))
+    trimmed = F.regexp_replace(_c(col), r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    return let(F.regexp_replace(trimmed, r"[\t\n\r]", ""), body)
+
+
+def _slashes(col: Column) -> Column:
+    """Backslashes of a head are slashes; queries and fragments keep theirs."""
+    return F.translate(col, "\\", "/")
+
+
+def _authority(auth: Column, scheme: Column) -> Column:
+    """The serialised authority of a special URL; null where a browser
+    rejects it (no host, a bad port, a character that no host may hold).
+
+    User names and passwords keep their case and are percent-encoded, the
+    host is decoded and lower-cased, a default or empty port disappears."""
+    port_of = F.create_map(*[x for k, v in DEFAULT_PORTS.items() for x in (F.lit(k), F.lit(v))])
+
+    def split(a):
+        info = F.regexp_extract(a, r"(?s)^(.*)@", 1)
+        hostport = F.regexp_replace(a, r"(?s)^.*@", "")
+        bracketed = hostport.startswith("[")
+        host = F.when(bracketed, F.regexp_extract(hostport, r"(?s)^(\[[^\]]*\]?)", 1)).otherwise(F.regexp_extract(hostport, r"(?s)^([^:]*)", 1))
+        return F.struct(F.regexp_extract(info, r"(?s)^([^:]*)", 1).alias("user"), F.regexp_extract(info, r"(?s)^[^:]*:(.*)$", 1).alias("password"),
+                        F.when(bracketed, host).otherwise(py_unquote(host)).alias("host"), hostport.alias("hostport"),
+                        F.length(host).alias("n"))
+
+    def parts(p):
+        tail = F.substring(p["hostport"], p["n"] + 1, F.length(p["hostport"]))
+        digits = F.regexp_replace(F.regexp_extract(tail, r"^:([0-9]*)$", 1), r"^0+(?=[0-9])", "")
+        port_ok = (tail == "") | (tail.rlike(r"^:[0-9]*$") & (F.length(digits) <= 5) & (F.coalesce(digits.try_cast("int"), F.lit(0)) <= 65535))
+        host_ok = F.when(p["host"].startswith("["), p["host"].rlike(r"^\[[0-9A-Fa-f:.]+\]$")).otherwise(~p["host"].rlike(f"[{HOST_FORBIDDEN}]") & (p["host"] != ""))
+        return F.struct(p["user"].alias("user"), p["password"].alias("password"), F.lower(p["host"]).alias("host"), digits.alias("port"), (port_ok & host_ok).alias("ok"))
+
+    def render(p):
+        known = F.coalesce(F.element_at(port_of, scheme) == p["port"], F.lit(False))
+        password = F.when(p["password"] != "", F.concat(F.lit(":"), pct_encode(p["password"], USERINFO_ENCODE))).otherwise(F.lit(""))
+        info = F.when((p["user"] != "") | (p["password"] != ""), F.concat(pct_encode(p["user"], USERINFO_ENCODE), password, F.lit("@"))).otherwise(F.lit(""))
+        port = F.when((p["port"] != "") & ~known, F.concat(F.lit(":"), p["port"])).otherwise(F.lit(""))
+        return F.when(p["ok"], F.concat(info, p["host"], port))
+    return let(auth, lambda a: let(split(a), lambda p: let(parts(p), render)))
+
+
 def resolve_href(base, href) -> Column:
     """U2+U3: the absolute URL a browser reports as ``a.href``.
 
-    Covers absolute, scheme-relative, path-absolute, path-relative,
-    query-only, fragment-only and empty references; lower-cases scheme and
-    host, drops default ports, removes dot segments and percent-encodes.
-    Non-special schemes (``javascript:``, ``mailto:``) are returned as
-    written.  IDNA host conversion is not applied.
+    The reference is split into head, query and fragment first; each part
+    then has its own rules.  Only the head reads backslashes as slashes and
+    has dot segments removed; the authority is read by ``_authority``; path,
+    query and fragment are percent-encoded with their own sets.  Covers
+    absolute, scheme-relative, path-absolute, path-relative, query-only,
+    fragment-only and empty references, also after a scheme equal to the
+    base's.  References with other schemes keep their opaque part
+    (``javascript:``, ``mailto:``).  What a browser cannot resolve is given
+    back as written.  IDNA and numeric IPv4 host forms are not applied.
     """
-    cleaned_href = F.regexp_replace(F.regexp_replace(_c(href), r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\n\r]", "")
-    port_map = F.create_map(*[x for k, v in DEFAULT_PORTS.items() for x in (F.lit(k), F.lit(v))])
+    def scheme_of(head):
+        return F.lower(F.regexp_extract(head, _SCHEME_RE, 1))
 
-    def parts(v):
+    def read(v):
         b, h = v["b"], v["h"]
-        hscheme = F.lower(F.regexp_extract(h, _SCHEME_RE, 1))
-        rest = F.regexp_replace(h, _SCHEME_RE, "")
+        bscheme, hscheme = scheme_of(b["head"]), scheme_of(h["head"])
+        brest = _slashes(F.regexp_replace(b["head"], _SCHEME_RE, ""))
+        rest = F.regexp_replace(h["head"], _SCHEME_RE, "")
+        special = hscheme.isin(*SPECIAL_SCHEMES)
+        return F.struct(
+            v["raw"].alias("raw"), bscheme.alias("bscheme"), F.regexp_extract(brest, r"(?s)^/*([^/]*)", 1).alias("bauth"),
+            F.regexp_extract(brest, r"(?s)^/*[^/]*(.*)$", 1).alias("bpath"), b["query"].alias("bquery"),
+            hscheme.alias("hscheme"), ((hscheme != "") & ~special).alias("opaque"), rest.alias("rest"), _slashes(rest).alias("ref"),
+            h["query"].alias("query"), h["fragment"].alias("fragment"),
+            # a scheme equal to the base's before anything but two slashes begins a relative reference
+            (special & ((hscheme != bscheme) | _slashes(rest).startswith("//"))).alias("absolute"))
+
+    def place(p):
+        ref, file = p["ref"], F.when(p["absolute"], p["hscheme"]).otherwise(p["bscheme"]) == "file"
+        own_auth = p["absolute"] | ref.startswith("//")
+        after = F.when(file, F.regexp_extract(ref, r"(?s)^(?://)?(.*)$", 1)).otherwise(F.regexp_extract(ref, r"(?s)^/*(.*)$", 1))
+        merged = F.concat(F.regexp_replace(p["bpath"], r"[^/]*$", ""), ref)
+        path = (F.when(own_auth, F.regexp_extract(after, r"(?s)^[^/]*(.*)$", 1)).when(ref.startswith("/"), ref)
+                .when(ref == "", p["bpath"]).otherwise(F.when(merged.startswith("/"), merged).otherwise(F.concat(F.lit("/"), merged))))
         return F.struct(
-            F.lower(_group(b, 1)).alias("bscheme"), _group(b, 2).alias("bauth"),
-            F.when(_group(b, 3) == "", F.lit("/")).otherwise(_group(b, 3)).alias("bpath"),
-            F.when(b.rlike(r"^[^#]*\?"), _group(b, 4)).alias("bquery"),
-            h.alias("h"), hscheme.alias("hscheme"), h.rlike(_SCHEME_RE).alias("has_scheme"),
-            rest.alias("rest"), F.regexp_replace(h, r"\\", "/").alias("h_slash"),
-            F.regexp_replace(rest, r"\\", "/").alias("rest_slash"))
-
-    def decide(p):
-        special = p["hscheme"].isin(*SPECIAL_SCHEMES)
-        # "http:foo" against an http base is a relative reference
-        same_rel = p["has_scheme"] & special & (p["hscheme"] == p["bscheme"]) & ~p["rest_slash"].startswith("/")
-        absolute = p["has_scheme"] & special & ~same_rel
-        rel = F.when(same_rel, p["rest_slash"]).otherwise(p["h_slash"])
-        return F.struct(p.alias("p"), (p["has_scheme"] & ~special).alias("opaque"),
-                        absolute.alias("absolute"), rel.alias("rel"))
-
-    def compose(x):
-        p, rel, absolute = x["p"], x["rel"], x["absolute"]
-        rs = p["rest_slash"]
-        rel_auth = rel.startswith("//")
-        rel_path_abs = rel.startswith("/") & ~rel_auth
-        r_path = F.regexp_extract(rel, r"(?s)^(?://[^/?#]*)?([^?#]*)", 1)
-        r_has_q = rel.rlike(r"^[^#]*\?")
-        r_query = F.regexp_extract(rel, r"(?s)^[^?#]*\?([^#]*)", 1)
-        scheme = F.when(absolute, p["hscheme"]).otherwise(p["bscheme"])
-        auth = (F.when(absolute, F.regexp_extract(rs, r"(?s)^/*([^/?#]*)", 1))
-                .when(rel_auth, F.regexp_extract(rel, r"(?s)^//([^/?#]*)", 1))
-                .otherwise(p["bauth"]))
-        path = (F.when(absolute, F.regexp_extract(p["h_slash"], r"(?s)^[A-Za-z][A-Za-z0-9+.\-]*:/*[^/?#]*([^?#]*)", 1))
-                .when(rel_auth | rel_path_abs, r_path)
-                .when(r_path == "", p["bpath"])
-                .otherwise(F.concat(F.regexp_replace(p["bpath"], r"[^/]*$", ""), r_path)))
-        query = (F.when(absolute, F.when(rs.rlike(r"^[^#]*\?"), F.regexp_extract(rs, r"(?s)^[^?#]*\?([^#]*)", 1)))
-                 .when(rel_auth | rel_path_abs | (r_path != "") | r_has_q, F.when(r_has_q, r_query))
-                 .otherwise(p["bquery"]))
-        frag = (F.when(absolute, F.when(rs.contains("#"), F.regexp_extract(rs, r"(?s)#(.*)$", 1)))
-                .otherwise(F.when(rel.contains("#"), F.regexp_extract(rel, r"(?s)#(.*)$", 1))))
-        return F.struct(x["opaque"].alias("opaque"), p["h"].alias("h"), p["hscheme"].alias("hscheme"),
-                        p["rest"].alias("rest"), scheme.alias("scheme"), F.lower(auth).alias("host"),
-                        F.when(path == "", F.lit("/")).otherwise(path).alias("path"),
-                        query.alias("query"), frag.alias("frag"))
+            p.alias("p"), file.alias("file"), F.when(p["absolute"], p["hscheme"]).otherwise(p["bscheme"]).alias("scheme"),
+            F.when(own_auth, F.regexp_extract(after, r"(?s)^([^/]*)", 1)).otherwise(p["bauth"]).alias("auth"),
+            F.when(path == "", F.lit("/")).otherwise(path).alias("path"),
+            F.when(own_auth | (ref != "") | p["query"].isNotNull(), p["query"]).otherwise(p["bquery"]).alias("query"))
+
+    def mark(sign: str, part: Column, chars: str) -> Column:
+        return F.when(part.isNotNull(), F.concat(F.lit(sign), pct_encode(part, chars))).otherwise(F.lit(""))
 
     def render(r):
-        dport = F.element_at(port_map, r["scheme"])
-        host = F.when(dport.isNotNull(),
-                      F.regexp_replace(r["host"], F.concat(F.lit(":"), dport, F.lit("$")), F.lit(""))
-                      ).otherwise(r["host"])
-        out = F.concat(r["scheme"], F.lit("://"), host,
-                       pct_encode(remove_dot_segments(r["path"]), PATH_ENCODE),
-                       F.when(r["query"].isNotNull(), F.concat(F.lit("?"), pct_encode(r["query"], QUERY_ENCODE))).otherwise(F.lit("")),
-                       F.when(r["frag"].isNotNull(), F.concat(F.lit("#"), pct_encode(r["frag"], FRAGMENT_ENCODE))).otherwise(F.lit("")))
-        return (F.when(r["opaque"], F.concat(r["hscheme"], F.lit(":"), r["rest"]))
-                .when((r["scheme"] == "") | (r["host"] == ""), r["h"])
-                .otherwise(out))
-
-    bound = F.struct(_clean(base).alias("b"), cleaned_href.alias("h"))
-    resolved = let(bound, lambda v: let(parts(v), lambda p: let(decide(p), lambda x: let(compose(x), render))))
-    return F.when(_c(href).isNull(), F.lit(None)).otherwise(resolved)
+        p = r["p"]
+        fragment = mark("#", p["fragment"], FRAGMENT_ENCODE)
+        auth = F.when(r["file"] & (r["auth"] == ""), F.lit("")).otherwise(_authority(r["auth"], r["scheme"]))
+        special = F.concat(r["scheme"], F.lit("://"), auth, pct_encode(remove_dot_segments(r["path"]), PATH_ENCODE), mark("?", r["query"], QUERY_ENCODE), fragment)
+        opaque = F.concat(p["hscheme"], F.lit(":"), pct_encode(p["rest"], OPAQUE_ENCODE), mark("?", p["query"], OPAQUE_QUERY_ENCODE), fragment)
+        return F.when(p["opaque"], opaque).when(r["scheme"] == "", p["raw"]).otherwise(F.coalesce(special, p["raw"]))
+
+    bound = F.struct(_reference(base).alias("b"), _reference(href).alias("h"), _c(href).alias("raw"))
+    return F.when(_c(href).isNotNull(), let(bound, lambda v: let(read(v), lambda p: let(place(p), render))))
+
+
+# ---- the standard library's quoting ----------------------------------------
+
+def py_unquote(col) -> Column:
+    """Python ``unquote``: runs of %XX become the UTF-8 text they encode,
+    bytes that are no UTF-8 the replacement character."""
+    toks = F.regexp_extract_all(_c(col), F.lit(r"(?s)(?:%[0-9A-Fa-f]{2})+|[^%]+|%"), F.lit(0))
+    decoded = F.transform(toks, lambda t: F.when(t.rlike(r"^%[0-9A-Fa-f]{2}"), F.make_valid_utf8(F.unhex(F.translate(t, "%", "")).cast("string"))).otherwise(t))
+    return F.when(_c(col).contains("%"), F.array_join(decoded, "")).otherwise(_c(col))
+
+
+def py_quote(col) -> Column:
+    """Python ``quote``: everything but letters, digits and ``_.-~/`` is
+    percent-encoded."""
+    return pct_encode(col, QUOTE_ENCODE)
+
+
+def py_urlunparse(p: Column, whole: bool = True) -> Column:
+    """Python ``urlunparse`` of ``url_parts``; empty parts lose their marks.
+    ``whole`` false leaves scheme and netloc out."""
+    tail = F.concat(p["path"], *[F.when(p[name] != "", F.concat(F.lit(sign), p[name])).otherwise(F.lit(""))
+                                 for sign, name in ((";", "params"), ("?", "query"), ("#", "fragment"))])
+    if not whole:
+        return tail
+    rooted = F.when((p["path"] != "") & ~p["path"].startswith("/"), F.concat(F.lit("/"), tail)).otherwise(tail)
+    with_auth = F.when(p["netloc"] != "", F.concat(F.lit("//"), p["netloc"], rooted)).otherwise(tail)
+    return F.when(p["scheme"] != "", F.concat(p["scheme"], F.lit(":"), with_auth)).otherwise(with_auth)
+
+
+def splits(col) -> Column:
+    """Whether Python ``urlparse`` accepts the text: a bracket of an IPv6
+    host must have its counterpart."""
+    netloc = _group(_clean(col), 2)
+    return F.coalesce(netloc.contains("[") == netloc.contains("]"), F.lit(False))
 
 
 def py_urljoin_abs(base, url) -> Column:

@@ -18,12 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagegrove.functions.text import LINE_BREAKS, py_strip
-from pagegrove.functions.urls import resolve_href, url_host, url_parts
+from pagegrove.functions.text import let, py_strip, split_lines
+from pagegrove.functions.urls import py_quote, py_unquote, py_urlunparse, resolve_href, splits, url_host, url_parts, valid_url
 
 # --- Fixed values -----------------------------------------------------------
 PAGE_SEPARATOR = "\n\n---\n\n"
 DETAIL_PREFIX = "  - Detailed content: "
+# Directives of robots.txt that belong to no group.
+SITE_DIRECTIVES = ["llm", "llm-full", "sitemap"]
 # ---------------------------------------------------------------------------
 
 
@@ -142,58 +144,84 @@ def link_metadata(site_links: DataFrame, files: DataFrame) -> DataFrame:
     return site_links.join(f, "url", "left").select("site", "url", "title", "md_chars")
 
 
+def robots_lines(robots: DataFrame) -> DataFrame:
+    """``(host, line_no, blank, key, val)``: the directives of every robots.txt
+    and its empty lines; comments are cut off, values percent-decoded.  Lines
+    of white space only are neither."""
+    lines = robots.select("host", F.posexplode(split_lines(F.col("robots_txt"))).alias("line_no", "raw"))
+    line = py_strip(F.regexp_extract("raw", r"(?s)^([^#]*)", 1))
+    named = line.contains(":")
+    key = F.lower(py_strip(F.regexp_extract(line, r"(?s)^([^:]*):", 1)))
+    val = py_unquote(py_strip(F.regexp_extract(line, r"(?s)^[^:]*:(.*)$", 1)))
+    return (lines.select("host", F.col("line_no").cast("int").alias("line_no"), (F.col("raw") == "").alias("blank"), named.alias("named"), key.alias("key"), val.alias("val"))
+            .where("blank or named").drop("named"))
+
+
 def parse_robots(robots: DataFrame) -> DataFrame:
     """Robots.txt text per host -> ``(host, group_no, agent, rule_no,
-    allow, path_prefix)``, one row per agent and rule of a group.
-
-    Consecutive User-agent lines open one group; a blank line, or a
-    User-agent line after rules, closes it; rules outside a group are
-    ignored.  Comments are dropped; an empty Disallow allows all."""
-    lines = robots.select("host", F.posexplode(F.split(F.col("robots_txt"), LINE_BREAKS)).alias("line_no", "raw"))
-    line = py_strip(F.regexp_replace(F.col("raw"), "#.*$", ""))
-    key = F.lower(py_strip(F.regexp_extract(line, r"^([^:]*):", 1)))
-    val = py_strip(F.regexp_extract(line, r"^[^:]*:(.*)$", 1))
-    blank = py_strip(F.col("raw")) == ""
-    parsed = (lines.select("host", "line_no", F.when(blank, "").otherwise(key).alias("key"), val.alias("val"))
-              .filter(F.col("key").isin("", "user-agent", "allow", "disallow")))
+    directive, allow, path_prefix)``, one row per agent and line of a group.
+
+    Consecutive User-agent lines open one group; an empty line, or a
+    User-agent line after other directives, closes it; directives outside a
+    group are ignored.  Groups without any directive are none.  Paths are in
+    the percent-encoded form of ``robots_path``; an empty Disallow allows
+    all.  ``crawl-delay`` and ``request-rate`` lines have no path, but make a
+    group too.  A host with a path that the standard parser cannot read has no
+    rows (an unreadable file allows all)."""
+    rules = ["allow", "disallow", "crawl-delay", "request-rate"]
+    parsed = robots_lines(robots).withColumn("key", F.when(F.col("blank"), "").otherwise(F.col("key"))).where(F.col("key").isin("", "user-agent", *rules))
     w = Window.partitionBy("host").orderBy("line_no")
     opens = (F.col("key") == "user-agent") & (F.coalesce(F.lag("key").over(w), F.lit("")) != "user-agent")
+    has_path = F.col("key").isin("allow", "disallow")
     grouped = (parsed.withColumn("step", F.when(opens | (F.col("key") == ""), 1).otherwise(0))
-               .withColumn("group_no", F.sum("step").over(w)))
+               .withColumn("group_no", F.sum("step").over(w))
+               .withColumn("bad", F.max(has_path & ~splits(F.col("val"))).over(Window.partitionBy("host"))).where("not bad"))
     agents = grouped.filter(F.col("key") == "user-agent").select("host", "group_no", F.col("val").alias("agent")).distinct()
-    rules = grouped.filter(F.col("key").isin("allow", "disallow"))
-    joined = rules.join(agents, ["host", "group_no"])
+    joined = grouped.filter(F.col("key").isin(*rules)).join(agents, ["host", "group_no"])
     return joined.select(
-        "host", F.col("group_no").cast("int").alias("group_no"), "agent", F.col("line_no").cast("int").alias("rule_no"),
-        ((F.col("key") == "allow") | (F.col("val") == "")).alias("allow"),
-        F.col("val").alias("path_prefix"))
+        "host", F.col("group_no").cast("int").alias("group_no"), "agent", F.col("line_no").alias("rule_no"), F.col("key").alias("directive"),
+        F.when(has_path, (F.col("key") == "allow") | (F.col("val") == "")).alias("allow"),
+        F.when(has_path, let(url_parts(F.col("val")), lambda p: py_quote(py_urlunparse(p)))).alias("path_prefix"))
+
+
+def robots_guidance(robots: DataFrame) -> DataFrame:
+    """The lines that hold for a whole site, whatever their place:
+    ``(host, rule_no, directive, value)`` of ``LLM``, ``LLM-full`` and
+    ``Sitemap`` lines; values that are no URL with a host are left out."""
+    lines = robots_lines(robots).where(F.col("key").isin(*SITE_DIRECTIVES))
+    return lines.where(valid_url(F.col("val"))).select("host", F.col("line_no").alias("rule_no"), F.col("key").alias("directive"), F.col("val").alias("value"))
 
 
 def host_rules(rules: DataFrame, agent: str = "*") -> DataFrame:
     """``(host, rules)``: the rules that apply to ``agent``, in file order.
 
     The first group that names part of the agent's product (without regard
-    to case) applies; the first ``*`` group only where no group does."""
+    to case) applies; only where none does, the first group that has ``*``
+    among its agents, which counts for nothing else."""
     product = agent.split("/")[0].lower()
-    named = (F.col("agent") != "*") & F.lit(product).contains(F.lower("agent")) & (F.col("agent") != "")
-    r = rules.withColumn("rank", F.when(named, 0).when(F.col("agent") == "*", 1)).filter(F.col("rank").isNotNull())
-    best = r.groupBy("host").agg(F.min(F.struct("rank", "group_no")).alias("best"))
-    mine = r.join(best, "host").filter(F.struct("rank", "group_no") == F.col("best")).dropDuplicates(["host", "rule_no"])
+    groups = rules.groupBy("host", "group_no").agg(F.max(F.col("agent") == "*").alias("default"), F.max(F.lit(product).contains(F.lower("agent"))).alias("named"))
+    rank = F.when(F.col("default"), 1).when(F.col("named"), 0)
+    best = groups.where(rank.isNotNull()).groupBy("host").agg(F.min(F.struct(rank.alias("rank"), "group_no")).alias("best")).select("host", "best.group_no")
+    mine = rules.join(best, ["host", "group_no"]).where("allow is not null").dropDuplicates(["host", "rule_no"])
     return mine.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("rule_no", "allow", "path_prefix"))).alias("rules"))
 
 
+def robots_path(url) -> F.Column:
+    """What rules are tested against: the URL decoded, split, and its path,
+    parameters, query and fragment encoded again; ``/`` if that is empty."""
+    return let(url_parts(py_unquote(url)), lambda p: let(py_quote(py_urlunparse(p, whole=False)), lambda x: F.when(x == "", F.lit("/")).otherwise(x)))
+
+
 def allowed_urls(urls: DataFrame, rules: DataFrame, agent: str = "*") -> DataFrame:
     """``(page_id, url, allowed)``: of the rules that apply to ``agent``
-    the first whose prefix matches the URL's path decides; none allows.
-
-    Rules are folded to one row per host (a robots.txt has a bounded size)
-    and tested in place, so URLs are joined once and never multiplied."""
-    p = url_parts(F.col("url"))
-    u = urls.select("page_id", "url", url_host(F.col("url")).alias("host"),
-                    F.concat(F.when(p["path"] == "", F.lit("/")).otherwise(p["path"]),
-                             F.when(p["params"] != "", F.concat(F.lit(";"), p["params"])).otherwise(F.lit("")),
-                             F.when(p["query"] != "", F.concat(F.lit("?"), p["query"])).otherwise(F.lit(""))
-                             ).alias("rpath"))
+    the first whose path the URL's path begins with decides; none allows.
+
+    Both sides are in one percent-encoded form, so a rule holds however it
+    and the URL are written.  A URL that cannot be split is allowed.  Rules
+    are folded to one row per host (a robots.txt has a bounded size) and
+    tested in place, so URLs are joined once and never multiplied."""
+    u = urls.select("page_id", "url", url_host(F.col("url")).alias("host"), robots_path(F.col("url")).alias("rpath"))
     j = u.join(host_rules(rules, agent), "host", "left")
-    hit = F.filter("rules", lambda r: (r["path_prefix"] == "*") | F.col("rpath").startswith(r["path_prefix"]))
-    return j.select("page_id", "url", F.coalesce(F.get(hit, F.lit(0))["allow"], F.lit(True)).alias("allowed"))
+    hit = F.filter("rules", lambda r: F.col("rpath").startswith(r["path_prefix"]))
+    allowed = F.coalesce(F.get(hit, F.lit(0))["allow"], F.lit(True)) | ~splits(py_unquote(F.col("url")))
+    return j.select("page_id", "url", allowed.alias("allowed"))

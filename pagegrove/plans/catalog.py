@@ -629,7 +629,7 @@ SELECT host, 1 AS group_no, '*' AS agent, rule_no, allow, path_prefix FROM ({I.R
   (VALUES (1, true, '/en/'), (2, false, '/')) r(rule_no, allow, path_prefix)""")
 def q_robots_rules(spark, sf):
     """Robots.txt text of every host parsed into rules."""
-    return R.parse_robots(I.robots_texts(pages(spark, sf)))
+    return R.parse_robots(I.robots_texts(pages(spark, sf))).drop("directive")
 
 
 @query("robots_allowed", f"""
@@ -677,3 +677,7 @@ def q_nav_tree_lines(spark, sf):
     lines = F.split(F.regexp_replace(F.col("nav_md"), "\n$", ""), "\n")
     return (n.select("page_id", F.posexplode_outer(F.when(F.col("nav_md") != "", lines)).alias("line_no", "line"))
             .filter(F.col("line").isNotNull()))
+
+
+# queries on inputs composed from the tables; they register themselves
+from pagegrove.plans import robots  # noqa: E402, F401
