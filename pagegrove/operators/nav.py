@@ -211,10 +211,9 @@ def _is_dup(r: Column, before: Column) -> Column:
     return (r["depth"] == 0) & (r["url"] != "") & F.coalesce(before["url"] == r["url"], F.lit(False))
 
 
-def _row_ok(r: Column, before: Column) -> Column:
-    """T1-T3 and N7 for one row (subtree drop is applied by the walk);
-    ``r.full`` is the urljoin'ed URL, ``before`` the row ahead of it when
-    top rows come first and are sorted by URL and path."""
+def row_fits(r: Column) -> Column:
+    """T1-T3 for one row, without its place in the tree; ``r.full`` is the
+    urljoin'ed URL."""
     title = r["title_s"]
     has_url = r["url"] != ""
     has_children = r["sub"].isNotNull() & (r["nkids"] > 0)
@@ -226,13 +225,24 @@ def _row_ok(r: Column, before: Column) -> Column:
             ok = ok & ~low.contains(s)
         return ok
     return (has_url | has_children) & (F.length(title) >= MIN_TITLE_LENGTH) \
-        & ~F.lower(title).isin(*STOP_TITLES) & (~has_url | let(url_parts(r["full"]), url_ok)) & ~_is_dup(r, before)
+        & ~F.lower(title).isin(*STOP_TITLES) & (~has_url | let(url_parts(r["full"]), url_ok))
+
+
+def _row_ok(r: Column, before: Column) -> Column:
+    """T1-T3 and N7 for one row (subtree drop is applied by the walk);
+    ``before`` is the row ahead of it when top rows come first and are
+    sorted by URL and path."""
+    return row_fits(r) & ~_is_dup(r, before)
+
+
+def line_of(depth: Column, title: Column, url: Column, full: Column) -> Column:
+    """T5: one row of the rendered tree, without its line break."""
+    body = F.when(url != "", F.concat(F.lit("["), title, F.lit("]("), full, F.lit(")"))).otherwise(title)
+    return F.concat(F.repeat(F.lit("  "), depth), F.lit("- "), body)
 
 
 def _row_line(r: Column) -> Column:
-    body = F.when(r["url"] != "", F.concat(F.lit("["), r["title"], F.lit("]("), r["full"], F.lit(")"))
-                  ).otherwise(r["title"])
-    return F.concat(F.repeat(F.lit("  "), r["depth"]), F.lit("- "), body, F.lit("\n"))
+    return F.concat(line_of(r["depth"], r["title"], r["url"], r["full"]), F.lit("\n"))
 
 
 def render_nav(expanded: DataFrame) -> DataFrame:

@@ -680,4 +680,4 @@ def q_nav_tree_lines(spark, sf):
 
 
 # queries on inputs composed from the tables; they register themselves
-from pagegrove.plans import robots  # noqa: E402, F401
+from pagegrove.plans import composed, robots  # noqa: E402, F401
