@@ -19,12 +19,13 @@ Tables
 Links
     First each member of a run is offered the run's first member.  Buckets
     that still touch two components are *open*: their rows meet in salted
-    sub-blocks, in which rows outside the largest component are compared with
-    the others by their sketches.  Two waves offer each class its few most
-    similar partners of other components; the last one takes all pairs that
-    may link.  A pair is verified if the sizes fit and at least ``agreement``
-    of the minhashes agree (at the threshold one pair in 10^5 has fewer), once,
-    and never inside one component, since only components are asked for.
+    sub-blocks, where rows outside the largest component are compared with the
+    others.  A pair may link if the sizes fit and enough bits of two sketches of 256
+    one-bit minhashes agree (at the threshold one pair in 10^5 has fewer); it
+    counts only in the table of the first two collections that agree.  Rows
+    without such a pair leave; whole sets come to the blocks of the others, where all
+    their pairs are confirmed in place.  A block gives back only links that join two
+    components, never more than it has rows, since only components are asked for.
 
 Input ``(id, text)``; other columns are ignored.  Result: one row per input
 row with ``n_shingles`` (0 for null, empty or blank texts), ``component`` (least
@@ -52,8 +53,10 @@ from pagegrove.llm.jaccard_tree import digest, shingle_sets, verified
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 COLLECTIONS, ROWS = 12, 2
-#: Rows of one sub-block of an open bucket; partners offered to a class in a wave; waves before the last one.
-BLOCK, OFFERS, WAVES = 2000, 4, 2
+#: Minhashes of one bit in the sketch that rules pairs out; rows of one sub-block of an open bucket; tables' numbers in a key's low bits.
+BITS, BLOCK, TABLE_BITS = 256, 2000, 10
+#: Pairs for each row of a block up to which they are confirmed one by one.
+FEW_PAIRS = 4
 #: Bits of the filter that the second scan of the texts uses, at most (128 MB); what it lets through is joined exactly.
 MOST_FILTER_BITS = 30
 CHUNK_CELLS = 1 << 20
@@ -65,8 +68,9 @@ def miss(similarity: float, collections: int = COLLECTIONS, rows: int = ROWS) ->
     return (1 - p) ** collections + collections * p * (1 - p) ** (collections - 1)
 
 
-def agreement(similarity: float, hashes: int, lost: float = 1e-5) -> int:
-    """The most minhashes that may be asked to agree so that at most ``lost`` of the pairs at ``similarity`` have fewer."""
+def agreement(similarity: float, hashes: int = BITS, lost: float = 1e-5) -> int:
+    """The most one-bit minhashes that may be asked to agree so that at most ``lost`` of the pairs at ``similarity`` have fewer."""
+    similarity = (1 + similarity) / 2  # others agree by chance half the time
     total, k = 0.0, 0
     while k < hashes:
         total += comb(hashes, k) * similarity ** k * (1 - similarity) ** (hashes - k)
@@ -78,10 +82,10 @@ def agreement(similarity: float, hashes: int, lost: float = 1e-5) -> int:
 
 # ---- sketches ------------------------------------------------------------
 
-def minhashes(sets: list[np.ndarray], hashes: int) -> np.ndarray:
+def minhashes(sets: list[np.ndarray], hashes: int, seed: int = 1313) -> np.ndarray:
     """A row of 32-bit minhashes for each non-empty set; tokens are uniform already, so odd factors permute them."""
     toks, starts = np.concatenate(sets), np.cumsum([0, *map(len, sets[:-1])])
-    factor = rand64(hashes, 1313) | np.uint64(1)
+    factor = rand64(hashes, seed) | np.uint64(1)
     out = np.empty((len(sets), hashes), np.uint32)
     with np.errstate(over="ignore"):
         for h in range(hashes):
@@ -89,6 +93,12 @@ def minhashes(sets: list[np.ndarray], hashes: int) -> np.ndarray:
     return out
 
 
+def bit_sketch(sets: list[np.ndarray]) -> np.ndarray:
+    """``BITS`` one-bit minhashes for each set, as 64-bit words; a bit is the parity of a mixed minhash."""
+    low = mix64(minhashes(sets, BITS, 4242).astype(np.uint64) + np.uint64(1)) & np.uint64(1)
+    return np.packbits(low.astype(np.uint8), axis=1, bitorder="little").view(np.uint64)
+
+
 def _scan(width: int, hashes: int):
     """Rows ``(id, n, cid, sketch)``; the sketch with a class's first row in the task only."""
     def run(batches):
@@ -108,9 +118,9 @@ def _scan(width: int, hashes: int):
     return run
 
 
-def _matrix(col: pa.Array) -> np.ndarray:
+def _matrix(col: pa.Array, kind=np.uint32) -> np.ndarray:
     rows = col.to_pylist()
-    return np.frombuffer(b"".join(rows), np.uint32).reshape(len(rows), -1)
+    return np.frombuffer(b"".join(rows), kind).reshape(len(rows), -1)
 
 
 def _collections(collections: int, rows: int):
@@ -186,7 +196,7 @@ def _runs(batches):
 # ---- pairs ---------------------------------------------------------------
 
 def _fit(n, m, num, den):
-    return (den * np.minimum(n, m) >= num * np.maximum(n, m))
+    return den * np.minimum(n, m) >= num * np.maximum(n, m)
 
 
 def _alike(num: int, den: int, agree: int):
@@ -194,43 +204,102 @@ def _alike(num: int, den: int, agree: int):
     def run(batches):
         for b in batches:
             if b.num_rows:
-                same = (_matrix(b.column("x")) == _matrix(b.column("y"))).sum(1)
+                x, y = _matrix(b.column("x"), np.uint64), _matrix(b.column("y"), np.uint64)
+                same = BITS - np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
                 keep = pa.array((same >= agree) & _fit(b.column("n").to_numpy(), b.column("m").to_numpy(), num, den), pa.bool_())
                 yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
     return run
 
 
-def block_offers(cid, n, root, sketch, num: int, den: int, agree: int, offers: int | None):
-    """Pairs ``(x, y, agreeing)`` of classes of two components in one block: the best ``offers`` of each class, or all."""
+def first_table(x: np.ndarray, y: np.ndarray, rows: int) -> np.ndarray:
+    """For each two rows of minhashes the number of the table of the first two collections that agree (-1: none)."""
+    same = (x == y).reshape(len(x), x.shape[1] // rows, rows).all(2)
+    n = same.shape[1]
+    i = same.argmax(1)
+    rest = same & (np.arange(n)[None, :] > i[:, None])
+    return np.where(rest.any(1), i * n + rest.argmax(1), -1)
+
+
+def block_pairs(table: int, n, root, sketch, bits, rows: int, num: int, den: int, agree: int):
+    """Places ``(x, y)`` of pairs of two components in one block that may link and belong to its table."""
     _, which, size = np.unique(root, return_inverse=True, return_counts=True)
     small = np.flatnonzero(which != size.argmax())  # a pair of two components has one member outside the largest
-    out = [np.zeros((3, 0), np.int64)]
-    step = max(1, CHUNK_CELLS // len(cid))
+    out = [np.zeros((2, 0), np.int64)]
+    step = max(1, CHUNK_CELLS // len(n))
     for s in range(0, len(small), step):
         x = small[s:s + step]
-        same = np.zeros((len(x), len(cid)), np.int16)
-        for h in range(sketch.shape[1]):
-            same += sketch[x, h][:, None] == sketch[:, h][None, :]
-        ok = (same >= agree) & (root[x][:, None] != root[None, :]) & _fit(n[x][:, None], n[None, :], num, den)
-        same = np.where(ok, same, -1)
-        if offers and offers < len(cid):
-            y = np.argpartition(-same, offers - 1, axis=1)[:, :offers]
-            i = np.repeat(np.arange(len(x)), y.shape[1])
-            y = y.ravel()
-        else:
-            i, y = np.nonzero(ok)
-        good = same[i, y] >= 0
-        i, y = i[good], y[good]
-        out.append(np.stack([cid[x[i]], cid[y], same[i, y]]))
+        same = np.full((len(x), len(n)), BITS, np.int16)
+        for w in range(bits.shape[1]):
+            same -= np.bitwise_count(bits[x, w][:, None] ^ bits[:, w][None, :])
+        ok = (same >= agree) & (which[x][:, None] != which[None, :]) & _fit(n[x][:, None], n[None, :], num, den)
+        i, y = np.nonzero(ok)
+        x = x[i]
+        own = first_table(sketch[x], sketch[y], rows) == table
+        out.append(np.stack([x[own], y[own]]))
     return np.concatenate(out, axis=1)
 
 
-def _blocks(num: int, den: int, agree: int, offers: int | None):
-    """Offers of all blocks ``(key, i, j)`` of a partition sorted by them; one block is held at a time."""
-    def offered(held):
-        col = lambda c: np.concatenate([h.column(c).to_numpy() for h in held])
-        x = block_offers(col("cid"), col("n"), col("root"), np.concatenate([_matrix(h.column("sketch")) for h in held]), num, den, agree, offers)
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in x], ["a", "b", "same"])
+def block_links(x: np.ndarray, y: np.ndarray, root: np.ndarray, toks: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+    """Of the pairs ``(x, y)`` links that join up components as far as all links would; confirmed on whole sets."""
+    up = {int(r): int(r) for r in root}
+
+    def find(r):
+        while up[r] != r:
+            up[r] = up[up[r]]
+            r = up[r]
+        return r
+
+    def join(i, j):
+        a, b = find(int(root[i])), find(int(root[j]))
+        if a != b:
+            up[max(a, b)] = min(a, b)
+            out.append((i, j))
+    out: list[tuple[int, int]] = []
+    if len(x) <= FEW_PAIRS * len(toks):
+        for i, j in zip(x.tolist(), y.tolist(), strict=True):
+            if find(int(root[i])) != find(int(root[j])):
+                both = len(np.intersect1d(toks[i], toks[j], assume_unique=True))
+                if den * both >= num * (len(toks[i]) + len(toks[j]) - both):
+                    join(i, j)
+        return out
+    size = np.array([len(t) for t in toks])
+    code, count = np.unique(np.concatenate(toks), return_inverse=True, return_counts=True)[1:]
+    shared = np.cumsum(count > 1) - 1  # a column for each token of two rows
+    row = np.repeat(np.arange(len(toks)), size)
+    keep = count[code] > 1
+    row, col = row[keep], shared[code[keep]]
+    left, at = np.unique(x, return_inverse=True)
+    place = np.full(len(toks), -1)
+    place[left] = np.arange(len(left))
+    both = np.zeros((len(left), len(toks)), np.float32)
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    for s in range(0, int(shared[-1]) + 1, 2048):
+        a, b = np.searchsorted(col, [s, s + 2048])
+        m = np.zeros((len(toks), 2048), np.float32)
+        m[row[a:b], col[a:b] - s] = 1
+        both += m[left] @ m.T
+    found = both[at, y].astype(np.int64)
+    for k in np.flatnonzero(den * found >= num * (size[x] + size[y] - found)).tolist():
+        join(int(x[k]), int(y[k]))
+    return out
+
+
+def _blocks(rows: int, num: int, den: int, agree: int, confirm: bool):
+    """Of all blocks ``(key, i, j)`` of a partition sorted by them the rows with a pair that may link, or links ``(a, b)``; one block is held at a time."""
+    names = ["key", "i", "j", "cid", "root"]
+
+    def done(held, key):
+        t = pa.Table.from_batches(held).combine_chunks()
+        col = lambda c: t.column(c).to_numpy()
+        chunk = lambda c: t.column(c).combine_chunks()
+        x, y = block_pairs(key & ((1 << TABLE_BITS) - 1), col("n"), col("root"), _matrix(chunk("sketch")), _matrix(chunk("bits"), np.uint64), rows, num, den, agree)
+        if not confirm:
+            stay = np.unique(np.concatenate([x, y]))
+            return t.select(names).take(pa.array(stay)).combine_chunks().to_batches()
+        toks = [np.frombuffer(v, np.uint64) for v in t.column("toks").to_pylist()]
+        links = np.array(block_links(x, y, col("root"), toks, num, den), np.int64).reshape(-1, 2)
+        return [pa.RecordBatch.from_arrays([pa.array(col("cid")[links[:, k]]) for k in (0, 1)], ["a", "b"])]
 
     def run(batches):
         held, now = [], None
@@ -242,12 +311,12 @@ def _blocks(num: int, den: int, agree: int, offers: int | None):
             for s, e in zip(cut[:-1], cut[1:], strict=True):
                 this = tuple(at[:, s].tolist())
                 if held and this != now:
-                    yield offered(held)
+                    yield from done(held, now[0])
                     held = []
                 now = this
                 held.append(b.slice(s, e - s))
         if held:
-            yield offered(held)
+            yield from done(held, now[0])
     return run
 
 
@@ -264,8 +333,8 @@ def filter_of(cids: DataFrame, count: int) -> np.ndarray:
     return out
 
 
-def _tokens(width: int, wanted):
-    """``(cid, toks)`` of classes that the filter lets through, once per task."""
+def _tokens(width: int, hashes: int, wanted):
+    """``(cid, n, toks, sketch, bits)`` of classes that the filter lets through, once per task."""
     def run(batches):
         marks, words, seen = wanted.value, space_words(), set()
         for b in batches:
@@ -279,9 +348,11 @@ def _tokens(width: int, wanted):
                     if marks[slot >> 5] >> np.uint32(slot & 31) & np.uint32(1):
                         seen.add(c)
                         cid.append(c)
-                        toks.append(x.tobytes())
+                        toks.append(x)
                 if cid:
-                    yield pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array(toks, pa.binary())], ["cid", "toks"])
+                    raw = [[v.tobytes() for v in rows] for rows in (toks, minhashes(toks, hashes), bit_sketch(toks))]
+                    yield pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array([len(x) for x in toks], pa.int64()), *(pa.array(v, pa.binary()) for v in raw)],
+                                                     ["cid", "n", "toks", "sketch", "bits"])
     return run
 
 
@@ -292,7 +363,9 @@ def near_duplicates(docs: DataFrame, width: int = 3, num: int = 85, den: int = 1
     """``(id_col, n_shingles, component, kept)`` for every row of ``docs``; see the module's text."""
     spark = docs.sparkSession
     hashes = collections * rows
-    agree = agreement(num / den, hashes)
+    agree = agreement(num / den)
+    if collections**2 > 1 << TABLE_BITS:
+        raise ValueError(f"at most {1 << (TABLE_BITS // 2)} collections")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     scan = stage(texts.mapInArrow(_scan(width, hashes), "id long, n long, cid long, sketch binary"), "minhash-scan")
     ids = scan.select("id", "n", "cid")
@@ -302,7 +375,9 @@ def near_duplicates(docs: DataFrame, width: int = 3, num: int = 85, den: int = 1
     values = classes.mapInArrow(_collections(collections, rows), "value long, place int, cid long")
     shared = values.repartitionByRange(parts, "value", "cid").sortWithinPartitions("value", "cid").mapInArrow(_shared, "value long, place int, cid long")
     own = shared.groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("place", "value"))).alias("c"))
-    paired = F.flatten(F.transform("c", lambda x, k: F.transform(F.slice("c", k + 2, collections), lambda y: F.xxhash64(x["value"], y["value"]))))
+    in_low = (1 << TABLE_BITS) - 1
+    number = lambda x, y: F.xxhash64(x["value"], y["value"]).bitwiseAND(~in_low).bitwiseOR((x["place"] * collections + y["place"]).cast("long"))
+    paired = F.flatten(F.transform("c", lambda x, k: F.transform(F.slice("c", k + 2, collections), lambda y: number(x, y))))
     keys = stage(own.select("cid", F.explode(paired).alias("key")), "minhash-keys")
     found = stage(keys.repartitionByRange(parts, "key", "cid").sortWithinPartitions("key", "cid").mapInArrow(_runs, "key long, cid long, head long"), "minhash-tables")
     table = found.where("cid is not null")
@@ -310,40 +385,32 @@ def near_duplicates(docs: DataFrame, width: int = 3, num: int = 85, den: int = 1
     cut = cut.select(F.array_min("heads").alias("a"), F.explode("heads").alias("b"))
     pairs = table.select(F.least("head", "cid").alias("a"), F.greatest("head", "cid").alias("b")).union(cut).where("a != b").distinct()
 
-    near = stage(classes.join(table.select("cid").distinct(), "cid", "left_semi").dropDuplicates(["cid"]), "minhash-near")
-    wanted = spark.sparkContext.broadcast(filter_of(near.select("cid"), near.count()))
-    sets = texts.mapInArrow(_tokens(width, wanted), "cid long, toks binary").join(near.select("cid"), "cid", "left_semi")
+    near = stage(table.select("cid").distinct(), "minhash-near")
+    wanted = spark.sparkContext.broadcast(filter_of(near, near.count()))
+    sets = texts.mapInArrow(_tokens(width, hashes, wanted), "cid long, n long, toks binary, sketch binary, bits binary").join(near, "cid", "left_semi")
     sets = stage(sets.dropDuplicates(["cid"]), "minhash-sets")
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        both = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "cid")
-        return verified(pairs, sets.join(both, "cid", "left_semi"), num, den, "minhash-links")
-
-    side = lambda cid, n, sketch: near.select(F.col("cid").alias(cid), F.col("n").alias(n), F.col("sketch").alias(sketch))
+    side = lambda cid, n, bits: sets.select(F.col("cid").alias(cid), F.col("n").alias(n), F.col("bits").alias(bits))
     alike = pairs.join(side("a", "n", "x"), "a").join(side("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
-    tried = stage(alike.mapInArrow(_alike(num, den, agree), "a long, b long"), "minhash-pairs")
-    links = linked(tried)
+    alike = stage(alike.mapInArrow(_alike(num, den, agree), "a long, b long"), "minhash-pairs")
+    both = alike.select("a").union(alike.select("b")).distinct().withColumnRenamed("a", "cid")
+    links = verified(alike, sets.select("cid", "toks").join(both, "cid", "left_semi"), num, den, "minhash-links")
+    label = components(links, "minhash-wave")
+
+    rooted = table.select("key", "cid").join(label.withColumnRenamed("v", "cid"), "cid", "left").select("key", "cid", F.coalesce("root", "cid").alias("root"))
+    opened = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("size")).where("r0 != r1")
+    rest = rooted.join(opened.select("key", F.ceil(F.col("size") / block).alias("salts")), "key")
+    rest = rest.withColumn("own", F.pmod(F.xxhash64("cid"), F.col("salts"))).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+    rest = rest.select("key", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "cid", "root")
+
+    def dealt(rows: DataFrame, *cols: str) -> DataFrame:
+        """Rows in their blocks, with columns of their sets."""
+        return rows.join(sets.select("cid", *cols), "cid").select("key", "i", "j", "cid", "root", *cols).repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    hopeful = dealt(rest, "n", "sketch", "bits").mapInArrow(_blocks(rows, num, den, agree, False), "key long, i long, j long, cid long, root long")
+    hopeful = stage(hopeful, "minhash-open")
+    last = dealt(hopeful, "n", "sketch", "bits", "toks").mapInArrow(_blocks(rows, num, den, agree, True), "a long, b long")
+    links = stage(links.union(last), "minhash-links")
     label = components(links, "minhash-wave")
-    for wave in range(WAVES + 1):
-        rooted = table.select("key", "cid").join(label.withColumnRenamed("v", "cid"), "cid", "left").select("key", "cid", F.coalesce("root", "cid").alias("root"))
-        opened = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("size")).where("r0 != r1")
-        rest = rooted.join(opened.select("key", F.ceil(F.col("size") / block).alias("salts")), "key")
-        salt = F.pmod(F.xxhash64("cid"), F.col("salts"))
-        rest = rest.withColumn("own", salt).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
-        rest = rest.select("key", "cid", "root", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j")).join(near, "cid")
-        dealt = rest.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-        offers = dealt.select("key", "i", "j", "cid", "n", "root", "sketch").mapInArrow(_blocks(num, den, agree, OFFERS if wave < WAVES else None), "a long, b long, same long")
-        if wave < WAVES:
-            best = F.slice(F.sort_array(F.collect_set(F.struct("same", "b")), asc=False), 1, OFFERS)
-            offers = offers.groupBy("a").agg(best.alias("o")).select("a", F.explode("o.b").alias("b"))
-        new = offers.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        new = stage(new, "minhash-pairs")
-        if new.isEmpty():
-            continue
-        more = linked(new)
-        tried, links = tried.union(new), links.union(more)
-        if not more.isEmpty():
-            label = components(links, "minhash-wave")
 
     least = ids.where("cid is not null").groupBy("cid").agg(F.min("id").alias("least"))
     least = least.join(label.withColumnRenamed("v", "cid"), "cid", "left").select("cid", "least", F.coalesce("root", "cid").alias("root"))

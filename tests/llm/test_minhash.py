@@ -54,7 +54,7 @@ def test_collections_meet_as_often_as_stated():
         agreed += (a == b).sum()
         met += ((a == b).reshape(12, 2).all(1).sum() >= 2)
     assert abs(agreed / 400 / 24 - 0.85) < 0.01 and met == 400
-    assert minhash_tensor.miss(0.85) < 7e-6 and minhash_tensor.agreement(0.85, 24) == 12 and minhash_tensor.agreement(1.0, 24) == 24
+    assert minhash_tensor.miss(0.85) < 7e-6 and minhash_tensor.agreement(0.85) > 200 and minhash_tensor.agreement(1.0) == 256
 
 
 def test_runs_cut_by_partitions_and_batches_are_whole():
@@ -79,8 +79,42 @@ def test_runs_cut_by_partitions_and_batches_are_whole():
         for key in {k for k, _ in rows}:
             members = [c for k, c in rows if k == key]
             assert len(members) == 1 or {c for k, c in out if k == key} == set(members)
-    assert minhash_tensor.block_offers(np.arange(3), np.full(3, 9), np.zeros(3), np.zeros((3, 4), np.uint32), 85, 100, 2, None).shape[1] == 0
-    for a, b in combinations(range(4), 2):
-        s = np.zeros((4, 4), np.uint32)
-        got = minhash_tensor.block_offers(np.arange(4), np.full(4, 9), np.arange(4), s, 85, 100, 2, None)
-        assert (a, b) in set(map(tuple, got[:2].T.tolist())) | set(map(tuple, got[1::-1].T.tolist()))
+
+
+def test_blocks_join_what_all_links_would():
+    r = np.random.default_rng(4)
+    base = rand64(400, 9)
+    sets = []
+    for _ in range(150):  # a cloud around the threshold
+        t = base.copy()
+        at = r.choice(400, int(r.integers(5, 60)), replace=False)
+        t[at] = r.integers(1, 1 << 62, len(at)).astype(np.uint64)
+        sets.append(np.unique(t))
+    n, root = np.array([len(t) for t in sets]), np.arange(150) // 2 * 2
+    sketch, bits = minhash_tensor.minhashes(sets, 24), minhash_tensor.bit_sketch(sets)
+    agree = minhash_tensor.agreement(0.85)
+
+    def parts(pairs):
+        up = {int(x): int(x) for x in root}
+
+        def find(x):
+            return x if up[x] == x else find(up[x])
+        for a, b in pairs:
+            x, y = sorted((find(int(root[a])), find(int(root[b]))))
+            up[y] = x
+        return [find(int(x)) for x in root]
+    links = [(a, b) for a, b in combinations(range(150), 2) if 100 * (k := len(np.intersect1d(sets[a], sets[b]))) >= 85 * (n[a] + n[b] - k)]
+    tables = {}
+    for a, b in links:
+        t = int(minhash_tensor.first_table(sketch[[a]], sketch[[b]], 2)[0])
+        tables.setdefault(t, []).append((a, b))
+    assert -1 not in tables and len(tables) > 2
+    every = []
+    for t in range(144):
+        x, y = minhash_tensor.block_pairs(t, n, root, sketch, bits, 2, 85, 100, agree)
+        few = [tuple(sorted(p)) for p in minhash_tensor.block_links(x[:40], y[:40], root, sets, 85, 100)]
+        got = [tuple(sorted(p)) for p in minhash_tensor.block_links(x, y, root, sets, 85, 100)]
+        assert set(got) | set(few) <= set(links) and len(got) < 75
+        every += got
+    assert parts(every) == parts(links)
+    assert minhash_tensor.block_pairs(1, n, np.zeros(150), sketch, bits, 2, 85, 100, agree).shape[1] == 0
