@@ -8,8 +8,9 @@ window or a join; no group is ever collected whole into one task:
   over many tasks, and partial aggregation runs before the shuffle;
 * top-k reports use ``row_number() <= k`` which Spark plans as a partial
   ``WindowGroupLimit`` before the shuffle;
-* whole-site text (``llms_full``) is emitted as ordered chunks of at most
-  ``chunk_pages`` pages, so no single string grows with the site.
+* places and sizes inside a site or section are counted over ranges
+  (``ranking.py``), so a hot one is spread over tasks; whole-site text
+  (``llms_full``) is cut into ordered chunks by characters.
 """
 
 from __future__ import annotations
@@ -20,9 +21,12 @@ from pyspark.sql.window import Window
 
 from pagegrove.functions.text import let, py_strip, split_lines
 from pagegrove.functions.urls import py_quote, py_unquote, py_urlunparse, resolve_href, splits, url_host, url_parts, valid_url
+from pagegrove.operators.ranking import with_running
+from pagegrove.sources.staging import stage
 
 # --- Fixed values -----------------------------------------------------------
 PAGE_SEPARATOR = "\n\n---\n\n"
+CHUNK_CHARS = 1_000_000
 DETAIL_PREFIX = "  - Detailed content: "
 # Directives of robots.txt that belong to no group.
 SITE_DIRECTIVES = ["llm", "llm-full", "sitemap"]
@@ -110,22 +114,30 @@ def limit_depth(links: DataFrame, max_depth: int) -> DataFrame:
     return links.filter(F.col("depth") <= max_depth)
 
 
-def llms_full(files: DataFrame, chunk_pages: int = 1000) -> DataFrame:
+def llms_full(files: DataFrame, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """Whole-site text: every page's Markdown per site in page order, as
-    ``(site, chunk, content)`` rows; chunk ``c`` holds the pages with
-    ``page_id div chunk_pages = c``, so each string is bounded."""
-    # error pages are skipped inside the aggregate, not by a filter before
-    # it: a filter on the derived ``status`` would be pushed below the parse
-    # and re-run the whole per-page pipeline
+    ``(site, chunk, content, n_pages)`` rows whose chunks ascend.
+
+    A chunk has at most ``chunk_chars`` characters, separators included,
+    unless it is one longer page alone.  Pages of up to half of that go by the
+    half that the running size of such pages before them falls in, so a
+    chunk is nearly half full at least, whatever the page ids; a longer page
+    is a chunk of its own.  Error pages are left out.  A page_id counts once a site."""
+    half = chunk_chars // 2
+    # error pages are told by a flag: a filter on the derived ``status`` would
+    # be pushed below the parse and re-run the whole per-page pipeline
     ok = (F.col("status") == "ok") if "status" in files.columns else F.lit(True)
-    f = files.select(url_host(F.col("url")).alias("site"), "page_id", "content", ok.alias("ok"),
-                     F.floor(F.col("page_id") / chunk_pages).cast("long").alias("chunk"))
-    return (f.groupBy("site", "chunk")
-            .agg(F.array_join(F.transform(
-                    F.array_sort(F.collect_list(F.when(F.col("ok"), F.struct("page_id", "content")))),
-                    lambda x: x["content"]), PAGE_SEPARATOR).alias("content"),
-                 F.count(F.when(F.col("ok"), F.lit(1))).alias("n_pages"))
-            .filter(F.col("n_pages") > 0))
+    texts = stage(files.select(url_host(F.col("url")).alias("site"), "page_id", "content", ok.alias("ok")), "llms-full")
+    size = F.length("content") + len(PAGE_SEPARATOR)
+    sizes = texts.where("ok").groupBy("site", "page_id").agg(F.max(size).alias("size"))
+    sizes = sizes.select("site", "page_id", F.when(F.col("size") <= half, F.col("size")).otherwise(0).alias("small"), (F.col("size") > half).cast("int").alias("long"))
+    placed = with_running(sizes, ["site"], [F.col("page_id")], {"chars": "small", "n_long": "long"})
+    chunk = F.floor(F.col("chars") / half) + 2 * F.col("n_long") + F.col("long")
+    placed = placed.select(F.col("site").alias("own_site"), F.col("page_id").alias("own_page"), chunk.cast("long").alias("chunk"))
+    here = F.col("site").eqNullSafe(F.col("own_site")) & F.col("page_id").eqNullSafe(F.col("own_page"))
+    return (texts.where("ok").join(placed, here).groupBy("site", "chunk")
+            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "content"))), lambda x: x["content"]), PAGE_SEPARATOR).alias("content"),
+                 F.count(F.lit(1)).alias("n_pages")))
 
 
 def link_details(site_links: DataFrame, files: DataFrame) -> DataFrame:

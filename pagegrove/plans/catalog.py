@@ -599,13 +599,20 @@ def q_nav_depth_limited(spark, sf):
     return R.limit_depth(R.nav_links(nav_pages(spark, sf)), 0)
 
 
+FULL_CHARS = 20_000  # small, so that sites have several chunks
+
+
 @query("llms_full", SQL_PAGE_FACTS + f"""
-SELECT {S.host('url')} AS site, CAST(page_id // 1000 AS BIGINT) AS chunk,
+, sized AS (SELECT *, {S.host('url')} AS site, length(content) + {len(R.PAGE_SEPARATOR)} AS size FROM md),
+run AS (
+  SELECT *, coalesce(sum(CASE WHEN size <= {FULL_CHARS // 2} THEN size ELSE 0 END) OVER w, 0) AS chars, coalesce(sum((size > {FULL_CHARS // 2})::INT) OVER w, 0) AS n_long
+  FROM sized WINDOW w AS (PARTITION BY site ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT site, CAST(chars // {FULL_CHARS // 2} + 2 * n_long + (size > {FULL_CHARS // 2})::INT AS BIGINT) AS chunk,
        string_agg(content, {q(R.PAGE_SEPARATOR)} ORDER BY page_id) AS content, count(*) AS n_pages
-FROM md GROUP BY 1, 2""")
+FROM run GROUP BY 1, 2""")
 def q_llms_full(spark, sf):
-    """Whole-site text in bounded, ordered chunks."""
-    return R.llms_full(page_markdown(pages_dom(spark, sf)))
+    """Whole-site text in ordered chunks of bounded size."""
+    return R.llms_full(page_markdown(pages_dom(spark, sf)), FULL_CHARS)
 
 
 @query("link_details", SQL_SITE + f"""
