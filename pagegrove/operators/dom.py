@@ -126,16 +126,3 @@ def meta_content(dom, key: str, value: str) -> Column:
     """The first ``meta`` whose attribute ``key`` equals ``value``
     (the node itself; ``['attrs']['content']`` is the content)."""
     return first_node(dom, lambda n: (n["tag"] == "meta") & (n["attrs"][key] == value))
-
-
-def materialize(col: Column) -> Column:
-    """Marks a per-page value computed in its own projection stage.
-
-    Catalyst collapses a projection into its consumer only when the column
-    is used once (or is cheap); staged columns here are consumed several
-    times, so they stay evaluated once per row.  Values needed *inside* a
-    per-element lambda are additionally bound with ``let``, which is what
-    keeps those evaluations linear.  (A non-deterministic guard was tried
-    here; the optimizer folds it away, so this is a plain marker.)
-    """
-    return col

@@ -174,8 +174,3 @@ def parse_html(html: str | None) -> list[dict] | None:
 def dom_series(html):
     """pandas Series of HTML -> Series of node lists (Arrow batch in/out)."""
     return html.map(parse_html)
-
-
-def identity_batches(batches):
-    """Arrow batches through unchanged (an optimizer barrier for filters)."""
-    yield from batches

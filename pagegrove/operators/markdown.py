@@ -1,7 +1,7 @@
 """Page -> Markdown document, file sets and previews.
 
 Everything here is narrow (per page) except ``file_set`` (one keyed
-aggregate on filename) and ``markdown_bundle`` (one ordered aggregate per
+aggregate of names, one join) and ``markdown_bundle`` (one ordered aggregate per
 request list).
 """
 
@@ -10,23 +10,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagegrove.functions.text import cached_expr, sanitize_filename
+from pagegrove.functions.text import cached_expr, py_strip, sanitize_filename
 from pagegrove.operators.dom import (element_string, element_text, first_node, is_desc,
-                                     main_content, materialize, meta_content, strip_boilerplate)
+                                     main_content, meta_content, strip_boilerplate)
+from pagegrove.sources.staging import stage
 
 # --- Fixed values -----------------------------------------------------------
 HEADING_TAGS = ("h1", "h2", "h3")
 PARAGRAPH_LIMIT = 5
 UNTITLED = "Untitled Page"
-NO_MAIN_MESSAGE = "'NoneType' object has no attribute 'find_all'"
+NO_MAIN_MESSAGE = "no main content"
 MISSING_PAGE_MESSAGE = "page not found"
+NO_URLS = "No URLs provided."
 # ---------------------------------------------------------------------------
 
 
 def with_main(pages_dom: DataFrame) -> DataFrame:
     """Stages ``_alive`` (D2) and ``_main`` (D3) as once-per-row columns."""
-    s1 = pages_dom.select("*", materialize(strip_boilerplate("dom")).alias("_alive"))
-    return s1.select("*", materialize(main_content("_alive")).alias("_main"))
+    s1 = pages_dom.select("*", strip_boilerplate("dom").alias("_alive"))
+    return s1.select("*", main_content("_alive").alias("_main"))
 
 
 def heading_texts(dom: Column, sep: str = "") -> Column:
@@ -91,12 +93,14 @@ def page_markdown(pages_dom: DataFrame, mode: str = "compat",
 
 def file_set(files: DataFrame, order_cols=("request_id", "line_no")) -> DataFrame:
     """One row per filename, the last written (highest order key) wins.
-    ``max_by`` reduces map-side, so a hot filename never gathers its rows."""
-    order = F.struct(*[F.col(c) for c in order_cols])
-    keep = [c for c in files.columns if c != "filename"]
-    agg = files.groupBy("filename").agg(
-        F.max_by(F.struct(*[F.col(c) for c in keep]), order).alias("w"))
-    return agg.select("filename", *[F.col("w")[c].alias(c) for c in keep])
+
+    Files are staged once; the winners are found among names and order keys
+    only, and their content is joined on at the end, so no text goes through
+    an aggregate.  Of rows that agree in all order keys one wins."""
+    rows = stage(files.withColumn("_row", F.monotonically_increasing_id()), "file-set")
+    last = F.max(F.struct(*order_cols, "_row"))
+    winners = rows.select("filename", "_row", *order_cols).groupBy("filename").agg(last.alias("w")).select(F.col("w._row").alias("_row"))
+    return rows.join(winners, "_row").drop("_row").select("filename", *[c for c in files.columns if c != "filename"])
 
 
 def filename_collisions(files: DataFrame) -> DataFrame:
@@ -122,6 +126,16 @@ def markdown_bundle(files: DataFrame, group_col: str = "request_id", order_col:
                                           lambda x: x["b"]), "\n").alias("bundle")))
 
 
+def list_previews(lists: DataFrame, files: DataFrame, text_col: str = "text", chunk_lines: int = 1000) -> DataFrame:
+    """K3 with S2's answer for every list: ``(request_id, chunk, bundle)``; a
+    blank list gets ``NO_URLS`` and one without any URL an empty text."""
+    bundles = markdown_bundle(files, chunk_lines=chunk_lines).withColumnRenamed("request_id", "_id")
+    heads = lists.select("request_id", (py_strip(F.coalesce(F.col(text_col), F.lit(""))) == "").alias("_blank"))
+    j = heads.join(bundles, F.col("request_id") == F.col("_id"), "left")
+    return j.select("request_id", F.coalesce("chunk", F.lit(0).cast("long")).alias("chunk"),
+                    F.coalesce("bundle", F.when(F.col("_blank"), F.lit(NO_URLS)).otherwise(F.lit(""))).alias("bundle"))
+
+
 def markdown_for_requests(requests: DataFrame, pages: DataFrame) -> DataFrame:
     """S4 + P1-P3 for request rows ``(request_id, line_no, url)``: every
     distinct requested URL is parsed once (a page requested by a million

@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from pagegrove.functions.text import cached_expr, js_trim, let, sanitize_text
 from pagegrove.functions.urls import py_urljoin_abs, resolve_href, url_parts
-from pagegrove.operators.dom import first_node, materialize, subtree_ids
-from pagegrove.operators.selectors import compile_selector, detect_site_type
+from pagegrove.operators.dom import first_node, subtree_ids
+from pagegrove.operators.selectors import compile_selector, detect_site_type, has_combinator, match_flags
 
 # --- Fixed values -----------------------------------------------------------
 GENERIC_ROOT_SELECTORS = [
@@ -59,7 +59,8 @@ def _nonblank(c: Column) -> Column:
 
 
 def check_params(homepage_url: str | None, root_selector: str | None) -> None:
-    """Both parameters are required."""
+    """Both parameters are required.  A table's homepages are rows: one
+    without a URL gets the status ``missing_params`` instead."""
     if not homepage_url or not root_selector:
         raise ValueError(MISSING_PARAMS_MESSAGE)
 
@@ -74,13 +75,15 @@ def nav_page_columns(pages_dom: DataFrame, root_selector: str,
     """
     if mode not in ("compat", "tree"):
         raise ValueError("mode must be 'compat' or 'tree'")
-    check_params("-", root_selector)
+    if not root_selector:
+        raise ValueError(MISSING_PARAMS_MESSAGE)
     e = cached_expr(("nav_columns", root_selector, context_selector, mode),
                     lambda: _nav_column_exprs(root_selector, context_selector, mode))
-    stage1 = pages_dom.select("*", e["flags"].alias("flags"), e["base_url"].alias("base_url"))
+    own = [e[c].alias(c) for c in ("root_flags", "context_flags") if c in e]
+    stage1 = pages_dom.select("*", e["flags"].alias("flags"), e["base_url"].alias("base_url"), *own)
     stage2 = stage1.select("*", e["roots"].alias("roots"), e["links0"].alias("links0"))
     stage3 = stage2.select("*", e["links1"].alias("links1"), e["n_menus"].alias("n_menus"))
-    return stage3.select(*[c for c in stage3.columns if c not in ("links0", "links1")],
+    return stage3.select(*[c for c in stage3.columns if c not in ("links0", "links1", "root_flags", "context_flags")],
                          e["links"].alias("links"))
 
 
@@ -88,17 +91,26 @@ def _nav_column_exprs(root_selector: str, context_selector: str | None, mode: st
     d = F.col("dom")
     ctx = context_selector if context_selector and context_selector.strip() else DEFAULT_CONTEXT_SELECTOR
 
+    out = {}
+
+    def user_selector(selector, name):
+        """A predicate on nodes; a selector with combinators is matched for the whole page in a stage of its own."""
+        if not has_combinator(selector):
+            return compile_selector(selector, d)
+        out[name] = match_flags(d, selector)
+        return lambda n: F.col(name)[n["node_id"]]
+
     flags = detect_site_type(d, "url")
-    user_root = compile_selector(root_selector, d)
+    user_root = user_selector(root_selector, "root_flags")
     generic = compile_selector(", ".join(GENERIC_ROOT_SELECTORS), d)
     lego_root = compile_selector(LEGO_ROOT_SELECTOR, d)
     shopify_root = compile_selector(SHOPIFY_ROOT_SELECTOR, d)
-    clickable = compile_selector(ctx, d)
+    clickable = user_selector(ctx, "context_flags")
 
     base_el = first_node(d, lambda n: (n["tag"] == "base") & F.map_contains_key(n["attrs"], "href"))
     base = F.coalesce(resolve_href(F.col("url"), base_el["attrs"]["href"]), F.col("url"))
 
-    out = {"flags": materialize(flags), "base_url": materialize(base)}
+    out |= {"flags": flags, "base_url": base}
     fl = F.col("flags")
 
     def is_root(n):
@@ -132,8 +144,8 @@ def _nav_column_exprs(root_selector: str, context_selector: str | None, mode: st
         return F.struct(n["node_id"].alias("id"), F.coalesce(*title_parts).alias("title"),
                         url.alias("url"), submenu(n["li_id"]).alias("sub"))
 
-    out["roots"] = materialize(F.transform(F.filter(d, is_root), lambda n: n["node_id"]))
-    out["links0"] = materialize(F.transform(F.filter(d, clickable), link_struct))
+    out["roots"] = F.transform(F.filter(d, is_root), lambda n: n["node_id"])
+    out["links0"] = F.transform(F.filter(d, clickable), link_struct)
 
     lk = F.col("links0")
     subs = F.array_distinct(F.filter(F.transform(lk, lambda l: l["sub"]), lambda x: x.isNotNull()))
@@ -147,7 +159,7 @@ def _nav_column_exprs(root_selector: str, context_selector: str | None, mode: st
                         lambda menus: F.transform(lk, lambda l: l.withField("menu_of", menu_of(menus, l))))
     else:
         with_menu = F.transform(lk, lambda l: l.withField("menu_of", F.lit(None).cast("int")))
-    out["links1"] = materialize(with_menu)
+    out["links1"] = with_menu
     # each level of the expansion opens a submenu that its path has not seen
     out["n_menus"] = F.size(subs)
 
@@ -159,7 +171,7 @@ def _nav_column_exprs(root_selector: str, context_selector: str | None, mode: st
 
     links = F.transform(l1, lambda l: l.withField(
         "nkids", F.when(l["sub"].isNull(), F.lit(0)).otherwise(F.size(F.filter(l1, lambda k: in_menu(k, l["sub"]))))))
-    out["links"] = materialize(links)
+    out["links"] = links
     return out
 
 
@@ -203,7 +215,7 @@ def _expand_exprs(mode: str) -> dict:
     start = let(level0, lambda top: F.struct(top.alias("rows"), opening(top).alias("front")))
     rows = F.aggregate(F.sequence(F.lit(1), F.greatest(F.col("n_menus"), F.lit(1))), start, grow, lambda acc: acc["rows"])
     cyclic = F.exists(F.col("rows"), lambda f: f["sub"].isNotNull() & F.array_contains(f["menus"], f["sub"]))
-    return {"rows": materialize(rows), "cyclic": cyclic if mode == "compat" else F.lit(False)}
+    return {"rows": rows, "cyclic": cyclic if mode == "compat" else F.lit(False)}
 
 
 def _is_dup(r: Column, before: Column) -> Column:
@@ -282,11 +294,12 @@ def _render_exprs() -> dict:
     kept = F.aggregate(F.col("marked"), init, walk)["kept"]
     kept = F.when(F.col("cyclic"), F.slice(kept, 1, 0)).otherwise(kept)
     lines = F.transform(F.col("kept"), _row_line)
-    status = (F.when(F.col("cyclic"), F.lit("cyclic_nav"))
+    status = (F.when(F.coalesce(page_url, F.lit("")) == "", F.lit("missing_params"))
+              .when(F.col("cyclic"), F.lit("cyclic_nav"))
               .when(F.size(F.col("rows")) == 0, F.lit("no_nav"))
               .otherwise(F.lit("ok")))
-    return {"_prep": materialize(prepared),
-            "marked": materialize(marked), "kept": materialize(kept),
+    return {"_prep": prepared,
+            "marked": marked, "kept": kept,
             "nav_md": F.array_join(lines, ""), "status": status}
 
 
@@ -299,7 +312,17 @@ def nav_tree(pages_dom: DataFrame, root_selector: str, context_selector: str | N
 
 def llms_document(title: Column, description: Column, nav_md: Column, status: Column) -> Column:
     """T7 + N9: the ``llms.txt`` text, or the fixed message when the page has
-    no navigation (or a self-referencing one)."""
+    no navigation (or a self-referencing one) or no URL (T8)."""
     doc = F.concat(F.lit("# "), title, F.lit("\n\n> "), description,
                    F.lit("\n\n## Navigation\n\n"), nav_md)
-    return F.when(status == "ok", doc).otherwise(F.lit(NO_NAV_MESSAGE))
+    return F.when(status == "ok", doc).when(status == "missing_params", F.lit(MISSING_PARAMS_MESSAGE)).otherwise(F.lit(NO_NAV_MESSAGE))
+
+
+def homepage_llms(pages: DataFrame, homepage_url: str, root_selector: str, context_selector: str | None = None) -> DataFrame:
+    """``(page_id, url, content, status)`` of one homepage among
+    crawled pages; both parameters must be given."""
+    from pagegrove.operators.dom import with_dom
+    from pagegrove.operators.siteinfo import page_description, page_title
+    check_params(homepage_url, root_selector)
+    tree = nav_tree(with_dom(pages.where(F.col("url") == homepage_url)), root_selector, context_selector)
+    return tree.select("page_id", "url", llms_document(page_title("dom"), page_description("dom"), F.col("nav_md"), F.col("status")).alias("content"), "status")

@@ -6,7 +6,7 @@ selectors and ``*``, ``#id``, ``.class``, ``[a]``, ``[a="v"]``, ``[a*="v"]``,
 ``[a^="v"]``, ``[a$="v"]``, ``[a~="v"]``, ``[a|="v"]``, ``:not(compound)``,
 ``:scope``, the descendant and child combinators, and comma lists.
 Anything else raises ``ValueError`` on the driver (the browser would throw
-too).  Combinators walk up the node's ancestors, so a descendant match may leave the element the query started from, exactly as
+too).  Ancestors are those of the whole page, so a descendant match may leave the element the query started from, exactly as
 ``element.querySelectorAll`` does.
 """
 
@@ -18,6 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pagegrove.functions.text import let
 from pagegrove.functions.urls import host_contains
 from pagegrove.operators.dom import has_ancestor
 
@@ -113,9 +114,11 @@ def _parse_compound(tokens: list[re.Match], i: int, scope: Pred | None) -> tuple
     return _compound(parts), i
 
 
-def compile_selector(selector: str, dom: Column | str = "dom", scope: Pred | None = None) -> Pred:
-    """Compile ``selector`` into ``node -> Column`` over the array ``dom``."""
-    d = F.col(dom) if isinstance(dom, str) else dom
+Steps = list[tuple[str | None, Pred]]
+
+
+def _parse(selector: str, scope: Pred | None = None) -> list[Steps]:
+    """The alternatives of a selector list, each as compounds with the combinator before them."""
     text = selector.strip()
     if not text:
         raise ValueError("empty selector")
@@ -127,11 +130,11 @@ def compile_selector(selector: str, dom: Column | str = "dom", scope: Pred | Non
         tokens.append(m)
         pos = m.end()
 
-    alternatives: list[Pred] = []
+    alternatives: list[Steps] = []
     i = 0
     while i < len(tokens):
         # one complex selector: compound (combinator compound)*
-        steps: list[tuple[str | None, Pred]] = []
+        steps: Steps = []
         comb = None
         while i < len(tokens) and tokens[i].group("comma") is None:
             m = tokens[i]
@@ -148,8 +151,22 @@ def compile_selector(selector: str, dom: Column | str = "dom", scope: Pred | Non
             comb = None
         if not steps:
             raise ValueError("empty selector in list")
-        alternatives.append(_chain(steps, d))
+        alternatives.append(steps)
         i += 1  # skip comma
+    return alternatives
+
+
+def has_combinator(selector: str) -> bool:
+    return any(len(steps) > 1 for steps in _parse(selector, lambda n: F.lit(True)))
+
+
+def compile_selector(selector: str, dom: Column | str = "dom", scope: Pred | None = None) -> Pred:
+    """Compile ``selector`` into ``node -> Column`` over the array ``dom``.
+
+    Combinators walk up from each node; for a whole page ``match_flags``
+    takes fewer steps."""
+    d = F.col(dom) if isinstance(dom, str) else dom
+    alternatives = [_chain(steps, d) for steps in _parse(selector, scope)]
 
     def pred(n: Column) -> Column:
         c = alternatives[0](n)
@@ -159,7 +176,7 @@ def compile_selector(selector: str, dom: Column | str = "dom", scope: Pred | Non
     return pred
 
 
-def _chain(steps: list[tuple[str | None, Pred]], d: Column) -> Pred:
+def _chain(steps: Steps, d: Column) -> Pred:
     """Right-to-left matching of ``A B > C`` along the ancestors."""
     if len(steps) == 1:
         return steps[0][1]
@@ -170,11 +187,59 @@ def _chain(steps: list[tuple[str | None, Pred]], d: Column) -> Pred:
     return lambda n: last(n) & has_ancestor(d, n, prev)
 
 
+def _below(flags: Column, d: Column) -> Column:
+    """For each node whether a proper ancestor is flagged.
+
+    Each round looks twice as far up: what a node knows of the ancestors up
+    to some node, and that node's own knowledge.  A page takes as many rounds
+    as its depth has binary digits, and each is one pass over its nodes."""
+    start = F.struct(F.transform(d, lambda n: F.coalesce(flags[n["parent_id"]], F.lit(False))).alias("hit"), F.transform(d, lambda n: n["parent_id"]).alias("up"))
+
+    def farther(s, _i):
+        return F.struct(F.transform(s["hit"], lambda h, i: h | F.coalesce(s["hit"][s["up"][i]], F.lit(False))).alias("hit"),
+                        F.transform(s["up"], lambda u: s["up"][u]).alias("up"))
+    rounds = F.length(F.bin(F.greatest(F.coalesce(F.array_max(F.transform(d, lambda n: n["depth"])), F.lit(1)), F.lit(1)).cast("long")))
+    return F.aggregate(F.sequence(F.lit(1), rounds), start, farther, lambda s: s["hit"])
+
+
+def _step_flags(flags: Column, comb: str | None, pred: Pred, d: Column) -> Column:
+    """Nodes that fit ``pred`` and have a flagged parent (``>``) or ancestor."""
+    def under(above: Pred) -> Column:
+        return F.transform(d, lambda n: F.coalesce(pred(n) & above(n), F.lit(False)))
+    if comb == ">":
+        return let(flags, lambda m: under(lambda n: m[n["parent_id"]]))
+    return let(flags, lambda m: let(_below(m, d), lambda below: under(lambda n: below[n["node_id"]])))
+
+
+def _chain_flags(steps: Steps, d: Column) -> Column:
+    first = steps[0][1]
+    flags = F.transform(d, lambda n: F.coalesce(first(n), F.lit(False)))
+    for comb, pred in steps[1:]:
+        flags = _step_flags(flags, comb, pred, d)
+    return flags
+
+
+def match_flags(dom, selector: str) -> Column:
+    """D10 for all nodes of a page at once: ``array<boolean>`` by node id.
+
+    The compounds of a selector are matched left to right, each over all
+    nodes, so the steps grow with nodes times the digits of the depth, not with
+    the ancestors of every node (nor their ancestors, for longer selectors)."""
+    d = F.col(dom) if isinstance(dom, str) else dom
+    flags = [_chain_flags(steps, d) for steps in _parse(selector)]
+    out = flags[0]
+    for more in flags[1:]:
+        out = F.zip_with(out, more, lambda a, b: a | b)
+    return out
+
+
 def matches(dom, selector: str) -> Column:
     """Ids of the nodes matching ``selector``, in document order."""
     d = F.col(dom) if isinstance(dom, str) else dom
-    pred = compile_selector(selector, d)
-    return F.transform(F.filter(d, pred), lambda n: n["node_id"])
+    if not has_combinator(selector):
+        pred = compile_selector(selector, d)
+        return F.transform(F.filter(d, pred), lambda n: n["node_id"])
+    return let(match_flags(d, selector), lambda m: F.filter(F.transform(d, lambda n: F.when(m[n["node_id"]], n["node_id"])), lambda i: i.isNotNull()))
 
 
 # --- Fixed values: framework / site detectors -------------------------------

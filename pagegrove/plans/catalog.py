@@ -11,6 +11,7 @@ does.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +21,7 @@ from pagegrove.functions.text import cached_expr, sanitize_filename, sanitize_te
 from pagegrove.functions.urls import URL_RE, resolve_href, url_host, url_parts
 from pagegrove.operators import links as L
 from pagegrove.operators.dom import has_ancestor, main_content, strip_boilerplate, with_dom
-from pagegrove.operators.markdown import (file_set, filename_collisions, markdown_bundle,
+from pagegrove.operators.markdown import (NO_URLS, file_set, filename_collisions, list_previews, markdown_bundle,
                                           markdown_for_requests, page_markdown)
 from pagegrove.operators.nav import NO_NAV_MESSAGE, STOP_TITLES, llms_document, nav_tree
 from pagegrove.operators.selectors import detect_site_type, matches
@@ -28,6 +29,7 @@ from pagegrove.operators.siteinfo import page_description, page_title, site_info
 from pagegrove.plans import inputs as I
 from pagegrove.plans import sqlfrag as S
 from pagegrove.plans.sqlfrag import NL, q
+from pagegrove.session import checkpoint_dir
 from pagegrove.sources.pages import read_pages, read_table, resolve_pages, spread
 from pagegrove.sources.sinks import exportable_llms
 from pagegrove.sources.url_list import FIRST_MD_TARGET, parse_url_list
@@ -302,6 +304,18 @@ def q_links_rendered(spark, sf):
     return L.render_links(I.link_text(pages(spark, sf)))
 
 
+@query("links_fixed", f"""
+WITH p AS (SELECT page_id, url, {S.TITLE_RAW} AS t, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)', 1) AS h, page_id::VARCHAR AS i FROM pages)
+SELECT page_id AS doc_id, '- [' || CASE WHEN {S.sanitize_text('t')} = '' THEN url ELSE {S.sanitize_text('t')} END || '](' || url || ')' || {NL}
+       || '- [B ' || i || '](' || h || '/b/' || i || ')' || {NL} || '- [' || h || '/c/' || i || '](' || h || '/c/' || i || ')' || {NL}
+       || '- [' || h || '/raw-' || i || ',](' || h || '/raw-' || i || ',)' || {NL} || '- [' || h || '/tail-' || i || '](' || h || '/tail-' || i || ')' || {NL}
+       || '- [' || h || '/cut-' || i || '](' || h || '/cut-' || i || ')' AS content
+FROM p""")
+def q_links_fixed(spark, sf):
+    """L2, L5, L8 in ``fixed`` mode: raw links only outside of other links."""
+    return L.render_links(I.mixed_link_text(pages(spark, sf)), mode="fixed")
+
+
 # ---------------------------------------------------------------------------
 # S2, S4, P*, K*: URL lists -> Markdown files
 # ---------------------------------------------------------------------------
@@ -363,20 +377,36 @@ def q_markdown_file_set(spark, sf):
     return file_set(request_files(spark, sf).select("filename", "request_id", "line_no", "url", "content"))
 
 
-@query("markdown_bundle", SQL_REQUESTS + SQL_PAGE_FACTS.replace("WITH pf AS", ", pf AS") + f"""
+SQL_FILES = SQL_REQUESTS + SQL_PAGE_FACTS.replace("WITH pf AS", ", pf AS") + f"""
 , files AS (
   SELECT r.request_id, r.line_no,
          CASE WHEN m.page_id IS NULL THEN {S.sanitize_filename("r.url || '_error'")} ELSE {S.sanitize_filename('r.url')} END AS filename,
          CASE WHEN m.page_id IS NULL THEN 'Error processing ' || r.url || ': page not found' ELSE m.content END AS content
-  FROM reqs r LEFT JOIN md m ON m.url = r.url)
-SELECT request_id, CAST(line_no // 1000 AS BIGINT) AS chunk,
-       string_agg('File: ' || filename || {NL} || content || {NL} || '---' || {NL}, {NL} ORDER BY line_no) AS bundle
-FROM files GROUP BY 1, 2""")
+  FROM reqs r LEFT JOIN md m ON m.url = r.url),
+bundles AS (
+  SELECT request_id, CAST(line_no // 1000 AS BIGINT) AS chunk,
+         string_agg('File: ' || filename || {NL} || content || {NL} || '---' || {NL}, {NL} ORDER BY line_no) AS bundle
+  FROM files GROUP BY 1, 2)
+"""
+
+
+@query("markdown_bundle", SQL_FILES + "SELECT request_id, chunk, bundle FROM bundles")
 def q_markdown_bundle(spark, sf):
     """K3: preview text per request list."""
     return markdown_bundle(request_files(spark, sf))
 
 
+@query("url_list_previews", SQL_FILES + f"""
+SELECT request_id, CASE WHEN request_id % 5 IN (0, 1) THEN 0 ELSE chunk END AS chunk,
+       CASE request_id % 5 WHEN 0 THEN {q(NO_URLS)} WHEN 1 THEN '' ELSE bundle END AS bundle FROM bundles""")
+def q_url_list_previews(spark, sf):
+    """Previews of all lists, blank ones and ones without URLs too."""
+    p = pages(spark, sf)
+    kind = F.col("request_id") % 5
+    lists = I.url_requests(p).withColumn("text", F.when(kind == 0, F.lit(" \n\t")).when(kind == 1, F.lit("no link here")).otherwise(F.col("text")))
+    return list_previews(lists, markdown_for_requests(parse_url_list(lists), p))
+
+
 # ---------------------------------------------------------------------------
 # D*: HTML -> relational
 # ---------------------------------------------------------------------------
@@ -669,6 +699,20 @@ def q_stream_first_seen_urls(spark, sf):
     return X.run_to_table(spark, X.first_seen_urls(s), "first_seen_urls")
 
 
+@query("stream_urls_across_files", "SELECT DISTINCT url FROM pages")
+def q_stream_urls_across_files(spark, sf):
+    """URLs that several files repeat, read in batches with a restart
+    between them; each comes out once."""
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/arrivals-{uuid.uuid4().hex}"
+    p = pages(spark, sf).select("page_id", "url", "html")
+    run = uuid.uuid4().hex
+    for part in (p.where("page_id % 2 = 0"), p.where("page_id % 3 > 0"), p):
+        part.coalesce(1).write.mode("append").parquet(folder)
+        s = X.read_page_stream(spark, folder, "*.parquet", max_files_per_trigger=1).select("url")
+        out = X.run_to_table(spark, X.first_seen_urls(s), "urls_across_files", run=run)
+    return out
+
+
 @query("nav_filtered", SQL_SITE + "SELECT page_id, pos, depth, title, url FROM nl")
 def q_nav_filtered(spark, sf):
     """Surviving navigation rows (failing nodes dropped with their

@@ -5,7 +5,7 @@ host rows, never one concatenated corpus)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagegrove.functions.urls import url_host
@@ -15,13 +15,16 @@ TITLE_RX = r"<title>([^<]*)</title>"
 SCHEME_HOST_RX = r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)"
 
 
-def link_text(pages: DataFrame) -> DataFrame:
-    """Per page: ``[title](url)``, ``url``, ``<a href="url">title</a>``."""
+def _link_lines() -> Column:
     t = F.regexp_extract("html", TITLE_RX, 1)
     u = F.col("url")
-    text = F.concat_ws("\n", F.concat(F.lit("["), t, F.lit("]("), u, F.lit(")")), u,
+    return F.concat_ws("\n", F.concat(F.lit("["), t, F.lit("]("), u, F.lit(")")), u,
                        F.concat(F.lit('<a href="'), u, F.lit('">'), t, F.lit("</a>")))
-    return pages.select(F.col("page_id").alias("doc_id"), text.alias("text"))
+
+
+def link_text(pages: DataFrame) -> DataFrame:
+    """Per page: ``[title](url)``, ``url``, ``<a href="url">title</a>``."""
+    return pages.select(F.col("page_id").alias("doc_id"), _link_lines().alias("text"))
 
 
 LINK_TEXT_SQL = (
@@ -30,6 +33,16 @@ LINK_TEXT_SQL = (
     f"FROM (SELECT page_id, url, {TITLE_RAW} AS t FROM pages)")
 
 
+#: Lines with links beside and inside other links; {h} scheme and host, {i} the page's id.
+MIXED_LINES = ["see {h}/raw-{i}, [rel](/rel/{i}){h}/tail-{i}", '<a href="/r/{i}">{h}/inside-{i}</a>', "{h}/cut-{i}[B {i}]({h}/b/{i})", "[ ]( {h}/c/{i} )"]
+
+
+def mixed_link_text(pages: DataFrame) -> DataFrame:
+    """The lines of ``link_text``, then the mixed ones."""
+    more = F.replace(F.replace(F.lit("\n".join(MIXED_LINES)), F.lit("{h}"), F.regexp_extract("url", SCHEME_HOST_RX, 1)), F.lit("{i}"), F.col("page_id").cast("string"))
+    return pages.select(F.col("page_id").alias("doc_id"), F.concat_ws("\n", _link_lines(), more).alias("text"))
+
+
 def url_requests(pages: DataFrame) -> DataFrame:
     """Per page one request list: ``- [title](url)``, bare ``url``, a blank
     line, ``see url`` (skipped) and one URL absent from ``pages``."""

@@ -8,31 +8,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagegrove.operators.dom import htmltree  # noqa: F401  (registers by-value pickling)
-from pagegrove.operators.htmltree import identity_batches
-
 
 
 def exportable_llms(df: DataFrame) -> DataFrame:
     """K1 guard: content must be non-empty and must not contain ``Error``
     anywhere (which also suppresses legitimate text such as 'Error codes')."""
     c = F.col("content")
-    ok = c.isNotNull() & (c != "") & ~c.contains("Error")
-    flagged = df.select("*", ok.alias("_export"))
     # The predicate must run on the finished rows: pushed down, it would be
-    # rebuilt from the whole per-page pipeline below the parse.  A narrow
-    # identity Arrow pass over the (small) output rows is a barrier the
-    # optimizer does not push filters through.
-    barrier = flagged.mapInArrow(identity_batches, flagged.schema)
-    return barrier.filter("_export").drop("_export")
-
+    # rebuilt from the whole per-page pipeline below the parse.  It also asks
+    # for a row number, which no filter is moved below.
+    numbered = df.withColumn("_row", F.monotonically_increasing_id())
+    return numbered.filter(c.isNotNull() & (c != "") & ~c.contains("Error") & (F.col("_row") >= 0)).drop("_row")
 
 
 def write_llms_txt(df: DataFrame, path: str) -> None:
-    """K1: one document per homepage, partitioned by site.  No
-    ``repartition('site')``: a site holding a third of all pages would land
-    in one task; each task writes its own rows to the site folders."""
-    (exportable_llms(df).select("site", "page_id", "homepage_url", "content")
+    """K1: one document per homepage, partitioned by site.
+
+    Rows are rebalanced by site before the write: small sites share a task, a
+    site larger than the advisory partition size is split over several, so
+    there are about as many files as sites and as the data's size asks for, not
+    tasks times sites, and a hot site is no single task."""
+    (exportable_llms(df).select("site", "page_id", "homepage_url", "content").hint("rebalance", F.col("site"))
      .write.mode("overwrite").partitionBy("site").parquet(path))
 
 

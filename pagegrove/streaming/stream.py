@@ -10,14 +10,19 @@ its caller's resumes where it stopped instead of reprocessing or losing files.
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pagegrove.operators.dom import with_dom
 from pagegrove.operators.markdown import page_markdown
 from pagegrove.schemas import PAGES
 from pagegrove.session import checkpoint_dir
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+HORIZON = "30 days"
+
 
 def read_page_stream(spark: SparkSession, folder: str, file_glob: str = "pages*.parquet",
                      max_files_per_trigger: int | None = None) -> DataFrame:
@@ -32,23 +37,51 @@ def stream_page_markdown(stream: DataFrame) -> DataFrame:
     return page_markdown(with_dom(stream))
 
 
-def first_seen_urls(stream: DataFrame) -> DataFrame:
-    """First-seen URL dedupe across micro-batches.  State is keyed by
-    URL and grows with the number of distinct URLs (pages carry no event
-    time to expire it by)."""
-    return stream.dropDuplicates(["url"])
+def first_seen_urls(stream: DataFrame, horizon: str = HORIZON) -> DataFrame:
+    """Each URL when it is first seen, across micro-batches and restarts.
 
+    Pages carry no time of their own, so the time of the batch that reads
+    them counts: it never runs backwards and nothing is late.  A URL is held
+    for ``horizon`` and then forgotten, so state is bounded by the distinct URLs of
+    that time; one that comes again later is seen anew."""
+    timed = stream.withColumn("_seen_at", F.current_timestamp()).withWatermark("_seen_at", horizon)
+    return timed.dropDuplicatesWithinWatermark(["url"]).drop("_seen_at")
 
-def run_to_table(spark: SparkSession, df: DataFrame, name: str, output_mode: str = "append",
-                 run: str | None = None) -> DataFrame:
-    """Drain a streaming DataFrame (``availableNow``) into a Parquet table in
-    the shared checkpoint folder and return it as a batch DataFrame.  The same
-    ``run`` given again goes on where the last one stopped; without one the
-    run is new."""
+
+@contextmanager
+def disk_backed_state(spark: SparkSession):
+    """State of streams that start inside is kept in RocksDB on the executors'
+    disks, with changelog checkpoints in the shared folder."""
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def drain(spark: SparkSession, df: DataFrame, name: str, output_mode: str = "append", run: str | None = None) -> tuple[str, list]:
+    """Runs a streaming DataFrame over what has arrived (``availableNow``) into
+    a Parquet table in the shared checkpoint folder; ``(path, progress)``."""
     base = f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}-{run or uuid.uuid4().hex}"
-    q = (df.writeStream.format("parquet").outputMode(output_mode)
-         .option("checkpointLocation", f"{base}/_checkpoint")
-         .option("path", f"{base}/data")
-         .trigger(availableNow=True).start())
+    with disk_backed_state(spark):
+        q = (df.writeStream.format("parquet").outputMode(output_mode)
+             .option("checkpointLocation", f"{base}/_checkpoint")
+             .option("path", f"{base}/data")
+             .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{base}/data")
+    return f"{base}/data", q.recentProgress
+
+
+def run_to_table(spark: SparkSession, df: DataFrame, name: str, output_mode: str = "append",
+                 run: str | None = None) -> DataFrame:
+    """``drain``, read back as a batch DataFrame.  The same ``run`` given again
+    goes on where the last one stopped; without one the run is new."""
+    path, _ = drain(spark, df, name, output_mode, run)
+    return spark.read.schema(df.schema).parquet(path)

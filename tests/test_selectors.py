@@ -47,3 +47,44 @@ def test_fixed_mode_reads_html_links_right(spark):
     got = render_links(df, mode="fixed").collect()[0].content
     assert "- [Site A](https://x.com/a)" in got.split("\n")
     assert F is not None
+
+
+def walk_up(spark, df, selector):
+    """Ids by the predicate that walks up from each node."""
+    from pagegrove.operators.selectors import compile_selector
+    pred = compile_selector(selector, "dom")
+    return {r.page_id: r.x for r in df.select("page_id", F.transform(F.filter("dom", pred), lambda n: n["node_id"]).alias("x")).collect()}
+
+
+def test_flags_of_a_page_equal_the_walk_up(spark):
+    import random
+    r = random.Random(6)
+
+    def tree(depth):
+        return "".join(f"<{t} class='{r.choice('pqr')}'>{tree(depth - 1) if depth and r.random() < 0.7 else ''}</{t}>" for t in r.choices("abcd", k=r.randrange(1, 4)))
+    df = with_dom(pages_df(spark, [tree(6) for _ in range(30)] + ["", None, "<a>", "<a><b><c>"])).cache()
+    for selector in ("a b", "a > b", "a b c", "a > b c", "a b > c", "a > b > c", ".p a .q", "a, b c, d > *", "* * *", "a b:not(.p) c", "a .p > .q d"):
+        got = {x.page_id: x.m for x in df.select("page_id", matches("dom", selector).alias("m")).collect()}
+        assert got == walk_up(spark, df, selector), selector
+    df.unpersist()
+
+
+def test_steps_grow_with_the_nodes(spark):
+    import time
+    from pagegrove.operators.htmltree import parse_html  # noqa: F401
+    took = []
+    for n in (2_500, 20_000):
+        df = with_dom(pages_df(spark, ["<a>" * n + "<b>" * n + "<c>" * n])).select("dom").cache()
+        df.count()
+        start = time.perf_counter()
+        assert df.select(F.size(matches("dom", "a b c"))).first()[0] == n
+        took.append(time.perf_counter() - start)
+        df.unpersist()
+    assert took[1] < 30 * max(took[0], 0.2)  # eight times the nodes; a walk up takes 500 times as long
+
+
+def test_user_selectors_with_combinators(spark):
+    from pagegrove.operators.nav import nav_tree
+    html = '<body><div id="m"><p><span><a href="/x">Inside</a></span></p><a href="/y">Beside</a></div><nav><a href="/z">Nav</a></nav></body>'
+    got = nav_tree(with_dom(pages_df(spark, [html])), "body > #m", "p a, nav > a").first()
+    assert got.nav_md == "- [Inside](https://x.com/x)\n- [Nav](https://x.com/z)\n" and "root_flags" not in got.asDict()
