@@ -88,6 +88,10 @@ def valid_url(col) -> Column:
 
 def pct_encode(col, chars: str) -> Column:
     """Percent-encode (UTF-8) every character of the class ``[chars]``."""
+    return let(_c(col), lambda x: F.when(x.rlike(f"[{chars}]"), _pct_encoded(x, chars)).otherwise(x))
+
+
+def _pct_encoded(col: Column, chars: str) -> Column:
     toks = F.regexp_extract_all(_c(col), F.lit(f"[{chars}]+|[^{chars}]+"), F.lit(0))
     enc = F.transform(
         toks,
@@ -98,7 +102,11 @@ def pct_encode(col, chars: str) -> Column:
 
 def remove_dot_segments(path) -> Column:
     """Drop '.' and '..' segments of an absolute path as a browser does."""
-    segs = F.split(_c(path), "/", -1)
+    return let(_c(path), lambda x: F.when(x.rlike(r"(?i)/(\.|%2e)") | ~x.startswith("/"), _without_dots(x)).otherwise(x))
+
+
+def _without_dots(path: Column) -> Column:
+    segs = F.split(path, "/", -1)
     n = F.size(segs)
 
     def step(acc, i):
@@ -124,8 +132,10 @@ def _reference(col) -> Column:
         return F.struct(F.regexp_extract(u, r"(?s)^([^?#]*)", 1).alias("head"),
                         F.when(u.rlike(r"(?s)^[^#]*\?"), F.regexp_extract(u, r"(?s)^[^?#]*\?([^#]*)", 1)).alias("query"),
                         F.when(u.contains("#"), F.regexp_extract(u, r"(?s)^[^#]*#(.*)$", 1)).alias("fragment"))
-    trimmed = F.regexp_replace(_c(col), r"^[\x00-\x20]+|[\x00-\x20]+$", "")
-    return let(F.regexp_replace(trimmed, r"[\t\n\r]", ""), body)
+    def clean(x):
+        trimmed = F.regexp_replace(x, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+        return F.when(x.rlike(r"[\x00-\x20]"), F.regexp_replace(trimmed, r"[\t\n\r]", "")).otherwise(x)
+    return let(_c(col), lambda x: let(clean(x), body))
 
 
 def _slashes(col: Column) -> Column:
@@ -163,7 +173,7 @@ def _authority(auth: Column, scheme: Column) -> Column:
         info = F.when((p["user"] != "") | (p["password"] != ""), F.concat(pct_encode(p["user"], USERINFO_ENCODE), password, F.lit("@"))).otherwise(F.lit(""))
         port = F.when((p["port"] != "") & ~known, F.concat(F.lit(":"), p["port"])).otherwise(F.lit(""))
         return F.when(p["ok"], F.concat(info, p["host"], port))
-    return let(auth, lambda a: let(split(a), lambda p: let(parts(p), render)))
+    return let(auth, lambda a: F.when(a.rlike(r"^[a-z0-9.\-]+$"), a).otherwise(let(split(a), lambda p: let(parts(p), render))))
 
 
 def resolve_href(base, href) -> Column:
