@@ -1,21 +1,28 @@
 """HTML extraction by line-block distribution (operator 7).
 
-The markup is stripped: scripts, styles, menus, headers, footers, sidebars,
-notices, adverts, forms and comment sections go with their contents, block
-elements end a line, inline elements leave no trace.  Each line has a length.
-
-Boxes are the page's ``main`` (or articleBody) and ``article`` elements; a box
-is measured by its text.  Where the boxes have at least as much text as the rest
-of the page (with a ``main`` that has text, half as much), they are the main
-text and the rest is not; else the page is.  In the same way the articles inside
-a ``main`` stand for it if they have at least as much text as the rest of it;
-else all of it stays.  Of sibling articles all are kept, in page order.
-
-Where the page is the main text, the length of a line outside the boxes that is
-mostly link text counts as 0.  Lengths are summed over windows of ``WINDOW``
-lines.  Text surges where a window that follows an empty one has more than
-``SURGE`` characters, and dives where windows are empty again; all stretches
-between surge and dive are kept with every line inside, however short.
+The markup is stripped: scripts, styles, menus, headers (those of an article
+stay), footers, sidebars, forms and what is hidden go with their contents, block
+elements end a line, inline elements leave no trace.  The lines of the page
+are one sequence; tags only say how much a line counts:
+
+* Lines in elements whose class or id names say boilerplate (notices, adverts,
+  comments, ...) count 0.  A name says so if all its words do or are neutral
+  (``site-footer``, not ``has-sidebar`` or ``related-work``), and a list of names if the
+  others say nothing else (not ``topic social science``).  Where no other line
+  has text, these names are not believed.
+* Boxes are the page's ``main`` (or articleBody) and ``article`` elements; a box
+  is measured by its text.  Where the boxes have at least as much text as the rest
+  of the page (with a ``main`` that has text, half as much), lines outside count
+  0.  In the same way lines of a ``main`` outside of its articles count 0 if
+  these have at least as much text.
+* Outside of boxes a line that is mostly link text counts 0.
+* Any other line counts its length.
+
+These counts are summed over windows of ``WINDOW`` lines.  The text surges at a
+line that counts and whose window has at least one ``SHARE``-th of the largest
+window (any line of a box does), and dives before a window without any count.
+All lines between surge and dive are kept, short ones and links too, except those
+that the first two rules made 0.
 
 White space inside a line becomes one space; ``br`` is white space; character
 references are decoded.  Null or empty html, and pages without text, give an
@@ -37,18 +44,22 @@ from pyspark.sql import functions as F
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-WINDOW, SURGE = 3, 0
+WINDOW, SHARE = 3, 100
 # Elements of HTML by what they do here.
-RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "math", "xmp", "noembed", "noframes"}
+RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "xmp", "noembed", "noframes"}
 DROP = {"head", "nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "select", "datalist", "fieldset", "object", "canvas", "audio", "video"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {"address", "article", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6",
          "hgroup", "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 LOOSE = {"p", "li", "dd", "dt", "td", "th", "tr", "thead", "tbody", "tfoot", "option", "h1", "h2", "h3", "h4", "h5", "h6"}
 # Words in class or id that mark boilerplate, and roles.
-MARKS = {"ad", "ads", "advert", "adverts", "advertisement", "adsense", "banner", "breadcrumb", "breadcrumbs", "byline", "comment", "comments", "consent", "cookie", "cookies",
+MARKS = {"ad", "ads", "advert", "adverts", "advertisement", "adsense", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies",
          "disqus", "footer", "gdpr", "header", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pagination", "popup", "promo",
          "related", "replies", "respond", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"}
+# Words beside these that say nothing of their own.
+NEUTRAL = {"area", "bar", "block", "body", "bottom", "box", "button", "buttons", "col", "container", "content", "footer", "form", "global", "group", "header", "holder", "icon", "icons",
+           "inner", "item", "items", "js", "left", "link", "links", "list", "main", "outer", "page", "panel", "primary", "right", "row", "secondary", "section", "site", "slot", "text",
+           "title", "top", "unit", "wrap", "wrapper"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert", "alertdialog"}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"(=?[^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
@@ -62,31 +73,49 @@ def attributes(attrs: str) -> Iterator[tuple[str, str]]:
         yield m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
 
 
-def _boilerplate(tag: str, attrs: str) -> bool:
-    if tag in DROP:
-        return True
+def _says_boilerplate(names: str) -> bool:
+    """Whether class or id names mark boilerplate and nothing else."""
+    found = False
+    for name in names.split():
+        words = [w for w in _SPLIT.split(name) if w and not w.isdigit()]
+        if not NEUTRAL.union(MARKS).issuperset(words):
+            if any(c.isdigit() for c in name):
+                continue  # of a grid or a counter
+            return False
+        found |= not MARKS.isdisjoint(words)
+    return found
+
+
+KEPT, MARKED, GONE = 0, 1, 2
+
+
+def _boilerplate(tag: str, attrs: str, in_box: bool) -> int:
+    """Whether an element stays, counts 0, or goes with its contents."""
+    if tag in DROP and not (tag == "header" and in_box):
+        return GONE
     if not attrs or "=" not in attrs and "hidden" not in attrs.lower():
-        return False
+        return KEPT
+    marked = KEPT
     for name, value in attributes(attrs):
         if name == "hidden" or name == "aria-hidden" and value == "true" and tag != "body":
-            return True
+            return GONE
         if name == "role" and value.strip() in ROLES:
-            return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and not MARKS.isdisjoint(_SPLIT.split(value)):
-            return True
-        if name == "class" and tag == "article" and not {"comment", "comments", "reply", "ad", "advert", "related", "teaser"}.isdisjoint(_SPLIT.split(value)):
-            return True
-    return False
+            return GONE
+        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and _says_boilerplate(value):
+            marked = MARKED
+        if name == "class" and tag == "article" and not {"comment", "comments", "reply", "ad", "advert", "related", "teaser"}.isdisjoint(value.split()):
+            marked = MARKED
+    return marked
 
 
-def lines_of(page: str) -> list[tuple[str, int, int, int]]:
-    """Lines ``(text, characters of link text, numbers of the main and of the article that they lie in, or 0)``."""
-    lines: list[tuple[str, int, int, int]] = []
+def lines_of(page: str) -> list[tuple[str, int, int, int, int]]:
+    """Lines ``(text, characters of link text, numbers of the main and of the article that they lie in, or 0, marked elements around)``."""
+    lines: list[tuple[str, int, int, int, int]] = []
     text: list[str] = []
     links = n_link = 0
-    stack: list[tuple[str, bool, int, int]] = []  # open containers: tag, dropped, main and article around
+    stack: list[tuple[str, int, int, int]] = []  # open containers: tag, what becomes of them, main and article around
     count: dict[str, int] = {}
-    skip = main = article = n_boxes = 0
+    skip = marked = main = article = n_boxes = 0
     at, size = 0, len(page)
 
     def flush() -> None:
@@ -94,7 +123,7 @@ def lines_of(page: str) -> list[tuple[str, int, int, int]]:
         if text:
             s = " ".join(html.unescape("".join(text)).split())
             if s:
-                lines.append((s, n_link, main, article))
+                lines.append((s, n_link, main, article, marked))
             text.clear()
         n_link = 0
 
@@ -124,9 +153,10 @@ def lines_of(page: str) -> list[tuple[str, int, int, int]]:
                 flush()
             if count.get(tag):
                 while stack:
-                    t, dropped, main, article = stack.pop()
+                    t, fate, main, article = stack.pop()
                     count[t] -= 1
-                    skip -= dropped
+                    skip -= fate == GONE
+                    marked -= fate == MARKED
                     if t == tag:
                         break
             continue
@@ -141,18 +171,19 @@ def lines_of(page: str) -> list[tuple[str, int, int, int]]:
             flush()
         if tag in VOID:
             continue
-        dropped = _boilerplate(tag, attrs)
+        fate = _boilerplate(tag, attrs, bool(main or article))
         if attrs.endswith("/") and tag not in BLOCK:
             continue
         if tag == "a":
             links += 1
-        if dropped and tag == "a":
+        if fate and tag == "a":
             continue
-        if tag in BLOCK | DROP and tag not in LOOSE or dropped:
-            stack.append((tag, dropped, main, article))
+        if tag in BLOCK | DROP and tag not in LOOSE or fate:
+            stack.append((tag, fate, main, article))
             count[tag] = count.get(tag, 0) + 1
-            skip += dropped
-            if not skip and not article:
+            skip += fate == GONE
+            marked += fate == MARKED
+            if not skip and not marked and not article:
                 if tag == "article":
                     n_boxes += 1
                     article = n_boxes
@@ -163,15 +194,36 @@ def lines_of(page: str) -> list[tuple[str, int, int, int]]:
     return lines
 
 
-def stretches(n: list[int]) -> Iterator[tuple[int, int]]:
+def counts(lines: list[tuple[str, int, int, int, int]]) -> tuple[list[int], list[bool], list[bool]]:
+    """What each line counts, whether it lies in a box, and whether it can never be kept."""
+    believed = any(not marked for *_, marked in lines)
+    out = [believed and marked > 0 for *_, marked in lines]
+    plain = [len(s) * (2 * linked <= len(s)) for s, linked, *_ in lines]
+    box = [bool(main or article) for _, _, main, article, _ in lines]
+    boxed = sum(len(x[0]) for x, b, o in zip(lines, box, out, strict=True) if b and not o)
+    rest = sum(x for x, b, o in zip(plain, box, out, strict=True) if not b and not o)
+    if boxed and rest <= boxed * (2 if any(x[2] for x in lines) else 1):
+        more: dict[int, int] = {}  # for each main with articles: how much more text they have than the rest of it
+        for (s, _, main, article, _), x, o in zip(lines, plain, out, strict=True):
+            more[main] = more.get(main, 0) + (0 if o else len(s) if article else -x)
+        inside = {main for _, _, main, article, _ in lines if main and article}
+        kept = [article or main and (main not in inside or more[main] < 0) for _, _, main, article, _ in lines]
+        out = [o or not k for o, k in zip(out, kept, strict=True)]
+    n = [0 if o else len(x[0]) if b else p for x, p, b, o in zip(lines, plain, box, out, strict=True)]
+    return n, box, out
+
+
+def stretches(n: list[int], box: list[bool]) -> Iterator[tuple[int, int]]:
     """``(surge, dive)`` of each stretch of lines between a surge and the next empty window."""
+    sums = [sum(n[i:i + WINDOW]) for i in range(len(n) + 1)]
+    least = max(sums) / SHARE
     start, last = -1, 0
     for i, x in enumerate(n):
-        if start < 0 and x and sum(n[i:i + WINDOW]) > SURGE:
+        if start < 0 and x and (box[i] or sums[i] >= least):
             start = i
         if start >= 0:
             last = i if x else last
-            if not any(n[i + 1:i + 1 + WINDOW]):
+            if not sums[i + 1]:
                 yield start, last
                 start = -1
 
@@ -179,17 +231,8 @@ def stretches(n: list[int]) -> Iterator[tuple[int, int]]:
 def main_text(page: str | None) -> str:
     """The lines of the page's main text, joined by newlines."""
     lines = lines_of(page or "")
-    plain = [len(s) * (2 * linked <= len(s)) for s, linked, _, _ in lines]
-    boxed = sum(len(s) for s, _, main, article in lines if main or article)
-    rest = sum(x for x, (_, _, main, article) in zip(plain, lines, strict=True) if not main and not article)
-    if not boxed or rest > boxed * (2 if any(main for _, _, main, _ in lines) else 1):
-        n = [len(s) if main or article else x for x, (s, _, main, article) in zip(plain, lines, strict=True)]
-        return "\n".join(s for surge, dive in stretches(n) for s, _, _, _ in lines[surge:dive + 1])
-    more: dict[int, int] = {}  # for each main with articles: how much more text they have than the rest of it
-    for x, (s, _, main, article) in zip(plain, lines, strict=True):
-        more[main] = more.get(main, 0) + (len(s) if article else -x)
-    inside = {main for _, _, main, article in lines if main and article}
-    return "\n".join(s for s, _, main, article in lines if article or main and (main not in inside or more[main] < 0))
+    n, box, out = counts(lines)
+    return "\n".join(lines[i][0] for surge, dive in stretches(n, box) for i in range(surge, dive + 1) if not out[i])
 
 
 def extract(pages: DataFrame, html_col: str = "html", out: str = "text") -> DataFrame:

@@ -2,8 +2,10 @@
 
 import gzip
 import hashlib
+import html
 import io
 import random
+import re
 import struct
 import zlib
 from pathlib import Path
@@ -194,6 +196,52 @@ def test_no_box_hides_the_rest_of_the_text(page, want):
     assert line_blocks.main_text(page) == "\n".join(x.strip() for x in want)
 
 
+STORY = "<article><h1>Title</h1><p>The story is told here.</p></article>"
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    (f'<div class="layout has-sidebar">{STORY}</div>', "Title\nThe story is told here."), (f'<div class="page no-sidebar">{STORY}</div>', "Title\nThe story is told here."),
+    (f'<div id="post-header-and-body">{STORY}</div>', "Title\nThe story is told here."), (f'<div class="topic social science">{STORY}</div>', "Title\nThe story is told here."),
+    ('<article><p>The story.</p><section class="related-work"><p>Others found the same.</p></section></article>', "The story.\nOthers found the same."),
+    ('<header>Site</header><article><header><h1>Title</h1><p class="byline">By A. B.</p></header><p>It is <math><mi>x</mi><mo>=</mo><mn>1</mn></math> here.</p></article>', "Title\nBy A. B.\nIt is x=1 here."),
+    (f'<div class="site-footer">Foot</div><div class="col-md-4 sidebar">Side</div><div id="cookie-banner-2">Cookies</div>{STORY}<div class="comment-list"><article>Mine</article></div>', "Title\nThe story is told here."),
+    ('<div id="nav"><p>Nothing else is on this page.</p></div>', "Nothing else is on this page."),
+    (f"<p>{LONG}</p>{LINKS}<p>x</p>", LONG.strip()),  # a lone line far below the largest window is no surge ...
+    (f"<main><p>{LONG}</p>{LINKS}<p>x</p></main>", "\n".join([LONG.strip(), *(f"link number {i}" for i in range(4)), "x"])),  # ... but in a box it is text
+    ('<article><p>One.</p><div class="ad">Buy</div><div class="ad">this</div><div class="ad">now</div><div class="ad">!</div><p>End.</p></article>', "One.\nEnd."),
+])
+def test_names_and_windows(page, want):
+    assert line_blocks.main_text(f"<body>{page}</body>") == want
+
+
+@given(st.lists(st.tuples(st.sampled_from([0, 0, 0, 1, 5, 40, 900]), st.booleans()), max_size=40))
+@settings(max_examples=300, deadline=None)
+def test_surge_and_dive_equal_their_plain_definition(rows):
+    n, box = [x for x, _ in rows], [b for _, b in rows]
+    got = [i for a, b in line_blocks.stretches(n, box) for i in range(a, b + 1)]
+    window = lambda i: sum(n[i:i + line_blocks.WINDOW])
+    peak = max((window(i) for i in range(len(n))), default=0)
+    surge = [n[i] > 0 and (box[i] or line_blocks.SHARE * window(i) >= peak) for i in range(len(n))]
+    want = []
+    for i in range(len(n)):  # a line is kept if a surge lies at it or before it and a counting line at it or after it, with no empty window between
+        before = any(surge[a] and all(window(k) for k in range(a + 1, i + 1)) for a in range(i + 1))
+        after = any(n[b] and all(window(k) for k in range(i + 1, b + 1)) for b in range(i, len(n)))
+        if before and after:
+            want.append(i)
+    assert got == want
+
+
+def test_windows_give_the_text_of_every_page(spark):
+    from pagegrove.llm.common import table
+    for r in table(spark, "/root/testdata/sf0.001", "pages").collect():
+        lines = line_blocks.lines_of(r.html)
+        n, box, out = line_blocks.counts(lines)
+        (surge, dive), = line_blocks.stretches(n, box)  # one surge, one dive
+        body = re.search(r"(?s)<article>(.*?)(</article>|$)", r.html)[1]
+        want = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h1)>", body.replace("<br>", " "))]
+        assert line_blocks.main_text(r.html) == "\n".join(x for x in want if x) and not any(out[surge:dive + 1])
+
+
 def test_extraction_time_grows_with_the_page():
     import time
     page = lambda n: "<article>" + "<p>some words here <b>and there" * n
