@@ -16,8 +16,13 @@ shuffled, with the words around them stored once per stretch of hits.  The
 bitmap may let others through, never fewer; the join that follows is exact.
 Texts are known by their MD5, so copies of one text are checked once per task.
 
-Null and empty texts match nothing.  Items with fewer than ``MIN_ITEM``
-words are too short to be told from common phrases and are not searched.
+Which masks an item has follows from its length (``masks_of``): the usual
+ones from ``LONG`` words on, lighter ones for shorter items, which a few substitutions
+would hide from the others, and one that takes all words for items with fewer
+than ``MIN_ITEM``, which count only word for word.  Documents are scanned with the masks
+that the benchmark's lengths ask for.
+
+Null and empty texts match nothing, nor do texts without words.
 Repeated rows give the same matches each; empty tables give empty results.
 Other columns are never read.
 """
@@ -36,9 +41,10 @@ from pagegrove.llm.common import Words, doc_groups, mix64, rand64, stage, utf8
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Masks of weight 6 and one; 1 takes the word, 0 ignores it.
+# Masks of weight 6, and of weight 3 for short items; 1 takes the word, 0 ignores it.
 MASKS = ["111111", "1101011001", "1011001011", "110011011"]
-OVERLAP, IDENTITY, MIN_ITEM = 14, 0.75, 8
+LIGHT = ["111", "1101", "1011"]
+OVERLAP, IDENTITY, MIN_ITEM, LONG = 14, 0.75, 8, 14
 BITMAP_BITS = 25
 #: Hits at most so many words apart share one stretch of stored words.
 GAP = 16
@@ -51,13 +57,18 @@ def word_finder() -> Words:
     return Words(keep)
 
 
+def masks_of(n: int, min_item: int = MIN_ITEM) -> list[str]:
+    """The masks of an item of ``n`` words."""
+    return [] if not n else ["1" * n] if n < min_item else LIGHT if n < LONG else MASKS
+
+
 def seeds(h: np.ndarray, mask: str) -> np.ndarray:
     """The seed at each window start; the array ends with the last whole window."""
     take = [i for i, c in enumerate(mask) if c == "1"]
     n = max(0, len(h) - len(mask) + 1)
     out = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
-        c = rand64(len(take), 1000 + int(mask, 2)) | np.uint64(1)
+        c = rand64(len(take), 1000 + (int(mask, 2) & 0xFFFFFFFF)) | np.uint64(1)
         for k, i in zip(c, take, strict=True):
             out += h[i:i + n] * k
         return mix64(out)
@@ -79,7 +90,7 @@ def _item_rows(min_item: int):
             words, seed, pos = [], [], []
             for i in range(len(off) - 1):
                 w = h[at[i]:at[i + 1]]
-                own = [seeds(w, m) for m in MASKS] if len(w) >= min_item else []
+                own = [seeds(w, m) for m in masks_of(len(w), min_item)]
                 words.append(w.tobytes())
                 seed.append(np.concatenate(own).view(np.int64) if own else np.zeros(0, np.int64))
                 pos.append(np.concatenate([np.arange(len(x), dtype=np.int32) for x in own]) if own else np.zeros(0, np.int32))
@@ -109,9 +120,9 @@ def bitmap(item_seeds: DataFrame) -> np.ndarray:
     return out
 
 
-def _scan(marks, overlap: int):
+def _scan(marks, overlap: int, masks: list[str]):
     """Stretches of documents around seeds that the bitmap lets through."""
-    span = max(map(len, MASKS))
+    span = max(map(len, masks), default=0)
 
     def there(probe):
         return (marks.value[probe >> 3] >> (7 - (probe & 7)).astype(np.uint8)) & 1 > 0
@@ -126,7 +137,7 @@ def _scan(marks, overlap: int):
                 s, e, at = finder.spans(data[off[i]:off[j]], off[i:j + 1] - off[i])
                 h = finder.hashes(data[off[i]:off[j]], s, e)
                 pos, seed = [], []
-                for mask in MASKS:
+                for mask in masks:
                     x = seeds(h, mask)
                     p1, p2 = _probes(x)
                     hit = np.flatnonzero(there(p1))
@@ -135,9 +146,9 @@ def _scan(marks, overlap: int):
                     hit = hit[hit + len(mask) <= end]
                     pos.append(hit)
                     seed.append(x[hit])
-                pos, seed = np.concatenate(pos), np.concatenate(seed)
-                if not len(pos):
+                if not any(map(len, pos)):
                     continue
+                pos, seed = np.concatenate(pos), np.concatenate(seed)
                 order = np.lexsort((seed, pos))
                 pos, seed = pos[order], seed[order]
                 doc = np.searchsorted(at, pos, side="right") - 1
@@ -167,12 +178,12 @@ def best_stretch(doc: np.ndarray, item: np.ndarray, diagonal: int, overlap: int)
     return int((c[m:] - c[:-m]).max()), m
 
 
-def _verify(overlap: int, identity: float):
+def _verify(overlap: int, identity: float, min_item: int):
     def run(batches):
         for b in batches:
             got = [best_stretch(np.frombuffer(c.as_buffer(), np.uint64), np.frombuffer(w.as_buffer(), np.uint64), d.as_py(), overlap)
                    for c, w, d in zip(b.column("ctx"), b.column("words"), b.column("diagonal"), strict=True)]
-            keep = pa.array([n >= identity * m for n, m in got], pa.bool_())
+            keep = pa.array([n >= (identity if m >= min(min_item, overlap) else 1) * m > 0 for n, m in got], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("key").filter(keep), b.column("item").filter(keep), pa.array([n for n, _ in got], pa.int32()).filter(keep),
                                               pa.array([m for _, m in got], pa.int32()).filter(keep)], ["key", "item", "n_equal", "n_compared"])
     return run
@@ -190,16 +201,18 @@ def contaminations(docs: DataFrame, bench: DataFrame, text_col: str = "text", be
     lower = lambda c: F.lower(F.col(c).cast("string"))
     texts = bench.where(F.col(bench_col).isNotNull()).select(text_key(bench_col).alias("item"), lower(bench_col).alias("text")).dropDuplicates(["item"])
     items = stage(texts.mapInArrow(_item_rows(min_item), "item string, words binary, seed array<long>, pos array<int>"), "seeds-items")
+    lengths = items.select(F.least(F.octet_length("words") / 8, F.lit(LONG)).cast("int").alias("n")).distinct().collect()  # at most LONG of them
+    masks = sorted({m for r in lengths for m in masks_of(r.n, min_item)})
     item_seeds = items.select("item", F.explode(F.arrays_zip("seed", "pos")).alias("x")).select("item", "x.seed", F.col("x.pos").alias("item_pos"))
     marks = spark.sparkContext.broadcast(bitmap(item_seeds))
     found = docs.select(text_key(text_col).alias("key"), lower(text_col).alias("text")).mapInArrow(
-        _scan(marks, overlap), "key string, lo int, ctx binary, seed array<long>, pos array<int>")
+        _scan(marks, overlap, masks), "key string, lo int, ctx binary, seed array<long>, pos array<int>")
     found = stage(found, "seeds-found")
     found = found.withColumn("first", F.col("pos")[0])  # tells stretches apart that begin with the same words
     hits = found.select("key", "lo", "first", F.explode(F.arrays_zip("seed", "pos")).alias("x")).select("key", "lo", "first", "x.seed", F.col("x.pos").alias("doc_pos"))
     pairs = hits.distinct().join(item_seeds, "seed").select("key", "lo", "first", "item", (F.col("doc_pos") - F.col("lo") - F.col("item_pos")).alias("diagonal")).distinct()
     around = pairs.join(found.select("key", "lo", "first", "ctx").dropDuplicates(["key", "first"]), ["key", "lo", "first"]).join(items.select("item", "words"), "item")
-    good = around.select("key", "item", "diagonal", "ctx", "words").mapInArrow(_verify(overlap, identity), "key string, item string, n_equal int, n_compared int")
+    good = around.select("key", "item", "diagonal", "ctx", "words").mapInArrow(_verify(overlap, identity, min_item), "key string, item string, n_equal int, n_compared int")
     return good.groupBy("key", "item").agg(F.max("n_equal").alias("n_equal"), F.max("n_compared").alias("n_compared"))
 
 

@@ -53,8 +53,8 @@ def corpus(prose):
 
 def test_jaccard_matches_brute_force(docs_of, prose):
     rows = corpus(prose)
-    for block_rows in (100_000, 3):  # the second salts nearly every shingle
-        got = jaccard_tree.jaccard_components(docs_of(rows, extra=True), block_rows=block_rows)
+    for block_rows, tree_rows in ((100_000, 3000), (3, 4)):  # the second salts nearly every shingle and every cluster
+        got = jaccard_tree.jaccard_components(docs_of(rows, extra=True), block_rows=block_rows, tree_rows=tree_rows)
         got = sorted((r.doc_id, r.n_shingles, r.component) for r in got.collect())
         assert got == sorted(brute(rows))
 
@@ -112,7 +112,7 @@ def brute_leaks(docs, items, overlap=14, identity=0.75):
         for k, u in items:
             w = words_of(u)
             m = min(overlap, len(w))
-            if len(w) >= 8 and any(sum(d[p + q] == w[s + q] for q in range(m)) >= identity * m for p in range(len(d) - m + 1) for s in range(len(w) - m + 1)):
+            if w and any(sum(d[p + q] == w[s + q] for q in range(m)) >= (identity if len(w) >= 8 else 1) * m for p in range(len(d) - m + 1) for s in range(len(w) - m + 1)):
                 out.add((i, k))
     return out
 
@@ -139,6 +139,42 @@ def test_spaced_seeds(spark, docs_of, prose):
     assert spaced_seeds.document_matches(docs_of(docs), bench.limit(0)).count() == 0
 
 
+def test_short_items_are_found(spark, docs_of, prose):
+    r = random.Random(7)
+    items = [(n, prose(900 + n, n)) for n in range(1, 14)] + [(50, ".,;"), (51, prose(901, 1) + " " + prose(902, 2))]
+    docs = [(i, prose(i, 60)) for i in range(30)]
+    for n, t in items:
+        for subs in range(4):
+            for _ in range(3):
+                w = t.split()
+                for k in r.sample(range(len(w)), min(subs, len(w))):
+                    w[k] = f"zz{k}"
+                docs.append((len(docs), prose(5, 20) + " " + " ".join(w) + "; " + prose(6, 20)))
+    docs += [(len(docs), items[5][1]), (len(docs) + 1, ""), (len(docs) + 2, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in spaced_seeds.document_matches(docs_of(docs), bench).collect()}
+    assert got == brute_leaks(docs, items) and {k for _, k in got} >= set(range(1, 14))
+
+
+def recall(n, subs, overlap=14, identity=0.75):
+    """Of all placements of substitutions in an item of n words that still count, those that leave a window of some mask whole."""
+    masks = [[i for i, c in enumerate(m) if c == "1"] for m in spaced_seeds.masks_of(n)]
+    m = min(overlap, n)
+    found = total = 0
+    for bad in combinations(range(n), subs):
+        if any(m - sum(s <= b < s + m for b in bad) >= identity * m for s in range(n - m + 1)):
+            total += 1
+            found += any(not {p + i for i in take} & set(bad) for take in masks for p in range(n - take[-1]))
+    return found / total if total else None
+
+
+def test_recall_of_substituted_passages():
+    for n in range(8, 25):
+        m = min(14, n)
+        for subs in range(0, m - -(-3 * m // 4) + 1):
+            assert recall(n, subs) >= (1 if n < 14 or n >= 20 else 0.95), (n, subs)
+
+
 def test_stretches_with_the_same_first_word_are_kept_apart(spark, docs_of, prose):
     items = [(1, prose(70, 10)), (2, prose(71, 40))]
     docs = [(i, items[0][1] + " " + prose(80 + i, 18, 10**6) + " " + items[1][1]) for i in range(12)]
