@@ -16,8 +16,9 @@ escaped by a backslash after their first character, backslashes are doubled,
 and a backslash before any character restores it.  The loss mask is a list of
 code-point spans that cover each assistant text.
 
-Null text and role count as empty; a message without ``start`` takes its role
-from the first event that has one.  A null conversation id is a conversation
+Null text and role count as empty.  A message has the role of its last
+``start`` since it was last deleted; without one that of the first event since then
+that has a role, else the last role it had.  A null conversation id is a conversation
 like others.  Of turns with equal number all are kept.  An empty log gives no
 rows; other columns are never read.  A conversation is one output row, so its
 own size is the bound of a group.
@@ -54,14 +55,28 @@ def unescape(text: str) -> str:
 
 
 def events_of(turns: DataFrame, delta_chars: int = DELTA_CHARS) -> DataFrame:
-    """The log of a table of turns: a start event for each row, its text streamed in deltas."""
+    """The log of a table of turns, with all kinds of events; folded, it gives the turns.
+
+    Of four kinds of messages (by a hash of the row) one is streamed in deltas
+    only, one is begun and then generated again, one is a draft that an edit
+    replaces, and one is deleted under another role and opened anew."""
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"),
                         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("msg"))
     n = F.ceil(F.length("text") / delta_chars).cast("int")
-    seq = rows.select("*", F.explode(F.sequence(F.lit(0), n)).alias("seq"))
-    return seq.select("conv_id", "msg", "turn", F.col("seq").cast("long").alias("seq"), F.when(F.col("seq") == 0, "start").otherwise("delta").alias("kind"),
-                      F.when(F.col("seq") == 0, F.col("role")).alias("role"),
-                      F.when(F.col("seq") > 0, F.substring("text", (F.col("seq") - 1) * delta_chars + 1, F.lit(delta_chars))).otherwise("").alias("text"))
+
+    def event(kind, role=None, text=None):
+        own = F.lit(None).cast("string") if role is None else role
+        return F.struct(F.lit(kind).alias("kind"), own.alias("role"), (F.lit("") if text is None else text).alias("text"))
+    places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    deltas = F.transform(places, lambda k: event("delta", text=F.substring("text", (k - 1) * delta_chars + 1, F.lit(delta_chars))))
+    start, draft = F.array(event("start", F.col("role"))), F.slice(deltas, 1, 1)
+    kind = F.pmod(F.xxhash64("conv_id", "turn", "text"), F.lit(4))
+    log = (F.when(kind == 0, F.concat(start, deltas))
+           .when(kind == 1, F.concat(start, draft, F.array(event("regenerate", text=F.lit("again"))), deltas))
+           .when(kind == 2, F.concat(start, draft, F.array(event("edit", text=F.col("text")))))
+           .otherwise(F.concat(F.array(event("start", F.lit("draft"))), draft, F.array(event("delete")), start, deltas)))
+    return rows.select("conv_id", "msg", "turn", F.posexplode(log).alias("seq", "e")).select(
+        "conv_id", "msg", "turn", F.col("seq").cast("long").alias("seq"), "e.kind", "e.role", "e.text")
 
 
 def fold(events: DataFrame) -> DataFrame:
@@ -72,7 +87,14 @@ def fold(events: DataFrame) -> DataFrame:
     e = e.select("conv_id", "turn", "e", at("start", "edit", "regenerate").alias("reset"), at("delete").alias("gone"), at("start", "edit", "regenerate", "delta").alias("made"))
     e = e.where(F.col("gone") <= F.col("made"))
     body = F.filter("e", lambda x, i: (i >= F.col("reset")) & (i > F.col("gone")) & (x["kind"] != "delete"))
-    return e.select("conv_id", "turn", F.coalesce(F.get(F.transform(F.filter("e", lambda x: x["role"].isNotNull()), lambda x: x["role"]), F.lit(0)), F.lit("")).alias("role"),
+
+    def roles(test, last: bool):
+        """The first or last role of events that pass ``test``."""
+        found = F.filter("e", lambda x, i: x["role"].isNotNull() & test(x, i))
+        return F.try_element_at(F.transform(found, lambda x: x["role"]), F.lit(-1 if last else 1))
+    here = lambda _x, i: i > F.col("gone")
+    role = F.coalesce(roles(lambda x, i: here(x, i) & (x["kind"] == "start"), True), roles(here, False), roles(lambda _x, _i: F.lit(True), True), F.lit(""))
+    return e.select("conv_id", "turn", role.alias("role"),
                     F.array_join(F.transform(body, lambda x: F.when(x["kind"] == "regenerate", "").otherwise(x["text"])), "").alias("text"))
 
 

@@ -17,12 +17,12 @@ often as they occur; other columns are never read.
 
 from __future__ import annotations
 
-import re
 import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,7 +34,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 DIM, ORDERS = 1 << 15, 3
 FIT_ROWS, FIT_CHARS = 3000, 100_000
 PART = 1 << 12
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 #: Characters that one vectorised step hashes.
 STEP_CHARS = 1 << 19
 
@@ -158,12 +158,13 @@ def fit_sample(docs: DataFrame, fit_rows: int = FIT_ROWS, fit_chars: int = FIT_C
     """At most ``fit_rows`` rows, as many of each language as there are, in the order of a hash."""
     spark = docs.sparkSession
     ids = learnable(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.xxhash64("doc_id").alias("h"))
-    langs = ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(fit_rows).collect()
+    # hashes, not rows, are counted: rows may share an id, and then its hash
+    langs = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct("h").alias("count")).orderBy(F.desc("rows"), "lang").limit(fit_rows).collect()
     each = max(1, fit_rows // max(1, len(langs)))
     # only hashes under a bound of each language, some four times its part, are put in order, so the sort does not grow with the rows
-    cuts = [(r.lang, min((1 << 63) - 1, -(1 << 63) + (4 * each + 100) * (1 << 64) // r["count"])) for r in langs]
+    cuts = [(r.lang, min((1 << 63) - 1, -(1 << 63) + (4 * each + 100) * (1 << 64) // max(1, r["count"]))) for r in langs]
     ids = ids.join(F.broadcast(spark.createDataFrame(cuts, "lang string, most long")), "lang").where("h <= most").drop("most")
-    ids = ids.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("k") <= each)
+    ids = ids.distinct().withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("k") <= each)
     ids = spark.createDataFrame(ids.orderBy("k", "h", "doc_id").limit(fit_rows).select("doc_id").distinct().collect(), "doc_id long")
     rows = learnable(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").where(F.length("text") <= fit_chars)
     rows = rows.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()

@@ -275,6 +275,29 @@ def test_chat_round_trip(spark):
     assert chat_events.digests(chat_events.format_events(log.limit(0))).count() == 0
 
 
+def test_chat_roles_follow_the_last_opening(spark):
+    e = [(1, 1, 0, 0, "start", "user", "a"), (1, 1, 0, 1, "delete", None, None), (1, 1, 0, 2, "start", "assistant", "b"),
+         (1, 2, 1, 0, "start", "user", "c"), (1, 2, 1, 1, "edit", "bot", "d"), (1, 3, 2, 0, "delta", None, "e"), (1, 3, 2, 1, "delta", "tool", "f"),
+         (1, 4, 3, 0, "start", "user", "g"), (1, 4, 3, 1, "delete", None, None), (1, 4, 3, 2, "delta", None, "h"), (1, 5, 4, 0, "start", "user", "i"), (1, 5, 4, 1, "start", "assistant", "j"),
+         (1, 6, 5, 0, "delta", None, "k")]
+    log = spark.createDataFrame(e, "conv_id long, msg long, turn long, seq long, kind string, role string, text string")
+    got = [(r.role, r.text) for r in chat_events.fold(log).orderBy("turn").collect()]
+    assert got == [("assistant", "b"), ("user", "d"), ("tool", "ef"), ("user", "h"), ("assistant", "j"), ("", "k")]
+    formatted = chat_events.format_events(log).first()
+    assert [chat_events.unescape(formatted.formatted[s.start:s.stop]) for s in formatted.loss] == ["b", "j"]
+
+
+def test_chat_log_has_all_kinds_and_long_texts(spark):
+    rows = [(c, t, "assistant" if t % 2 else "user", f"text {c} {t} " * (c % 5)) for c in range(20) for t in range(4)] + [(99, 0, "assistant", "very long " * 60_000), (99, 1, None, None)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    log = chat_events.events_of(turns)
+    assert {r.kind for r in log.select("kind").distinct().collect()} == {"start", "delta", "edit", "regenerate", "delete"}
+    got = sorted(tuple(r) for r in chat_events.fold(log).collect())
+    assert got == sorted((c, t, r or "", x or "") for c, t, r, x in rows)
+    d = {r.conv_id: r for r in chat_events.digests(chat_events.format_events(log)).collect()}
+    assert d[99].loss_chars == 600_000 and d[99].n_turns == 2
+
+
 def test_chat_folds_deltas_edits_and_regenerations(spark):
     e = [(1, 1, 0, 0, "start", "user", "Hi"), (1, 1, 0, 1, "delta", None, " you"), (1, 2, 1, 2, "start", "assistant", ""), (1, 2, 1, 4, "delta", None, "B"), (1, 2, 1, 3, "delta", None, "A"),
          (1, 2, 1, 5, "regenerate", None, "ignored"), (1, 2, 1, 6, "delta", None, "C"), (1, 2, 1, 7, "delta", None, None), (1, 2, 1, 8, "delta", None, "D"),

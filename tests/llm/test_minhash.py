@@ -7,6 +7,7 @@ import numpy as np
 
 from pagegrove.llm import minhash_tensor
 from pagegrove.llm.common import rand64
+from pagegrove.llm.graph import block_links
 from tests.llm.test_joins import brute, corpus
 
 
@@ -112,8 +113,8 @@ def test_blocks_join_what_all_links_would():
     every = []
     for t in range(144):
         x, y = minhash_tensor.block_pairs(t, n, root, sketch, bits, 2, 85, 100, agree)
-        few = [tuple(sorted(p)) for p in minhash_tensor.block_links(x[:40], y[:40], root, sets, 85, 100)]
-        got = [tuple(sorted(p)) for p in minhash_tensor.block_links(x, y, root, sets, 85, 100)]
+        few = [tuple(sorted(p)) for p in block_links(x[:40], y[:40], root, sets, 85, 100)]
+        got = [tuple(sorted(p)) for p in block_links(x, y, root, sets, 85, 100)]
         assert set(got) | set(few) <= set(links) and len(got) < 75
         every += got
     assert parts(every) == parts(links)

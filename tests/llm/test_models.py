@@ -171,3 +171,18 @@ def test_rules_plan_is_native(docs_of):
     f = divergence_rules.rule_features(docs_of([(1, "a")]))
     plan = divergence_rules.judge(f, divergence_rules.references(f))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def test_texts_without_letters_are_undetermined(docs_of, prose):
+    from pagegrove.llm import langid
+    model = langid.train(docs_of([(i, prose(i, 30), "en" if i % 2 else "fr") for i in range(40)]))
+    texts = ["² ½ ① Ⅷ", "12 _ +", "ª", "é", "ʰ", "中", "", None, "٣"]
+    got = {r.doc_id: r.found.lang for r in langid.detect(docs_of(list(enumerate(texts))), model, out="found").select("doc_id", "found").collect()}
+    assert [got[i] == "und" for i in range(len(texts))] == [True, True, False, False, False, False, True, True, True]
+
+
+def test_a_language_of_one_id_stays_in_the_sample(docs_of, prose):
+    from pagegrove.llm import langid
+    rows = [(0, prose(i, 20), "xx") for i in range(3000)] + [(i, prose(i, 20), "yy") for i in range(1, 400)]
+    sample = langid.fit_sample(docs_of(rows), fit_rows=40)
+    assert {r.lang for r in sample} == {"xx", "yy"}
