@@ -35,11 +35,14 @@ def get_spark(cpus: int | str = "*", app: str = "pagegrove",
     return spark
 
 
+_SCRATCH: dict[str, str | None] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
     Uses ``spark.checkpoint.dir`` when the cluster names one; only when it is
-    unset (local tests) a fresh scratch folder is created and registered.
+    unset (local tests) a fresh scratch folder is created for the session.
     On a cluster an unset folder is an error: executors share no local disk.
     """
     conf = spark.sparkContext.getConf()
@@ -47,7 +50,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not path:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="pagegrove-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        # the setting cannot be changed while Spark runs, so the folder is remembered here
+        path = _SCRATCH.setdefault(spark.sparkContext.applicationId, None) or tempfile.mkdtemp(prefix="pagegrove-ckpt-")
+        _SCRATCH[spark.sparkContext.applicationId] = path
     spark.sparkContext.setCheckpointDir(path)
     return path
