@@ -12,8 +12,8 @@
 
 from __future__ import annotations
 
+import re
 import sys
-import tempfile
 import uuid
 import zlib
 
@@ -23,6 +23,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagegrove.session import checkpoint_dir
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: ASCII white space of the word rule ``[^\x20\x09-\x0D]+``.
@@ -35,12 +37,7 @@ GROUP_BYTES = 2 << 20
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; in local mode without one, a fresh folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="pagegrove-")
-        spark.conf.set("spark.checkpoint.dir", root)
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + checkpoint_dir(spark)
     return root.rstrip("/")
 
 
@@ -60,7 +57,7 @@ def open_store(uri: str):
     from pyarrow import fs
     if "://" not in uri:
         return fs.LocalFileSystem(), uri.removeprefix("file:")
-    return fs.FileSystem.from_uri(uri)
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))  # Spark's names of one store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
