@@ -50,7 +50,7 @@ def sanitize_text(col) -> Column:
 
 
 def sanitize_filename(col) -> Column:
-    """URL -> file name.  Drops scheme+host, maps non-word characters to
+    """URL -> file name (the patterns are fixed values).  Drops scheme+host, maps non-word characters to
     '_', collapses '_', cuts to 200 code points, appends '.md' unless present
     and strips '_' and '.' from both ends (no lower-casing)."""
     x = F.regexp_replace(_c(col), r"^https?://[^/]+", "")
@@ -71,11 +71,6 @@ def split_lines(col) -> Column:
             .otherwise(parts))
 
 
-def md_link(text, url) -> Column:
-    """``[text](url)``."""
-    return F.concat(F.lit("["), _c(text), F.lit("]("), _c(url), F.lit(")"))
-
-
 def let(value: Column, body) -> Column:
     """Bind ``value`` once and use it in ``body`` (a lambda over the bound
     value).  Without it, a sub-expression used n times is copied n times into
@@ -92,7 +87,7 @@ def cached_expr(key, build):
     same object can be applied to any DataFrame with those columns; building
     the navigation expressions costs thousands of driver-JVM calls."""
     from pyspark import SparkContext
-    k = (id(SparkContext._active_spark_context), key)
+    k = (SparkContext._active_spark_context.applicationId, key)
     if k not in _EXPR_CACHE:
         _EXPR_CACHE[k] = build()
     return _EXPR_CACHE[k]

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagegrove.functions.urls import pct_encode, resolve_href, url_host
+from pagegrove.functions.urls import pct_encode, resolve_href, url_host, url_parts
 from pagegrove.operators import site as R
 from pagegrove.plans import sqlfrag as S
 from pagegrove.plans.catalog import SQL_SITE, pages, query, site_links
@@ -128,3 +128,27 @@ def q_url_references(spark, sf):
     rows = pages(spark, sf).select("page_id", "url", refs)
     rows = rows.withColumn("ref", F.replace(F.replace("ref", F.lit("{s}"), scheme), F.lit("{i}"), F.col("page_id").cast("string")))
     return rows.select("page_id", "no", "ref", resolve_href(F.col("url"), F.col("ref")).alias("resolved"))
+
+
+# ---------------------------------------------------------------------------
+# URLs of every shape, stated part by part
+# ---------------------------------------------------------------------------
+
+#: URL, then scheme, netloc, path, params, query, fragment; {i} is the page's id
+SPLIT_URLS = [
+    ("HTTP://User@H:80/a;x/b;p={i}?q=1;r#f?g#h", "http", "User@H:80", "/a;x/b", "p={i}", "q=1;r", "f?g#h"),
+    ("https://h/{i};", "https", "h", "/{i}", "", "", ""), ("//h/p;v", "", "h", "/p", "v", "", ""), ("mailto:a{i}@b;c", "mailto", "", "a{i}@b;c", "", "", ""),
+    ("a;{i}/b", "", "", "a;{i}/b", "", "", ""), ("ftp://h/a;type=i;{i}", "ftp", "h", "/a", "type=i;{i}", "", ""), ("1x:{i}", "", "", "1x:{i}", "", "", ""),
+    (" \thttps://h/\n{i}?#", "https", "h", "/{i}", "", "", ""), ("?{i}#", "", "", "", "", "{i}", ""), ("ws://h/a;{i}", "ws", "h", "/a;{i}", "", "", ""),
+]
+PARTS = ["scheme", "netloc", "path", "params", "query", "fragment"]
+
+
+@query("url_split_shapes", f"""
+WITH r(no, {', '.join(PARTS)}) AS (VALUES {', '.join(f"({k}, {', '.join(q(x) for x in row[1:])})" for k, row in enumerate(SPLIT_URLS))})
+SELECT page_id, no, {', '.join(f"replace({c}, '{{i}}', page_id::VARCHAR) AS {c}" for c in PARTS)} FROM pages, r""")
+def q_url_split_shapes(spark, sf):
+    """Parameters, other schemes, white space and empty parts."""
+    rows = pages(spark, sf).select("page_id", F.posexplode(F.array(*[F.lit(row[0]) for row in SPLIT_URLS])).alias("no", "u"))
+    p = url_parts(F.replace("u", F.lit("{i}"), F.col("page_id").cast("string")))
+    return rows.select("page_id", "no", p.alias("p")).select("page_id", "no", *[F.col(f"p.{c}").alias(c) for c in PARTS])
