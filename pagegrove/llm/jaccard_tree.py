@@ -13,23 +13,22 @@ How the work is spread
     So every link lies inside the block of one such shingle, and blocks are
     what Spark shuffles.  Very frequent shingles are salted into sub-blocks
     of bounded size, and blocks of sub-block pairs cover the rest.
-How a block is joined
-    Its members are leaves of a signature tree: a leaf has a bitmap of its
-    tokens, an inner node the OR of its children's bitmaps, their size range
-    and their largest excess of tokens over bits.  A dual traversal starts
-    at (root, root) and drops a node pair if the sizes cannot fit, if both
-    nodes already lie in one component, or if the largest possible overlap
-    ``min(excess) + popcount(A & B)`` is too small for the least sizes.
-    Leaf pairs that remain are compared exactly on their whole sets.
-Waves
-    Large groups of near copies are joined up before they are searched.
-    First every class is offered at most one partner of each of three kinds
-    from its blocks.  Then, in the trees of the most frequent blocks of each
-    class that still touch two components, each leaf is offered the sibling of another component that
-    shares most bits, at most ``OFFERS`` for a class.  Verified links give
-    components after each wave.  At last the dual traversal searches all
-    blocks that still touch two components, for all pairs of nodes.  Pairs
-    inside one component need no test, since only components are asked for.
+First links
+    Every class is offered at most one partner of each of three kinds from its
+    blocks; those that link give first components.
+Trees
+    Blocks that still touch two components are *open*.  Classes that share open
+    blocks, directly or in a chain, form a cluster, and each class goes with its
+    whole set to its cluster's tree, once however many blocks it is in (a
+    cluster beyond ``TREE_ROWS`` or ``TREE_TOKENS`` is dealt into sub-clusters that
+    meet in pairs).  Leaves have a bitmap of their tokens, an inner node the OR of
+    its children's bitmaps, their size range and their largest excess of
+    tokens over bits.  A dual traversal starts at (root, root) and drops a node
+    pair if the sizes cannot fit, if both nodes already lie in one component,
+    or if the largest possible overlap ``min(excess) + popcount(A & B)`` is too small for the
+    least sizes.  Leaf pairs that remain are compared exactly on their whole
+    sets, in the task that has them, and only links that join two components
+    leave it.  Pairs inside one component need no test, since only components are asked for.
 
 Input ``(id, text)``; other columns are ignored.  Result: one row per input
 row with ``n_shingles`` (0 for null, empty or blank texts), ``component``
@@ -52,7 +51,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagegrove.llm.common import bits_of, doc_groups, mix64, rand64, space_words, stage, utf8
-from pagegrove.llm.graph import components
+from pagegrove.llm.graph import block_links, components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -62,9 +61,10 @@ FILTER_BITS = 24
 #: Rows of one block handled by one tree; the salt of a frequent shingle follows from it.
 BLOCK_ROWS = 100_000
 PAIR_RUN = 128
-#: Bits of a bitmap for each token, at least; leaves that are compared as siblings; blocks that a class seeks siblings in.
-TOKEN_BITS, SIBLINGS, SIBLING_BLOCKS, OFFERS = 4, 128, 4, 4
-SIBLING_WAVES = 1
+#: Bits of a bitmap for each token, at least: of classes that are offered to each other, and of leaves.
+TOKEN_BITS, LEAF_BITS = 4, 16
+#: Leaves, and tokens of leaves, of one tree.
+TREE_ROWS, TREE_TOKENS = 3000, 2_000_000
 
 
 # ---- sets ----------------------------------------------------------------
@@ -290,7 +290,7 @@ def _tokens(width: int, wanted):
                     rows.append((c, toks))
             if rows:
                 cid, toks = zip(*rows, strict=True)
-                sig = [signature(t, min(1 << 19, max(64, 1 << int(TOKEN_BITS * len(t) - 1).bit_length()))).tobytes() for t in toks]
+                sig = [leaf_bitmap(t, TOKEN_BITS).tobytes() for t in toks]
                 yield pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array([len(t) for t in toks], pa.int64()), pa.array([t.tobytes() for t in toks], pa.binary()),
                                                   pa.array(sig, pa.binary())], ["cid", "size", "toks", "sig"])
     return run
@@ -442,103 +442,44 @@ def block_pairs(cid, n, pos, comp, sigs, num: int, den: int):
     return np.concatenate(out, axis=1)
 
 
-def sibling_offers(key: int, cid, n, comp, sigs, num: int, den: int):
-    """For each leaf the sibling of another component that shares most bits, ``(leaf, sibling, bits)``.
+def leaf_bitmap(toks: np.ndarray, token_bits: int) -> np.ndarray:
+    return signature(toks, min(1 << 19, max(64, 1 << int(token_bits * len(toks) - 1).bit_length())))
 
-    Leaves are put in order by one word of their bitmaps, another one for
-    each block, so that similar leaves meet often in one of their blocks.
-    """
-    out = [np.zeros((3, 0), np.int64)]
-    for pick, bits, _own in width_groups(n, sigs, num, den):
-        order = np.lexsort((cid[pick], bits[:, key % bits.shape[1]]))
-        for s in range(0, len(order), SIBLINGS):
-            g = order[s:s + SIBLINGS]
-            i, c, m = pick[g], comp[pick[g]], n[pick[g]]
-            both = np.bitwise_count(bits[g][:, None, :] & bits[g][None, :, :]).sum(2, dtype=np.int64)
-            over = m - np.diag(both)
-            lo, hi = np.minimum(m[:, None], m[None, :]), np.maximum(m[:, None], m[None, :])
-            fit = (c[:, None] != c[None, :]) & (den * lo >= num * hi)
-            fit &= np.minimum(over[:, None], over[None, :]) + both >= _needed(m[:, None], m[None, :], num, den)
-            best = np.where(fit, both, -1)
-            j = best.argmax(1)
-            ok = best[np.arange(len(g)), j] >= 0
-            out.append(np.stack([cid[i[ok]], cid[i[j[ok]]], best[np.arange(len(g)), j][ok]]))
-    return np.concatenate(out, axis=1)
-
-
-def leaf_pairs(run_of, cid, n, pos, comp, sigs, num: int, den: int):
-    """Pairs ``(x, y, bits in common)`` of all blocks that are a single node, each pair once; rows sorted by block and size."""
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for d in range(1, SIBLINGS):
-        i = np.flatnonzero(run_of[d:] == run_of[:-d])
-        if not len(i):
-            break
-        j = i + d
-        need = _needed(n[i], n[j], num, den)
-        fit = (den * n[i] >= num * n[j]) & (comp[i] != comp[j]) & (pos[i] <= n[i] - need) & (pos[j] <= n[j] - need)
-        left.append(i[fit])
-        right.append(j[fit])
-    i, j = np.concatenate(left), np.concatenate(right)
-    swap = cid[i] > cid[j]
-    i, j = np.where(swap, j, i), np.where(swap, i, j)
-    order = np.lexsort((cid[j], cid[i]))
-    i, j = i[order], j[order]
-    once = np.concatenate((np.ones(min(1, len(i)), bool), (cid[i][1:] != cid[i][:-1]) | (cid[j][1:] != cid[j][:-1])))
-    out = []
-    for a, b in zip(i[once].tolist(), j[once].tolist(), strict=True):
-        x, y = sigs[a], sigs[b]
-        w = min(len(x), len(y))
-        x, y = x if len(x) == w else fold(x, w), y if len(y) == w else fold(y, w)
-        both = int(np.bitwise_count(x & y).sum())
-        over = min(int(n[a]) - int(np.bitwise_count(x).sum()), int(n[b]) - int(np.bitwise_count(y).sum()))
-        if over + both >= _needed(int(n[a]), int(n[b]), num, den):
-            out.append((int(cid[a]), int(cid[b]), both))
-    return out
-
-
-def _traverse(num: int, den: int, siblings: bool):
-    """Rows ``(a, b, bits)`` of blocks: offers of siblings, or all pairs that the traversal leaves.
 
-    Blocks of at most ``SIBLINGS`` rows are one node, whose leaves meet directly.
-    """
-    names = ["key", "i", "j", "cid", "n", "pos", "comp"]
+def _trees(num: int, den: int):
+    """Links ``(a, b)`` of all clusters of a partition sorted by ``(cluster, i, j)``; one tree is held at a time."""
+    def links(held):
+        t = pa.Table.from_batches(held).combine_chunks()
+        cid, comp, n = (t.column(c).to_numpy() for c in ("cid", "comp", "n"))
+        toks = [np.frombuffer(x, np.uint64) for x in t.column("toks").to_pylist()]
+        place = np.arange(len(cid))
+        pairs = block_pairs(place, n, np.zeros(len(n), np.int64), comp, [leaf_bitmap(x, LEAF_BITS) for x in toks], num, den)
+        found = np.array(block_links(pairs[0], pairs[1], comp, toks, num, den), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(cid[found[:, k]]) for k in (0, 1)], ["a", "b"])
 
     def run(batches):
-        sigs, rows = [], []
+        held, now = [], None
         for b in batches:
-            rows.append(b.select(names))
-            sigs += b.column("sig").to_pylist()
-        cols = _gather(rows, names)
-        if not sigs:
-            return
-        order = np.lexsort([cols[k] for k in (3, 4, 2, 1, 0)])
-        key, i, j, cid, n, pos, comp = (c[order] for c in cols)
-        sigs = [np.frombuffer(sigs[k], np.uint64) for k in order]
-        head = np.concatenate(([True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
-        cut = np.append(np.flatnonzero(head), len(key))
-        run_of, size = np.cumsum(head) - 1, np.diff(cut)
-        small = np.flatnonzero(size[run_of] <= SIBLINGS)
-        found = leaf_pairs(run_of[small], cid[small], n[small], pos[small], comp[small], [sigs[k] for k in small], num, den)
-        if siblings:
-            found += [(y, x, both) for x, y, both in found]
-        found = set(found)
-        for k in np.flatnonzero(size > SIBLINGS):
-            g = slice(cut[k], cut[k + 1])
-            own = (cid[g], n[g], pos[g], comp[g], sigs[g])
-            if siblings:
-                found.update(zip(*sibling_offers(int(key[cut[k]]), own[0], own[1], own[3], own[4], num, den).tolist(), strict=True))
-            else:
-                x, y = block_pairs(*own, num, den)
-                found.update(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), [0] * len(x), strict=True))
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b", "bits"])
+            if not b.num_rows:
+                continue
+            at = np.stack([b.column(c).to_numpy() for c in ("cluster", "i", "j")])
+            cut = np.concatenate(([0], np.flatnonzero((at[:, 1:] != at[:, :-1]).any(0)) + 1, [b.num_rows]))
+            for s, e in zip(cut[:-1], cut[1:], strict=True):
+                this = tuple(at[:, s].tolist())
+                if held and this != now:
+                    yield links(held)
+                    held = []
+                now = this
+                held.append(b.slice(s, e - s))
+        if held:
+            yield links(held)
     return run
 
 
 # ---- the join ------------------------------------------------------------
 
 def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id",
-                       text_col: str = "text", block_rows: int = BLOCK_ROWS, keep: list[str] | None = None) -> DataFrame:
+                       text_col: str = "text", block_rows: int = BLOCK_ROWS, tree_rows: int = TREE_ROWS, keep: list[str] | None = None) -> DataFrame:
     """``(id_col, n_shingles, component, n_verified, *keep)`` for every row of ``docs``; see the module's text.
 
     ``keep``: small columns that are read once, in the same scan as the id.
@@ -566,35 +507,27 @@ def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int
     pairs = pairs.select(F.least("cid", "m").alias("a"), F.greatest("cid", "m").alias("b")).distinct()
     leaf = lambda cid, n, sig: sets.select(F.col("cid").alias(cid), F.col("size").alias(n), F.col("sig").alias(sig))
     pairs = pairs.join(leaf("a", "n", "x"), "a").join(leaf("b", "m", "y"), "b").select("a", "b", "n", "x", "m", "y")
-    links = verified(pairs.mapInArrow(_hopeful(num, den), "a long, b long"), sets, num, den, "jaccard-links")
-    label = components(links, "jaccard-wave")
-    signs = sets.select("cid", "sig")
-
-    def open_rows(rows: DataFrame, comp: DataFrame) -> DataFrame:
-        """Rows that may have a partner in another component, with theirs; the sub-blocks ``(i, j)`` of a salted key meet pairwise."""
-        joined = rows.select("key", "i", "j", "cid", "n", "pos").join(comp.withColumnRenamed("v", "cid"), "cid", "left")
-        joined = joined.select("key", "i", "j", "cid", "n", "pos", F.coalesce("root", "cid").alias("comp"))
-        kept = joined.repartition(parts, "key", "i", "j").mapInArrow(_open(num, den), "key long, i long, j long, cid long, n long, pos long, comp long")
-        return stage(kept, "jaccard-open")
-
-    def searched(rows: DataFrame, siblings: bool) -> DataFrame:
-        rows = rows.join(signs, "cid").select("key", "i", "j", "cid", "n", "pos", "comp", "sig").repartition(parts, "key", "i", "j")
-        return rows.mapInArrow(_traverse(num, den, siblings), "a long, b long, bits long")
+    pairs = stage(pairs.mapInArrow(_hopeful(num, den), "a long, b long"), "jaccard-offers")
+    ends = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
+    links = verified(pairs, sets.select("cid", "toks").join(ends, "cid", "left_semi"), num, den, "jaccard-links")
+    label = components(links, "jaccard-first")
 
     n_salts, own = F.shiftright("salt", 16), F.col("salt").bitwiseAND(0xFFFF)
     rest = cand.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(n_salts - 1, F.lit(0)))))
     rest = rest.select("key", "cid", "n", "pos", F.least(own, "o").alias("i"), F.greatest(own, "o").alias("j"))
-    for _ in range(SIBLING_WAVES):
-        rest = open_rows(rest, label)
-        few = F.slice(F.sort_array(F.collect_list(F.struct("pos", "key", "i", "j")), asc=False), 1, SIBLING_BLOCKS)
-        wide = rest.groupBy("cid", "n", "comp").agg(few.alias("x")).select("cid", "n", "comp", F.explode("x").alias("x")).select("cid", "n", "comp", "x.*")
-        offers = searched(wide, True).groupBy("a").agg(F.slice(F.sort_array(F.collect_set(F.struct("bits", "b")), asc=False), 1, OFFERS).alias("o"))
-        offers = offers.select("a", F.explode("o").alias("o")).select(F.least("a", "o.b").alias("a"), F.greatest("a", "o.b").alias("b")).distinct()
-        links = links.union(verified(offers, sets, num, den, "jaccard-links"))
-        label = components(links, "jaccard-wave")
-    pairs = searched(open_rows(rest, label), False).select("a", "b").distinct()
-    every = links.union(verified(pairs, sets, num, den, "jaccard-links"))
-    label = components(every, "jaccard-wave")
+    rest = rest.join(label.withColumnRenamed("v", "cid"), "cid", "left").select("key", "i", "j", "cid", "n", "pos", F.coalesce("root", "cid").alias("comp"))
+    rows = rest.repartition(parts, "key", "i", "j").mapInArrow(_open(num, den), "key long, i long, j long, cid long, n long, pos long, comp long")
+    rows = stage(rows, "jaccard-open")
+
+    heads = rows.groupBy("key", "i", "j").agg(F.min("cid").alias("head"))
+    cluster = components(rows.join(heads, ["key", "i", "j"]).select(F.col("cid").alias("a"), F.col("head").alias("b")).distinct(), "jaccard-clusters")
+    leaves = rows.select("cid", "n", "comp").distinct().join(cluster.select(F.col("v").alias("cid"), F.col("root").alias("cluster")), "cid")
+    wide = leaves.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / tree_rows), F.ceil(F.sum("n") / TREE_TOKENS)).alias("salts"))
+    leaves = leaves.join(wide, "cluster").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("salts"))).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+    leaves = leaves.select("cluster", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "cid", "n", "comp").join(sets.select("cid", "toks"), "cid")
+    leaves = leaves.repartition(parts, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").select("cluster", "i", "j", "cid", "n", "comp", "toks")
+    every = stage(links.union(leaves.mapInArrow(_trees(num, den), "a long, b long")), "jaccard-links")
+    label = components(every, "jaccard-second")
 
     every = every.distinct()
     ends = every.select(F.col("a").alias("cid")).union(every.select(F.col("b").alias("cid"))).groupBy("cid").agg(F.count(F.lit(1)).alias("n_verified"))
