@@ -21,7 +21,9 @@ from pyspark.sql.window import Window
 
 from pagegrove.functions.text import let, py_strip, split_lines
 from pagegrove.functions.urls import py_quote, py_unquote, py_urlunparse, resolve_href, splits, url_host, url_parts, valid_url
+from pagegrove.operators.markdown import page_markdown
 from pagegrove.operators.ranking import with_running
+from pagegrove.operators.siteinfo import page_description
 from pagegrove.sources.staging import stage
 
 # --- Fixed values -----------------------------------------------------------
@@ -91,6 +93,15 @@ def sectioned_llms_txt(site_links: DataFrame, chunk_links: int = 1000) -> DataFr
                     F.concat(F.lit("## "), F.col("section"), F.lit("\n"), F.col("lines")).alias("content")))
 
 
+def page_facts(nav: DataFrame) -> DataFrame:
+    """``(page_id, url, kept, description, filename, md_chars, status)`` of
+    pages with their trees (``nav_tree``): what links of a page and links to
+    it need, from one parse, staged as narrow rows."""
+    described = nav.withColumn("description", page_description("dom"))
+    files = page_markdown(described, keys=("page_id", "url", "kept", "description"))
+    return stage(files.select("page_id", "url", "kept", "description", "filename", F.length("content").alias("md_chars"), "status"), "page-facts")
+
+
 def by_link_url(pages: DataFrame, *cols: F.Column) -> DataFrame:
     """``(url, *cols)``: one row per page URL in the form that links have;
     of several pages with that URL the one with the least page_id."""
@@ -151,8 +162,10 @@ def link_details(site_links: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def link_metadata(site_links: DataFrame, files: DataFrame) -> DataFrame:
-    """Content size of the linked page's Markdown (null when unknown)."""
-    f = by_link_url(files, F.when(F.col("status") == "ok", F.length("content")).alias("md_chars"))
+    """Content size of the linked page's Markdown (null when unknown).
+    ``files`` has ``content`` or its length, ``md_chars``."""
+    size = F.col("md_chars") if "md_chars" in files.columns else F.length("content")
+    f = by_link_url(files, F.when(F.col("status") == "ok", size).alias("md_chars"))
     return site_links.join(f, "url", "left").select("site", "url", "title", "md_chars")
 
 

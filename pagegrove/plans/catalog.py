@@ -620,7 +620,8 @@ SELECT s.site, s.url, CASE WHEN i.description IS NOT NULL AND i.description <> '
 FROM sn s LEFT JOIN info i ON i.url = s.url""")
 def q_annotated_links(spark, sf):
     """Links annotated with the linked page's description."""
-    return R.annotate_links(site_links(spark, sf), site_info(pages_dom(spark, sf)))
+    facts = R.page_facts(nav_pages(spark, sf))
+    return R.annotate_links(R.site_nav(R.nav_links(facts)), facts)
 
 
 @query("nav_depth_limited", SQL_SITE + "SELECT site, page_id, pos, depth, title, url FROM nl WHERE depth <= 0")
@@ -651,14 +652,16 @@ SELECT s.site, s.url, s.title,
 FROM sn s LEFT JOIN md m ON m.url = s.url""")
 def q_link_details(spark, sf):
     """Each link with a pointer to its page's Markdown file."""
-    return R.link_details(site_links(spark, sf), page_markdown(pages_dom(spark, sf)))
+    facts = R.page_facts(nav_pages(spark, sf))
+    return R.link_details(R.site_nav(R.nav_links(facts)), facts)
 
 
 @query("link_metadata", SQL_SITE + """
 SELECT s.site, s.url, s.title, length(m.content) AS md_chars FROM sn s LEFT JOIN md m ON m.url = s.url""")
 def q_link_metadata(spark, sf):
     """Markdown size of each linked page."""
-    return R.link_metadata(site_links(spark, sf), page_markdown(pages_dom(spark, sf)))
+    facts = R.page_facts(nav_pages(spark, sf))
+    return R.link_metadata(R.site_nav(R.nav_links(facts)), facts)
 
 
 @query("robots_rules", f"""

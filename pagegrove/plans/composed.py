@@ -13,10 +13,9 @@ from pagegrove.functions.urls import url_host
 from pagegrove.operators import menus as M
 from pagegrove.operators import site as R
 from pagegrove.operators.dom import with_dom
-from pagegrove.operators.markdown import page_markdown
 from pagegrove.operators.nav import NO_NAV_MESSAGE, llms_document, nav_page_columns, nav_tree
 from pagegrove.operators.selectors import detect_site_type
-from pagegrove.operators.siteinfo import page_description, page_title, site_info
+from pagegrove.operators.siteinfo import page_description, page_title
 from pagegrove.plans import sqlfrag as S
 from pagegrove.plans.catalog import ROOT_SELECTOR, SQL_PAGE_FACTS, pages, pages_dom, query
 from pagegrove.plans.sqlfrag import NL, q
@@ -165,8 +164,10 @@ def q_nav_urls(spark, sf):
 # R4, R5, R7, R10, N9, D11 where both outcomes occur
 # ---------------------------------------------------------------------------
 
-def composed_links(spark, sf) -> DataFrame:
-    return R.site_nav(R.nav_links(composed_nav(spark, sf)))
+def composed_facts(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """The links of composed pages, and what is known of the pages, from one parse."""
+    facts = R.page_facts(composed_nav(spark, sf))
+    return R.site_nav(R.nav_links(facts)), facts
 
 
 @query("composed_annotated_links", f"""
@@ -174,7 +175,7 @@ WITH {SQL_COMPOSED}
 SELECT site, cs.url, '- [' || title || '](' || cs.url || ')' || coalesce(' - About ' || known.page_id, '') AS line FROM cs LEFT JOIN known ON known.url = cs.url""")
 def q_composed_annotated_links(spark, sf):
     """Links to known pages carry their descriptions."""
-    return R.annotate_links(composed_links(spark, sf), site_info(composed_dom(spark, sf)))
+    return R.annotate_links(*composed_facts(spark, sf))
 
 
 @query("composed_depth_limited", f"WITH {SQL_COMPOSED} SELECT site, page_id, pos::INT AS pos, depth, title, url FROM cn WHERE depth <= 1")
@@ -189,7 +190,7 @@ SELECT site, cs.url, title, CASE WHEN known.url IS NOT NULL THEN {q(R.DETAIL_PRE
 FROM cs LEFT JOIN known ON known.url = cs.url""")
 def q_composed_link_details(spark, sf):
     """Links to known pages point to their files."""
-    return R.link_details(composed_links(spark, sf), page_markdown(composed_dom(spark, sf)))
+    return R.link_details(*composed_facts(spark, sf))
 
 
 @query("composed_link_metadata", f"""
@@ -198,7 +199,7 @@ SELECT site, cs.url, title, length('# Untitled Page' || {NL} || {NL} || '## Page
 FROM cs LEFT JOIN known ON known.url = cs.url""")
 def q_composed_link_metadata(spark, sf):
     """The Markdown size of known pages."""
-    return R.link_metadata(composed_links(spark, sf), page_markdown(composed_dom(spark, sf)))
+    return R.link_metadata(*composed_facts(spark, sf))
 
 
 @query("composed_llms_txt", f"""
