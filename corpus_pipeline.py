@@ -30,6 +30,10 @@ def free_name(df: DataFrame, name: str) -> str:
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null and empty texts are scored like one chunk of padding; without labelled rows every score is 0.5 and all rows stay.
+
+    Repeated rows have equal scores; other columns are never read and no rows give none.
+    """
     score = free_name(docs, "score")
     return byte_cnn.quality_scores(docs, table(spark, sf_dir, "labels"), out=score).where(F.col(score) >= 0.5).drop(score)
 
@@ -74,12 +78,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows go by their texts: null and empty ones hold no passage and stay, equal ones go or stay together, ids do not matter."""
     key = free_name(docs, "key")
     bad = stage(spaced_seeds.contaminations(docs, table(spark, sf_dir, "benchmark")).select(F.col("key").alias(key)).distinct(), "leaks")
     return docs.withColumn(key, spaced_seeds.text_key()).join(bad, key, "left_anti").drop(key)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A document has its words and an end token as length, so null and empty texts have 1; longer ones than a bin are cut into pieces.
+
+    Null ids and repeated rows are packed like others; no rows give no bins.
+    """
     return packing.pack(docs, length=packing.word_length())
 
 
