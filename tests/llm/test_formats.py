@@ -394,6 +394,17 @@ def test_pipeline_keeps_one_of_each_group(spark, docs_of, prose):
     assert [(i, len(t) > 0) for i, t in got] == [(4, True), (5, True), (6, False), (7, False), (8, False)]
 
 
+def test_packing_stage_edges(spark, docs_of, prose):
+    import corpus_pipeline as cp
+    rows = [(None, None), (1, ""), (1, ""), (2, prose(1, 300)), (2, prose(1, 300)), (3, prose(2, 5000)), (4, " \t")]
+    pack = cp.STAGES[-1][1]
+    bins = pack(spark, docs_of(rows, extra=True), "").collect()
+    pieces = sorted(((d or -1), s, n) for b in bins for d, s, n in zip(b.doc_ids, b.starts, b.lengths, strict=True))
+    assert pieces == sorted([(-1, 0, 1), (1, 0, 1), (1, 0, 1), (2, 0, 301), (2, 0, 301), (3, 0, 2048), (3, 2048, 2048), (3, 4096, 905), (4, 0, 1)])
+    assert all(sum(b.lengths) == b.used <= b.capacity for b in bins)
+    assert pack(spark, docs_of([]), "").count() == 0
+
+
 def test_pipeline_rows_do_not_depend_on_the_scan_layout(spark, docs_of, prose, tmp_path, monkeypatch):
     import corpus_pipeline as cp
     rows = [(i, prose(i // 2, 200)) for i in range(40)] + [(50, ""), (None, None), (7, prose(3, 200)), (60, prose(60, 200))]
