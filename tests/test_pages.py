@@ -95,3 +95,26 @@ def test_file_set_last_wins(spark):
                                "filename string, request_id long, line_no int, content string")
     got = {r.filename: r.content for r in file_set(df).collect()}
     assert got == {"a.md": "second", "b.md": "b"}
+
+
+def test_parsed_pages_leave_a_task_in_bounded_arrays(spark):
+    """One batch of 3,000 pages: each array holds few nodes or little text, every page keeps its place."""
+    import pyarrow as pa
+
+    from pagegrove.operators import htmltree
+    htmls = [f"<p>{i}</p>" * (i % 90) + "x" * (i % 7) * 1000 for i in range(3_000)]
+    htmls[5], htmls[7] = None, ""
+    arrays = list(htmltree.dom_chunks(iter([pa.array(htmls[:2_900]), pa.array([], pa.string()), pa.array(htmls[2_900:])])))
+    rows = [r for a in arrays for r in a.to_pylist(maps_as_pydicts="strict")]
+    assert rows == [parse_html(h) for h in htmls]
+    assert max(len(a.flatten()) for a in arrays) < htmltree.CHUNK_NODES + 300 and 10 < len(arrays) < 100
+
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    try:
+        got = with_dom(pages_df(spark, htmls).coalesce(1)).selectExpr("page_id", "size(dom) AS n", "get(dom, 2).text AS text").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    want = [parse_html(h) for h in htmls]
+    assert [(r.page_id, r.n, r.text) for r in sorted(got)] == [
+        (i, len(d), d[2]["text"] if len(d) > 2 else None) if d else (i, None, None) for i, d in enumerate(want)]
