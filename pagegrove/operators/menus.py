@@ -35,7 +35,8 @@ from pagegrove.operators.selectors import compile_selector, detect_site_type
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-BATCH_ROWS = 4096
+#: Rows of a tree, and pages read, that a task holds at a time.
+BATCH_ROWS, SLICE_PAGES = 4096, 16
 ROWS = "page_id long, pos long, path array<int>, depth int, title string, url string, own string"
 
 
@@ -144,8 +145,9 @@ def walk(roots, members, subs, enter):
 
 def _graphs(batches):
     for b in batches:
-        for r in b.to_pylist():
-            yield r["page_id"], r["roots"] or [], r["menus"] or [], r["links"] or []
+        for at in range(0, b.num_rows, SLICE_PAGES):  # a whole batch as Python objects would not fit a worker
+            for r in b.slice(at, SLICE_PAGES).to_pylist():
+                yield r["page_id"], r["roots"] or [], r["menus"] or [], r["links"] or []
 
 
 def _rows(mode: str, kept: bool):

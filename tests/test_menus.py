@@ -122,3 +122,25 @@ def test_cycle_witness(spark):
     dom = with_dom(pages_df(spark, [page('<li><a href="/a">Aa</a><ul><li><a href="/c">Cc</a><ul><a href="/b">Bb</a></ul></li></ul></li>'), page(item("/x"))]))
     r, = M.nav_cycles(M.menu_graphs(dom, "nav")).collect()
     assert (r.page_id, r.menu, r.opener, r.title, r.url, list(r.way)) == (0, 12, 13, "Bb", "https://x.com/b", [12])
+
+
+def test_graphs_become_objects_a_few_pages_at_a_time(spark):
+    """A batch of thousands of menu graphs is never one list of Python objects."""
+    import pyarrow as pa
+    sizes = []
+
+    class Batch:
+        def __init__(self, rows):
+            self.rows, self.num_rows = rows, rows.num_rows
+
+        def slice(self, at, n):
+            return Batch(self.rows.slice(at, n))
+
+        def to_pylist(self):
+            sizes.append(self.num_rows)
+            return self.rows.to_pylist()
+    link = {"id": 3, "title": "A", "url": "/a", "sub": None}
+    rows = [{"page_id": i, "roots": [0], "menus": None, "links": [link] * (i % 3) or None} for i in range(1_000)]
+    got = list(M._graphs([Batch(pa.RecordBatch.from_pylist(rows))]))
+    assert got == [(i, [0], [], [link] * (i % 3)) for i in range(1_000)]
+    assert max(sizes) <= M.SLICE_PAGES < 100
