@@ -110,12 +110,13 @@ class Encoder:
         if got is None:
             if len(self.parts) >= CACHE // 2:
                 self.parts.clear()
-            got = self.parts[part] = np.array([t.id for t in self.model.tokenize(part)], "<u4").tobytes()
+            ids = [t.id for t in self.model.tokenize(part.translate(self.letters))]
+            got = self.parts[part] = struct.pack(f"<{len(ids)}I", *ids)
         return got
 
     def _split(self, m: re.Match) -> bytes:
         word, marks = m.groups()
-        return self._part(word.lower().translate(self.letters)) + (self._part(marks) if marks else b"")
+        return self._part(word.lower()) + (self._part(marks) if marks else b"")
 
     def encode(self, text: str) -> bytes:
         out = b"".join(map(self.known.__getitem__, text.replace("\n", " ").split(" "))) + self.end

@@ -155,6 +155,21 @@ HTML = [
 ]
 
 
+def test_a_word_is_spelt_once_for_all_its_cases_and_marks():
+    class Counted(dict):
+        asked = 0
+
+        def __getitem__(self, key):
+            self.asked += 1
+            return super().__getitem__(key)
+    encoder = token_store.Encoder(tokenizer_path(), None)
+    encoder.parts.clear()
+    encoder.letters = Counted(encoder.letters)
+    words = ["größe", "Größe.", "GRÖSSE", "GRÖßE,", "Größe!!", "größe;", "crème", "CRÈME", "Crème."]
+    assert [encoder.encode(w) for w in words] == encoder._whole(words)
+    assert encoder.letters.asked <= len("grösse") + len("größe") + len("crème") + len(".,!!;")
+
+
 def test_extraction(spark):
     rows = [(i, "u", h) for i, (h, _) in enumerate(HTML)] * 2
     out = line_blocks.extract(pages(spark, rows).withColumnRenamed("extra", "text")).collect()
