@@ -13,8 +13,8 @@ length, number of tokens), and a footer with the index's place.  Files and
 their order hold the documents by ascending id (null ids first); equal ids
 are ordered by length, then by their place in the input.
 
-Words between spaces and newlines are encoded once per Python worker and
-kept (at most ``CACHE`` of them): the tokenizer's normaliser and splitter
+Words between spaces and newlines are looked up once for a group of texts,
+encoded once per Python worker and kept (about ``CACHE`` of them): the tokenizer's normaliser and splitter
 never look across a space or newline, so the ids are those of the whole text;
 tests compare them.  Null text counts as empty: the end id alone.  An empty
 table gives no files.  Other columns are never read.
@@ -23,6 +23,7 @@ table gives no files.  Other columns are never read.
 from __future__ import annotations
 
 import hashlib
+import operator
 import os
 import re
 import struct
@@ -33,11 +34,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagegrove.llm.common import open_store, shared_path, stage
+from pagegrove.llm.common import doc_groups, open_store, shared_path, stage, utf8
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -45,24 +47,32 @@ MAGIC = b"PGTOK001"
 END_ID = 2
 DICT_ROWS, DICT_CHARS, DICT_BYTES = 1000, 20_000, 64 << 10
 LEVEL, CACHE = 1, 600_000
+# Bytes of text that are encoded together (a longer text is encoded alone).
+TEXT_BYTES = 8 << 20
 # Capital letters of ASCII and Latin-1 (their small forms go with them), and marks.
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + "".join(chr(c) for c in range(0xC0, 0xDF) if c != 0xD7)
 MARKS = ".,;:!?*#$%&)"
-SIMPLE = re.compile(rf"([A-Za-z\u00c0-\u00d6\u00d8-\u00de\u00e0-\u00f6\u00f8-\u00fe]+)([{re.escape(MARKS)}]*)")
+SIMPLE = re.compile(f"([A-Za-z\u00c0-\u00d6\u00d8-\u00de\u00e0-\u00f6\u00f8-\u00fe]+)([{re.escape(MARKS)}]*)")
 ENTRY = np.dtype([("id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("length", "<u4"), ("tokens", "<u4")])
 FOOTER = "<QQ8s"
 
 
-class _Known(dict):
-    """word -> serialised ids; a new word is encoded when it is first asked for."""
+def strings(words: pa.Array) -> list[str]:
+    return words.to_numpy(zero_copy_only=False).tolist()  # several times as fast as to_pylist
+
+
+class _Parts(dict):
+    """letters or marks of a word -> serialised ids; a new part is encoded when it is first asked for."""
 
     def __init__(self, encoder: Encoder) -> None:
         super().__init__()
         self.encoder = encoder
 
-    def __missing__(self, word: str) -> bytes:
-        m = SIMPLE.fullmatch(word) if self.encoder.simple else None
-        out = self[word] = self.encoder._split(m) if m else self.encoder._whole([word])[0]
+    def __missing__(self, part: str) -> bytes:
+        if len(self) >= CACHE:
+            self.clear()
+        ids = [t.id for t in self.encoder.model.tokenize(part.translate(self.encoder.letters))]
+        out = self[part] = struct.pack(f"<{len(ids)}I", *ids)
         return out
 
 
@@ -81,8 +91,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.end = b"" if end_id is None else struct.pack("<I", end_id)
-        self.known = _Known(self)
-        self.parts: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        self.parts = _Parts(self)
         self.simple = self._simple()
 
     @classmethod
@@ -105,24 +115,52 @@ class Encoder:
         probes = [c + "the" + c.lower() + m + m for c in LETTERS for m in ("", *MARKS)] + ["s" + m + "." + m for m in MARKS]
         return self._whole(probes) == [self._split(SIMPLE.fullmatch(w)) for w in probes]
 
-    def _part(self, part: str) -> bytes:
-        got = self.parts.get(part)
-        if got is None:
-            if len(self.parts) >= CACHE // 2:
-                self.parts.clear()
-            ids = [t.id for t in self.model.tokenize(part.translate(self.letters))]
-            got = self.parts[part] = struct.pack(f"<{len(ids)}I", *ids)
-        return got
-
     def _split(self, m: re.Match) -> bytes:
         word, marks = m.groups()
-        return self._part(word.lower()) + (self._part(marks) if marks else b"")
+        return self.parts[word.lower()] + self.parts[marks]
+
+    def _words(self, words: pa.Array) -> list[bytes]:
+        """The serialised ids of words, each given once."""
+        if not self.simple:
+            return self._remembered(strings(words))
+        simple = pc.match_substring_regex(words, f"^(?:{SIMPLE.pattern})$")
+        plain = words.filter(simple)
+        letters = pc.utf8_lower(pc.utf8_rtrim(plain, MARKS))
+        marks = pc.utf8_ltrim(plain, LETTERS + LETTERS.lower())
+        known = map(operator.add, *(map(self.parts.__getitem__, strings(x)) for x in (letters, marks)))
+        other = iter(self._remembered(strings(words.filter(pc.invert(simple)))))
+        return [next(known) if s else next(other) for s in simple.to_numpy(zero_copy_only=False).tolist()]
+
+    def _remembered(self, words: list[str]) -> list[bytes]:
+        if len(self.known) > CACHE // 2:
+            self.known.clear()
+        new = [w for w in words if w not in self.known]
+        self.known.update(zip(new, self._whole(new), strict=True))
+        return [self.known[w] for w in words]
 
     def encode(self, text: str) -> bytes:
-        out = b"".join(map(self.known.__getitem__, text.replace("\n", " ").split(" "))) + self.end
-        if len(self.known) > CACHE:
-            self.known.clear()
-        return out
+        return self.encode_many(pa.array([text], pa.string()))[0].tobytes()
+
+    def encode_many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one behind the other, and where each text's ids start (one more at the end).
+
+        Arrow splits the texts and numbers their words, and each word is looked up once.
+        """
+        words = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " "), " ")
+        first = words.offsets.to_numpy() - words.offsets[0].as_py()
+        coded = words.flatten().dictionary_encode()
+        known = self._words(coded.dictionary)
+        ids = np.frombuffer(b"".join([*known, self.end]), "<u4")
+        size = np.fromiter(map(len, known), np.int32, len(known)) // 4
+        word = coded.indices.to_numpy()
+        times = size[word]
+        at = np.concatenate(([0], np.cumsum(times, dtype=np.int64)))  # of each word among the ids of all words
+        take = np.arange(at[-1]) + np.repeat((np.cumsum(size, dtype=np.int64) - size)[word] - at[:-1], times)
+        start = at[first]
+        if self.end:
+            take = np.insert(take, start[1:], len(ids) - 1)
+            start = start + np.arange(len(start))
+        return ids[take], start
 
 
 def train_dictionary(docs: DataFrame, path: str, rows: int = DICT_ROWS, chars: int = DICT_CHARS, size: int = DICT_BYTES) -> bytes:
@@ -156,18 +194,10 @@ def _encode(path: str, dictionary):
         pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(dictionary.value), write_checksum=False)
         for b in batches:
             ids, text = b.column("doc_id"), b.column("text")
-            at = 0
-            while at < len(text):
-                blobs, n, size = [], [], 0
-                for x in text.slice(at):
-                    raw = encoder.encode(x.as_py() or "")
-                    blobs.append(pack.compress(raw))
-                    n.append(len(raw) // 4)
-                    size += len(blobs[-1])
-                    if size >= 8 << 20:
-                        break
-                yield pa.RecordBatch.from_arrays([ids.slice(at, len(n)), pa.array(blobs, pa.binary()), pa.array(n, pa.int64())], ["doc_id", "blob", "n_tokens"])
-                at += len(n)
+            for i, j in doc_groups(utf8(text)[1], TEXT_BYTES):
+                raw, at = encoder.encode_many(text.slice(i, j - i))
+                blobs = [pack.compress(raw[a:z]) for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(blobs, pa.binary()), pa.array(np.diff(at))], ["doc_id", "blob", "n_tokens"])
     return run
 
 

@@ -11,6 +11,7 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -141,6 +142,23 @@ def test_words_give_the_ids_of_the_whole_text(text):
     assert _ENCODER[1].encode(text) == whole
 
 
+def test_a_word_is_looked_up_once_for_many_texts():
+    class Counted(token_store._Parts):
+        asked = 0
+
+        def __getitem__(self, part):
+            self.asked += 1
+            return super().__getitem__(part)
+    encoder = token_store.Encoder(tokenizer_path())
+    encoder.parts = Counted(encoder)
+    texts = ["Größe und Größe", None, "", "\n und  Größe\n", " ", "größe. 漢 \x1c İ"] * 50
+    ids, start = encoder.encode_many(pa.array(["left out", *texts]).slice(1))
+    assert encoder.parts.asked <= 2 * len({"Größe", "und", "größe.", ""})
+    assert start[0] == 0 and len(start) == len(texts) + 1 and start[-1] == len(ids)
+    for text, a, z in zip(texts, start[:-1], start[1:], strict=True):
+        assert ids[a:z].tolist() == [*encoder.tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
+
+
 # ---- HTML ----------------------------------------------------------------
 
 HTML = [
