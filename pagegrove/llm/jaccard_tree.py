@@ -205,6 +205,21 @@ def _needed(a, b, num, den):
     return -(-num * (a + b) // (num + den))
 
 
+def partnered(n: np.ndarray, pos: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Rows of a block with a partner that sizes and prefix positions allow; n ascending, any number of rows.
+
+    Two rows fit if neither is larger than the other's positions left allow,
+    so a row asks for the largest such bound among the rows that it allows
+    itself, without its own.
+    """
+    most = (num + den) * (n - pos) // num - n  # the largest partner with which what follows in the set can reach the overlap
+    top = np.maximum.accumulate(most)
+    second = np.maximum.accumulate(np.minimum(most, np.concatenate(([-1], top[:-1]))))
+    last = np.searchsorted(n, most, side="right") - 1
+    best = np.where((most == top[last]) & (n <= most), second[last], top[last])
+    return (last >= 0) & (best >= n)
+
+
 def _blocks(num: int, den: int):
     """Rows that have a possible partner in their block, with up to three partners to try first."""
     def run(batches):
@@ -222,8 +237,7 @@ def _blocks(num: int, den: int):
         size = np.diff(np.append(start, len(key)))
         run_of = np.cumsum(head) - 1
         ok = np.zeros(len(key), bool)
-        mate = np.full((3, len(key)), -1, np.int64)
-        rest = size[run_of] > PAIR_RUN  # in long runs all rows stay
+        near = cid.copy()  # itself: none
         for d in range(1, min(PAIR_RUN, int(size.max()))):
             i = np.flatnonzero(run_of[d:] == run_of[:-d])
             j = i + d
@@ -231,22 +245,22 @@ def _blocks(num: int, den: int):
             fit = (den * n[i] >= num * n[j]) & (pos[i] <= n[i] - need) & (pos[j] <= n[j] - need)
             i, j = i[fit], j[fit]
             ok[i] = ok[j] = True
-            new = mate[0, j] < 0
-            mate[0, j[new]] = i[new]
-        first = start[run_of]
-        by_cid = np.lexsort((cid, run_of))
-        least, most = by_cid[first], by_cid[first + size[run_of] - 1]
-        for k, m in ((1, least), (2, most)):
-            lo, hi = np.minimum(n[m], n), np.maximum(n[m], n)
-            good = (cid[m] != cid) & (den * lo >= num * hi) & (ok | rest)
-            mate[k, good] = m[good]
-        # in a longer run: the least overlap that any partner of the run could ask for
-        code = run_of * (int(n.max()) + 2)
-        least_n = n[np.minimum(np.searchsorted(code + n, code - (-num * n // den)), len(n) - 1)]
-        ok |= rest & (pos <= n - _needed(n, np.minimum(least_n, n), num, den))
+            new = near[j] == cid[j]
+            near[j[new]] = cid[i[new]]
+        for r in np.flatnonzero(size > PAIR_RUN).tolist():
+            at = slice(start[r], start[r] + size[r])
+            ok[at] = partnered(n[at], pos[at], num, den)
         stay = ok | (salt >= 2 << 16)
-        partner = np.where(mate >= 0, cid[np.maximum(mate, 0)], cid[None, :])  # itself: none
-        yield pa.RecordBatch.from_arrays([pa.array(x[stay]) for x in (key, cid, n, pos, salt, *partner)], ["key", "cid", "n", "pos", "salt", "m0", "m1", "m2"])
+        if not stay.any():
+            return
+        key, cid, n, pos, salt, near, run_of = (x[stay] for x in (key, cid, n, pos, salt, near, run_of))
+        start, inverse, size = np.unique(run_of, return_index=True, return_inverse=True, return_counts=True)[1:]
+        by_cid = np.lexsort((cid, inverse))
+        ends = []
+        for m in (by_cid[start[inverse]], by_cid[start[inverse] + size[inverse] - 1]):
+            lo, hi = np.minimum(n[m], n), np.maximum(n[m], n)
+            ends.append(np.where(den * lo >= num * hi, cid[m], cid))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, cid, n, pos, salt, near, *ends)], ["key", "cid", "n", "pos", "salt", "m0", "m1", "m2"])
     return run
 
 
