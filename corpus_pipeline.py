@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagegrove.llm import byte_cnn, divergence_rules, jaccard_tree, packing, spaced_seeds
-from pagegrove.llm.common import shared_path, stage, table
+from pagegrove.llm.common import key_marks, shared_path, stage, table, where_marked
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -56,6 +56,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     The number depends on the scan's layout, so it is never computed again:
     rows are found by ``(doc_id, MD5)`` at the end.  Rows that agree in both
     are in one group; where they are the ones to stay, one of them does.
+    Texts move only where a bitmap of the copies' MD5s lets a copy be, which
+    leaves nearly all rows that have none where they are read.
     """
     key = free_name(docs, "key")
     same = lambda a, b: a["doc_id"].eqNullSafe(b["id"]) & (a[key] == b["text_key"])
@@ -69,12 +71,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     judged = known.join(least, same(known, least), "left").select(F.col("doc_id").alias("id"), F.col(key).alias("text_key"), F.coalesce("first", F.lit(False)).alias("first"), "times")
     listed = stage(judged.where("not first or times > 1").select("id", "text_key", "first"), "copies")
     keyed = docs.withColumn(key, spaced_seeds.text_key())
+    marks = stage(key_marks(listed.select("text_key")), "marks")
+    apart, maybe = (where_marked(keyed, key, marks, marked) for marked in (False, True))
     repeated = stage(listed.where("first"), "repeats")  # a table of its own size, mostly empty, so that texts need not move for it
-    again = keyed.join(repeated, same(keyed, repeated), "left_semi")
+    again = maybe.join(repeated, same(maybe, repeated), "left_semi")
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     one = F.min_by(F.struct(*docs.columns), F.to_json(F.struct(*others)) if others else F.lit(0))
     once = again.groupBy("doc_id", key).agg(one.alias("row")).select("row.*")
-    return keyed.join(listed, same(keyed, listed), "left_anti").drop(key).union(once)
+    left = maybe.join(listed, same(maybe, listed), "left_anti")
+    return apart.union(left).drop(key).union(once)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

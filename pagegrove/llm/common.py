@@ -3,6 +3,8 @@
 * ``stage``: a DataFrame written to the shared folder and read back.  It cuts
   the lineage with a table that survives lost executors, and it fixes rows
   that a recomputed task could otherwise give in another order.
+* ``key_marks`` / ``where_marked``: a bitmap of keys, of fixed size, that tells
+  rows which a join on the key cannot touch, so that they need not move for it.
 * ``shared_dir`` / ``open_store``: the folder named by ``spark.checkpoint.dir``
   and a file system handle on it that also works inside tasks.
 * ``utf8`` / ``doc_groups`` / ``Words``: Arrow text columns as byte arrays,
@@ -20,7 +22,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagegrove.session import checkpoint_dir
@@ -31,6 +33,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SPACES = (9, 10, 11, 12, 13, 32)
 #: Bytes of text that one vectorised step handles (a longer text is one step).
 GROUP_BYTES = 2 << 20
+#: Bits of a bitmap of keys.
+MARK_BITS = 24
 
 
 # ---- shared folder -------------------------------------------------------
@@ -52,6 +56,34 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _mark(key) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(1 << MARK_BITS))
+
+
+def key_marks(keys: DataFrame) -> DataFrame:
+    """``(part, words)``: a bitmap with a bit set for each value of the only column of ``keys``.
+
+    Its size is fixed, 2 MB in 4,096 rows of 64 words at most, however many keys there are.
+    """
+    at = keys.select(_mark(keys.columns[0]).alias("at"))
+    words = at.groupBy(F.shiftright("at", 12).alias("part"), F.shiftright("at", 6).bitwiseAND(63).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(at & 63))")).alias("bits"))
+    rows = words.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("of"))
+    return rows.select("part", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda w: F.coalesce(F.try_element_at("of", w), F.lit(0).cast("long"))).alias("words"))
+
+
+def where_marked(df: DataFrame, key: str, marks: DataFrame, marked: bool = True) -> DataFrame:
+    """Rows of ``df`` whose ``key`` has its bit in ``marks``, or has not; nothing is shuffled.
+
+    A row without its bit certainly has none of the keys; one with it may have
+    none of them either, so a join on the key must follow.
+    """
+    at = _mark(df[key])
+    both = df.join(F.broadcast(marks), F.shiftright(at, 12) == marks["part"], "left")
+    word = F.get(marks["words"], F.shiftright(at, 6).bitwiseAND(63).cast("int"))
+    held = F.coalesce(F.getbit(word, at.bitwiseAND(63).cast("int")) == 1, F.lit(False))
+    return both.where(held if marked else ~held).select(*[df[c] for c in df.columns])
+
+
 def open_store(uri: str):
     """``(file system, path)`` of a shared URI, usable on executors."""
     from pyarrow import fs

@@ -18,10 +18,12 @@ First links
     blocks; those that link give first components.
 Trees
     Blocks that still touch two components are *open*.  Classes that share open
-    blocks, directly or in a chain, form a cluster, and each class goes with its
-    whole set to its cluster's tree, once however many blocks it is in (a
+    blocks, directly or in a chain, form a cluster, and each class goes with a
+    small bitmap to its cluster's tree, once however many blocks it is in (a
     cluster beyond ``TREE_ROWS`` or ``TREE_TOKENS`` is dealt into sub-clusters that
-    meet in pairs).  Leaves have a bitmap of their tokens, an inner node the OR of
+    meet in pairs).  Classes that these bitmaps let link form the clusters to
+    which whole sets go; most classes are in none, and their sets stay where they
+    are.  Leaves have a bitmap of their tokens, an inner node the OR of
     its children's bitmaps, their size range and their largest excess of
     tokens over bits.  A dual traversal starts at (root, root) and drops a node
     pair if the sizes cannot fit, if both nodes already lie in one component,
@@ -50,7 +52,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagegrove.llm.common import bits_of, doc_groups, mix64, rand64, space_words, stage, utf8
+from pagegrove.llm.common import bits_of, doc_groups, key_marks, mix64, rand64, space_words, stage, utf8, where_marked
 from pagegrove.llm.graph import block_links, components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -446,17 +448,21 @@ def leaf_bitmap(toks: np.ndarray, token_bits: int) -> np.ndarray:
     return signature(toks, min(1 << 19, max(64, 1 << int(token_bits * len(toks) - 1).bit_length())))
 
 
-def _trees(num: int, den: int):
-    """Links ``(a, b)`` of all clusters of a partition sorted by ``(cluster, i, j)``; one tree is held at a time."""
-    def links(held):
-        t = pa.Table.from_batches(held).combine_chunks()
-        cid, comp, n = (t.column(c).to_numpy() for c in ("cid", "comp", "n"))
-        toks = [np.frombuffer(x, np.uint64) for x in t.column("toks").to_pylist()]
-        place = np.arange(len(cid))
-        pairs = block_pairs(place, n, np.zeros(len(n), np.int64), comp, [leaf_bitmap(x, LEAF_BITS) for x in toks], num, den)
-        found = np.array(block_links(pairs[0], pairs[1], comp, toks, num, den), np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(cid[found[:, k]]) for k in (0, 1)], ["a", "b"])
+def first_of_part(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
+    """For each of ``size`` vertices the least one that the edges ``(a, b)`` reach from it."""
+    root = np.arange(size)
+    while len(a):
+        x, y = root[a], root[b]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+    return root
 
+
+def _by_tree(links):
+    """``links`` of the rows of each cluster of a partition sorted by ``(cluster, i, j)``; one tree is held at a time."""
     def run(batches):
         held, now = [], None
         for b in batches:
@@ -467,15 +473,51 @@ def _trees(num: int, den: int):
             for s, e in zip(cut[:-1], cut[1:], strict=True):
                 this = tuple(at[:, s].tolist())
                 if held and this != now:
-                    yield links(held)
+                    yield links(pa.Table.from_batches(held).combine_chunks())
                     held = []
                 now = this
                 held.append(b.slice(s, e - s))
         if held:
-            yield links(held)
+            yield links(pa.Table.from_batches(held).combine_chunks())
     return run
 
 
+def _near(num: int, den: int):
+    """Edges ``(a, b)`` that hold together the classes of each tree whose staged bitmaps let them link, one for a class at most."""
+    def links(t):
+        cid, comp, n = (t.column(c).to_numpy() for c in ("cid", "comp", "n"))
+        sigs = [np.frombuffer(x, np.uint64) for x in t.column("sig").to_pylist()]
+        a, b = block_pairs(np.arange(len(cid)), n, np.zeros(len(n), np.int64), comp, sigs, num, den)
+        root = first_of_part(a, b, len(cid))
+        at = np.flatnonzero(root != np.arange(len(cid)))
+        return pa.RecordBatch.from_arrays([pa.array(cid[at]), pa.array(cid[root[at]])], ["a", "b"])
+    return _by_tree(links)
+
+
+def _trees(num: int, den: int):
+    """Links ``(a, b)`` of all clusters of a partition."""
+    def links(t):
+        cid, comp, n = (t.column(c).to_numpy() for c in ("cid", "comp", "n"))
+        toks = [np.frombuffer(x, np.uint64) for x in t.column("toks").to_pylist()]
+        place = np.arange(len(cid))
+        pairs = block_pairs(place, n, np.zeros(len(n), np.int64), comp, [leaf_bitmap(x, LEAF_BITS) for x in toks], num, den)
+        found = np.array(block_links(pairs[0], pairs[1], comp, toks, num, den), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(cid[found[:, k]]) for k in (0, 1)], ["a", "b"])
+    return _by_tree(links)
+
+
+def tree_leaves(classes: DataFrame, edges: DataFrame, tree_rows: int, name: str) -> DataFrame:
+    """Leaves ``(cluster, i, j, cid, n, comp)``: the ``classes(cid, n, comp)`` that ``edges(a, b)`` join to clusters.
+
+    A cluster beyond ``tree_rows`` or ``TREE_TOKENS`` is dealt into sub-clusters that meet in pairs.
+    """
+    cluster = components(edges, name)
+    leaves = classes.join(cluster.select(F.col("v").alias("cid"), F.col("root").alias("cluster")), "cid")
+    wide = leaves.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / tree_rows), F.ceil(F.sum("n") / TREE_TOKENS)).alias("salts"))
+    leaves = leaves.join(wide, "cluster").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("salts"))).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+    return stage(leaves.select("cluster", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "cid", "n", "comp"), name + "-leaves")
+
+
 # ---- the join ------------------------------------------------------------
 
 def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id",
@@ -500,16 +542,18 @@ def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int
     cand = stage(prefix.repartition(parts, "key", "salt").mapInArrow(
         _blocks(num, den), "key long, cid long, n long, pos long, salt long, m0 long, m1 long, m2 long"), "jaccard-blocks")
     wanted = sc.broadcast(filter_of(cand.select("cid")))
-    sets = stage(texts.mapInArrow(_tokens(width, wanted), "cid long, size long, toks binary, sig binary").dropDuplicates(["cid"]), "jaccard-sets")
+    sets = stage(texts.mapInArrow(_tokens(width, wanted), "cid long, size long, toks binary, sig binary"), "jaccard-sets")  # a class once per task
+    sigs = sets.select("cid", "size", "sig").dropDuplicates(["cid"])
+    whole = lambda cids: where_marked(sets.select("cid", "toks"), "cid", stage(key_marks(cids), "jaccard-marks")).dropDuplicates(["cid"])
 
     first = cand.groupBy("cid").agg(F.max_by("m0", "key").alias("m0"), F.min("m1").alias("m1"), F.max("m2").alias("m2"))
     pairs = first.select("cid", F.explode(F.array("m0", "m1", "m2")).alias("m")).where("cid != m")
     pairs = pairs.select(F.least("cid", "m").alias("a"), F.greatest("cid", "m").alias("b")).distinct()
-    leaf = lambda cid, n, sig: sets.select(F.col("cid").alias(cid), F.col("size").alias(n), F.col("sig").alias(sig))
+    leaf = lambda cid, n, sig: sigs.select(F.col("cid").alias(cid), F.col("size").alias(n), F.col("sig").alias(sig))
     pairs = pairs.join(leaf("a", "n", "x"), "a").join(leaf("b", "m", "y"), "b").select("a", "b", "n", "x", "m", "y")
     pairs = stage(pairs.mapInArrow(_hopeful(num, den), "a long, b long"), "jaccard-offers")
-    ends = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
-    links = verified(pairs, sets.select("cid", "toks").join(ends, "cid", "left_semi"), num, den, "jaccard-links")
+    ends = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid")))
+    links = verified(pairs, whole(ends), num, den, "jaccard-links")
     label = components(links, "jaccard-first")
 
     n_salts, own = F.shiftright("salt", 16), F.col("salt").bitwiseAND(0xFFFF)
@@ -520,12 +564,13 @@ def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int
     rows = stage(rows, "jaccard-open")
 
     heads = rows.groupBy("key", "i", "j").agg(F.min("cid").alias("head"))
-    cluster = components(rows.join(heads, ["key", "i", "j"]).select(F.col("cid").alias("a"), F.col("head").alias("b")).distinct(), "jaccard-clusters")
-    leaves = rows.select("cid", "n", "comp").distinct().join(cluster.select(F.col("v").alias("cid"), F.col("root").alias("cluster")), "cid")
-    wide = leaves.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / tree_rows), F.ceil(F.sum("n") / TREE_TOKENS)).alias("salts"))
-    leaves = leaves.join(wide, "cluster").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("salts"))).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
-    leaves = leaves.select("cluster", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "cid", "n", "comp").join(sets.select("cid", "toks"), "cid")
-    leaves = leaves.repartition(parts, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").select("cluster", "i", "j", "cid", "n", "comp", "toks")
+    edges = rows.join(heads, ["key", "i", "j"]).select(F.col("cid").alias("a"), F.col("head").alias("b")).distinct()
+    classes = rows.select("cid", "n", "comp").distinct()
+    together = lambda leaves: leaves.repartition(parts, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+    leaves = tree_leaves(classes, edges, tree_rows, "jaccard-clusters")
+    near = together(leaves.join(sigs.select("cid", "sig"), "cid")).select("cluster", "i", "j", "cid", "n", "comp", "sig").mapInArrow(_near(num, den), "a long, b long")
+    leaves = tree_leaves(classes, near, tree_rows, "jaccard-near")
+    leaves = together(leaves.join(whole(leaves.select("cid")), "cid")).select("cluster", "i", "j", "cid", "n", "comp", "toks")
     every = stage(links.union(leaves.mapInArrow(_trees(num, den), "a long, b long")), "jaccard-links")
     label = components(every, "jaccard-second")
 

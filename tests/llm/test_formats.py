@@ -438,6 +438,23 @@ def test_packing_stage_edges(spark, docs_of, prose):
     assert pack(spark, docs_of([]), "").count() == 0
 
 
+def test_pipeline_moves_texts_of_possible_copies_only(spark, docs_of, prose, monkeypatch):
+    """Where the table of copies is too large to be broadcast, a bitmap keeps other rows' texts where they are."""
+    import corpus_pipeline as cp
+
+    base = prose(7, 90).split()
+    rows = [(i, prose(i, 60)) for i in range(40)] + [(100 + i, " ".join([*base[:-1], f"x{i}"])) for i in range(5)] + [(100, " ".join([*base[:-1], "x0"])), (None, "q w")] * 2
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = cp.near_duplicates(spark, docs_of(rows, extra=True), "")
+        assert sorted((r.doc_id or -1, r.text) for r in got.collect()) == [(-1, "q w"), *sorted(rows[:41])]
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert plan.count("Join LeftAnti") == plan.count("Join LeftSemi") == 1 and plan.count("getbit") + plan.count("shiftright(words") >= 3
+
+
 def test_pipeline_rows_do_not_depend_on_the_scan_layout(spark, docs_of, prose, tmp_path, monkeypatch):
     import corpus_pipeline as cp
     rows = [(i, prose(i // 2, 200)) for i in range(40)] + [(50, ""), (None, None), (7, prose(3, 200)), (60, prose(60, 200))]

@@ -101,6 +101,49 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_parts_of_a_graph():
+    r = np.random.default_rng(4)
+    for edges in (0, 5, 60, 150, 4000):
+        a, b = r.integers(0, 200, (2, edges))
+        want = list(range(200))
+        for _ in range(200):
+            for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                want[x] = want[y] = min(want[x], want[y])
+        assert jaccard_tree.first_of_part(a, b, 200).tolist() == want
+
+
+def test_whole_sets_go_only_where_bitmaps_let_classes_link(docs_of, prose, monkeypatch):
+    common = [prose(50 + k, 20) for k in range(10)]
+    rows = [(i, " ".join([prose(900 + i // 2, 40), *(common[(i // 2 + 5 * (i % 2) + k) % 10] for k in range(4))])) for i in range(60)]  # two share rare words, which opens blocks but links nothing
+    rows += [(100 + i, " ".join([*prose(7, 150).split()[:-1], f"x{i}"])) for i in range(4)]
+    tables = {}
+
+    def kept(df, name, put=jaccard_tree.stage):
+        tables[name] = out = put(df, name)
+        return out
+    monkeypatch.setattr(jaccard_tree, "stage", kept)
+    got = jaccard_tree.jaccard_components(docs_of(rows), width=5, num=55, den=100)
+    assert sorted((r.doc_id, r.n_shingles, r.component) for r in got.collect()) == sorted(brute(rows, 5, 55, 100))
+    assert tables["jaccard-clusters-leaves"].select("cid").distinct().count() >= 30
+    assert tables["jaccard-near-leaves"].count() == 0
+
+
+def test_marks_tell_rows_that_a_join_cannot_touch(spark):
+    from pagegrove.llm.common import key_marks, where_marked
+
+    keys = [f"k{i}" for i in range(0, 3000, 3)]
+    df = spark.createDataFrame([(f"k{i}" if i % 7 else None, i, "x") for i in range(3000)], "key string, part long, words string")
+    marks = key_marks(spark.createDataFrame([(k,) for k in keys * 2], "key string"))
+    marked, apart = (where_marked(df, "key", marks, m) for m in (True, False))
+    assert marked.columns == df.columns == apart.columns and "Exchange hash" not in apart._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+    have, rest = {r.part for r in marked.collect()}, {r.part for r in apart.collect()}
+    assert not have & rest and have | rest == set(range(3000))
+    assert {i for i in range(0, 3000, 3) if i % 7} <= have and len(have) < 900 and {i for i in range(0, 3000, 7)} <= rest
+    assert marks.count() <= 4096 and {len(r.words) for r in marks.collect()} == {64}
+    none = key_marks(spark.createDataFrame([], "key long"))
+    assert where_marked(df, "part", none).count() == 0 and where_marked(df, "part", none, False).count() == 3000
+
+
 def words_of(text):
     return re.findall(r"[a-z0-9\u0080-\U0010ffff]+", (text or "").lower())
 
