@@ -59,6 +59,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SKETCH_BITS = 24
 SKETCH_PART = 1 << 20
+#: The largest count of a task's own table; a fuller one is given out and begun anew.
+COUNT_MOST = (1 << 16) - 1
 FILTER_BITS = 24
 #: Rows of one block handled by one tree; the salt of a frequent shingle follows from it.
 BLOCK_ROWS = 100_000
@@ -114,23 +116,34 @@ def _scan(width: int):
     names = ["id", "n", "cid", "kept", "part", "counts"]
 
     def run(batches):
-        counts = np.zeros(1 << SKETCH_BITS, np.uint32)
+        counts = np.zeros(1 << SKETCH_BITS, np.uint16)
+        kept = pa.nulls(0)
+
+        def given():
+            for p in range(len(counts) // SKETCH_PART):
+                own = counts[p * SKETCH_PART:(p + 1) * SKETCH_PART]
+                if own.any():
+                    yield pa.RecordBatch.from_arrays([
+                        pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, kept.type), pa.array([p], pa.int32()),
+                        pa.array([pa.compress(own.tobytes(), "zstd", asbytes=True)], pa.binary())], names)
+                    own[:] = 0
+
         for b, i, sets in _sets(batches, width):
+            kept = b.column("kept").slice(i, len(sets))
             if sets:
                 slot, times = np.unique((np.concatenate(sets) & np.uint64(len(counts) - 1)).astype(np.uint32), return_counts=True)
-                counts[slot] += times.astype(np.uint32)
+                while len(slot):
+                    fit = np.minimum(times, COUNT_MOST - counts[slot].astype(np.int64))
+                    counts[slot] += fit.astype(np.uint16)
+                    slot, times = slot[times > fit], (times - fit)[times > fit]
+                    if len(slot):  # full: what there is goes out
+                        yield from given()
             n = [len(x) for x in sets]
-            kept = b.column("kept").slice(i, len(sets))
             yield pa.RecordBatch.from_arrays([
                 b.column("id").slice(i, len(sets)), pa.array(n, pa.int64()),
                 pa.array([digest(x) if len(x) else None for x in sets], pa.int64()), kept,
                 pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], names)
-        for p in range(len(counts) // SKETCH_PART):
-            own = counts[p * SKETCH_PART:(p + 1) * SKETCH_PART]
-            if own.any():
-                yield pa.RecordBatch.from_arrays([
-                    pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, kept.type), pa.array([p], pa.int32()),
-                    pa.array([pa.compress(own.tobytes(), "zstd", asbytes=True)], pa.binary())], names)
+        yield from given()
     return run
 
 
@@ -149,10 +162,10 @@ def _sum_counts(batches):
     total: dict[int, np.ndarray] = {}
     for b in batches:
         for p, c in zip(b.column("part").to_pylist(), b.column("counts"), strict=True):
-            raw = pa.decompress(c.as_buffer(), 4 * SKETCH_PART, "zstd")
+            raw = pa.decompress(c.as_buffer(), 2 * SKETCH_PART, "zstd")
             if p not in total:
                 total[p] = np.zeros(SKETCH_PART, np.int64)
-            total[p] += np.frombuffer(raw, np.uint32)
+            total[p] += np.frombuffer(raw, np.uint16)
     for p, v in total.items():
         yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([int(v.sum())], pa.int64()),
                                           pa.array([steps(v).tobytes()], pa.binary())], ["part", "total", "steps"])
@@ -278,7 +291,7 @@ def filter_of(cids: DataFrame) -> np.ndarray:
     size = len(out) >> 6
     for r in cids.coalesce(8).mapInArrow(_marks, "part int, bits binary").toLocalIterator():
         out[r.part * size:(r.part + 1) * size] |= np.frombuffer(r.bits, np.uint8)
-    return np.unpackbits(out).astype(bool)
+    return out
 
 
 def _tokens(width: int, wanted):
@@ -287,7 +300,7 @@ def _tokens(width: int, wanted):
         for _b, _i, sets in _sets(batches, width):
             rows = []
             for toks in sets:
-                if len(toks) and marks[(c := digest(toks)) & ((1 << FILTER_BITS) - 1)] and c not in seen:
+                if len(toks) and marks[(at := (c := digest(toks)) & ((1 << FILTER_BITS) - 1)) >> 3] >> (7 - (at & 7)) & 1 and c not in seen:
                     seen.add(c)
                     rows.append((c, toks))
             if rows:
@@ -541,8 +554,10 @@ def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int
     prefix = texts.mapInArrow(_prefixes(width, num, den, small, block_rows), "key long, cid long, np long, salt long")
     cand = stage(prefix.repartition(parts, "key", "salt").mapInArrow(
         _blocks(num, den), "key long, cid long, n long, pos long, salt long, m0 long, m1 long, m2 long"), "jaccard-blocks")
+    small.unpersist()
     wanted = sc.broadcast(filter_of(cand.select("cid")))
     sets = stage(texts.mapInArrow(_tokens(width, wanted), "cid long, size long, toks binary, sig binary"), "jaccard-sets")  # a class once per task
+    wanted.unpersist()
     sigs = sets.select("cid", "size", "sig").dropDuplicates(["cid"])
     whole = lambda cids: where_marked(sets.select("cid", "toks"), "cid", stage(key_marks(cids), "jaccard-marks")).dropDuplicates(["cid"])
 

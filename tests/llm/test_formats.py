@@ -443,7 +443,7 @@ def test_pipeline_moves_texts_of_possible_copies_only(spark, docs_of, prose, mon
     import corpus_pipeline as cp
 
     base = prose(7, 90).split()
-    rows = [(i, prose(i, 60)) for i in range(40)] + [(100 + i, " ".join([*base[:-1], f"x{i}"])) for i in range(5)] + [(100, " ".join([*base[:-1], "x0"])), (None, "q w")] * 2
+    rows = [(i, prose(i, 60)) for i in range(1, 41)] + [(100 + i, " ".join([*base[:-1], f"x{i}"])) for i in range(5)] + [(100, " ".join([*base[:-1], "x0"])), (None, "q w")] * 2
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:

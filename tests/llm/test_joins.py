@@ -101,6 +101,22 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_counts_beyond_a_full_table(docs_of, prose, monkeypatch):
+    """Tables of two bytes a slot are given out when a slot is full; the sums are those of all rows."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(jaccard_tree, "COUNT_MOST", 3)
+    texts = pa.array([prose(i % 7, 30) for i in range(40)] + ["", None])
+    none = pa.StructArray.from_arrays([pa.array([0] * 42, pa.int32())], ["none"])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(42)), texts, none], ["id", "text", "kept"])
+    out = pa.Table.from_batches(list(jaccard_tree._scan(4)(iter([batch, batch]))))
+    assert out.column("id").drop_null().to_pylist() == [*range(42)] * 2
+    parts = out.filter(pa.compute.is_valid(out.column("part"))).select(["part", "counts"]).to_batches()
+    sums = pa.Table.from_batches(list(jaccard_tree._sum_counts(iter(parts)))).to_pylist()
+    assert sum(r["total"] for r in sums) == 2 * 40 * 27
+    assert sorted({x for r in sums for x in r["steps"] if x}) == [10, 12]  # of 40 rows, texts 0 to 4 have six and the others five, twice
+
+
 def test_parts_of_a_graph():
     r = np.random.default_rng(4)
     for edges in (0, 5, 60, 150, 4000):
