@@ -118,3 +118,21 @@ def test_parsed_pages_leave_a_task_in_bounded_arrays(spark):
     want = [parse_html(h) for h in htmls]
     assert [(r.page_id, r.n, r.text) for r in sorted(got)] == [
         (i, len(d), d[2]["text"] if len(d) > 2 else None) if d else (i, None, None) for i, d in enumerate(want)]
+
+
+def test_parse_memory_does_not_grow_with_the_batch():
+    """Four times as many pages in one batch: the parse holds no more at its peak."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from pagegrove.operators import htmltree
+    page = "<body>" + "<p class='c'>x<b>y</b></p>" * 40
+    peaks = []
+    for n in (600, 2_400):
+        batch = pa.array([page] * n)
+        tracemalloc.start()
+        assert sum(len(a) for a in htmltree.dom_chunks(iter([batch]))) == n
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.2 * peaks[0], peaks
